@@ -1,0 +1,331 @@
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ringsight.llm import bpe, chat, fingerprints, jaccard, langid, licenses, packing, quality, tokencount, warc
+from ringsight.llm.common import workspace
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, tokens long"
+ODD = [
+    None, "", " \t\n\x0b\x0c\r ", "one", "Two words", "a b c", "A b C", "a  b\nc", "x" * 3000, "word " * 400, "same line\nsame line\n\nsame line",
+    "it's we'll I'M don't 12 3½ ² é À Ñ ß İ ı Σ ΑΣ 你好 мир 🙂🙂 a\u00adb e\u0301 \u0301", "<|endoftext|> x<|startoftext|>y <|EndOfText|>", "a\x1cb\x85c\u2028d\u180ee\u200bf\xa0g",
+    "three   spaces \n\n  and tabs\t\tend  ", "### $$$ %%% 123 456", "Licensed under the Apache License, Version 2.0.\nbody", "\\### Assistant: </turn> ok <turn> \\l \\e",
+]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", None, 7) for i, t in enumerate([*ODD, *ODD[3:6]])]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+
+
+def by_doc(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# 1 chat
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", chat.PROBE), (1, 3, "assistant", "\\l</turn>\n<turn>user\n\\e"), (1, 4, "user", "tail"), (2, None, None, "x"), (2, 1, "odd\nrole>\\n", ""), (None, 0, "assistant", "é🙂"), (3, 0, "assistant", "same"), (3, 0, "assistant", "same")]
+    ex = chat.expand_prefix_targets(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = ex.select("*", chat.parse_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("loss")).collect()
+    for conv in (1, 2, 3, None):
+        want = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0))]
+        mine = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["example"])
+        assert [tuple(t) for t in mine[-1]["turns"]] == want
+        assert [r["loss"] for r in mine if r["is_target"]] == [t for role, t in want if role == "assistant"]
+        for r in mine:
+            assert [tuple(t) for t in r["turns"]] == want[: r["n_turns"]]
+    assert chat.expand_prefix_targets(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# 2 packing
+def check_packing(rows, docs_text, path, capacity=2048):
+    lib = bpe.library(path)
+    pieces = defaultdict(dict)
+    for r in rows:
+        pieces[r["doc_id"]][r["piece"]] = r
+    assert set(pieces) == set(docs_text)
+    for d, t in docs_text.items():
+        ids = lib.encode(t, add_special_tokens=False).ids + [0]
+        cuts = [ids[i : i + capacity] for i in range(0, len(ids), capacity)]
+        assert [(pieces[d][k]["start"], pieces[d][k]["length"], pieces[d][k]["ids_crc32"]) for k in range(len(cuts))] == [(k * capacity, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cuts)]
+    seqs = defaultdict(list)
+    for r in rows:
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in seqs.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(seqs)
+
+
+def test_packing(spark, docs, odd, none):
+    path = bpe.default_path("word_bpe_49k.json")
+    rows = packing.pack_documents(docs, path).collect()
+    n = check_packing(rows, texts(docs), path)
+    assert n <= 1 + 1.005 * np.ceil(sum(r["length"] for r in rows) / 2048)
+    check_packing(packing.pack_documents(odd, path).collect(), texts(odd), path)
+    assert packing.pack_documents(none, path).count() == 0
+    out = packing.pack(spark.createDataFrame([(5, "x"), (None, "y"), (9, "z"), (3, "x"), (3, "x"), (5, "w")], "length long, sequence string"), 8).collect()
+    assert sum(r["sequence_id"] is None for r in out) == 2 and len({r["sequence_id"] for r in out} - {None}) == 2
+
+
+def test_configurations_cover():
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        lengths = np.unique(rng.integers(1, 65, 12))
+        counts = rng.integers(1, 50, len(lengths))
+        plan = packing.configurations(lengths, counts, 64)
+        used = Counter()
+        for conf, m in plan:
+            assert sum(int(lengths[i]) * k for i, k in conf.items()) <= 64
+            for i, k in conf.items():
+                used[i] += k * m
+        assert [used[i] for i in range(len(lengths))] == counts.tolist()
+
+
+# 3 WARC
+def test_warc(spark):
+    big = "é" * 600
+    rows = [(1, "http://a/ b\r\n", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (7, "u", big), (7, "u", big), (8, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" + "z" * 2000), (None, "u", big), (9, "u", "a" * 1000), (10, "u", "a" * 1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("n_bytes", F.lit(2))
+    path = workspace(spark, "warc")
+    warc.write_archives(df, path)
+    got = sorted((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, path).collect())
+    want = []
+    for p, _, html in rows:
+        b = (html or "").encode()
+        again = (html == big and p != 7) or p == 9
+        want.append((p or -1, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", (7 if html == big else 10) if again else None))
+    assert got == sorted(want, key=lambda x: x[:4]) or sorted(got, key=str) == sorted(want, key=str)
+    path = workspace(spark, "warc")
+    warc.write_archives(df.limit(0), path)
+    assert warc.read_archives(spark, path).count() == 0
+
+
+# 4 Jaccard
+def words(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    return [w for w in __import__("re").split("[\x20\x09-\x0d]+", low) if w]
+
+
+def shingles(t, n):
+    w = words(t)
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def brute(docs_text, n, num, den):
+    sets = {d: shingles(t, n) for d, t in docs_text.items()}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    index = defaultdict(list)
+    for d in sorted(sets):
+        seen = Counter(e for s in sets[d] for e in index[s])
+        for e, i in seen.items():
+            if den * i >= num * (len(sets[d]) + len(sets[e]) - i):
+                a, b = sorted((find(d), find(e)))
+                root[b] = a
+        for s in sets[d]:
+            index[s].append(d)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_matches_brute_force(spark, docs, n, num, den):
+    rng = np.random.default_rng(3)
+    base = texts(docs)
+    grown = dict(base)
+    for d, t in list(base.items())[:120]:  # copies with few edits, at all sizes
+        w = t.split()[: int(rng.integers(1, 60))]
+        for k in range(5):
+            v = list(w)
+            for _ in range(int(rng.integers(0, 3))):
+                v[int(rng.integers(len(v)))] = f"w{rng.integers(3)}"
+            grown[100_000 + d * 10 + k] = " ".join(v)
+    df = spark.createDataFrame(list(grown.items()), "doc_id long, text string").repartition(7)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, n, num, den).collect()}
+    assert got == brute(grown, n, num, den)
+
+
+def test_jaccard_edges(odd, none):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd).collect()}
+    assert got == brute(texts(odd), 3, 90, 100)
+    assert jaccard.jaccard_components(none).count() == 0
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100)])
+def test_signatures_lose_no_pair(num, den):
+    rng = np.random.default_rng(5)
+    scheme = jaccard.Scheme(num, den)
+    edges, boundary = scheme.bands(), scheme.boundary
+    for _ in range(3000):
+        n = int(rng.integers(1, 400)) if rng.random() < 0.3 else int(rng.integers(1, 45))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        cut = int(rng.integers(0, max(1, n // 4) + 1))
+        new = rng.integers(0, 1 << 63, int(rng.integers(0, max(1, n // 4) + 1)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        x, y = np.unique(a), np.unique(np.concatenate([a[cut:], new]))
+        inter = len(np.intersect1d(x, y))
+        if len(y) and den * inter >= num * (len(x) + len(y) - inter):
+            assert len(np.intersect1d(jaccard.signatures(x, scheme, edges, boundary), jaccard.signatures(y, scheme, edges, boundary)))
+
+
+# 5 language
+def test_language(spark, odd, none):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict(docs.withColumn("held", langid.bucket() == 1), langid.fit(docs.filter(langid.bucket() != 1))).filter("held").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97 and all(0 <= r["score"] <= 1 for r in got)
+    rows = by_doc(langid.predict(odd, langid.fit(docs)))
+    assert all((rows[i]["lang_pred"] == "und") == (not langid.has_letter(t)) for i, t in enumerate(ODD))
+    empty = langid.predict(odd, langid.fit(none)).collect()
+    assert {r["lang_pred"] for r in empty} == {"und"}
+    assert langid.predict(none, langid.fit(docs)).count() == 0
+
+
+def test_presence_in_parts(monkeypatch):
+    text = "The quick Brown föx 12 — jumps " * 50
+    whole = langid.Presence()(text)
+    monkeypatch.setattr(langid, "PART", 64)
+    assert set(whole) <= set(langid.Presence()(text))
+
+
+# 6 and 7 tokenizers
+def test_token_counts(docs, odd, none):
+    path = bpe.default_path("byte_bpe_50k.json")
+    lib = bpe.library(path)
+    for df in (docs, odd):
+        got = by_doc(tokencount.count_tokens(df, path))
+        for d, t in texts(df).items():
+            n = len(lib.encode(t, add_special_tokens=False).ids)
+            assert (got[d]["n_tokens"], got[d]["n_bytes"], got[d]["over_limit"]) == (n, len(t.encode()), n > 1024), t[:50]
+    assert tokencount.count_tokens(none, path).count() == 0
+
+
+def test_bpe(docs, odd, none):
+    path = bpe.default_path("word_bpe_49k.json")
+    lib = bpe.library(path)
+    for df in (docs, odd):
+        got = by_doc(bpe.encode_table(df, path))
+        for d, t in texts(df).items():
+            ids = lib.encode(t, add_special_tokens=False).ids
+            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            assert (got[d]["n_tokens"], got[d]["ids_sha256"], got[d]["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))), t[:50]
+    assert bpe.encode_table(none, path).count() == 0
+
+
+# 8 licences
+def test_licenses(spark, none):
+    rows = [
+        (1, "a/b/LICENSE", "Released under the MIT License."), (2, "a/b/x.txt", "nothing here"), (3, "a/b/c/d/y.txt", None), (4, "a/z.txt", "text"), (5, "q/w.txt", ""), (6, "a/b/h.txt", "word " * 500 + "\nLicensed under the Apache License, Version 2.0.\nmore"),
+        (7, None, "x"), (8, "a/b/c/e.txt", "a licence of no kind with many other words in it"), (9, "LICENSE", "This work is licensed under the GNU General Public License, version 3."),
+    ]
+    got = {r["doc_id"]: (r["license"], r["via"], r["from_dir"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("clash"))).collect()}
+    assert got[1] == ("MIT", "header", None) and got[2] == ("MIT", "inherited", "a/b") and got[3] == ("MIT", "inherited", "a/b")
+    assert got[6][:2] == ("Apache-2.0", "header") and got[8] == ("MIT", "inherited", "a/b") and got[9][:2] == ("GPL-3.0", "header")
+    assert got[4] == ("GPL-3.0", "inherited", "") and got[5] == ("GPL-3.0", "inherited", "") and got[7] == ("GPL-3.0", "inherited", "")
+    assert licenses.scan_licenses(none.withColumn("path", F.lit("x"))).count() == 0
+
+
+# 9 quality
+def naive_features(t):
+    import re
+
+    w = re.findall("[^\x20\x09-\x0d]+", t)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    cover = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_features(docs, odd, none):
+    for df in (docs, odd):
+        got = by_doc(quality.with_features(df))
+        for d, t in texts(df).items():
+            r = got[d]
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == naive_features(t), t[:50]
+    assert quality.with_features(none).count() == 0
+
+
+def test_quality_cutoffs(spark, none):
+    from math import comb
+
+    tail = lambda n, k, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    cases = [(10, 0), (500, 1), (500, 4), (3000, 12), (100, 5)]
+    df = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality.binomial_tail(F.col("n"), F.col("k"), 0.01).alias("p"))
+    for r in df.collect():
+        assert r["p"] == pytest.approx(tail(r["n"], r["k"], 0.01), rel=1e-9) or (r["k"] >= 0.01 * r["n"] and r["p"] == 1)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.quality_filter(none, labels).columns == none.columns
+    good = " ".join(f"w{i}" for i in range(60))
+    some = spark.createDataFrame([(1, good, None, None, None, 1), (2, "too short", "en", None, None, 1)], DOCS)
+    assert [r["doc_id"] for r in quality.quality_filter(some, labels).collect()] == [1]
+
+
+# 10 fingerprints
+def test_fingerprints(spark, docs, odd, none):
+    for df in (docs, odd):
+        t = texts(df)
+        order = sorted(t)
+        nxt = {a: order[(i + 1) % len(order)] for i, a in enumerate(order)}
+        pairs = fingerprints.with_next(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<long>").alias("sketch")), rows_per_bucket=7)
+        got = {r["doc_id"]: r["next_text"] for r in pairs.collect()}
+        assert got == {d: t[nxt[d]] for d in t}
+    s = lambda x: fingerprints.sketch(F.lit(x))
+    a, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(100, 500))
+    r = spark.range(1).select(fingerprints.resemblance(s(a), s(b)).alias("j"), fingerprints.containment(s(a), s(b)).alias("c"), fingerprints.distinct_shingles(s(a)).alias("n"), (fingerprints.merge(s(a), s(b)) == s(a + " " + b)).alias("m"), fingerprints.resemblance(s(""), s(" ")).alias("e")).first()
+    assert abs(r["j"] - 296 / 496) < 0.15 and abs(r["c"] - 296 / 396) < 0.2 and abs(r["n"] - 396) < 120 and r["e"] == 1
+    assert fingerprints.with_next(none.select("doc_id", "text").withColumn("sketch", F.array().cast("array<long>"))).count() == 0
+
+
+def test_op10_edited_text(spark):
+    from ringsight.llm.queries import QUERIES
+
+    got = by_doc(QUERIES["op10_fingerprints"](spark, SF))
+    t = texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    order = sorted(t)
+    for i, d in enumerate(order):
+        x, y = t[d], t[order[(i + 1) % len(order)]]
+        k = len(x) // 4
+        assert got[d]["edited_sha256"] == hashlib.sha256((x[: len(x) - k] + y[:k]).encode()).hexdigest()
+
+
+# pipeline
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = docs
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, seen, SF)
+        assert out.columns == docs.columns
+        assert out.count() > 0.3 * seen.count()
+        seen = out
+    kept = texts(seen)
+    assert all(c[1] == d for d, c in brute(kept, 5, 80, 100).items())
+    check_packing(p.STAGES[-1][1](spark, seen, SF).collect(), kept, bpe.default_path("word_bpe_49k.json"))
