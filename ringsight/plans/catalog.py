@@ -1,4 +1,4 @@
-"""Query name -> (function, SQL)."""
+"""Query name -> function, and query name -> SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from ringsight.plans import aggregates, rowwise  # noqa: F401
+from ringsight.plans.base import ORACLES, QUERIES  # noqa: F401
