@@ -39,6 +39,8 @@ from ringsight.operators.graph import connected_components
 
 #: Relative cost of scanning a block list against storing one subset; growth of the bands; members of a list per copy of its least one.
 SCAN_COST, BAND_GROWTH, PER_COPY, SALTS = 8, 1.5, 48, 16
+#: Rows looked at for shared n-grams, texts among them that make one shared, most that are kept.
+SAMPLE, SHARED, HOT = 4000, 8, 1 << 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -107,13 +109,33 @@ class Scheme:
         return edges
 
 
-def signatures(s: np.ndarray, scheme: Scheme, edges: list[int], boundary: int) -> np.ndarray:
-    """Keys under which a set is listed; two sets that link share one at least."""
+def block_keys(s: np.ndarray, scheme: Scheme, first: int, last: int, tag: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(key of each block, whether it is strong, blocks that agree at least) of s in the band of sizes first..last."""
+    p = scheme.block_count(last)
+    cell = (((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(cell, minlength=p)
+    starts = np.cumsum(count) - count
+    sums = np.zeros(p, np.uint64)
+    full = count > 0
+    if full.any():
+        sums[full] = np.add.reduceat(mix(s + M1), starts[full])
+    place = np.uint64((tag << 50) + (first << 20)) + np.arange(p, dtype=np.uint64)
+    return mix(mix(sums + M2) * M1 + mix(place)), count >= scheme.few, p - scheme.differences(last)
+
+
+def signatures(s: np.ndarray, scheme: Scheme, edges: list[int], boundary: int, hot: np.ndarray | None = None) -> np.ndarray:
+    """Keys under which a set is listed; two sets that link share one at least.
+
+    Any fixed set of ``hot`` n-grams may be left out of the blocks: without them
+    two sets differ no more than with them. If as many blocks are weak as need
+    agree, the agreeing ones may all be weak, in both sets alike, and then both are
+    listed by the blocks of their whole sets too, the weak ones last of all.
+    """
     n, out = len(s), []
     if not n:
         return np.zeros(0, np.uint64)
-    m = mix(s + M1)
     if n <= boundary:
+        m = mix(s + M1)
         total, least = m.sum(dtype=np.uint64), scheme.overlap(n)
         left = np.array([total], np.uint64)
         at = np.array([-1])
@@ -128,23 +150,30 @@ def signatures(s: np.ndarray, scheme: Scheme, edges: list[int], boundary: int) -
         own = [band]
         if n > boundary and band and scheme.overlap(n) < edges[band]:
             own.append(band - 1)
+        cold = s if hot is None or not len(hot) else s[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s]
         for b in own:
-            p = scheme.block_count(edges[b + 1] - 1)
-            need = p - scheme.differences(edges[b + 1] - 1)  # blocks that agree at least
-            cell = ((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
-            count = np.bincount(cell.astype(np.int64), minlength=p)
-            starts = np.cumsum(count) - count
-            sums = np.zeros(p, np.uint64)
-            full = count > 0
-            sums[full] = np.add.reduceat(m, starts[full])
-            strong = count >= scheme.few
-            if p - strong.sum() >= need:
-                strong = np.ones(p, bool)
-            tag = np.uint64((b + 1) << 40) + np.arange(p, dtype=np.uint64)
-            out.append(mix(mix(sums + M2) * M1 + mix(tag))[strong])
+            keys, strong, need = block_keys(cold, scheme, edges[b], edges[b + 1] - 1, 1)
+            out.append(keys[strong])
+            if len(strong) - strong.sum() >= need:
+                keys, strong, need = block_keys(s, scheme, edges[b], edges[b + 1] - 1, 2)
+                out.append(keys if len(strong) - strong.sum() >= need else keys[strong])
     return np.concatenate(out)
 
 
+def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of n-grams that many texts share, at most HOT of them.
+
+    They come from the rows whose hash of doc_id is least, about SAMPLE of them.
+    What is in the list never changes a result (see ``signatures``), only how long
+    the block lists are.
+    """
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    grams = set_contents(some, n).select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    rows = grams.filter(F.col("c") >= SHARED).orderBy(F.desc("c"), "h").limit(HOT).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
 def parity(s: np.ndarray, words: int) -> np.ndarray:
     """Bits that tell whether an odd number of hashes fall on each place: sets differ by at least the bits that differ."""
     bits = (np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
@@ -152,21 +181,22 @@ def parity(s: np.ndarray, words: int) -> np.ndarray:
 
 
 def parity_words(n: int) -> int:
-    """A power of two, about two bits for each n-gram, at most 512 words."""
-    return min(512, 1 << max(0, (2 * n - 1) // 64).bit_length())
+    """A power of two, one to two bits for each n-gram, at most 512 words."""
+    return min(512, 1 << max(0, (n - 1) // 64).bit_length())
 
 
-def set_table(docs: DataFrame, n: int, scheme: Scheme) -> DataFrame:
+def set_table(docs: DataFrame, n: int, scheme: Scheme, hot: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, key (equal for equal sets), sigs, bits of docs (doc_id, text)."""
+    held = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        edges, boundary = scheme.bands(), scheme.boundary
+        edges, boundary, shared = scheme.bands(), scheme.boundary, held.value
         for batch in batches:
             for part in blocks(batch):
                 sets = [shingle_set(t, n) for t in part.column("text").to_pylist()]
-                sigs = [signatures(s, scheme, edges, boundary).view(np.int64) for s in sets]
+                sigs = [signatures(s, scheme, edges, boundary, shared).view(np.int64) for s in sets]
                 bits = [parity(s, parity_words(len(s))) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -205,22 +235,36 @@ def classes(sets: DataFrame) -> DataFrame:
     return left.join(spread.hint("merge"), ["key", "salt"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """a, b, linked, distance of ``pairs`` (a, b, crowd): b may occur in very many pairs, at most ``crowd`` of which meet it through one list.
+def meet(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, crowd) with va and vb, the values (doc_id, v) of both ends.
 
-    The set of b is copied once for every PER_COPY of its pairs, which are dealt over the copies.
+    b may occur in very many pairs, at most ``crowd`` of which meet it through one
+    list: its value is copied once for every PER_COPY of them, and the pairs are
+    dealt over the copies.
     """
     copies = F.ceil(F.col("crowd") / PER_COPY).cast("int")
     hubs = pairs.groupBy("b").agg(F.max("crowd").alias("crowd"))
-    hubs = hubs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")).hint("merge"), "b").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("crowd")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")).hint("merge"), "a").withColumn("copy", F.pmod(F.xxhash64("a"), copies).cast("int"))
-    both = left.join(hubs.hint("merge"), ["b", "copy"])
-    inter = F.size(F.array_intersect("sa", "sb")).cast("long")
-    done = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
+    hubs = hubs.join(values.select(F.col("doc_id").alias("b"), F.col("v").alias("vb")).hint("merge"), "b").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("crowd")
+    left = pairs.join(values.select(F.col("doc_id").alias("a"), F.col("v").alias("va")).hint("merge"), "a").withColumn("copy", F.pmod(F.xxhash64("a"), copies).cast("int"))
+    return left.join(hubs.hint("merge"), ["b", "copy"]).drop("copy")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b, linked, distance of ``pairs`` (a, b, crowd)."""
+    both = meet(pairs, sets.select("doc_id", F.col("s").alias("v")))
+    done = both.select("a", "b", F.size(F.array_intersect("va", "vb")).cast("long").alias("i"), (F.size("va") + F.size("vb")).cast("long").alias("t"))
     union = F.col("t") - F.col("i")
     return done.select("a", "b", (scheme.den * F.col("i") >= scheme.num * union).alias("linked"), (1 - F.col("i") / union).alias("distance"))
 
 
+def may_link(na: Column, ba: Column, nb: Column, bb: Column, scheme: Scheme) -> Column:
+    """False only where sizes or parities show that two sets cannot link."""
+    words = F.least(F.size(ba), F.size(bb))
+    most = (na + nb) * float(scheme.den - scheme.num) / float(scheme.den + scheme.num) + 1e-6
+    sizes = (na * scheme.den >= nb * scheme.num) & (nb * scheme.den >= na * scheme.num)
+    return sizes & (hamming(folded(ba, words), folded(bb, words)) <= most)
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -239,7 +283,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     document. An empty table gives an empty result.
     """
     scheme = Scheme(num, den)
-    table = staged(set_table(docs, n, scheme), "sets")
+    docs = docs.select("doc_id", "text")
+    table = staged(set_table(docs, n, scheme, frequent_shingles(docs, n)), "sets")
     members = staged(classes(table.select("doc_id", "n_shingles", "key")), "classes")
     copies = members.filter("doc_id <> rep").select("doc_id").distinct()
     alone = by_ids(table.filter("n_shingles > 0"), copies, "doc_id", "left_anti").select("doc_id", F.explode("sigs").alias("sig"))
@@ -247,7 +292,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     lists = alone.select("sig", "doc_id", F.min("doc_id").over(w).alias("hub"), F.count(F.lit(1)).over(w).alias("crowd")).filter("crowd > 1")
     lists = staged(lists, "lists")
     stars = lists.filter("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.max("crowd").alias("crowd"))
-    stars = staged(stars, "stars")
+    shapes = by_ids(table.select("doc_id", F.struct("n_shingles", "bits").alias("v")), lists.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = meet(stars, shapes).filter(may_link(F.col("va.n_shingles"), F.col("va.bits"), F.col("vb.n_shingles"), F.col("vb.bits"), scheme))
+    stars = staged(near.select("a", "b", "crowd"), "stars")
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
     sets = staged(by_ids(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi").transform(lambda d: set_contents(d, n)), "contents")
     first = staged(verified(stars, sets, scheme), "verified")
@@ -268,7 +315,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFrame, scheme: Scheme) -> DataFrame:
     """Pairs (a, b, crowd) that no comparison with a least member has settled and that may still link."""
     near = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "distance")
-    rows = lists.join(near.hint("merge"), ["doc_id", "hub"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    rows = lists.join(near.hint("merge"), ["doc_id", "hub"], "left")
     named = comp.select(F.col("node").alias("doc_id"), "component")
     rows = rows.join(named.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     w = Window.partitionBy("sig")
@@ -280,12 +327,9 @@ def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFr
     a = full.select("sig", F.col("doc_id").alias("a"), F.col("distance").alias("da"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"), "crowd")
     b = full.select("sig", F.col("doc_id").alias("b"), F.col("distance").alias("db"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
     far = (scheme.den - scheme.num) / scheme.den + 1e-9
-    words = F.least(F.size("ba"), F.size("bb"))
-    most = (F.col("na") + F.col("nb")) * float(scheme.den - scheme.num) / float(scheme.den + scheme.num) + 1e-6
     may = (
-        (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far)
-        & (F.col("na") * scheme.den >= F.col("nb") * scheme.num) & (F.col("nb") * scheme.den >= F.col("na") * scheme.num)
-        & (hamming(folded(F.col("ba"), words), folded(F.col("bb"), words)) <= most)
+        (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= far, F.lit(True))
+        & may_link(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"), scheme)
     )
     pairs = a.hint("merge").join(b, (a["sig"] == b["sig"]) & may)
     return pairs.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))

@@ -193,7 +193,8 @@ def test_signatures_lose_no_pair(num, den):
         x, y = np.unique(a), np.unique(np.concatenate([a[cut:], new]))
         inter = len(np.intersect1d(x, y))
         if len(y) and den * inter >= num * (len(x) + len(y) - inter):
-            assert len(np.intersect1d(jaccard.signatures(x, scheme, edges, boundary), jaccard.signatures(y, scheme, edges, boundary)))
+            for hot in (None, np.sort(rng.choice(x, int(rng.integers(1, len(x) + 1)), replace=False))):
+                assert len(np.intersect1d(jaccard.signatures(x, scheme, edges, boundary, hot), jaccard.signatures(y, scheme, edges, boundary, hot)))
 
 
 # 5 language
