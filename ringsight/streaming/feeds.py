@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ringsight.functions import keys as K
+from ringsight.operators import features as X
+from ringsight.operators import privacy as P
 from ringsight.operators import rings as R
+from ringsight.session import staged
+from ringsight.sources.files import latest
 
-LATE, WEEK = "1 hour", 604800
+LATE, WEEK, DAY, HOUR = "1 hour", 604800, 86400, 3600
 
 
 def transaction_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
@@ -48,8 +53,11 @@ def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.
     spark = feed.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        kept = spark.read.schema(batch.schema).parquet(f"{store}/batch=*").dropDuplicates(["txn_id"])
+        held = batch.withColumns({"batch": F.lit(number).cast("long"), "stored_day": F.floor(F.col("t") / DAY).cast("long")})
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "stored_day").parquet(store)
+        rows = spark.read.schema(held.schema).parquet(store)
+        last = rows.agg(F.max("stored_day")).first()[0]
+        kept = rows.filter(F.col("stored_day") >= (last or 0) - WEEK // DAY).dropDuplicates(["txn_id"])
         top = kept.agg(F.max("t").alias("m"))
         recent = kept.crossJoin(F.broadcast(top)).filter(F.col("t") >= F.col("m") - WEEK).drop("m")
         new = R.flagged(R.in_window(R.ring_agg(R.ring_rows(recent))), threshold).select("kind", "key", "day", "members", "score_mean")
@@ -59,3 +67,59 @@ def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.
         new.write.mode("append").parquet(path)
 
     feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_velocity(feed: DataFrame, path: str, checkpoint: str) -> None:
+    """Peers of the hour before each row; a batch reads no more of the store than its own hours and the one before.
+
+    Rows are stored by hour. A row that comes after its hour's later rows were
+    answered changes none of those answers.
+    """
+    store, spark = f"{checkpoint}-rows", feed.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = batch.dropDuplicates(["txn_id"]).withColumns({"hour": F.floor(F.col("t") / HOUR).cast("long"), "batch": F.lit(number).cast("long")})
+        held.write.mode("overwrite").partitionBy("batch", "hour").option("partitionOverwriteMode", "dynamic").parquet(store)
+        rows = spark.read.schema(held.schema).parquet(store)
+        span = rows.filter(F.col("batch") == number).agg(F.min("hour"), F.max("hour")).first()
+        if span[0] is None:
+            return
+        near = rows.filter((F.col("hour") >= span[0] - 1) & (F.col("hour") <= span[1]) & (F.col("batch") <= number))
+        seen = near.groupBy("txn_id").agg(F.min("batch").alias("batch"))
+        own = X.hour_peers(near.join(seen.hint("merge"), ["txn_id", "batch"], "left_semi")).filter(F.col("batch") == number)
+        own.select("txn_id", "accounts", "merchants", "cards").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_disputes(feed: DataFrame, transactions: DataFrame, path: str, checkpoint: str) -> None:
+    """Disputes (dispute_id, txn_id, dt, amount_minor, status) joined to stored transactions; those of unknown transactions are left out.
+
+    Amounts are in major units, or the transaction's where the dispute has none.
+    ``latest_disputes`` gives the last status of each.
+    """
+    known = transactions.select("txn_id", F.col("amount").alias("_amount"), "score")
+    j = feed.join(known.hint("shuffle_hash"), "txn_id")
+    out = j.select("dispute_id", "txn_id", "dt", F.round(F.coalesce(F.col("amount_minor") / 100, "_amount"), 2).alias("amount"), (F.col("score") >= 0.5).alias("was_flagged"), "status")
+    run_available(out, path, checkpoint)
+
+
+def latest_disputes(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return latest(rows, "dispute_id", ["dt", "status"]).select("dispute_id", "txn_id", "amount", "was_flagged", "status")
+
+
+def run_fed_detect(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.3) -> None:
+    """Rings over merchants' committed histograms of all rows so far; ``path`` holds the result after each batch.
+
+    Only histograms are kept between batches: a batch adds its own to those before.
+    """
+    store, spark = f"{checkpoint}-hist", feed.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        P.merchant_hist(R.ring_rows(batch).withColumn("merchant", K.merchant())).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        held = spark.read.parquet(store).filter(F.col("batch") <= number)
+        hist = staged(held.groupBy("merchant", "kind", "fp").agg(*[F.sum(b).alias(b) for b in P.B]), "hist")
+        P.fed_rings(hist, P.commitments(hist), threshold).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
