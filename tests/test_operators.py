@@ -51,7 +51,10 @@ def test_streams_equal_batch(spark, tmp_path):
 
     x = txn(spark, "/root/testdata/sf0.001")
     twice = x.unionByName(x.filter("txn_id % 10 = 0"))
-    twice.repartitionByRange(4, "t").write.parquet(str(tmp_path / "in"))
+    cuts = [None, *x.approxQuantile("t", [0.25, 0.5, 0.75], 0), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):  # one after another: a feed comes in time order, files of one write come in any
+        part = twice.filter((F.col("t") > low) if low is not None else F.lit(True)).filter((F.col("t") <= high) if high is not None else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     feed = feeds.transaction_feed(spark, str(tmp_path / "in"), x.schema)
     feeds.run_available(feeds.deduplicated(feed), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == x.count()
