@@ -41,6 +41,8 @@ from ringsight.operators.graph import connected_components
 SCAN_COST, BAND_GROWTH, PER_COPY, SALTS = 8, 1.5, 48, 16
 #: Rows looked at for shared n-grams, texts among them that make one shared, most that are kept.
 SAMPLE, SHARED, HOT = 4000, 8, 1 << 16
+#: Parity words compared before whole parities are.
+FIRST = 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -262,7 +264,14 @@ def may_link(na: Column, ba: Column, nb: Column, bb: Column, scheme: Scheme) ->
     words = F.least(F.size(ba), F.size(bb))
     most = (na + nb) * float(scheme.den - scheme.num) / float(scheme.den + scheme.num) + 1e-6
     sizes = (na * scheme.den >= nb * scheme.num) & (nb * scheme.den >= na * scheme.num)
-    return sizes & (hamming(folded(ba, words), folded(bb, words)) <= most)
+    return sizes & (first_words(ba, bb) <= most) & (hamming(folded(ba, words), folded(bb, words)) <= most)
+
+
+def first_words(a: Column, b: Column) -> Column:
+    """At most the differing bits: those of the first FIRST words, written out for generated code; 0 for arrays of unequal length."""
+    word = lambda x, i: F.coalesce(F.get(x, F.lit(i)), F.lit(0).cast("long"))
+    bits = [F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(FIRST)]
+    return F.when(F.size(a) == F.size(b), sum(bits[1:], bits[0])).otherwise(0)
 
 
 def hamming(a: Column, b: Column) -> Column:
