@@ -187,29 +187,39 @@ def parity_words(n: int) -> int:
     return min(512, 1 << max(0, (n - 1) // 64).bit_length())
 
 
-def set_table(docs: DataFrame, n: int, scheme: Scheme, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, key (equal for equal sets), sigs, bits of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT hashes
+def set_table(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, key (equal for equal sets), bits of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        edges, boundary, shared = scheme.bands(), scheme.boundary, held.value
         for batch in batches:
             for part in blocks(batch):
                 sets = [shingle_set(t, n) for t in part.column("text").to_pylist()]
-                sigs = [signatures(s, scheme, edges, boundary, shared).view(np.int64) for s in sets]
                 bits = [parity(s, parity_words(len(s))) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()),
-                        _lists(sigs), _lists(bits),
+                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), _lists(bits),
                     ],
-                    names=["doc_id", "n_shingles", "key", "sigs", "bits"],
+                    names=["doc_id", "n_shingles", "key", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key string, sigs array<long>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key string, bits array<long>")
+
+
+def signature_rows(docs: DataFrame, n: int, scheme: Scheme, hot: np.ndarray) -> DataFrame:
+    """doc_id, sig of docs (doc_id, text). They go straight into the shuffle that groups them: stored, they would take more room than the texts."""
+    held = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT hashes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, boundary, shared = scheme.bands(), scheme.boundary, held.value
+        for batch in batches:
+            for part in blocks(batch):
+                sigs = [signatures(shingle_set(t, n), scheme, edges, boundary, shared).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _lists(sigs)], names=["doc_id", "sigs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sigs array<long>").select("doc_id", F.explode("sigs").alias("sig"))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -293,10 +303,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     scheme = Scheme(num, den)
     docs = docs.select("doc_id", "text")
-    table = staged(set_table(docs, n, scheme, frequent_shingles(docs, n)), "sets")
+    table = staged(set_table(docs, n), "sets")
     members = staged(classes(table.select("doc_id", "n_shingles", "key")), "classes")
     copies = members.filter("doc_id <> rep").select("doc_id").distinct()
-    alone = by_ids(table.filter("n_shingles > 0"), copies, "doc_id", "left_anti").select("doc_id", F.explode("sigs").alias("sig"))
+    alone = signature_rows(by_ids(docs, copies, "doc_id", "left_anti"), n, scheme, frequent_shingles(docs, n))
     w = Window.partitionBy("sig")
     lists = alone.select("sig", "doc_id", F.min("doc_id").over(w).alias("hub"), F.count(F.lit(1)).over(w).alias("crowd")).filter("crowd > 1")
     lists = staged(lists, "lists")
@@ -333,15 +343,16 @@ def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFr
     open_rows = staged(mixed.select("sig", "doc_id", "hub", "distance", "component", "crowd"), "open")
     some = by_ids(shape, open_rows.select("doc_id").distinct(), "doc_id", "left_semi")
     full = open_rows.join(some.hint("merge"), "doc_id")
-    a = full.select("sig", F.col("doc_id").alias("a"), F.col("distance").alias("da"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"), "crowd")
-    b = full.select("sig", F.col("doc_id").alias("b"), F.col("distance").alias("db"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
+    # both sides have the same columns, so that one shuffle serves them
+    names = ("distance", "component", "n_shingles", "bits", "crowd")
+    a, b = (full.select("sig", F.col("doc_id").alias(x), *[F.col(c).alias(p + x) for c, p in zip(names, "dcnbw", strict=True)]) for x in "ab")
     far = (scheme.den - scheme.num) / scheme.den + 1e-9
     may = (
         (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= far, F.lit(True))
         & may_link(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"), scheme)
     )
     pairs = a.hint("merge").join(b, (a["sig"] == b["sig"]) & may)
-    return pairs.groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
+    return pairs.groupBy("a", "b").agg(F.max(F.greatest("wa", "wb")).alias("crowd"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
