@@ -6,24 +6,24 @@ least num / den of their union.
 
 Small sets (up to a boundary) enumerate their subsets of the fixed sizes that an
 overlap can have: two small sets that link have a common subset of the size of
-their overlap, and both list it. Large sets are found through inverted lists. The
-lists are kept for blocks of the hash range and not for single n-grams: linked sets
-differ in at most k n-grams, so of more than k blocks some hold the same n-grams in
-both, whatever passage a third of all documents shares. Sizes fall into bands with
-a block count each; a set is listed in its own band and, if a smaller partner can
-lie there, in the band below. Blocks with few n-grams are listed only by a set that
-has so many of them that no other block need agree. The boundary is where listing
-subsets begins to cost more than keeping and scanning the block lists.
-
-A list yields no pairs of all its members. Every member is compared with the list's
-least one; linked ones are joined by connected components. Of what remains only
-pairs of different components are compared whose sizes, hash parities and distances
-to the least member (Jaccard distance is a metric) still allow a link.
+their overlap, and both list it. Large sets are found through inverted lists of
+single n-grams. A set is listed under its first n-grams in the order of hashes:
+as many as may differ from any partner, and as many again. So two sets that link
+are together in at least that second number of lists, and each may leave all but
+one of these, its longest lists: a passage that very many documents share brings
+none of them together, and a set with too few n-grams in common with any others
+is in no list at all. The boundary is where listing subsets begins to cost more
+than keeping and scanning the inverted lists.
+
+A list yields no pairs of all its members, and of lists with equal members one is
+kept. Every member is compared with the list's least one; linked ones are joined by
+connected components. Of what remains only pairs of different components are
+compared whose sizes, hash parities and distances to the least member (Jaccard
+distance is a metric) still allow a link.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
@@ -37,10 +37,8 @@ from ringsight.llm.bpe import blocks
 from ringsight.llm.common import by_ids, read, staged
 from ringsight.operators.graph import connected_components
 
-#: Relative cost of scanning a block list against storing one subset; growth of the bands; members of a list per copy of its least one.
-SCAN_COST, BAND_GROWTH, PER_COPY, SALTS = 8, 1.5, 48, 16
-#: Rows looked at for shared n-grams, texts among them that make one shared, most that are kept.
-SAMPLE, SHARED, HOT = 4000, 8, 1 << 16
+#: Relative cost of scanning an inverted list against storing one subset; members of a list per copy of its least one.
+SCAN_COST, PER_COPY, SALTS = 8, 48, 16
 #: Parity words compared before whole parities are.
 FIRST = 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -79,101 +77,56 @@ class Scheme:
         """Least overlap with any partner: a smaller partner has at least this size."""
         return -(-self.num * size // self.den)
 
-    def differences(self, size: int) -> int:
-        """Most differing n-grams of a set of ``size`` and a larger partner."""
-        return size * (self.den - self.num) // self.num
-
     def subsets(self, size: int) -> int:
         return sum(comb(size, j) for j in range(size - self.overlap(size) + 1))
 
-    @property
-    def few(self) -> int:
-        """n-grams below which a block counts as weak: fewer, as blocks get smaller, at lower thresholds."""
-        return 3 if self.num * 8 >= self.den * 7 else 2
+    def spare(self, size: int) -> int:
+        """n-grams listed beyond those that may differ, as many as these; it never falls with size."""
+        return max(1, size - self.overlap(size))
+
+    def listed(self, size: int) -> int:
+        """Of its first n-grams, by hash, those under which a set is listed.
 
-    def block_count(self, largest: int) -> int:
-        k = self.differences(largest)
-        return k + 2 + int(k * (0.04 if self.few == 3 else 0.12))
+        At most size - overlap(size) of them are missing from a partner, so that two
+        sets share as many lists as the smaller one's ``spare`` at least.
+        """
+        return size - self.overlap(size) + self.spare(size)
+
+    def need(self, size: int) -> int:
+        """Lists that a set shares with any partner, the least partner's ``spare``."""
+        return self.spare(self.overlap(size))
 
     @property
     def boundary(self) -> int:
         """Largest size whose sets enumerate subsets."""
         size = 1
-        while self.subsets(size + 1) <= SCAN_COST * (1 + self.block_count(size + 1)) and size < 64:
+        while self.subsets(size + 1) <= SCAN_COST * (1 + self.listed(size + 1)) and size < 64:
             size += 1
         return size
 
-    def bands(self, upto: int = 1 << 40) -> list[int]:
-        """Least size of each band; the first begins with the smallest partner of a large set."""
-        edges = [self.overlap(self.boundary + 1)]
-        while edges[-1] <= upto:
-            edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_GROWTH)))
-        return edges
-
-
-def block_keys(s: np.ndarray, scheme: Scheme, first: int, last: int, tag: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(key of each block, whether it is strong, blocks that agree at least) of s in the band of sizes first..last."""
-    p = scheme.block_count(last)
-    cell = (((s >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)).astype(np.int64)
-    count = np.bincount(cell, minlength=p)
-    starts = np.cumsum(count) - count
-    sums = np.zeros(p, np.uint64)
-    full = count > 0
-    if full.any():
-        sums[full] = np.add.reduceat(mix(s + M1), starts[full])
-    place = np.uint64((tag << 50) + (first << 20)) + np.arange(p, dtype=np.uint64)
-    return mix(mix(sums + M2) * M1 + mix(place)), count >= scheme.few, p - scheme.differences(last)
-
-
-def signatures(s: np.ndarray, scheme: Scheme, edges: list[int], boundary: int, hot: np.ndarray | None = None) -> np.ndarray:
-    """Keys under which a set is listed; two sets that link share one at least.
-
-    Any fixed set of ``hot`` n-grams may be left out of the blocks: without them
-    two sets differ no more than with them. If as many blocks are weak as need
-    agree, the agreeing ones may all be weak, in both sets alike, and then both are
-    listed by the blocks of their whole sets too, the weak ones last of all.
-    """
-    n, out = len(s), []
-    if not n:
-        return np.zeros(0, np.uint64)
-    if n <= boundary:
-        m = mix(s + M1)
-        total, least = m.sum(dtype=np.uint64), scheme.overlap(n)
-        left = np.array([total], np.uint64)
-        at = np.array([-1])
-        out.append(mix(left * M1 + np.uint64(n)))
-        for j in range(1, n - least + 1):  # subsets with j n-grams left out, each once
-            last = [np.arange(a + 1, n) for a in at]
-            left = np.concatenate([x - m[k] for x, k in zip(left, last, strict=True)])
-            at = np.concatenate(last)
-            out.append(mix(left * M1 + np.uint64(n - j)))
-    if n >= edges[0]:
-        band = bisect_right(edges, n) - 1
-        own = [band]
-        if n > boundary and band and scheme.overlap(n) < edges[band]:
-            own.append(band - 1)
-        cold = s if hot is None or not len(hot) else s[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] != s]
-        for b in own:
-            keys, strong, need = block_keys(cold, scheme, edges[b], edges[b + 1] - 1, 1)
-            out.append(keys[strong])
-            if len(strong) - strong.sum() >= need:
-                keys, strong, need = block_keys(s, scheme, edges[b], edges[b + 1] - 1, 2)
-                out.append(keys if len(strong) - strong.sum() >= need else keys[strong])
+
+def subset_keys(s: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """A key for every subset of s that may be all of an overlap."""
+    n, m = len(s), mix(s + M1)
+    left, at = np.array([m.sum(dtype=np.uint64)]), np.array([-1])
+    out = [mix(left * M1 + np.uint64(n))]
+    for j in range(1, n - scheme.overlap(n) + 1):  # subsets with j n-grams left out, each once
+        last = [np.arange(a + 1, n) for a in at]
+        left = np.concatenate([x - m[k] for x, k in zip(left, last, strict=True)])
+        at = np.concatenate(last)
+        out.append(mix(left * M1 + np.uint64(n - j)))
     return np.concatenate(out)
 
 
-def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of n-grams that many texts share, at most HOT of them.
+def signatures(s: np.ndarray, scheme: Scheme, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of subsets, n-grams) under which a set is listed.
 
-    They come from the rows whose hash of doc_id is least, about SAMPLE of them.
-    What is in the list never changes a result (see ``signatures``), only how long
-    the block lists are.
+    Two small sets that link share a key; if one is large, they share ``need``
+    n-grams of either one at least.
     """
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    grams = set_contents(some, n).select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    rows = grams.filter(F.col("c") >= SHARED).orderBy(F.desc("c"), "h").limit(HOT).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+    n, none = len(s), np.zeros(0, np.uint64)
+    small = subset_keys(s, scheme) if 0 < n <= boundary else none
+    return small, s[: scheme.listed(n)] if n >= scheme.overlap(boundary + 1) else none
 
 
 def parity(s: np.ndarray, words: int) -> np.ndarray:
@@ -187,39 +140,48 @@ def parity_words(n: int) -> int:
     return min(512, 1 << max(0, (n - 1) // 64).bit_length())
 
 
-def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, key (equal for equal sets), bits of docs (doc_id, text)."""
+def set_table(docs: DataFrame, n: int, scheme: Scheme) -> DataFrame:
+    """doc_id, n_shingles, key (equal for equal sets), bits, subsets, grams (what it is listed under), need of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        boundary = scheme.boundary
         for batch in batches:
             for part in blocks(batch):
                 sets = [shingle_set(t, n) for t in part.column("text").to_pylist()]
                 bits = [parity(s, parity_words(len(s))) for s in sets]
+                small, grams = zip(*[signatures(s, scheme, boundary) for s in sets], strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), _lists(bits),
+                        _lists([x.view(np.int64) for x in small]), _lists([x.view(np.int64) for x in grams]), pa.array([scheme.need(len(s)) for s in sets], pa.int32()),
                     ],
-                    names=["doc_id", "n_shingles", "key", "bits"],
+                    names=["doc_id", "n_shingles", "key", "bits", "subsets", "grams", "need"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key string, bits array<long>")
-
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key string, bits array<long>, subsets array<long>, grams array<long>, need int")
 
-def signature_rows(docs: DataFrame, n: int, scheme: Scheme, hot: np.ndarray) -> DataFrame:
-    """doc_id, sig of docs (doc_id, text). They go straight into the shuffle that groups them: stored, they would take more room than the texts."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)  # at most HOT hashes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, boundary, shared = scheme.bands(), scheme.boundary, held.value
-        for batch in batches:
-            for part in blocks(batch):
-                sigs = [signatures(shingle_set(t, n), scheme, edges, boundary, shared).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), _lists(sigs)], names=["doc_id", "sigs"])
+def inverted_lists(table: DataFrame) -> DataFrame:
+    """sig, doc_id, hub (the list's least doc_id), crowd (its length) of table (doc_id, subsets, grams, need).
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sigs array<long>").select("doc_id", F.explode("sigs").alias("sig"))
+    Lengths are counted before rows meet them, so a list that a third of all sets
+    share is one row of counts a task, and its rows may be split.
+    """
+    small = table.select("doc_id", F.lit(1).alias("need"), F.lit(True).alias("whole"), F.explode("subsets").alias("sig"))
+    rows = small.union(table.select("doc_id", "need", F.lit(False), F.explode("grams")))
+    seen = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1")
+    longest = Window.partitionBy("doc_id", "whole").orderBy(F.desc("crowd"), F.desc("sig"))
+    kept = rows.join(seen.hint("merge"), "sig").withColumn("place", F.row_number().over(longest)).filter("place >= need")
+    kept = staged(kept.select("sig", "doc_id"), "kept")
+    x = F.xxhash64("doc_id")
+    same = ["hub", "crowd", "low", "high"]
+    members = [F.min("doc_id"), F.count(F.lit(1)), F.sum(x.bitwiseAND(F.lit(0x7FFFFFFF))), F.sum(F.shiftrightunsigned(x, 33))]
+    lists = kept.groupBy("sig").agg(*[m.alias(c) for m, c in zip(members, same, strict=True)]).filter("crowd > 1")
+    one = lists.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", "hub", "crowd")
+    return staged(kept.join(one.hint("merge"), "sig"), "lists")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -303,13 +265,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     scheme = Scheme(num, den)
     docs = docs.select("doc_id", "text")
-    table = staged(set_table(docs, n), "sets")
+    table = staged(set_table(docs, n, scheme), "sets")
     members = staged(classes(table.select("doc_id", "n_shingles", "key")), "classes")
     copies = members.filter("doc_id <> rep").select("doc_id").distinct()
-    alone = signature_rows(by_ids(docs, copies, "doc_id", "left_anti"), n, scheme, frequent_shingles(docs, n))
-    w = Window.partitionBy("sig")
-    lists = alone.select("sig", "doc_id", F.min("doc_id").over(w).alias("hub"), F.count(F.lit(1)).over(w).alias("crowd")).filter("crowd > 1")
-    lists = staged(lists, "lists")
+    lists = inverted_lists(by_ids(table.select("doc_id", "subsets", "grams", "need"), copies, "doc_id", "left_anti"))
     stars = lists.filter("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.max("crowd").alias("crowd"))
     shapes = by_ids(table.select("doc_id", F.struct("n_shingles", "bits").alias("v")), lists.select("doc_id").distinct(), "doc_id", "left_semi")
     near = meet(stars, shapes).filter(may_link(F.col("va.n_shingles"), F.col("va.bits"), F.col("vb.n_shingles"), F.col("vb.bits"), scheme))
@@ -336,11 +295,10 @@ def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFr
     near = first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), "distance")
     rows = lists.join(near.hint("merge"), ["doc_id", "hub"], "left")
     named = comp.select(F.col("node").alias("doc_id"), "component")
-    rows = rows.join(named.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    w = Window.partitionBy("sig")
-    mixed = rows.select("*", F.min("component").over(w).alias("lo"), F.max("component").over(w).alias("hi")).filter("lo < hi and doc_id <> hub")
+    rows = staged(rows.join(named.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "rows")
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
     shape = table.select("doc_id", "n_shingles", "bits")
-    open_rows = staged(mixed.select("sig", "doc_id", "hub", "distance", "component", "crowd"), "open")
+    open_rows = staged(rows.filter("doc_id <> hub").join(mixed.hint("merge"), "sig", "left_semi"), "open")
     some = by_ids(shape, open_rows.select("doc_id").distinct(), "doc_id", "left_semi")
     full = open_rows.join(some.hint("merge"), "doc_id")
     # both sides have the same columns, so that one shuffle serves them
