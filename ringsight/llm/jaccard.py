@@ -201,6 +201,12 @@ def set_contents(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
 
 
+def contents(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The sets of all documents in ``pairs`` (a, b)."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return staged(set_contents(by_ids(docs, wanted, "doc_id", "left_semi"), n), "contents")
+
+
 def classes(sets: DataFrame) -> DataFrame:
     """doc_id, n_shingles, rep: the least doc_id with an equal set; itself where the set is empty. Hot keys are salted."""
     same = sets.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -273,13 +279,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     shapes = by_ids(table.select("doc_id", F.struct("n_shingles", "bits").alias("v")), lists.select("doc_id").distinct(), "doc_id", "left_semi")
     near = meet(stars, shapes).filter(may_link(F.col("va.n_shingles"), F.col("va.bits"), F.col("vb.n_shingles"), F.col("vb.bits"), scheme))
     stars = staged(near.select("a", "b", "crowd"), "stars")
-    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(by_ids(docs.select("doc_id", "text"), wanted, "doc_id", "left_semi").transform(lambda d: set_contents(d, n)), "contents")
-    first = staged(verified(stars, sets, scheme), "verified")
+    first = staged(verified(stars, contents(docs, stars, n), scheme), "verified")
     links = first.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     comp = staged(connected_components(links), "components")
     more = staged(remaining(lists, first, comp, table, scheme), "remaining")
-    second = staged(verified(more, sets, scheme), "verified")
+    second = staged(verified(more, contents(docs, more, n), scheme), "verified")
     links = links.unionByName(second.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     if not second.filter("linked").isEmpty():
         comp = staged(connected_components(links), "components")
