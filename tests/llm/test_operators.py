@@ -256,6 +256,33 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none.withColumn("path", F.lit("x"))).count() == 0
 
 
+def brute_cosines(pieces, templates):
+    """{(piece, license): cosine} with document frequencies of all terms over all pieces."""
+    cut = lambda t: Counter(x.rstrip(".") for x in __import__("re").split("[^a-z0-9.]+", t.lower()) if x.rstrip("."))
+    tf = {k: cut(t) for k, t in pieces.items()}
+    df = Counter(x for c in tf.values() for x in c)
+    vec = lambda c: {x: k * (np.log((len(tf) + 1) / (df[x] + 1)) + 1) for x, k in c.items()}
+    unit = lambda v: {x: w / np.sqrt(sum(y * y for y in v.values())) for x, w in v.items()}
+    names = {k: unit(vec(cut(t))) for k, t in templates.items()}
+    out = {}
+    for k, c in tf.items():
+        v = unit(vec(c))
+        out |= {(k, name): sum(w * t[x] for x, w in v.items() if x in t) for name, t in names.items() if v.keys() & t.keys()}
+    return out
+
+
+@pytest.mark.parametrize("size", [40, 4000])
+def test_license_weights_count_all_terms(spark, size):
+    """A header with frequent extra words keeps its match at any size of the corpus."""
+    head = "Copyright (c) 2020 The Project Authors. Licensed under the Apache License, Version 2.0"
+    pieces = {i: head if i % 4 else f"Licensed by word{i} other{i % 7}" for i in range(size)}
+    want = brute_cosines(pieces, licenses.TEMPLATES)
+    got = by_doc(licenses.line_scores(spark.createDataFrame(list(pieces.items()), "doc_id long, text string")))
+    for i in range(0, size, 3):
+        assert got[i]["cosine"] == pytest.approx(max(v for (k, _), v in want.items() if k == i), abs=1e-6)
+    assert got[1]["license"] == "Apache-2.0" and got[1]["cosine"] > licenses.NEAR
+
+
 # 9 quality
 def naive_features(t):
     import re
