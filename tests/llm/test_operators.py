@@ -276,13 +276,37 @@ def test_license_weights_count_all_terms(spark, size):
     """A header with frequent extra words keeps its match at any size of the corpus."""
     head = "Copyright (c) 2020 The Project Authors. Licensed under the Apache License, Version 2.0"
     pieces = {i: head if i % 4 else f"Licensed by word{i} other{i % 7}" for i in range(size)}
-    want = brute_cosines(pieces, licenses.TEMPLATES)
-    got = by_doc(licenses.line_scores(spark.createDataFrame(list(pieces.items()), "doc_id long, text string")))
+    df = spark.createDataFrame(list(pieces.items()), "doc_id long, text string")
+    tokens = defaultdict(list)
+    for r in licenses.header_pieces(df).collect():
+        tokens[r["doc_id"], r["piece"]] += [r["term"]] * r["tf"]
+    want = defaultdict(float)
+    for ((i, _), _), v in brute_cosines({k: " ".join(t) for k, t in tokens.items()}, licenses.TEMPLATES).items():
+        want[i] = max(want[i], v)
+    got = by_doc(licenses.line_scores(df))
     for i in range(0, size, 3):
-        assert got[i]["cosine"] == pytest.approx(max(v for (k, _), v in want.items() if k == i), abs=1e-6)
+        assert got[i]["cosine"] == pytest.approx(want[i], abs=1e-6)
     assert got[1]["license"] == "Apache-2.0" and got[1]["cosine"] > licenses.NEAR
 
 
+def test_license_files_and_wrapped_headers(spark):
+    full = licenses.TEXTS
+    prose = "the quick brown fox and the lazy dog ran over the hill to the house of the old man " * 3
+    rows = [(i, f"{name}/{file}", text) for i, (name, text) in enumerate(full.items()) for file in ("LICENSE",)]
+    rows += [(100 + i, f"{name}/src/a.c", "int x;") for i, name in enumerate(full)]
+    wrapped = "/*\n * This Source Code Form is subject to the\n * terms of the Mozilla\n * Public\n * License, v. 2.0\n */\n" + prose
+    rows += [
+        (200, "w/a.c", wrapped), (201, "w/b.c", "int y;"), (202, "any/T.txt", full["GPL-3.0"]), (203, "any/b.c", "int z;"), (204, "p/a.txt", prose + "\nReleased under the MIT License.\n" + prose[:80]), (205, "p/b.txt", "x"),
+        (206, "n/COPYING", prose + "\nReleased under the MIT License.\n" + prose), (207, "n/b.txt", "x"), (208, "k/a.txt", (prose * 40) + " copyright of the author"),
+    ]
+    got = by_doc(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")))
+    for i, name in enumerate(full):
+        assert (got[i]["license"], got[i]["via"]) == (name, "header") and (got[100 + i]["license"], got[100 + i]["from_dir"]) == (name, name)
+    assert (got[200]["license"], got[200]["via"], got[201]["via"]) == ("MPL-2.0", "header", "none") and got[200]["cosine"] > 0.99
+    assert got[203]["license"] == "GPL-3.0" and got[204]["license"] == "MIT" and got[205]["via"] == "none"  # a header is no licence file
+    assert got[207]["license"] == "MIT" and got[208]["via"] == "none"
+
+
 # 9 quality
 def naive_features(t):
     import re
