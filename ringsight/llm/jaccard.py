@@ -39,6 +39,8 @@ from ringsight.operators.graph import connected_components
 
 #: Relative cost of scanning an inverted list against storing one subset; members of a list per copy of its least one.
 SCAN_COST, PER_COPY, SALTS = 8, 48, 16
+#: Members of a list that are compared under one key where all pairs are wanted.
+BLOCK = 128
 #: Parity words compared before whole parities are.
 FIRST = 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -261,6 +263,14 @@ def folded(bits: Column, words: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(bits, j))))
 
 
+def prepared(docs: DataFrame, n: int, scheme: Scheme) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets, the classes of equal ones, and the lists of their representatives."""
+    table = staged(set_table(docs, n, scheme), "sets")
+    members = staged(classes(table.select("doc_id", "n_shingles", "key")), "classes")
+    copies = members.filter("doc_id <> rep").select("doc_id").distinct()
+    return table, members, inverted_lists(by_ids(table.select("doc_id", "subsets", "grams", "need"), copies, "doc_id", "left_anti"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text; other columns are ignored).
 
@@ -271,10 +281,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     scheme = Scheme(num, den)
     docs = docs.select("doc_id", "text")
-    table = staged(set_table(docs, n, scheme), "sets")
-    members = staged(classes(table.select("doc_id", "n_shingles", "key")), "classes")
-    copies = members.filter("doc_id <> rep").select("doc_id").distinct()
-    lists = inverted_lists(by_ids(table.select("doc_id", "subsets", "grams", "need"), copies, "doc_id", "left_anti"))
+    table, members, lists = prepared(docs, n, scheme)
     stars = lists.filter("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).agg(F.max("crowd").alias("crowd"))
     shapes = by_ids(table.select("doc_id", F.struct("n_shingles", "bits").alias("v")), lists.select("doc_id").distinct(), "doc_id", "left_semi")
     near = meet(stars, shapes).filter(may_link(F.col("va.n_shingles"), F.col("va.bits"), F.col("vb.n_shingles"), F.col("vb.bits"), scheme))
@@ -287,11 +294,60 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     links = links.unionByName(second.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     if not second.filter("linked").isEmpty():
         comp = staged(connected_components(links), "components")
-    reps = comp.select(F.col("node").alias("rep"), "component")
-    # a class of copies may be hot: its component is looked up per class, and dealt over salts
+    return by_class(members, comp.select(F.col("node").alias("rep"), "component")).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+
+
+def by_class(members: DataFrame, values: DataFrame) -> DataFrame:
+    """``members`` with the values of their class (rep and others). A class of copies may be hot: it is looked up once and dealt over salts."""
     left = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    right = reps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right.hint("merge"), ["rep", "salt"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    right = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right.hint("merge"), ["rep", "salt"], "left").drop("salt")
+
+
+def list_pairs(lists: DataFrame, sizes: DataFrame, scheme: Scheme) -> DataFrame:
+    """a > b, crowd of all members of a list whose sizes (doc_id, n_shingles) may link.
+
+    A list is dealt into blocks of about BLOCK members; every two blocks, and every
+    block with itself, meet under a key of their own, so that no task holds a long list.
+    """
+    count = F.ceil(F.col("crowd") / BLOCK).cast("int")
+    rows = lists.join(sizes.hint("merge"), "doc_id").withColumn("last", count - 1).withColumn("own", F.pmod(F.xxhash64("doc_id"), count).cast("int"))
+    left = rows.select("sig", "crowd", F.col("own").alias("i"), F.explode(F.sequence("own", "last")).alias("j"), F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"))
+    right = rows.select("sig", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"))
+    near = (F.col("nx") * scheme.den >= F.col("ny") * scheme.num) & (F.col("ny") * scheme.den >= F.col("nx") * scheme.num)
+    met = left.join(right.hint("merge"), ["sig", "i", "j"]).filter(near & (F.col("x") != F.col("y")) & ((F.col("i") < F.col("j")) | (F.col("x") > F.col("y"))))
+    return met.groupBy(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).agg(F.max("crowd").alias("crowd"))
+
+
+def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Every link: (pairs, members).
+
+    pairs: a > b, all linked pairs of representatives, each verified. members: doc_id,
+    n_shingles, rep, the least doc_id with an equal set; members of one class link too.
+    The pairs of a group of near copies grow with the square of its different texts.
+    """
+    scheme = Scheme(num, den)
+    docs = docs.select("doc_id", "text")
+    table, members, lists = prepared(docs, n, scheme)
+    met = list_pairs(lists, table.select("doc_id", "n_shingles").distinct(), scheme)
+    shapes = by_ids(table.select("doc_id", F.struct("n_shingles", "bits").alias("v")), lists.select("doc_id").distinct(), "doc_id", "left_semi")
+    near = meet(staged(met, "met"), shapes).filter(may_link(F.col("va.n_shingles"), F.col("va.bits"), F.col("vb.n_shingles"), F.col("vb.bits"), scheme))
+    near = staged(near.select("a", "b", "crowd"), "near")
+    return staged(verified(near, contents(docs, near, n), scheme).filter("linked").select("a", "b").distinct(), "links"), members
+
+
+def jaccard_degrees(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: the number of other documents each one links with, copies counted each."""
+    pairs, members = jaccard_links(docs, n, num, den)
+    size = members.filter("n_shingles > 0").select("doc_id", "rep").distinct().groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    ends = pairs.select(F.col("a").alias("other"), F.col("b").alias("rep")).union(pairs.select(F.col("b"), F.col("a")))
+    # a representative may have very many links: they are dealt over salts
+    spread = size.withColumnRenamed("rep", "other").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = ends.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["other", "salt"]).groupBy("rep").agg(F.sum("size").alias("near"))
+    comp = staged(connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "components").select(F.col("node").alias("rep"), "component")
+    values = size.join(near.hint("merge"), "rep", "left").join(comp.hint("merge"), "rep", "left")
+    links = F.coalesce(F.col("size") - 1, F.lit(0)) + F.coalesce("near", F.lit(0))
+    return by_class(members, values).select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), links.alias("n_links"))
 
 
 def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFrame, scheme: Scheme) -> DataFrame:

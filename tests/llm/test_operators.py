@@ -174,6 +174,32 @@ def test_jaccard_matches_brute_force(spark, docs, n, num, den):
     assert got == brute(grown, n, num, den)
 
 
+@pytest.mark.parametrize("block", [2, 128])
+def test_jaccard_links_are_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    pieces = {0: None, 1: "", 2: "one", 3: "one"}
+    for g, size in enumerate((6, 30, 90)):  # groups of near copies, some of them equal
+        base = [f"v{rng.integers(10_000)}" for _ in range(size)]
+        for k in range(14):
+            v = list(base)
+            for _ in range(k // 3):
+                v[int(rng.integers(size))] = f"w{rng.integers(4)}"
+            pieces[100 * (g + 1) + k] = " ".join(v)
+    sets = {d: shingles(t or "", 3) for d, t in pieces.items()}
+    want = {(a, b) for a in sets for b in sets if a > b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(list(pieces.items()), "doc_id long, text string").repartition(3)
+    pairs, members = jaccard.jaccard_links(df, 3, 80, 100)
+    rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in pairs.collect()}
+    got = {(a, b) for a in rep for b in rep if a > b and sets[a] and (rep[a] == rep[b] or (max(rep[a], rep[b]), min(rep[a], rep[b])) in linked)}
+    assert got == want and all(rep[a] == a and rep[b] == b for a, b in linked)
+    rows = by_doc(jaccard.jaccard_degrees(df, 3, 80, 100))
+    full = brute({d: t or "" for d, t in pieces.items()}, 3, 80, 100)
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in rows.items()} == full
+    assert {d: r["n_links"] for d, r in rows.items()} == {d: sum(d in p for p in want) for d in sets}
+
+
 def test_jaccard_edges(odd, none):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(odd).collect()}
     assert got == brute(texts(odd), 3, 90, 100)
