@@ -28,6 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs.select("doc_id", "text", "lang"))
+    if not model.langs:  # nothing was learned: only what has no letters goes
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     return predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 

@@ -8,8 +8,9 @@ Texts are scored in batches: a 0/1 matrix of n-gram buckets times the landmarks'
 matrix gives the kernels, those times the coefficients give the scores.
 
 Bounded sample: the model is fitted on the PER_LANGUAGE labelled rows of each
-language that have the least hash of doc_id, and at most LANGUAGES languages, the
-most frequent. Landmarks are drawn from these. All other work covers all rows.
+language that have the least hash of doc_id, on fewer of each where all languages
+together would have over ROWS; no language is left out. Landmarks, MARKS in all or
+one a language, are drawn from these. All other work covers all rows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ringsight.llm.bpe import blocks
 from ringsight.llm.common import read
 
-BUCKETS, ORDERS, PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 1 << 15, (1, 2, 3), 400, 64, 32, 1e-3
+BUCKETS, ORDERS, PER_LANGUAGE, ROWS, LANDMARKS, MARKS, RIDGE = 1 << 15, (1, 2, 3), 400, 25_600, 32, 2048, 1e-3
 #: Code points that are read at once; longer texts are read in parts that overlap.
 PART = 1 << 20
 UNKNOWN = "und"
@@ -81,6 +82,7 @@ class Model:
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
+        landmarks = max(1, min(landmarks, MARKS // max(1, len(self.langs))))
         make = Presence()
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0) if langs else np.zeros((0, 0))
         pick = [i for lang in self.langs for i in [k for k, x in enumerate(langs) if x == lang][:landmarks]]
@@ -103,14 +105,15 @@ class Model:
         return self.kernels(x, size) @ self.alpha + self.bias
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
-    """text and lang of at most per_language rows of each language, those with the least hash of doc_id."""
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) -> DataFrame:
+    """text and lang of at most per_language rows of each language, those with the least hash of doc_id; of ``rows`` in all, but one of each at least."""
     ok = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    counts = ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return ok.select("text", "lang").limit(0)
+    per_language = max(1, min(per_language, rows // len(counts)))
     key = F.xxhash64(F.col("doc_id")).cast("double") / float(1 << 64) + 0.5
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3 * per_language / r["n"] + 1e-12)))])
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (3 * per_language + 20) / r["n"] + 1e-12)))])
     few = ok.withColumn("_k", key).filter(F.coalesce(F.col("_k") <= F.try_element_at(share, F.col("lang")), F.lit(False)))
     w = Window.partitionBy("lang").orderBy("_k", "doc_id", "text")
     return few.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_language).select("text", "lang")

@@ -238,6 +238,17 @@ def test_language(spark, odd, none):
     assert langid.predict(none, langid.fit(docs)).count() == 0
 
 
+def test_language_keeps_rare_languages(spark):
+    import corpus_pipeline as p
+
+    rows = [(100 * k + i, " ".join(chr(0x4E00 + 20 * k + (i + j) % 10) * 3 for j in range(12)), f"l{k:02}", None, None, None) for k in range(70) for i in range(6 - (k > 60))]
+    df = spark.createDataFrame(rows, DOCS)
+    assert all(r["lang"] == r["lang_pred"] for r in langid.predict(df, langid.fit(df)).collect())
+    assert p.language(spark, df, SF).count() == len(rows)
+    bare = spark.createDataFrame([(1, "some words", None, None, None, None), (2, "12 %", None, None, None, None), (3, None, None, None, None, None)], DOCS)
+    assert [r["doc_id"] for r in p.language(spark, bare, SF).collect()] == [1]
+
+
 def test_presence_in_parts(monkeypatch):
     text = "The quick Brown föx 12 — jumps " * 50
     whole = langid.Presence()(text)
