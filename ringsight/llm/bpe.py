@@ -30,7 +30,11 @@ NONE = np.int64(1) << 62
 POS = 20  # bits of the position
 LONG = 256  # symbols from which a pre-token has a tree of its own
 #: Entries of each of a worker cache's two generations.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
+#: A character whose lower case, class or composition is left to the text's own path.
+UNCOMMON = "[^\x00-\x1b -\x84\x86-\u012f\u0131-\u017f\u2010-\u2027\u20ac]"
+#: The vocabulary's pre-tokens but for runs of letters, which stay between them.
+APART = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\t\n\x0b\f\r \x{a0}\p{L}\p{N}]+)"
 #: Characters that Python counts as blank and the vocabulary's own pattern does not.
 UNSURE = re.compile(r"[\x1c-\x1f]")
 
@@ -201,13 +205,14 @@ class WordBpe:
         text = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
         return (self.wide if max(text) >= "ɐ" else self.ascii).findall(text)
 
-    def encode_pretokens(self, words: list[str]) -> list[list[int]]:
-        """Ids of each pre-token."""
+    def encode_pretokens(self, words: list[str]) -> list[bytes]:
+        """Ids of each pre-token, as little-endian 32-bit integers."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(r) for r in raw], np.int64)
         out: list = [None] * len(words)
         for i in np.flatnonzero(sizes > LONG):
-            out[i] = merge_long([self.byte_ids[b] for b in raw[i][:-1]] + [self.end_ids[raw[i][-1]]], self.table)
+            symbols = np.append(self.byte_ids[np.frombuffer(raw[i][:-1], np.uint8)], self.end_ids[raw[i][-1]])
+            out[i] = np.array(merge_long(symbols.tolist(), self.table), "<u4").tobytes()
         size = 2
         while size <= LONG:
             low = size // 2 + 1 if size > 2 else 1
@@ -221,7 +226,7 @@ class WordBpe:
                 ids[rows, n - 1] = self.end_ids[grid[rows, n - 1]]
                 ids = merge_batch(ids, self.table)
                 kept = ids >= 0
-                flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
+                flat, ends = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
                 start = 0
                 for i, end in zip(part.tolist(), ends, strict=True):
                     out[i] = flat[start:end]
@@ -229,25 +234,92 @@ class WordBpe:
             size *= 2
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Ids of each chunk; special strings in it are special tokens."""
-        parts, need = [], set()
-        for c in chunks:
-            if "<|" in c and self.specials.search(c):
-                p = [[x] if x in self.special else self.pretokens(x) for x in self.specials.split(c) if x]
-                p = [(x, x in self.special) for g in p for x in g]
-                need.update(x for x, special in p if not special)
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens and of special strings, which stand behind a blank here: no pre-token holds one."""
+        special = {w: np.array([self.special[w[1:]]], "<u4").tobytes() for w in words if w[0] == " "}
+        if not special:
+            return self.encode_pretokens(words)
+        rest = [w for w in words if w not in special]
+        made = special | dict(zip(rest, self.encode_pretokens(rest), strict=True))
+        return [made[w] for w in words]
+
+    def words(self, text: str) -> list[str]:
+        """The words of ``encode_words`` of one text of any characters."""
+        out = []
+        for chunk in split_chunks(text):
+            if "<|" in chunk and self.specials.search(chunk):
+                for x in self.specials.split(chunk):
+                    out += [" " + x] if x in self.special else self.pretokens(x) if x else []
             else:
-                p = self.pretokens(c)
-                need.update(p)
-            parts.append(p)
-        words = list(need)
-        ids = dict(zip(words, self.encode_pretokens(words), strict=True))
-        return [ids[p[0]] if len(p) == 1 and isinstance(p[0], str) else [i for w in p for i in (ids[w] if isinstance(w, str) else [self.special[w[0]]] if w[1] else ids[w[0]])] for p in parts]
+                out += self.pretokens(chunk)
+        return out
+
+    def word_lists(self, texts: pa.Array) -> pa.ListArray:
+        """``words`` of each text. Texts of common characters only, which nearly all are, are cut by Arrow's expressions."""
+        slow = pc.or_(pc.match_substring_regex(texts, UNCOMMON), pc.match_substring(texts, "<|"))
+        if not pc.any(slow).as_py():
+            return self._cut(texts)
+        where = np.flatnonzero(slow.to_numpy(zero_copy_only=False))
+        made = pa.array([self.words(texts[int(i)].as_py()) for i in where], pa.list_(pa.string()))
+        order = np.arange(len(texts))
+        order[where] = len(texts) + np.arange(len(where))
+        return pa.concat_arrays([self._cut(pc.if_else(slow, "", texts)), made]).take(pa.array(order))
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.ListArray:
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), pattern=APART, replacement=r" \1 "))
+        flat = lists.flatten()
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(full))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat.filter(pa.array(full)))
+
+
+class TextBpe:
+    """Ids of blocks of texts; a cache of pre-tokens lives as long as the worker."""
 
-    def decode(self, ids: list[int]) -> str:
-        """As the library decodes without a decoder: the tokens' own strings, joined by one blank."""
-        return " ".join(self.names[i] for i in ids)
+    def __init__(self, path: str):
+        self.bpe = WordBpe(path)
+        self.cache = ChunkCache(self.bpe.encode_words)
+        names = [""] * (1 + max(self.bpe.names))
+        for i, x in self.bpe.names.items():
+            names[i] = x
+        #: As the library decodes without a decoder: the tokens' own strings, joined by one blank.
+        self.names, self.numbers = pa.array(names, pa.string()), pa.array([str(i) for i in range(len(names))], pa.string())
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty) one after the other, and for each text where its own end."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if len(texts) != 1:
+            return self._ids(texts)
+        flat = np.concatenate([self._ids(pa.array([x], pa.string()))[0] for x in pieces_of(texts[0].as_py())])
+        return flat, np.array([len(flat)])
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.bpe.word_lists(texts)
+        coded = lists.flatten().dictionary_encode()
+        made = list(next(self.cache.over([coded.dictionary.to_pylist()])))
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        pool, at = np.frombuffer(b"".join(made), "<u4"), coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        upto = np.append(0, np.cumsum(n))
+        flat = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], n) + np.arange(upto[-1])]
+        return flat, upto[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+
+    def digests(self, ids: np.ndarray, ends: np.ndarray, names: pa.Array, most: int = 1 << 22) -> list[str]:
+        """SHA-256 of each text's names joined by one blank. At most ``most`` names of a text are strings at a time."""
+        out, start = [], 0
+        if len(ids) <= most:
+            rows = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), names.take(pa.array(ids)))
+            return [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(rows, " ").cast(pa.binary())]
+        for end in ends.tolist():
+            h = hashlib.sha256()
+            for at in range(start, end, most):
+                part = names.take(pa.array(ids[at : min(end, at + most)]))
+                h.update(b" " if at > start else b"")
+                h.update(" ".join(part.to_pylist()).encode())
+            out.append(h.hexdigest())
+            start = end
+        return out
 
 
 class ChunkCache:
@@ -286,8 +358,8 @@ def blocks(batch: pa.RecordBatch, most: int = 3_000_000) -> Iterator[pa.RecordBa
 
 
 @lru_cache(maxsize=2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def text_bpe(path: str) -> TextBpe:
+    return TextBpe(path)
 
 
 @lru_cache(maxsize=4)
@@ -309,35 +381,33 @@ def split_chunks(text: str) -> list[str]:
     return text.split()
 
 
-@lru_cache(maxsize=1)
-def text_cache(path: str) -> ChunkCache:
-    """The worker's cache of chunk -> (ids as text, decoded text, number of ids); it lives as long as the worker."""
-    bpe = word_bpe(path)
-
-    def make(chunks: list[str]) -> list[tuple[str, str, int]]:
-        return [(" ".join(map(str, x)), bpe.decode(x), len(x)) for x in bpe.encode_chunks(chunks)]
-
-    return ChunkCache(make)
+def pieces_of(text: str, most: int = 2_000_000) -> list[str]:
+    """The text cut behind blanks into pieces of about ``most`` characters; a run without blanks stays whole."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = text.rfind(" ", at, at + most) + 1 or text.find(" ", at + most) + 1 or len(text)
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
 
 
 def encode_table(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves, for docs (doc_id, text).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text).
 
     Null text is empty; an empty text has no ids and the digests of the empty
     string. Other columns are ignored, repeated rows are encoded each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = text_cache(path)
+        bpe = text_bpe(path)
         for batch in batches:
             for part in blocks(batch):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                n, ids, dec = [], [], []
-                for got in cache.over([split_chunks(t) for t in texts]):
-                    n.append(sum(x[2] for x in got))
-                    ids.append(hashlib.sha256(" ".join([x[0] for x in got]).encode()).hexdigest())
-                    dec.append(hashlib.sha256(" ".join([x[1] for x in got]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, ends = bpe.ids(part.column("text"))
+                n = np.diff(ends, prepend=0).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(bpe.digests(ids, ends, bpe.numbers)), pa.array(bpe.digests(ids, ends, bpe.names))],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
