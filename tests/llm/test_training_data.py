@@ -89,20 +89,59 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack_documents(none, path).count() == 0
     out = packing.pack(spark.createDataFrame([(5, "x"), (None, "y"), (9, "z"), (3, "x"), (3, "x"), (5, "w")], "length long, sequence string"), 8).collect()
     assert sum(r["sequence_id"] is None for r in out) == 2 and len({r["sequence_id"] for r in out} - {None}) == 2
+    clash = [(5, i, 7, 9, None, 3, 2) for i in range(4)] + [(3, 1, 7, 9, "a", 4, 1)]
+    wide = packing.pack(spark.createDataFrame(clash, "length long, slots long, _rank long, _length long, `a.b` string, offset long, sequence_id long"), 8)
+    assert wide.columns == ["length", "slots", "_rank", "_length", "a.b", "sequence_id", "offset"]
+    rows = wide.collect()
+    assert all((r["_rank"], r["_length"]) == (7, 9) for r in rows) and sorted(r["slots"] for r in rows) == [0, 1, 1, 2, 3]
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == 5 and len({r["sequence_id"] for r in rows}) == 4
+    assert packing.pack(spark.createDataFrame([(5,), (3,), (3,)], "length long"), 8).agg(F.countDistinct("sequence_id", "offset")).first()[0] == 3
+
+
+def used_by(plan, n):
+    used = Counter()
+    for conf, m in plan:
+        for i, k in conf.items():
+            used[i] += k * m
+    return [used[i] for i in range(n)]
 
 
 def test_configurations_cover():
     rng = np.random.default_rng(1)
-    for _ in range(5):
-        lengths = np.unique(rng.integers(1, 65, 12))
-        counts = rng.integers(1, 50, len(lengths))
+    cases = [(np.unique(rng.integers(1, 65, 12)), None) for _ in range(5)] + [(np.array([40]), [7]), (np.array([20, 45]), [9, 100]), (np.array([64]), [3]), (np.array([], np.int64), []), (np.array([1]), [1])]
+    for lengths, counts in cases:
+        counts = rng.integers(1, 50, len(lengths)) if counts is None else np.array(counts, np.int64)
         plan = packing.configurations(lengths, counts, 64)
-        used = Counter()
-        for conf, m in plan:
-            assert sum(int(lengths[i]) * k for i, k in conf.items()) <= 64
-            for i, k in conf.items():
-                used[i] += k * m
-        assert [used[i] for i in range(len(lengths))] == counts.tolist()
+        assert all(sum(int(lengths[i]) * k for i, k in conf.items()) <= 64 and m > 0 for conf, m in plan.packed)
+        assert used_by(plan.packed, len(lengths)) == counts.tolist()
+        assert plan.bound <= plan.sequences <= 1.2 * plan.bound + 2
+    assert packing.configurations(np.array([40]), np.array([7]), 64).bound == 7  # the dual bound sees what the tokens do not
+    assert packing.configurations(np.array([20, 45]), np.array([9, 100]), 64).bound >= 98
+
+
+def test_program_makes_the_packing(spark):
+    """On the lengths of sf0.1's documents (by words) the program covers nearly all, and most sequences are its columns."""
+    words = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select((2 * F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")) + 1).alias("n"))
+    n = np.array([r["n"] for r in words.collect()])
+    hist = np.bincount(n % 2048, minlength=2049)
+    hist[2048], hist[0] = (n // 2048).sum(), 0
+    lengths = np.flatnonzero(hist)
+    plan = packing.configurations(lengths, hist[lengths], 2048)
+    assert used_by(plan.packed, len(lengths)) == hist[lengths].tolist()
+    assert plan.value <= 1.005 * plan.bound + 1  # the program's gap to its dual bound
+    assert plan.sequences <= 1.005 * plan.bound + 1
+    assert plan.columns > 0.5 * plan.sequences and plan.covered > 0.5
+
+
+def test_knapsack_is_exact():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 30, 6))
+        prices = rng.random(len(lengths)) * lengths
+        got, want = packing.knapsack(lengths, prices, 40), [0.0] * 41
+        for c in range(1, 41):
+            want[c] = max([want[c - 1]] + [want[c - x] + p for x, p in zip(lengths.tolist(), prices.tolist(), strict=True) if x <= c])
+        assert np.allclose(got, want)
 
 
 # 3 WARC
