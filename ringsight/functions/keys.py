@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GENERIC_DEVICES = ("Windows", "iOS Device", "MacOS", "Linux", "Android", "unknown")
+#: Device labels that stand for no device of their own.
+GENERIC_DEVICES = ("Windows", "iOS Device", "MacOS", "Linux", "Trident/7.0", "other")
 EDGES, MIDS = (0.2, 0.4, 0.6, 0.8), (0.1, 0.3, 0.5, 0.7, 0.9)
 
 
@@ -13,6 +14,15 @@ def composite_key(*cols: str) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("n")) for c in cols])
 
 
+def day() -> Column:
+    return F.floor(F.col("t") / 86400).cast("long")
+
+
+def account_key(*cols: str) -> Column:
+    """Columns and the day on which the account's age ``d1`` was nought."""
+    return F.concat_ws("|", composite_key(*cols), F.coalesce(F.round(F.col("d1") - day()).cast("long").cast("string"), F.lit("n")))
+
+
 def device_key() -> Column:
     return F.when(F.col("device_info").isNotNull(), composite_key("device_info", "browser"))
 
@@ -46,9 +56,19 @@ def risk_bucket(score: Column) -> Column:
     return out.otherwise(0)
 
 
+def risk_tenths(buckets: list[Column]) -> Column:
+    """Sum of the buckets' middles in tenths: whole numbers, exact in any order."""
+    return sum((b * (2 * i + 1) for i, b in enumerate(buckets[1:], 1)), buckets[0])
+
+
 def risk_estimate(buckets: list[Column]) -> Column:
     total = sum(buckets[1:], buckets[0])
-    return sum((b * m for b, m in zip(buckets[1:], MIDS[1:], strict=True)), buckets[0] * MIDS[0]) / F.greatest(total, F.lit(1.0))
+    return risk_tenths(buckets) / (10 * F.greatest(total, F.lit(1.0)))
+
+
+def risk_reaches(buckets: list[Column], threshold: float) -> Column:
+    """risk_estimate >= threshold (in thousandths), in whole numbers: no rounding decides a tie."""
+    return 100 * risk_tenths(buckets) >= round(1000 * threshold) * F.greatest(sum(buckets[1:], buckets[0]), F.lit(1.0))
 
 
 def hmac_sha256(secret: bytes, value: Column) -> Column:
@@ -67,7 +87,11 @@ def gaussian_sigma(epsilon: Column, delta: float = 1e-5, sensitivity: float = 1.
 
 def unit_noise(*parts: Column) -> Column:
     """Standard normal value from a hash of the parts: the same however rows are partitioned."""
-    h = F.sha2(F.concat_ws("|", *parts), 256)
+    return unit_normal(F.sha2(F.concat_ws("|", *parts), 256))
+
+
+def unit_normal(h: Column) -> Column:
+    """Standard normal value from a hexadecimal hash."""
     u = lambda a: (F.conv(F.substr(h, F.lit(a), F.lit(12)), 16, 10).cast("double") + 0.5) / float(1 << 48)
     return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(13))
 

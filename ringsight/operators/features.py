@@ -10,8 +10,8 @@ from ringsight.operators.metrics import prefix_sums
 from ringsight.session import staged
 
 PRIOR, WEIGHT = 0.035, 20.0
-#: Rate of each email domain.
-DOMAIN_RISK = {"protonmail.com": 0.40, "mail.com": 0.19, "outlook.com": 0.12, "hotmail.com": 0.05, "gmail.com": 0.04, "yahoo.com": 0.02, "icloud.com": 0.03}
+#: Fraud rate of each risky email domain.
+DOMAIN_RISK = {"protonmail.com": 0.41, "mail.com": 0.19, "outlook.es": 0.13, "aim.com": 0.13, "outlook.com": 0.09, "hotmail.es": 0.07, "live.com.mx": 0.05}
 
 
 def velocity(txn: DataFrame, key: str) -> DataFrame:
@@ -65,7 +65,7 @@ def rules_score(df: DataFrame) -> DataFrame:
     rate = F.try_element_at(risk, F.col("email_domain"))
     grown = lambda c: 0.25 + 0.08 * F.least(F.col(c) - 2, F.lit(4))
     rules = [
-        ("email", rate >= 0.1, 0.15 + 0.25 * rate), ("international", F.col("international"), F.lit(0.20)), ("tiny", F.col("amount") < 3, F.lit(0.15)), ("large", F.col("amount") > 2000, F.lit(0.10)),
+        ("email", rate.isNotNull(), 0.15 + 0.25 * rate), ("international", F.col("international"), F.lit(0.20)), ("tiny", F.col("amount") < 3, F.lit(0.15)), ("large", F.col("amount") > 2000, F.lit(0.10)),
         ("accounts", F.col("accounts") >= 2, grown("accounts")), ("merchants", F.col("merchants") >= 2, F.lit(0.15)), ("cards", F.col("cards") >= 2, grown("cards")),
     ]
     score = F.lit(0.05)

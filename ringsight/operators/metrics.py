@@ -28,6 +28,27 @@ def prefix_sums(df: DataFrame, order: str, values: list[str], descending: bool =
     return out.select(*df.columns, *[(F.sum(v).over(w) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float], most: int = 1_000_000) -> list[float | None]:
+    """Exact interpolated quantiles of a column's values; null without any.
+
+    Up to ``most`` counted rows one aggregate finds them. Beyond it values are counted,
+    running counts are dealt by range, and only the values at the wanted places come
+    back: two a share.
+    """
+    rows = df.select(F.col(column).cast("double").alias("_v")).filter("_v is not null")
+    n = rows.count()
+    if n == 0:
+        return [None] * len(shares)
+    if n <= most:
+        return list(rows.agg(F.percentile("_v", F.array(*map(F.lit, shares)))).first()[0])
+    at = [s * (n - 1) for s in shares]
+    places = sorted({p for x in at for p in (int(x), min(int(x) + 1, n - 1))})
+    c = prefix_sums(rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_n")), "_v", ["_n"], descending=False).filter(F.col("cum__n") > places[0])
+    held = F.filter(F.array(*map(F.lit, places)), lambda p: (p < F.col("cum__n")) & (p >= F.col("cum__n") - F.col("_n")))
+    found = {r["p"]: r["_v"] for r in c.select("_v", F.explode(held).alias("p")).collect()}
+    return [found[int(x)] + (found[min(int(x) + 1, n - 1)] - found[int(x)]) * (x - int(x)) for x in at]
+
+
 def by_score(df: DataFrame) -> DataFrame:
     """One row per distinct score: positives, negatives."""
     return df.groupBy("score").agg(F.sum("is_fraud").cast("long").alias("pos"), F.sum(1 - F.col("is_fraud")).cast("long").alias("neg"))
@@ -72,7 +93,7 @@ def grid_counts(df: DataFrame, grid: DataFrame, score: str = "score") -> DataFra
     slots = table.select(F.posexplode("g").alias("i", "thr"), F.size("g").alias("m"))
     w = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
     every = slots.select((F.col("i") + 1).alias("slot"), "thr").unionByName(slots.limit(1).select(F.lit(0).alias("slot"), F.lit(None).cast("double").alias("thr")))
-    full = every.join(per, "slot", "left").select("slot", "thr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p", "n", "a")])
+    full = every.join(F.broadcast(per), "slot", "left").select("slot", "thr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p", "n", "a")])
     total = full.agg(F.sum("p").alias("tp_all"), F.sum("a").alias("a_all"))
     cum = full.select("slot", "thr", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("hits"), F.sum("a").over(w).alias("caught"))
     return rates(cum.crossJoin(total).filter("slot > 0").select("thr", "tp", (F.col("hits") - F.col("tp")).alias("fp"), (F.col("tp_all") - F.col("tp")).alias("fn"), (F.col("a_all") - F.col("caught")).alias("lost")))

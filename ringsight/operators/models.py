@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -66,24 +67,38 @@ def prepare_features(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> t
     return encoded(rows, spec, staged(category_shares(train, spec), "shares")), spec
 
 
-def component_features(txn: DataFrame) -> DataFrame:
-    """Per txn_id: size, cards, devices, accounts and rows an hour of its card's component in the week up to its day.
+def week_components(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(day, node, component) of cards and devices over the seven days up to each day; the rows of those days with their component.
 
     Cards and devices are nodes, rows with a device are edges; each row serves the
     seven days from its own. Cards without a device have no component.
     """
-    d = txn.select("txn_id", "t", "account", F.floor(F.col("t") / DAY).cast("long").alias("d"), F.xxhash64(F.lit("c"), "card1").alias("src"), K.device_key().alias("dev"))
+    d = txn.select("t", "account", K.day().alias("d"), F.xxhash64(F.lit("c"), "card1").alias("src"), K.device_key().alias("dev"))
     linked = d.filter("dev is not null").withColumn("dst", F.xxhash64(F.lit("v"), "dev"))
     edges = linked.select("d", "src", "dst").distinct().select(F.explode(F.sequence("d", F.col("d") + 6)).alias("day"), "src", "dst").distinct()
     comp = staged(G.connected_components(edges, ["day"]), "components")
     week = linked.select(F.explode(F.sequence("d", F.col("d") + 6)).alias("day"), "t", "account", "src", "dst").join(comp.withColumnRenamed("node", "src").hint("merge"), ["day", "src"])
+    return comp, week
+
+
+def component_table(txn: DataFrame) -> DataFrame:
+    return component_stats(week_components(txn)[1])
+
+
+def component_features(txn: DataFrame) -> DataFrame:
+    """Per txn_id: size, cards, devices, accounts and rows an hour of its card's component in the week up to its day."""
+    comp, week = week_components(txn)
+    named = comp.join(component_stats(week).hint("merge"), ["day", "component"]).drop("component")
+    return txn.select("txn_id", K.day().alias("day"), F.xxhash64(F.lit("c"), "card1").alias("src")).join(named.withColumnRenamed("node", "src").hint("merge"), ["day", "src"]).drop("day", "src")
+
+
+def component_stats(week: DataFrame) -> DataFrame:
+    """day, component and its cards, devices, accounts and rows an hour, of rows (day, component, t, account, src, dst)."""
     stats = week.groupBy("day", "component").agg(
         F.count_distinct("src").alias("comp_cards"), F.count_distinct("dst").alias("comp_devices"), F.count_distinct("account").alias("comp_accounts"), F.count(F.lit(1)).alias("n"),
         F.greatest((F.max("t") - F.min("t")) / 3600, F.lit(1.0 / 60)).alias("span"),
     )
-    stats = stats.select("day", "component", (F.col("comp_cards") + F.col("comp_devices")).alias("comp_size"), "comp_cards", "comp_devices", "comp_accounts", (F.col("n") / F.col("span")).alias("comp_rate"))
-    named = comp.join(stats.hint("merge"), ["day", "component"]).drop("component")
-    return d.select("txn_id", F.col("d").alias("day"), "src").join(named.withColumnRenamed("node", "src").hint("merge"), ["day", "src"]).drop("day", "src")
+    return stats.select("day", "component", (F.col("comp_cards") + F.col("comp_devices")).alias("comp_size"), "comp_cards", "comp_devices", "comp_accounts", (F.col("n") / F.col("span")).alias("comp_rate"))
 
 
 def entity_features(rows: DataFrame) -> DataFrame:
@@ -161,7 +176,7 @@ def feature_lift(rows: DataFrame) -> DataFrame:
 def standardized(prepared: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """txn_id, split, amount, merchant, y, x: a constant and the features, filled, centred and scaled by train figures."""
     train = prepared.filter("split = 'train'")
-    median = train.agg(*[F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(c) for c in names]).first()
+    median = {c: M.quantiles(train, c, [0.5])[0] or 0.0 for c in names}
     full = prepared.fillna({c: median[c] for c in names})
     stat = full.filter("split = 'train'").agg(*[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
     scale = lambda c: stat[f"{c}_s"] if stat[f"{c}_s"] and stat[f"{c}_s"] > 1e-9 else 1.0
@@ -196,28 +211,42 @@ def update_digests(updates: DataFrame) -> DataFrame:
     return updates.groupBy("merchant").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["s"]), ","), 256).alias("digest"))
 
 
-def fed_rounds(rows: DataFrame, size: int, rounds: int = 3, steps: int = 3) -> tuple[DataFrame, list[list[float]]]:
-    """(round, pr_auc on val, best), weights of each round.
+def fed_rounds(rows: DataFrame, size: int, rounds: int = 3, steps: int = 3, reveal: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[list[float]]]:
+    """(round, pr_auc on val, best, kept merchants), weights of each round.
 
     A round is a local fit, commitment, reveal check, robust mean of the deltas and
-    evaluation. The driver holds one vector of weights. If fewer than two updates
-    pass, the global weights stay.
+    evaluation. The digests are written before anything is revealed; ``reveal`` gives
+    what merchants reveal for what they fitted, the same if it is left out. Merchants
+    whose reveal has another digest are left out. The driver holds one vector of
+    weights. If fewer than two updates pass, the global weights stay.
     """
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
     per = staged(train.groupBy("merchant").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").cast("long").alias("fraud_rows")), "merchants")
     spark, w, got, table = rows.sparkSession, [0.0] * size, [], []
     for r in range(rounds):
-        sent = staged(local_fit(train, w, steps), "updates")
-        committed = staged(update_digests(sent), "digests")
-        good = committed.join(update_digests(sent).withColumnRenamed("digest", "d").hint("merge"), "merchant").filter("digest = d").select("merchant")
+        fitted = staged(local_fit(train, w, steps), "updates")
+        committed = staged(update_digests(fitted), "digests")
+        sent = staged(reveal(fitted), "reveals") if reveal else fitted
+        good = staged(committed.join(update_digests(sent).withColumnRenamed("digest", "d").hint("merge"), "merchant").filter("digest = d").select("merchant"), "good")
         deltas = staged(sent.join(good.hint("merge"), "merchant", "left_semi").select("merchant", "idx", (F.col("value") - F.element_at(F.array(*map(F.lit, w)), F.col("idx") + 1)).alias("value")), "deltas")
         step = {x["idx"]: x["value"] for x in P.robust_aggregate(deltas, per).collect()}  # one row per weight
         w = [v + step.get(i, 0.0) for i, v in enumerate(w)]
         got.append(w)
         scored = staged(val.select(probability(F.col("x"), F.array(*map(F.lit, w))).alias("score"), F.col("y").cast("int").alias("is_fraud")), "scored")
-        table.append((r + 1, M.pr_auc(scored).first()["pr_auc"]))
+        table.append((r + 1, M.pr_auc(scored).first()["pr_auc"], good.count()))
     top = max(table, key=lambda x: (x[1] or 0.0, -x[0]))[0]
-    return spark.createDataFrame([(r, a, r == top) for r, a in table], "round long, pr_auc double, best boolean"), got
+    return spark.createDataFrame([(r, a, r == top, n) for r, a, n in table], "round long, pr_auc double, best boolean, merchants long"), got
+
+
+def mean_or_best(rows: DataFrame, table: DataFrame, weights: list[list[float]], last: int = 3) -> DataFrame:
+    """choice ('mean' of the last rounds or 'best' round on val), pr_auc on val, idx, value: the higher on val, the mean of equals."""
+    val = rows.filter("split = 'val'")
+    best = table.filter("best").first()
+    mean = [sum(w[i] for w in weights[-last:]) / len(weights[-last:]) for i in range(len(weights[0]))]
+    scored = staged(val.select(probability(F.col("x"), F.array(*map(F.lit, mean))).alias("score"), F.col("y").cast("int").alias("is_fraud")), "scored")
+    area = M.pr_auc(scored).first()["pr_auc"] or 0.0
+    choice, value, w = ("mean", area, mean) if area >= (best["pr_auc"] or 0.0) else ("best", best["pr_auc"], weights[best["round"] - 1])
+    return rows.sparkSession.createDataFrame([(choice, value, i, x) for i, x in enumerate(w)], "choice string, pr_auc double, idx int, value double")
 
 
 def central_fit(rows: DataFrame, size: int, strengths: tuple[float, ...] = (0.0, 0.001, 0.01)) -> DataFrame:

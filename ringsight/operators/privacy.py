@@ -8,32 +8,42 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
 from ringsight.operators.rings import bucket_counts
-from ringsight.session import staged
+from ringsight.session import sized, staged
 
 B = [f"b{i}" for i in range(5)]
 SECRET = b"ring-salt"
+#: Transactions of a ring that may be flagged.
+LOW, CAP = 2, 40
 
 
 def total() -> Column:
     return reduce(lambda a, b: a + b, map(F.col, B))
 
 
-def merchant_hist(rows: DataFrame, secret: bytes = SECRET) -> DataFrame:
-    """merchant, kind, fp, b0..b4: a keyed hash stands for the shared value and its day."""
-    value = F.concat_ws("|", "kind", "key", F.col("day").cast("string"))
-    return bucket_counts(rows.withColumn("fp", F.substr(K.hmac_sha256(secret, value), F.lit(1), F.lit(16))), ["merchant", "kind", "fp"])
+def fingerprint(secret: bytes = SECRET) -> Column:
+    """A keyed hash of kind, key and day."""
+    return F.substr(K.hmac_sha256(secret, F.concat_ws("|", "kind", "key", F.col("day").cast("string"))), F.lit(1), F.lit(16))
+
+
+def merchant_hist(rows: DataFrame, secret: bytes = SECRET, by: tuple[str, ...] = ()) -> DataFrame:
+    """merchant, kind, fp, b0..b4: a keyed hash, made once a group, stands for the shared value and its day."""
+    return bucket_counts(rows, [*by, "merchant", "kind", "key", "day"]).select(*by, "merchant", "kind", fingerprint(secret).alias("fp"), *B)
 
 
 def dp_release(hist: DataFrame, seed: Column, epsilon: Column) -> DataFrame:
-    """Rounded, non-negative noisy buckets; rows that sum to less than one are dropped. A secret in the seed keeps draws unpredictable."""
+    """Rounded, non-negative noisy buckets; rows that sum to less than one are dropped. A secret in the seed keeps draws unpredictable.
+
+    The hashes come out of a generator, below which the filter is not pushed: each is made once.
+    """
     sigma = K.gaussian_sigma(epsilon)
-    noisy = {b: F.greatest(F.lit(0.0), F.round(F.col(b) + sigma * K.unit_noise(seed, F.col("merchant").cast("string"), F.col("fp"), F.lit(b)))) for b in B}
-    return hist.withColumns(noisy).filter(total() >= 1)
+    hashes = F.struct(*[F.sha2(F.concat_ws("|", seed, F.col("merchant").cast("string"), F.col("fp"), F.lit(b)), 256).alias(f"_{b}") for b in B])
+    noisy = {b: F.greatest(F.lit(0.0), F.round(F.col(b) + sigma * K.unit_normal(F.col(f"_{b}")))) for b in B}
+    return hist.select("*", F.inline(F.array(hashes))).withColumns(noisy).drop(*[f"_{b}" for b in B]).filter(total() >= 1)
 
 
 def commitments(hist: DataFrame) -> DataFrame:
@@ -61,14 +71,15 @@ def reveal_check(hist: DataFrame, committed: DataFrame) -> DataFrame:
     return committed.join(got.hint("merge"), "merchant", "full").select("merchant", F.col("digest").eqNullSafe(F.col("revealed")).alias("ok"))
 
 
-def outliers(hist: DataFrame, volume: float = 5.0, risk: float = 2.0) -> DataFrame:
-    """merchant, volume, risk, reason (null if kept), ratio; one row per merchant."""
-    per = hist.groupBy("merchant").agg(*[F.sum(b).alias(b) for b in B])
-    m = staged(per.select("merchant", total().alias("volume"), K.risk_estimate([F.col(b) for b in B]).alias("risk")), "volumes")
-    med = m.agg(F.percentile("volume", F.lit(0.5)).alias("mv"), F.percentile("risk", F.lit(0.5)).alias("mr"), F.count(F.lit(1)).alias("n"))
+def outliers(hist: DataFrame, volume: float = 5.0, risk: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """merchant, volume, risk, reason (null if kept), ratio; one row per merchant, within each group ``by``."""
+    per = hist.groupBy(*by, "merchant").agg(*[F.sum(b).alias(b) for b in B])
+    m = staged(per.select(*by, "merchant", total().alias("volume"), K.risk_estimate([F.col(b) for b in B]).alias("risk")), "volumes")
+    med = m.groupBy(*by).agg(F.percentile("volume", F.lit(0.5)).alias("mv"), F.percentile("risk", F.lit(0.5)).alias("mr"), F.count(F.lit(1)).alias("n"))
     rv, rr = F.col("volume") / F.col("mv"), F.col("risk") / F.col("mr")
     reason = F.when(F.col("n") < 3, None).when(rv > volume, "volume").when(rr > risk, "risk")
-    return m.crossJoin(F.broadcast(med)).select("merchant", "volume", "risk", reason.alias("reason"), F.when(reason == "volume", rv).when(reason == "risk", rr).alias("ratio"))
+    both = m.join(sized(staged(med, "medians")), list(by)) if by else m.crossJoin(F.broadcast(med))
+    return both.select(*by, "merchant", "volume", "risk", reason.alias("reason"), F.when(reason == "volume", rv).when(reason == "risk", rr).alias("ratio"))
 
 
 def federated_sum(hist: DataFrame, by: tuple[str, ...] = ("kind", "fp")) -> DataFrame:
@@ -76,8 +87,9 @@ def federated_sum(hist: DataFrame, by: tuple[str, ...] = ("kind", "fp")) -> Data
     return out.withColumn("txns", total()).withColumn("risk_est", K.risk_estimate([F.col(b) for b in B]))
 
 
-def fed_flag(sums: DataFrame, threshold: float, low: int = 2, cap: int = 40) -> DataFrame:
-    return sums.withColumn("flagged", F.col("txns").between(low, cap) & (F.col("merchants") >= 2) & (F.col("risk_est") >= threshold))
+def fed_flag(sums: DataFrame, threshold: float, low: int = LOW, cap: int = CAP) -> DataFrame:
+    """``threshold`` counts in thousandths."""
+    return sums.withColumn("flagged", F.col("txns").between(low, cap) & (F.col("merchants") >= 2) & K.risk_reaches([F.col(b) for b in B], threshold))
 
 
 def fed_rings(hist: DataFrame, committed: DataFrame, threshold: float) -> DataFrame:
@@ -88,6 +100,77 @@ def fed_rings(hist: DataFrame, committed: DataFrame, threshold: float) -> DataFr
     return fed_flag(federated_sum(seen.join(kept.hint("merge"), "merchant", "left_semi")), threshold)
 
 
+# the sweep over privacy budgets: every setting in one job
+#: Budgets, 0 is none; draws to evaluate on test; draws to tune on val.
+BUDGETS, DRAWS, TUNING = (0, 32, 16, 8, 4, 2, 1), 5, 3
+
+
+def settings(spark: SparkSession) -> DataFrame:
+    """eps, rep, split: some dozens of rows."""
+    test = [(e, r, "test") for e in BUDGETS for r in range(DRAWS if e else 1)]
+    val = [(e, 1000 + r if e else 0, "val") for e in BUDGETS for r in range(TUNING if e else 1)]
+    return spark.createDataFrame(test + val, "eps int, rep int, split string")
+
+
+def exact_rings(rows: DataFrame) -> DataFrame:
+    """split, kind, fp, b0..b4, merchants, txns, frauds of rings counted in one place."""
+    bucket = K.risk_bucket(F.col("score"))
+    per = rows.groupBy("split", "kind", "key", "day", "merchant").agg(*[F.count_if(bucket == i).cast("double").alias(b) for i, b in enumerate(B)], F.sum("is_fraud").alias("frauds"))
+    g = per.groupBy("split", "kind", "key", "day").agg(*[F.sum(b).alias(b) for b in B], F.count(F.lit(1)).alias("merchants"), F.sum("frauds").alias("frauds"))
+    return g.select("split", "kind", fingerprint().alias("fp"), *B, "merchants", total().alias("txns"), "frauds")
+
+
+def noisy_sums(hist: DataFrame, sets: DataFrame) -> DataFrame:
+    """eps, rep, split, kind, fp and sums over the merchants that pass, of ``hist`` (with split) under every setting."""
+    by = ("eps", "rep", "split", "kind")
+    seed = F.concat_ws("-", F.col("eps").cast("string"), F.col("rep").cast("string"))
+    noisy = staged(dp_release(hist.join(F.broadcast(sets), "split"), seed, F.col("eps").cast("double")), "noisy")  # some dozens of settings
+    kept = staged(outliers(noisy, by=by).filter("reason is null").select(*by, "merchant"), "kept")
+    return federated_sum(noisy.join(sized(kept), [*by, "merchant"], "left_semi"), (*by, "fp"))
+
+
+def tuned(sums: DataFrame, exact: DataFrame) -> DataFrame:
+    """eps, kind, slot: hundredths of the threshold .1 to .9 with the best F1 on val, the median over its draws; the least of equals.
+
+    Rings are counted by the highest slot they reach and slots cumulated.
+    """
+    truth = exact.filter("split = 'val'").select("kind", "fp", (F.col("frauds") >= 2).alias("real"))
+    seen = sums.filter(f"split = 'val' and txns between {LOW} and {CAP}").join(truth.hint("merge"), ["kind", "fp"], "left").withColumn("real", F.coalesce("real", F.lit(False)))
+    slot = F.least(F.lit(90), F.floor(10 * K.risk_tenths([F.col(b) for b in B]) / F.col("txns")).cast("int"))
+    per = staged(seen.groupBy("eps", "rep", "kind", slot.alias("slot")).agg(F.count_if("real").alias("p"), F.count_if(~F.col("real")).alias("n")), "slots")
+    every = per.select("eps", "rep", "kind").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(90))))
+    own = Window.partitionBy("eps", "rep", "kind")  # 91 rows
+    w, zero = own.orderBy(F.desc("slot")), F.lit(0)
+    cum = every.join(per.hint("merge"), ["eps", "rep", "kind", "slot"], "left").select("eps", "rep", "kind", "slot", F.sum(F.coalesce("p", zero)).over(w).alias("tp"), F.sum(F.coalesce("n", zero)).over(w).alias("fp_"), F.sum(F.coalesce("p", zero)).over(own).alias("all"))
+    f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / (F.col("tp") + F.col("fp_") + F.col("all")))
+    best = cum.filter("slot >= 10").groupBy("eps", "rep", "kind").agg(F.max(F.struct(F.round(f1, 9).alias("f1"), (-F.col("slot")).alias("m"))).alias("b"))
+    return best.groupBy("eps", "kind").agg(F.percentile(-F.col("b.m"), F.lit(0.5)).cast("long").alias("slot"))
+
+
+def judged(flagged: DataFrame, exact: DataFrame, by: list[str], cells: DataFrame) -> DataFrame:
+    """by, kind, flagged, tp, fp, fn of flagged rings (by, kind, fp) on test, and kind 'combined'; ``cells`` (by, kind) lists what is to be told."""
+    real = staged(exact.filter(f"split = 'test' and frauds >= 2 and merchants >= 2 and txns between {LOW} and {CAP}").select("kind", "fp"), "truth")
+    hits = flagged.join(real.withColumn("real", F.lit(True)).hint("merge"), ["kind", "fp"], "left").groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("flagged"), F.count_if("real").alias("tp"))
+    totals = real.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    per = cells.join(hits.hint("merge"), [*by, "kind"], "left").join(F.broadcast(totals), "kind", "left")  # one row per kind
+    per = staged(per.select(*by, "kind", zero("flagged").alias("flagged"), zero("tp").alias("tp"), (zero("flagged") - zero("tp")).alias("fp"), (zero("n") - zero("tp")).alias("fn")), "judged")
+    both = per.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("flagged", "tp", "fp", "fn")]).select(*by, F.lit("combined").alias("kind"), "flagged", "tp", "fp", "fn")
+    return per.unionByName(both)
+
+
+def sweep(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(eps, rep, kind, flagged, tp, fp, fn on test), (eps, kind, slot): every budget and draw, tuned on val under the same noise. rows: ring rows with split."""
+    later = staged(rows.filter("split <> 'train'").select("split", "merchant", "kind", "key", "day", "score", "is_fraud"), "later")
+    exact = staged(exact_rings(later), "exact")
+    sums = staged(noisy_sums(merchant_hist(later, by=("split",)), settings(rows.sparkSession)), "sums")
+    slots = staged(tuned(sums, exact), "thresholds")
+    tests = sums.filter(f"split = 'test' and merchants >= 2 and txns between {LOW} and {CAP}").join(F.broadcast(slots), ["eps", "kind"])  # budgets times kinds
+    flagged = tests.filter(10 * K.risk_tenths([F.col(b) for b in B]) >= F.col("slot") * F.col("txns")).select("eps", "rep", "kind", "fp")
+    cells = settings(rows.sparkSession).filter("split = 'test'").select("eps", "rep").crossJoin(slots.select("kind").distinct())
+    return judged(flagged, exact, ["eps", "rep"], cells), slots
+
+
 # model updates: (merchant, idx, value), weights (merchant, rows, fraud_rows)
 def norm_filter(deltas: DataFrame, limit: float = 3.0) -> DataFrame:
     n = staged(deltas.groupBy("merchant").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")), "norms")
@@ -106,7 +189,7 @@ def cosine_filter(deltas: DataFrame, k: float = 3.0, floor: float = 0.85) -> Dat
 
 def weighted_mean(deltas: DataFrame, weights: DataFrame, weight: str) -> DataFrame:
     w = weights.select("merchant", F.greatest(F.col(weight), F.lit(1)).alias("w"))
-    return deltas.join(F.broadcast(w), "merchant").groupBy("idx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    return deltas.join(sized(staged(w, "weights")), "merchant").groupBy("idx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
 
 
 def robust_aggregate(deltas: DataFrame, weights: DataFrame) -> DataFrame:

@@ -18,10 +18,30 @@ def ring_rows(txn: DataFrame) -> DataFrame:
     return rows.select("*", "_r.*").drop("_r").filter("key is not null").withColumn("merchant", K.merchant())
 
 
+def with_source(txn: DataFrame) -> DataFrame:
+    """``txn`` with source, live for every fifth row and else replay, and disputed, true for the even frauds."""
+    return txn.withColumn("source", F.when(F.col("txn_id") % 5 == 0, "live").otherwise("replay")).withColumn("disputed", (F.col("is_fraud") == 1) & (F.col("txn_id") % 2 == 0))
+
+
+def live_rows(txn: DataFrame) -> DataFrame:
+    """Ring rows of ``txn`` (with source) without days, and for live rows a ring of each card: replayed card codes stand for thousands of cards."""
+    cards = txn.filter("source = 'live' and card1 is not null").select("*", F.lit("card").alias("kind"), F.col("card1").cast("string").alias("key"), F.col("account").alias("member"), K.merchant().alias("merchant"))
+    return ring_rows(txn).drop("day").unionByName(cards)
+
+
+def live_agg(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
+    """One row per kind and key: sizes, distinct members, cards and merchants, scores, source (mixed if there are two), frauds, disputes, flagged."""
+    g = rows.groupBy("kind", "key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("source").alias("s0"), F.max("source").alias("s1"), F.count_distinct("member").alias("members"), F.count_distinct("card1").alias("cards"), F.count_distinct("merchant").alias("merchants"),
+        F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.sum("amount").alias("amount"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count_if(F.col("is_fraud") == 1).alias("frauds"), F.count_if("disputed").alias("disputed"),
+    )
+    return g.withColumn("source", F.when(F.col("s0") == F.col("s1"), F.col("s0")).otherwise("mixed")).withColumn("flagged", F.col("score_mean") >= threshold).drop("s0", "s1")
+
+
 def ring_agg(rows: DataFrame, hot: float = 0.5) -> DataFrame:
     span = F.greatest((F.max("t") - F.min("t")) / HOUR, F.lit(1 / 60))
     return rows.groupBy("kind", "key", "day").agg(
-        F.count(F.lit(1)).alias("txns"), F.count_distinct("member").alias("members"), F.count_distinct("merchant").alias("merchants"),
+        F.count(F.lit(1)).alias("txns"), F.count_distinct("member").alias("members"), F.count_distinct("card1").alias("cards"), F.count_distinct("account").alias("accounts"), F.count_distinct("merchant").alias("merchants"),
         F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.avg((F.col("score") >= hot).cast("int")).alias("hot_share"),
         F.sum("amount").alias("amount"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("is_fraud").cast("long").alias("frauds"), span.alias("span_h"),
     )

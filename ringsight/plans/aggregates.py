@@ -8,26 +8,37 @@ from ringsight.functions import keys as K
 from ringsight.operators import features as X
 from ringsight.operators import metrics as M
 from ringsight.operators import rings as R
-from ringsight.plans.base import BUCKET, query
+from ringsight.plans.base import ADDR, DEV, SPEC, query
+from ringsight.plans.federated import RATES
 from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, rings, rows, split, txn
 from ringsight.session import staged
 
 FLAG = "score_mean >= 0.35::DOUBLE"
 
 
-@query("SELECT kind, key, day, txns, members, merchants, round(score_mean, 9) AS score_mean, round(score_max, 9) AS score_max, round(hot_share, 9) AS hot_share, round(amount, 4) AS amount, frauds, frauds >= 2 AS is_fraud_ring, round(span_h, 9) AS span_h FROM ring")
+@query("SELECT kind, key, day, txns, members, cards, accounts, merchants, round(score_mean, 9) AS score_mean, round(score_max, 9) AS score_max, round(hot_share, 9) AS hot_share, round(amount, 4) AS amount, frauds, frauds >= 2 AS is_fraud_ring, round(span_h, 9) AS span_h FROM ring")
 def ring_agg(spark, d):
     r = R.ring_agg(rows(spark, d))
-    return r.select("kind", "key", "day", "txns", "members", "merchants", *[R4(c).alias(c) for c in ("score_mean", "score_max", "hot_share")], F.round("amount", 4).alias("amount"), "frauds", (F.col("frauds") >= 2).alias("is_fraud_ring"), R4("span_h").alias("span_h"))
+    return r.select("kind", "key", "day", "txns", "members", "cards", "accounts", "merchants", *[R4(c).alias(c) for c in ("score_mean", "score_max", "hot_share")], F.round("amount", 4).alias("amount"), "frauds", (F.col("frauds") >= 2).alias("is_fraud_ring"), R4("span_h").alias("span_h"))
 
 
-@query("SELECT kind, key, count(*) AS txns, count(DISTINCT member) AS members, count(DISTINCT merchant) AS merchants, round(avg(score), 9) AS score_mean FROM rr WHERE t >= (SELECT max(t) FROM txn) - 604800 GROUP BY 1, 2 HAVING count(DISTINCT member) BETWEEN 2 AND 25")
+LIVE = (
+    "xs AS (SELECT *, card1 % 8 AS merchant, CASE WHEN txn_id % 5 = 0 THEN 'live' ELSE 'replay' END AS source, is_fraud = 1 AND txn_id % 2 = 0 AS disputed FROM txn WHERE t >= (SELECT max(t) FROM txn) - 604800),"
+    f" lr AS (SELECT *, 'device' AS kind, {DEV} AS key, account AS member FROM xs WHERE {SPEC} UNION ALL SELECT *, 'address', {ADDR}, card1 FROM xs WHERE {ADDR} IS NOT NULL UNION ALL SELECT *, 'card', CAST(card1 AS VARCHAR), account FROM xs WHERE source = 'live')"
+)
+
+
+@query(
+    "SELECT kind, key, count(*) AS size, count(DISTINCT member) AS members, count(DISTINCT card1) AS cards, count(DISTINCT merchant) AS merchants, round(avg(score), 9) AS score_mean, round(max(score), 9) AS score_max, round(sum(amount), 4) AS amount, min(t) AS t0, max(t) AS t1,"
+    " count(*) FILTER (WHERE is_fraud = 1) AS frauds, count(*) FILTER (WHERE disputed) AS disputed, CASE WHEN min(source) = max(source) THEN min(source) ELSE 'mixed' END AS source, avg(score) >= 0.35::DOUBLE AS flagged FROM lr GROUP BY 1, 2 HAVING count(DISTINCT member) BETWEEN 2 AND 25",
+    LIVE,
+)
 def rings_live(spark, d):
-    """Rings over the trailing week, whatever the day."""
-    r = rows(spark, d)
-    m = txn(spark, d).agg(F.max("t").alias("m"))
-    g = r.crossJoin(F.broadcast(m)).filter("t >= m - 604800").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("txns"), F.count_distinct("member").alias("members"), F.count_distinct("merchant").alias("merchants"), R4(F.avg("score")).alias("score_mean"))
-    return R.in_window(g)
+    """Device, address and live card rings over the trailing week, whatever the day."""
+    x = R.with_source(txn(spark, d))
+    m = x.agg(F.max("t").alias("m"))
+    g = R.in_window(R.live_agg(R.live_rows(x.crossJoin(F.broadcast(m)).filter("t >= m - 604800").drop("m"))))
+    return g.select("kind", "key", "size", "members", "cards", "merchants", R4("score_mean").alias("score_mean"), R4("score_max").alias("score_max"), F.round("amount", 4).alias("amount"), "t0", "t1", "frauds", "disputed", "source", "flagged")
 
 
 @query("SELECT kind, key, day, txns, merchants, frauds, round(risk_est, 9) AS risk_est FROM exact")
@@ -62,38 +73,87 @@ def expected_cost(spark, d):
     return M.confusion(split(spark, d), F.lit(0.5), ["split"]).select("split", F.round("cost", 4).alias("cost"))
 
 
-GRID = "g AS (SELECT DISTINCT unnest(quantile_cont(score, list_transform(range(0, 100), lambda i: 0.5 + i * 0.005))) AS thr FROM sp WHERE split = 'val')"
-GC = GRID + ", gc AS (SELECT thr, count(*) FILTER (WHERE score >= thr AND is_fraud = 1) AS tp, count(*) FILTER (WHERE score >= thr AND is_fraud = 0) AS fp, count(*) FILTER (WHERE score < thr AND is_fraud = 1) AS fn, coalesce(sum(amount) FILTER (WHERE score < thr AND is_fraud = 1), 0) AS lost FROM sp, g WHERE split = 'val' GROUP BY 1)"
+def shares(low: float, high: float, n: int) -> list[float]:
+    return [low + i * (high - low) / (n - 1) for i in range(n)]
+
+
+VAL_GRID, TEST_GRID = shares(0.80, 0.99995, 400), shares(0.80, 0.99995, 200)
+
+
+def quant(table: str, column: str, points: list[float], where: str) -> str:
+    """SQL of the distinct quantiles of a column."""
+    return f"SELECT DISTINCT unnest(quantile_cont({column}, {points!r})) AS thr FROM {table} WHERE {where}"
+
 
+def grid_sql(split_: str, points: list[float], name: str) -> str:
+    at = lambda c: f"count(*) FILTER (WHERE {c})"
+    return (
+        f"{name}g AS ({quant('sp', 'score', points, f"split = '{split_}'")}), {name} AS (SELECT thr, {at('score >= thr AND is_fraud = 1')} AS tp, {at('score >= thr AND is_fraud = 0')} AS fp, {at('score < thr AND is_fraud = 1')} AS fn,"
+        f" coalesce(sum(amount) FILTER (WHERE score < thr AND is_fraud = 1), 0) AS lost FROM sp, {name}g WHERE split = '{split_}' GROUP BY 1)"
+    )
 
-def score_grid(spark, d):
-    s = split(spark, d).filter("split = 'val'").select("score", "is_fraud", "amount")
-    q = F.percentile("score", F.array(*[F.lit(0.5 + i * 0.005) for i in range(100)]))
-    return M.grid_counts(s, s.agg(q.alias("q")).select(F.explode("q").alias("thr")).distinct())
+
+GC, TC = grid_sql("val", VAL_GRID, "gc"), grid_sql("test", TEST_GRID, "tc")
+
+
+def score_grid(spark, rows, points):
+    """Counts at the distinct quantiles of the rows' scores."""
+    s = rows.select("score", "is_fraud", "amount")
+    grid = [(q,) for q in sorted(set(M.quantiles(s, "score", points))) if q is not None]
+    return M.grid_counts(s, spark.createDataFrame(grid, "thr double"))
+
+
+def val_grid(spark, d):
+    return score_grid(spark, split(spark, d).filter("split = 'val'"), VAL_GRID)
 
 
 @query("SELECT round(thr, 9) AS thr, tp, fp, fn, round(lost, 4) AS lost FROM gc", GC)
 def threshold_grid_join(spark, d):
-    return score_grid(spark, d).select(R4("thr").alias("thr"), "tp", "fp", "fn", F.round("lost", 4).alias("lost"))
+    """400 quantiles of the val scores."""
+    return val_grid(spark, d).select(R4("thr").alias("thr"), "tp", "fp", "fn", F.round("lost", 4).alias("lost"))
+
+
+def cheapest(grid):
+    """thr and cost of the least cost, the least threshold of equals."""
+    best = grid.agg(F.min(F.struct(F.round(M.REVIEW * F.col("fp") + F.col("lost"), 4).alias("cost"), "thr")).alias("b"))
+    return best.select("b.thr", "b.cost")
 
 
 @query("SELECT round(thr, 9) AS thr, round(3.0 * fp + lost, 4) AS cost FROM gc ORDER BY round(3.0 * fp + lost, 4), thr LIMIT 1", GC)
 def cost_optimal_threshold(spark, d):
-    best = score_grid(spark, d).agg(F.min(F.struct(F.round(M.REVIEW * F.col("fp") + F.col("lost"), 4).alias("cost"), "thr")).alias("b"))
-    return best.select(R4("b.thr").alias("thr"), "b.cost")
+    return cheapest(val_grid(spark, d)).select(R4("thr").alias("thr"), "cost")
 
 
-@query("SELECT round(thr, 9) AS thr, round(3.0 * fp + lost, 4) AS cost, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round((SELECT sum(amount) FROM sp WHERE split = 'val' AND is_fraud = 1), 4) AS do_nothing FROM gc", GC)
+@query(
+    "SELECT round(thr, 9) AS thr, round(3.0 * fp + lost, 4) AS cost, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 9) AS recall, tp + fp AS flagged, round(idle, 4) AS do_nothing, round(1 - (3.0 * fp + lost) / idle, 9) AS reduction"
+    " FROM tc, (SELECT sum(amount) AS idle FROM sp WHERE split = 'test' AND is_fraud = 1)",
+    TC,
+)
 def cost_curve(spark, d):
-    idle = split(spark, d).filter("split = 'val' and is_fraud = 1").agg(F.round(F.sum("amount"), 4).alias("do_nothing"))
-    return score_grid(spark, d).crossJoin(F.broadcast(idle)).select(R4("thr").alias("thr"), F.round(M.REVIEW * F.col("fp") + F.col("lost"), 4).alias("cost"), R4("precision").alias("precision"), R4("recall").alias("recall"), "do_nothing")
+    """Costs at 200 quantiles of the test scores against doing nothing."""
+    test = split(spark, d).filter("split = 'test'")
+    idle = test.filter("is_fraud = 1").agg(F.sum("amount").alias("idle"))
+    cost = M.REVIEW * F.col("fp") + F.col("lost")
+    g = score_grid(spark, test, TEST_GRID).crossJoin(F.broadcast(idle))
+    return g.select(R4("thr").alias("thr"), F.round(cost, 4).alias("cost"), R4("precision").alias("precision"), R4("recall").alias("recall"), (F.col("tp") + F.col("fp")).alias("flagged"), F.round("idle", 4).alias("do_nothing"), R4(1 - cost / F.col("idle")).alias("reduction"))
 
 
-@query("SELECT round(max(score), 9) AS thr FROM (SELECT score, sum(p) OVER (ORDER BY score DESC) AS c, sum(p) OVER () AS a FROM (SELECT score, sum(is_fraud) AS p FROM sp WHERE split = 'val' GROUP BY 1)) WHERE c >= 0.8 * a")
-def threshold_for_recall(spark, d):
-    c = staged(M.prefix_sums(M.by_score(split(spark, d).filter("split = 'val'")), "score", ["pos"]), "cumulated")
+TARGETS = (0.5, 0.8, 0.9)
+RECALL = "rc AS (SELECT target, max(score) AS thr FROM (SELECT score, sum(p) OVER (ORDER BY score DESC) AS c, sum(p) OVER () AS a FROM (SELECT score, sum(is_fraud) AS p FROM sp WHERE split = 'val' GROUP BY 1)), (SELECT unnest([0.5, 0.8, 0.9]::DOUBLE[]) AS target) WHERE c >= target * a GROUP BY 1)"
+
+
+def recall_thresholds(val):
+    """target, thr: the highest threshold with that recall."""
+    c = staged(M.prefix_sums(M.by_score(val), "score", ["pos"]), "cumulated")
     a = c.agg(F.max("cum_pos").alias("a"))
-    return c.crossJoin(F.broadcast(a)).filter("cum_pos >= 0.8D * a").agg(R4(F.max("score")).alias("thr"))
+    hit = lambda t: F.max(F.when(F.col("cum_pos") >= t * F.col("a"), F.col("score")))
+    one = c.crossJoin(F.broadcast(a)).agg(*[hit(t).alias(f"t{i}") for i, t in enumerate(TARGETS)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"t{i}").alias("thr")) for i, t in enumerate(TARGETS)])))
+
+
+@query("SELECT target, round(thr, 9) AS thr FROM rc", RECALL)
+def threshold_for_recall(spark, d):
+    return recall_thresholds(split(spark, d).filter("split = 'val'")).select("target", R4("thr").alias("thr"))
 
 
 @query("SELECT round(sum(p * c / (c + m)) / sum(p), 9) AS pr_auc FROM (SELECT p, sum(p) OVER w AS c, sum(n) OVER w AS m FROM (SELECT score, sum(is_fraud) AS p, sum(1 - is_fraud) AS n FROM txn GROUP BY 1) WINDOW w AS (ORDER BY score DESC))")
@@ -136,19 +196,40 @@ def set_precision_recall(spark, d):
     return rounded_rates(ring_confusion(rings(spark, d), None))
 
 
-RT = "rg AS (SELECT kind, i * 0.01::DOUBLE AS thr FROM (SELECT DISTINCT kind FROM win), (SELECT unnest(range(5, 91)) AS i)), rt AS (SELECT kind, thr, count(*) FILTER (WHERE score_mean >= thr AND frauds >= 2) AS tp, count(*) FILTER (WHERE score_mean >= thr AND frauds < 2) AS fp, count(*) FILTER (WHERE score_mean < thr AND frauds >= 2) AS fn FROM win JOIN rg USING (kind) GROUP BY ALL)"
+RING_VAL, RING_TEST = shares(0.3, 0.999, 300), shares(0.3, 0.999, 120)
+KINDS = ("address", "device")
+F1 = "round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9)"
+
+
+def _ring_grid(name: str, split_: str, grid: str) -> str:
+    return f"{name} AS (SELECT kind, thr, count(*) FILTER (WHERE score >= thr AND bad) AS tp, count(*) FILTER (WHERE score >= thr AND NOT bad) AS fp, count(*) FILTER (WHERE score < thr AND bad) AS fn FROM {grid} LEFT JOIN (SELECT * FROM rv WHERE split = '{split_}') USING (kind) GROUP BY ALL)"
+
+
+RT = (
+    "rv AS (SELECT split, kind, key, day, round(avg(score), 9) AS score, sum(is_fraud) >= 2 AS bad FROM rr JOIN (SELECT txn_id, split FROM sp WHERE split <> 'train') x USING (txn_id) GROUP BY ALL HAVING count(DISTINCT member) BETWEEN 2 AND 25), "
+    + ", ".join(f"{n} AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, thr FROM ({quant('rv', 'score', pts, f"split = '{sp}' AND kind = '{k}'")})" for k in KINDS) + ")" for n, sp, pts in (("gv", "val", RING_VAL), ("gt", "test", RING_TEST)))
+    + ", " + _ring_grid("rv1", "val", "gv") + f", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {F1} DESC, thr) AS o FROM rv1) WHERE o = 1), " + _ring_grid("rt1", "test", "best") + ", " + _ring_grid("rt2", "test", "gt")
+)
 
 
-@query("SELECT kind, round(thr, 9) AS thr, f1 FROM (SELECT kind, thr, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) AS f1, row_number() OVER (PARTITION BY kind ORDER BY round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9) DESC, thr) AS o FROM rt) WHERE o = 1", RT)
+@query(" UNION ALL ".join(f"SELECT kind, '{part}' AS part, round(thr, 9) AS thr, tp, fp, fn, {F1} AS f1 FROM {t}" for part, t in (("val", "best"), ("test", "rt1"), ("curve", "rt2"))), RT)
 def ring_tune(spark, d):
-    """Best F1 per kind over a fixed grid: rings are counted per grid slot and slots cumulated."""
-    grid = spark.range(5, 91).select((F.col("id") * 0.01).alias("thr"))
+    """Per kind the best F1 over 300 quantiles of the val rings' means, that threshold on test, and a curve of 120 test quantiles.
+
+    Rings are counted per grid slot and slots cumulated.
+    """
+    rows = R.ring_rows(split(spark, d).filter("split <> 'train'"))
+    g = R.in_window(rows.groupBy("split", "kind", "key", "day").agg(F.count_distinct("member").alias("members"), R4(F.avg("score")).alias("score"), (F.sum("is_fraud") >= 2).cast("int").alias("is_fraud")))
+    base = staged(g.select("split", "kind", "score", "is_fraud", F.lit(0.0).alias("amount")), "rings")
     out = None
-    base = staged(rings(spark, d).select("kind", F.col("score_mean").alias("score"), (F.col("frauds") >= 2).cast("int").alias("is_fraud"), F.lit(0.0).alias("amount")), "rings")
-    for kind in ("address", "device"):
-        best = M.grid_counts(base.filter(F.col("kind") == kind), grid).agg(F.max(F.struct(R4("f1").alias("f1"), (-F.col("thr")).alias("m"))).alias("b"))
-        one = best.select(F.lit(kind).alias("kind"), R4(-F.col("b.m")).alias("thr"), "b.f1")
-        out = one if out is None else out.unionByName(one)
+    for kind in KINDS:
+        val, test = (base.filter(f"split = '{s}' and kind = '{kind}'") for s in ("val", "test"))
+        f1 = R4("f1").alias("f1")
+        best = staged(score_grid(spark, val, RING_VAL).agg(F.max(F.struct(f1, (-F.col("thr")).alias("m"), "tp", "fp", "fn")).alias("b")).filter("b is not null").select((-F.col("b.m")).alias("thr"), "b.tp", "b.fp", "b.fn", "b.f1"), "best")
+        parts = {"val": best, "test": M.grid_counts(test, best.select("thr")), "curve": score_grid(spark, test, RING_TEST)}
+        for part, table in parts.items():
+            one = table.select(F.lit(kind).alias("kind"), F.lit(part).alias("part"), R4("thr").alias("thr"), "tp", "fp", "fn", f1)
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -157,16 +238,31 @@ def alert_reduction(spark, d):
     x = txn(spark, d)
     a = x.agg(F.count_if(F.col("score") >= 0.5).alias("txn_alerts"), F.count_if(F.col("is_fraud") == 1).alias("frauds"))
     r = rings(spark, d).agg(F.count_if(F.col("score_mean") >= 0.35).alias("ring_alerts"))
-    c = x.filter("is_fraud = 1").join(in_ring(spark, d), "txn_id", "left_semi").agg(F.count(F.lit(1)).alias("covered"))
+    c = x.filter("is_fraud = 1").join(in_ring(spark, d).hint("merge"), "txn_id", "left_semi").agg(F.count(F.lit(1)).alias("covered"))
     return a.crossJoin(r).crossJoin(c).select("txn_alerts", "ring_alerts", "frauds", "covered", R4(F.col("txn_alerts") / F.col("ring_alerts")).alias("reduction"))
 
 
-@query("SELECT (SELECT count(*) FROM txn) AS txns, (SELECT count(*) FROM txn WHERE score >= 0.5::DOUBLE) AS flagged, (SELECT round(avg(is_fraud), 9) FROM txn WHERE score >= 0.5::DOUBLE) AS precision, (SELECT count(*) FROM win WHERE " + FLAG + ") AS rings, (SELECT count(*) FROM disp) AS disputes", DISP)
+CLOCK = "(SELECT (max(t) // 86400) * 86400 FROM txn)"
+
+
+@query(
+    f"SELECT a.*, r.*, x.*, round(txns / (SELECT count(*) FROM txn), 9) AS progress FROM (SELECT count(*) AS txns, CAST(sum(is_fraud) AS BIGINT) AS frauds, count(*) FILTER (WHERE score >= 0.5::DOUBLE) AS flagged, count(*) FILTER (WHERE score >= 0.5::DOUBLE AND is_fraud = 1) AS true_positives,"
+    f" round(avg(is_fraud) FILTER (WHERE score >= 0.5::DOUBLE), 9) AS precision FROM txn WHERE t < {CLOCK}) a, (SELECT count(*) AS rings, count(*) FILTER (WHERE {FLAG}) AS rings_flagged FROM win WHERE t1 < {CLOCK}) r,"
+    f" (SELECT count(*) AS disputes, count(*) FILTER (WHERE w) AS disputes_flagged, round(coalesce(sum(greatest((dt - t) / 3600, 0)) FILTER (WHERE w), 0) / greatest(count(*) FILTER (WHERE w), 1), 6) AS lead_h FROM (SELECT dt, t, score >= 0.5::DOUBLE OR inr.txn_id IS NOT NULL AS w FROM disp JOIN txn USING (txn_id) LEFT JOIN inr USING (txn_id) WHERE dt < {CLOCK})) x",
+    DISP + ", " + INR,
+)
 def kpi_summary(spark, d):
-    hit = F.col("score") >= 0.5
-    a = txn(spark, d).agg(F.count(F.lit(1)).alias("txns"), F.count_if(hit).alias("flagged"), R4(F.avg(F.when(hit, F.col("is_fraud")))).alias("precision"))
-    r = rings(spark, d).agg(F.count_if(F.col("score_mean") >= 0.35).alias("rings"))
-    return a.crossJoin(r).crossJoin(disputes(spark, d).agg(F.count(F.lit(1)).alias("disputes")))
+    """Figures as of the start of the feed's last day: what came before it, rings that ended before it, disputes raised before it."""
+    hit, x = F.col("score") >= 0.5, txn(spark, d)
+    clock = staged(x.agg((F.floor(F.max("t") / 86400) * 86400).alias("clock"), F.count(F.lit(1)).alias("all")), "clock")
+    before = lambda df, t: df.crossJoin(F.broadcast(clock)).filter(F.col(t) < F.col("clock"))
+    a = before(x, "t").agg(F.count(F.lit(1)).alias("txns"), F.sum("is_fraud").cast("long").alias("frauds"), F.count_if(hit).alias("flagged"), F.count_if(hit & (F.col("is_fraud") == 1)).alias("true_positives"), R4(F.avg(F.when(hit, F.col("is_fraud")))).alias("precision"))
+    r = before(rings(spark, d), "t1").agg(F.count(F.lit(1)).alias("rings"), F.count_if(F.col("score_mean") >= 0.35).alias("rings_flagged"))
+    warned = (F.col("score") >= 0.5) | F.col("r").isNotNull()
+    j = before(disputes(spark, d), "dt").join(x.select("txn_id", "t", "score"), "txn_id").join(in_ring(spark, d).withColumn("r", F.lit(True)).hint("merge"), "txn_id", "left")
+    lead = F.sum(F.when(warned, F.greatest((F.col("dt") - F.col("t")) / 3600, F.lit(0.0))))
+    q = j.agg(F.count(F.lit(1)).alias("disputes"), F.count_if(warned).alias("disputes_flagged"), F.round(F.coalesce(lead, F.lit(0.0)) / F.greatest(F.count_if(warned), F.lit(1)), 6).alias("lead_h"))
+    return a.crossJoin(r).crossJoin(q).crossJoin(F.broadcast(clock)).select(*a.columns, *r.columns, *q.columns, R4(F.col("txns") / F.col("all")).alias("progress"))
 
 
 @query("SELECT round(median(v), 6) AS med, round(mad(v), 6) AS mad FROM (SELECT card1 % 8 AS m, CAST(sum(amount) AS DOUBLE) AS v FROM txn GROUP BY 1)")
@@ -224,17 +320,46 @@ def shared_entity_velocity(spark, d):
 
 
 @query(
-    "SELECT txn_id, round(least(s, 0.99::DOUBLE), 9) AS rule_score FROM (SELECT txn_id, 0.05::DOUBLE + CASE WHEN rate >= 0.1 THEN 0.15::DOUBLE + 0.25::DOUBLE * rate ELSE 0 END + CASE WHEN txn_id % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN amount < 3 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN amount > 2000 THEN 0.1::DOUBLE ELSE 0 END"
+    "SELECT txn_id, round(least(s, 0.99::DOUBLE), 9) AS rule_score, concat_ws(',', CASE WHEN rate IS NOT NULL THEN 'email' END, CASE WHEN txn_id % 2 = 0 THEN 'international' END, CASE WHEN amount < 3 THEN 'tiny' END, CASE WHEN amount > 2000 THEN 'large' END, CASE WHEN accounts >= 2 THEN 'accounts' END, CASE WHEN merchants >= 2 THEN 'merchants' END, CASE WHEN cards >= 2 THEN 'cards' END) AS reasons FROM (SELECT txn_id, rate, amount, accounts, merchants, cards, 0.05::DOUBLE + CASE WHEN rate IS NOT NULL THEN 0.15::DOUBLE + 0.25::DOUBLE * rate ELSE 0 END + CASE WHEN txn_id % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN amount < 3 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN amount > 2000 THEN 0.1::DOUBLE ELSE 0 END"
     " + CASE WHEN accounts >= 2 THEN 0.25::DOUBLE + 0.08::DOUBLE * least(accounts - 2, 4) ELSE 0 END + CASE WHEN merchants >= 2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN cards >= 2 THEN 0.25::DOUBLE + 0.08::DOUBLE * least(cards - 2, 4) ELSE 0 END AS s"
-    " FROM (SELECT *, CASE email_domain WHEN 'protonmail.com' THEN 0.40 WHEN 'mail.com' THEN 0.19 WHEN 'outlook.com' THEN 0.12 WHEN 'gmail.com' THEN 0.04 END::DOUBLE AS rate FROM txn) JOIN peers USING (txn_id))",
+    " FROM (SELECT *, CASE email_domain WHEN 'protonmail.com' THEN 0.41 WHEN 'mail.com' THEN 0.19 WHEN 'outlook.es' THEN 0.13 WHEN 'aim.com' THEN 0.13 WHEN 'outlook.com' THEN 0.09 WHEN 'hotmail.es' THEN 0.07 WHEN 'live.com.mx' THEN 0.05 END::DOUBLE AS rate FROM txn) JOIN peers USING (txn_id))",
     PEERS,
 )
 def rules_score(spark, d):
     x = X.hour_peers(txn(spark, d)).withColumn("international", F.col("txn_id") % 2 == 0)
-    return X.rules_score(x).select("txn_id", R4("rule_score").alias("rule_score"))
+    return X.rules_score(x).select("txn_id", R4("rule_score").alias("rule_score"), "reasons")
+
+
+AT = "(SELECT count(*) FILTER (WHERE score >= thr AND is_fraud = 1) AS tp, count(*) FILTER (WHERE score >= thr AND is_fraud = 0) AS fp, count(*) FILTER (WHERE score < thr AND is_fraud = 1) AS fn, coalesce(sum(amount) FILTER (WHERE score < thr AND is_fraud = 1), 0) AS lost, name FROM sp, pts WHERE split = 'test' GROUP BY name)"
+_PR = "SELECT split, sum(p * c / (c + m)) / sum(p) AS v FROM (SELECT split, p, sum(p) OVER w AS c, sum(n) OVER w AS m FROM (SELECT split, score, sum(is_fraud) AS p, sum(1 - is_fraud) AS n FROM sp WHERE split <> 'train' GROUP BY 1, 2) WINDOW w AS (PARTITION BY split ORDER BY score DESC)) GROUP BY 1"
+_ROC = "SELECT split, sum(p * (m - n / 2.0)) / (sum(p) * sum(n)) AS v FROM (SELECT split, p, n, sum(n) OVER (PARTITION BY split ORDER BY score) AS m FROM (SELECT split, score, CAST(sum(is_fraud) AS DOUBLE) AS p, CAST(sum(1 - is_fraud) AS DOUBLE) AS n FROM sp WHERE split <> 'train' GROUP BY 1, 2)) GROUP BY 1"
+REPORT = (
+    GC + ", " + RECALL + ", pts AS (SELECT 'operating' AS name, thr FROM (SELECT thr FROM gc ORDER BY round(3.0 * fp + lost, 4), thr LIMIT 1) UNION ALL SELECT 'recall_' || CAST(CAST(round(target * 100) AS INT) AS VARCHAR), thr FROM rc)"
+    f", att AS (SELECT name, thr, tp, fp, fn, lost, (SELECT sum(amount) FROM sp WHERE split = 'test' AND is_fraud = 1) AS idle FROM {AT} x JOIN pts USING (name))"
+    f", lines AS (SELECT 'rows' AS section, split AS name, count(*)::DOUBLE AS value FROM sp GROUP BY 2 UNION ALL SELECT 'fraud_rate', split, avg(is_fraud) FROM sp GROUP BY 2 UNION ALL SELECT 'pr_auc', split, v FROM ({_PR}) UNION ALL SELECT 'roc_auc', split, v FROM ({_ROC})"
+    + "".join(f" UNION ALL SELECT name, '{n}', {e} FROM att" for n, e in (("threshold", "thr"), ("precision", RATES["precision"]), ("recall", RATES["recall"]), ("f1", RATES["f1"]), ("cost", "3.0 * fp + lost"), ("do_nothing", "idle"), ("reduction", "1 - (3.0 * fp + lost) / idle")))
+    + ")"
+)
 
 
-@query(f"SELECT split, round(avg(score), 9) AS score_mean, count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {BUCKET} = {i}) AS b{i}' for i in range(5))} FROM sp GROUP BY 1")
+def report_lines(spark, d):
+    """section, name, value: rows and fraud rates, areas under the curves, and test figures at the threshold that costs least on val and at those of given recalls on val."""
+    s = staged(split(spark, d).select("split", "score", "is_fraud", "amount"), "scored")
+    val, test = s.filter("split = 'val'"), s.filter("split = 'test'")
+    lines = s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("is_fraud").alias("r"))
+    out = lines.select(F.inline(F.array(F.struct(F.lit("rows").alias("section"), F.col("split").alias("name"), F.col("n").cast("double").alias("value")), F.struct(F.lit("fraud_rate").alias("section"), F.col("split").alias("name"), F.col("r").alias("value")))))
+    for name, part in (("val", val), ("test", test)):
+        out = out.unionByName(M.pr_auc(part).select(F.lit("pr_auc").alias("section"), F.lit(name).alias("name"), F.col("pr_auc").alias("value")))
+        out = out.unionByName(M.roc_auc(part).select(F.lit("roc_auc").alias("section"), F.lit(name).alias("name"), F.col("roc_auc").alias("value")))
+    points = cheapest(score_grid(spark, val, VAL_GRID)).select(F.lit("operating").alias("section"), "thr")
+    points = staged(points.unionByName(recall_thresholds(val).select(F.concat(F.lit("recall_"), F.round(F.col("target") * 100).cast("int")).alias("section"), "thr")), "points")
+    idle = test.filter("is_fraud = 1").agg(F.sum("amount").alias("idle"))
+    cost = M.REVIEW * F.col("fp") + F.col("lost")
+    at = points.join(F.broadcast(M.grid_counts(test, points.select("thr").distinct())), "thr").crossJoin(F.broadcast(idle))  # four rows
+    values = {"threshold": F.col("thr"), "precision": F.col("precision"), "recall": F.col("recall"), "f1": F.col("f1"), "cost": cost, "do_nothing": F.col("idle"), "reduction": 1 - cost / F.col("idle")}
+    return out.unionByName(at.select("section", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("value")) for n, c in values.items()]))))
+
+
+@query("SELECT section, name, round(value, 6) AS value FROM lines", REPORT)
 def scorer_report(spark, d):
-    b = K.risk_bucket(F.col("score"))
-    return split(spark, d).groupBy("split").agg(R4(F.avg("score")).alias("score_mean"), F.count(F.lit(1)).alias("n"), *[F.count_if(b == i).alias(f"b{i}") for i in range(5)])
+    return report_lines(spark, d).withColumn("value", F.round("value", 6))

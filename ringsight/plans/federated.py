@@ -6,14 +6,18 @@ from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
 from ringsight.operators import graph as G
+from ringsight.operators import models as L
+from ringsight.operators import metrics as M
 from ringsight.operators import privacy as P
-from ringsight.plans.base import hmac_sql, query
-from ringsight.plans.rowwise import R4, rows, txn
-from ringsight.session import staged
+from ringsight.operators import rings as R
+from ringsight.plans.base import BUCKET, DEV, hmac_sql, query
+from ringsight.plans.rowwise import R4, rows, split, txn
+from ringsight.session import sized, staged
 
 BS = ", ".join(f"b{i}" for i in range(5))
 TOT = "b0 + b1 + b2 + b3 + b4"
-FLAGGED = "txns BETWEEN 2 AND 40 AND merchants >= 2 AND risk_est >= 0.3::DOUBLE"
+S10 = "b0 + 3 * b1 + 5 * b2 + 7 * b3 + 9 * b4"
+FLAGGED = f"txns BETWEEN 2 AND 40 AND merchants >= 2 AND {S10} >= 3 * ({TOT})"
 
 
 def hist(spark, d):
@@ -39,7 +43,7 @@ def gaussian_sigma(spark, d):
 def _noise(seed: str, b: int, eps: str) -> str:
     h = f"sha256({seed} || '|' || merchant || '|' || fp || '|b{b}')"
     u = lambda a, z: f"((CAST('0x' || {h}[{a}:{z}] AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE)"
-    sigma = f"(CASE WHEN {eps} IS NULL THEN 0 ELSE sqrt(2 * ln(1.25::DOUBLE / 0.00001::DOUBLE)) / {eps} END)"
+    sigma = f"(CASE WHEN {eps} IS NULL OR {eps} = 0 THEN 0 ELSE sqrt(2 * ln(1.25::DOUBLE / 0.00001::DOUBLE)) / {eps} END)"
     return f"greatest(0, round(b{b} + {sigma} * sqrt(-2 * ln({u(1, 12)})) * cos(2 * pi() * {u(13, 24)}))) AS b{b}"
 
 
@@ -51,29 +55,54 @@ def dp_release(spark, d):
     return P.dp_release(hist(spark, d), F.lit("7"), F.lit(8.0)).select("merchant", "kind", "fp", *P.B)
 
 
+FP = hmac_sql(P.SECRET, "kind || '|' || key || '|' || day") + "[1:16]"
+BUCKETS = ", ".join(f"CAST(count(*) FILTER (WHERE {BUCKET} = {i}) AS DOUBLE) AS b{i}" for i in range(5))
 SWEEP = (
-    "set_ AS (SELECT e AS eps, r AS rep FROM (SELECT unnest([32, 8, 2]::DOUBLE[]) AS e), (SELECT unnest([0, 1, 2]) AS r)), sw AS (SELECT * FROM (SELECT eps, rep, merchant, kind, fp, "
-    + ", ".join(_noise("rep", b, "eps") for b in range(5))
-    + f" FROM hist, set_) WHERE {TOT} >= 1), sws AS (SELECT eps, rep, kind, fp, count(*) AS merchants, sum({TOT}) AS txns, sum(b0 * 0.1::DOUBLE + b1 * 0.3::DOUBLE + b2 * 0.5::DOUBLE + b3 * 0.7::DOUBLE + b4 * 0.9::DOUBLE) / greatest(sum({TOT}), 1) AS risk_est FROM sw GROUP BY ALL)"
+    f"""rs AS (SELECT rr.*, x.split FROM rr JOIN (SELECT txn_id, split FROM sp WHERE split <> 'train') x USING (txn_id)),
+hs AS (SELECT split, merchant, kind, {FP} AS fp, {BUCKETS} FROM rs GROUP BY ALL),
+es AS (SELECT split, kind, {FP} AS fp, count(*) AS txns, count(DISTINCT merchant) AS merchants, sum(is_fraud) AS frauds, {BUCKETS} FROM rs GROUP BY ALL),
+se AS (SELECT 0 AS eps, 0 AS rep, unnest(['val', 'test']) AS split UNION ALL SELECT e, r, 'test' FROM (SELECT unnest([32, 16, 8, 4, 2, 1]) AS e), (SELECT unnest(range(0, 5)) AS r)
+       UNION ALL SELECT e, r, 'val' FROM (SELECT unnest([32, 16, 8, 4, 2, 1]) AS e), (SELECT unnest(range(1000, 1003)) AS r)),
+nz AS (SELECT * FROM (SELECT eps, rep, split, merchant, kind, fp, """
+    + ", ".join(_noise("eps || '-' || rep", b, "eps::DOUBLE") for b in range(5))
+    + f""" FROM hs JOIN se USING (split)) WHERE {TOT} >= 1),
+mvs AS (SELECT eps, rep, split, kind, merchant, sum({TOT}) AS volume, sum({S10}) / (10 * greatest(sum({TOT}), 1)) AS risk FROM nz GROUP BY ALL),
+mds AS (SELECT eps, rep, split, kind, median(volume) AS v, median(risk) AS r, count(*) AS n FROM mvs GROUP BY ALL),
+kp AS (SELECT mvs.* FROM mvs JOIN mds USING (eps, rep, split, kind) WHERE n < 3 OR NOT (volume / v > 5 OR risk / r > 2)),
+fs AS (SELECT eps, rep, split, kind, fp, count(*) AS merchants, sum({TOT}) AS txns, sum({S10}) AS s10 FROM nz SEMI JOIN kp USING (eps, rep, split, kind, merchant) GROUP BY ALL),
+tn AS (SELECT eps, rep, kind, fs.txns, s10, coalesce(frauds >= 2, false) AS real FROM fs LEFT JOIN es USING (split, kind, fp) WHERE split = 'val' AND fs.txns BETWEEN 2 AND 40),
+tg AS (SELECT eps, rep, kind, i, count(*) FILTER (WHERE real AND 10 * s10 >= i * txns) AS tp, count(*) FILTER (WHERE NOT real AND 10 * s10 >= i * txns) AS fp, count(*) FILTER (WHERE real) AS a FROM tn, (SELECT unnest(range(10, 91)) AS i) GROUP BY ALL),
+tb AS (SELECT *, row_number() OVER (PARTITION BY eps, rep, kind ORDER BY round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (tp + fp + a) END, 9) DESC, i) AS o FROM tg),
+th AS (SELECT eps, kind, CAST(median(i) AS BIGINT) AS slot FROM tb WHERE o = 1 GROUP BY ALL),
+tr AS (SELECT kind, fp FROM es WHERE split = 'test' AND frauds >= 2 AND merchants >= 2 AND txns BETWEEN 2 AND 40),
+fl AS (SELECT eps, rep, kind, fp FROM fs JOIN th USING (eps, kind) WHERE split = 'test' AND merchants >= 2 AND txns BETWEEN 2 AND 40 AND 10 * s10 >= slot * txns),
+ce AS (SELECT eps, rep, kind, (SELECT count(*) FROM fl WHERE fl.eps = c.eps AND fl.rep = c.rep AND fl.kind = c.kind) AS flagged, (SELECT count(*) FROM fl SEMI JOIN tr USING (kind, fp) WHERE fl.eps = c.eps AND fl.rep = c.rep AND fl.kind = c.kind) AS tp,
+       (SELECT count(*) FROM tr WHERE tr.kind = c.kind) AS a FROM (SELECT eps, rep, kind FROM se, (SELECT DISTINCT kind FROM th) WHERE split = 'test') c),
+ju AS (SELECT eps, rep, coalesce(kind, 'combined') AS kind, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(flagged - tp) AS BIGINT) AS fp, CAST(sum(a - tp) AS BIGINT) AS fn FROM ce GROUP BY GROUPING SETS ((eps, rep, kind), (eps, rep)))"""
 )
+RATES = {
+    "precision": "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END::DOUBLE",
+    "recall": "CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END::DOUBLE",
+    "f1": "CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END::DOUBLE",
+}
 
 
 def swept(spark, d):
-    sets = spark.createDataFrame([(float(e), r) for e in (32, 8, 2) for r in range(3)], "eps double, rep int")
-    noisy = P.dp_release(hist(spark, d).crossJoin(F.broadcast(sets)), F.col("rep").cast("string"), F.col("eps"))
-    return P.fed_flag(P.federated_sum(noisy, ("eps", "rep", "kind", "fp")), 0.3)
+    return P.sweep(R.ring_rows(split(spark, d)))
 
 
-@query(f"SELECT eps, CAST(rep AS INT) AS rep, kind, count(*) FILTER (WHERE {FLAGGED}) AS flagged, count(*) AS fps FROM sws GROUP BY ALL", SWEEP)
+@query("SELECT nullif(eps, 0) AS eps, CAST(rep AS INT) AS rep, kind, flagged, tp, fp, fn, " + ", ".join(f"round({x}, 9) AS {c}" for c, x in RATES.items()) + " FROM ju", SWEEP)
 def dp_sweep(spark, d):
-    """Every budget and draw in one job."""
-    return swept(spark, d).groupBy("eps", "rep", "kind").agg(F.count_if("flagged").alias("flagged"), F.count(F.lit(1)).alias("fps"))
+    """Seven budgets, five draws each, thresholds tuned on val under the same noise; figures on test."""
+    out = M.rates(swept(spark, d)[0])
+    return out.select(F.nullif("eps", F.lit(0)).alias("eps"), "rep", "kind", "flagged", "tp", "fp", "fn", *[R4(c).alias(c) for c in RATES])
 
 
-@query(f"SELECT eps, kind, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std FROM (SELECT eps, rep, kind, count(*) FILTER (WHERE {FLAGGED}) AS n FROM sws GROUP BY ALL) GROUP BY ALL", SWEEP)
+@query("SELECT nullif(eps, 0) AS eps, kind, " + ", ".join(f"round(avg({x}), 6) AS {c}, round(stddev_pop({x}), 6) AS {c}_std" for c, x in RATES.items()) + " FROM ju GROUP BY ALL", SWEEP)
 def repeat_stats(spark, d):
-    n = swept(spark, d).groupBy("eps", "rep", "kind").agg(F.count_if("flagged").alias("n"))
-    return n.groupBy("eps", "kind").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("std"))
+    """Mean and spread over the draws."""
+    out = M.rates(swept(spark, d)[0]).groupBy("eps", "kind").agg(*[f(c).alias(c + e) for c in RATES for f, e in ((F.avg, ""), (F.stddev_pop, "_std"))])
+    return out.select(F.nullif("eps", F.lit(0)).alias("eps"), "kind", *[F.round(c + e, 6).alias(c + e) for c in RATES for e in ("", "_std")])
 
 
 LINE = "kind || ':' || fp || ':' || " + " || ':' || ".join(f"printf('%.1f', b{i})" for i in range(5))
@@ -91,10 +120,8 @@ def merkle_order(spark, d):
 
 
 def leaves(spark, d):
-    from pyspark.sql import Window
-
-    # one row per merchant
-    return P.commitments(hist(spark, d)).select((F.row_number().over(Window.orderBy("merchant")) - 1).cast("long").alias("pos"), "digest")
+    c = M.prefix_sums(P.commitments(hist(spark, d)).withColumn("one", F.lit(1)), "merchant", ["one"], descending=False)
+    return c.select((F.col("cum_one") - 1).cast("long").alias("pos"), "digest")
 
 
 @query(
@@ -105,7 +132,7 @@ def merkle_root(spark, d):
     return P.merkle_root(leaves(spark, d))
 
 
-BAD = f"bad AS (SELECT merchant, kind, fp, b0, b1, b2, b3, CASE WHEN merchant = 3 THEN b4 + 40 ELSE b4 END AS b4 FROM hist), mv AS (SELECT merchant, sum({TOT}) AS volume, sum(b0 * 0.1::DOUBLE + b1 * 0.3::DOUBLE + b2 * 0.5::DOUBLE + b3 * 0.7::DOUBLE + b4 * 0.9::DOUBLE) / greatest(sum({TOT}), 1) AS risk FROM bad GROUP BY 1), md AS (SELECT median(volume) AS v, median(risk) AS r FROM mv), au AS (SELECT merchant, CASE WHEN volume / v > 5 THEN 'volume' WHEN risk / r > 2 THEN 'risk' END AS reason, CASE WHEN volume / v > 5 THEN volume / v WHEN risk / r > 2 THEN risk / r END AS ratio FROM mv, md)"
+BAD = f"bad AS (SELECT merchant, kind, fp, b0, b1, b2, b3, CASE WHEN merchant = 3 THEN b4 + 40 ELSE b4 END AS b4 FROM hist), mv AS (SELECT merchant, sum({TOT}) AS volume, sum({S10}) / (10 * greatest(sum({TOT}), 1)) AS risk FROM bad GROUP BY 1), md AS (SELECT median(volume) AS v, median(risk) AS r FROM mv), au AS (SELECT merchant, CASE WHEN volume / v > 5 THEN 'volume' WHEN risk / r > 2 THEN 'risk' END AS reason, CASE WHEN volume / v > 5 THEN volume / v WHEN risk / r > 2 THEN risk / r END AS ratio FROM mv, md)"
 
 
 def poisoned(spark, d):
@@ -144,44 +171,36 @@ def fed_rings(spark, d):
     return P.fed_rings(h, P.commitments(h), 0.3).select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
 
 
-@query(f"SELECT 'central' AS arm, kind, count(*) AS rings, count(*) FILTER (WHERE {FLAGGED}) AS flagged FROM exact GROUP BY ALL UNION ALL SELECT 'federated', kind, count(*), count(*) FILTER (WHERE {FLAGGED}) FROM fsum GROUP BY ALL")
-def central_vs_fed(spark, d):
-    """Both arms count the same without noise."""
-    r = rows(spark, d)
-    central = P.fed_flag(P.federated_sum(P.merchant_hist(r)), 0.3)
-    per = rings_exact(r)
-    arm = lambda df, name: df.groupBy("kind").agg(F.count(F.lit(1)).alias("rings"), F.count_if("flagged").alias("flagged")).withColumn("arm", F.lit(name))
-    return arm(per, "central").unionByName(arm(central, "federated"))
+CENTRAL = SWEEP + f""", cf AS (SELECT kind, fp FROM es JOIN th USING (kind) WHERE th.eps = 0 AND split = 'test' AND merchants >= 2 AND txns BETWEEN 2 AND 40 AND 10 * ({S10}) >= slot * txns),
+cc AS (SELECT kind, (SELECT count(*) FROM cf WHERE cf.kind = c.kind) AS flagged, (SELECT count(*) FROM cf SEMI JOIN tr USING (kind, fp) WHERE cf.kind = c.kind) AS tp, (SELECT count(*) FROM tr WHERE tr.kind = c.kind) AS a FROM (SELECT DISTINCT kind FROM th) c),
+bo AS (SELECT 'central' AS arm, coalesce(kind, 'combined') AS kind, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(flagged - tp) AS BIGINT) AS fp, CAST(sum(a - tp) AS BIGINT) AS fn FROM cc GROUP BY ROLLUP (kind)
+       UNION ALL SELECT 'federated', kind, flagged, tp, fp, fn FROM ju WHERE eps = 0)"""
 
 
-def rings_exact(r):
-    b = K.risk_bucket(F.col("score"))
-    g = r.groupBy("kind", "key", "day").agg(*[F.sum((b == i).cast("double")).alias(f"b{i}") for i in range(5)], F.count_distinct("merchant").alias("merchants"))
-    return P.fed_flag(g.withColumn("txns", P.total()).withColumn("risk_est", K.risk_estimate([F.col(c) for c in P.B])), 0.3)
+@query("SELECT arm, kind, flagged, tp, fp, fn, " + ", ".join(f"round({x}, 9) AS {c}" for c, x in RATES.items()) + " FROM bo", CENTRAL)
+def central_vs_fed(spark, d):
+    """Rings counted in one place and from merchants' histograms without noise, both at the thresholds of val."""
+    rows = staged(R.ring_rows(split(spark, d)), "rows")
+    table, slots = P.sweep(rows)
+    exact = staged(P.exact_rings(rows.filter("split = 'test'")), "exact")
+    at = slots.filter("eps = 0").select("kind", "slot")
+    hit = exact.join(F.broadcast(at), "kind").filter((F.col("merchants") >= 2) & F.col("txns").between(P.LOW, P.CAP) & (10 * K.risk_tenths([F.col(b) for b in P.B]) >= F.col("slot") * F.col("txns")))  # one row per kind
+    central = P.judged(hit.select(F.lit("central").alias("arm"), "kind", "fp"), exact, ["arm"], at.select(F.lit("central").alias("arm"), "kind"))
+    both = central.unionByName(table.filter("eps = 0").drop("eps", "rep").withColumn("arm", F.lit("federated")))
+    return M.rates(both).select("arm", "kind", "flagged", "tp", "fp", "fn", *[R4(c).alias(c) for c in RATES])
 
 
 @query(f"SELECT h.merchant, left(digest, 12) AS commitment, left(fp, 8) AS fp8, kind, {TOT} AS n FROM hist h JOIN cm USING (merchant)", COMMIT)
 def merchant_sketch(spark, d):
     h = staged(hist(spark, d), "hist")
     c = P.commitments(h).select("merchant", F.substr("digest", F.lit(1), F.lit(12)).alias("commitment"))
-    return h.join(F.broadcast(c), "merchant").select("merchant", "commitment", F.substr("fp", F.lit(1), F.lit(8)).alias("fp8"), "kind", P.total().alias("n"))  # one row per merchant
+    return h.join(sized(staged(c, "commitments")), "merchant").select("merchant", "commitment", F.substr("fp", F.lit(1), F.lit(8)).alias("fp8"), "kind", P.total().alias("n"))
 
 
-@query("SELECT kind, i * 0.01::DOUBLE AS thr, count(*) FILTER (WHERE merchants >= 2 AND risk_est >= i * 0.01::DOUBLE - 0.000000001::DOUBLE AND frauds >= 2) AS tp, count(*) FILTER (WHERE merchants >= 2 AND risk_est >= i * 0.01::DOUBLE - 0.000000001::DOUBLE AND frauds < 2) AS fp FROM exact, (SELECT unnest(range(10, 91)) AS i) WHERE txns BETWEEN 2 AND 40 GROUP BY ALL")
+@query("SELECT nullif(eps, 0) AS eps, kind, slot * 0.01::DOUBLE AS thr FROM th", SWEEP)
 def fed_tune(spark, d):
-    """Hits and false alarms of every threshold .1 to .9: rings are put in slots and slots cumulated."""
-    from pyspark.sql import Window
-
-    r = rows(spark, d)
-    b = K.risk_bucket(F.col("score"))
-    g = r.groupBy("kind", "key", "day").agg(*[F.sum((b == i).cast("double")).alias(f"b{i}") for i in range(5)], F.count_distinct("merchant").alias("merchants"), F.sum("is_fraud").alias("frauds"))
-    g = g.withColumn("txns", P.total()).filter("txns between 2 and 40")
-    slot = F.when(F.col("merchants") >= 2, F.least(F.lit(90), F.floor((K.risk_estimate([F.col(c) for c in P.B]) + 1e-9) * 100 + 1e-7).cast("int"))).otherwise(0)
-    per = g.groupBy("kind", slot.alias("slot")).agg(F.count_if(F.col("frauds") >= 2).alias("p"), F.count_if(F.col("frauds") < 2).alias("n"))
-    every = per.select("kind").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(90))))
-    w = Window.partitionBy("kind").orderBy(F.desc("slot"))  # 91 rows per kind
-    cum = every.join(per.hint("merge"), ["kind", "slot"], "left").select("kind", "slot", F.sum(F.coalesce("p", F.lit(0))).over(w).alias("tp"), F.sum(F.coalesce("n", F.lit(0))).over(w).alias("fp"))
-    return cum.filter("slot >= 10").select("kind", (F.col("slot") * F.lit(0.01)).alias("thr"), "tp", "fp")
+    """Threshold of the best F1 on val for every budget and kind."""
+    return swept(spark, d)[1].select(F.nullif("eps", F.lit(0)).alias("eps"), "kind", (F.col("slot") * F.lit(0.01)).alias("thr"))
 
 
 # updates of a model: the mean amount and score of each hour of day, per merchant, less the mean over all; merchant 2 flips signs tenfold
@@ -219,7 +238,7 @@ def norm_filter(spark, d):
 def cosine_filter(spark, d):
     u, _ = updates(spark, d)
     ok = P.norm_filter(u).filter("ok").select("merchant")
-    return P.cosine_filter(u.join(F.broadcast(ok), "merchant", "left_semi")).withColumn("distance", F.round("distance", 6))  # one row per merchant
+    return P.cosine_filter(u.join(sized(staged(ok, "kept")), "merchant", "left_semi")).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT idx, round(sum(fraud_rows * value) / sum(fraud_rows), 6) AS value FROM d2 JOIN (SELECT merchant, greatest(fraud_rows, 1) AS fraud_rows FROM we) USING (merchant) SEMI JOIN (SELECT merchant FROM cf WHERE ok) k USING (merchant) GROUP BY 1", CF)
@@ -239,10 +258,20 @@ def weighted_mean(spark, d):
     return P.weighted_mean(u, w, "fraud_rows").withColumn("value", F.round("value", 6))
 
 
-@query("SELECT idx, round(avg(value), 6) AS value FROM de WHERE merchant >= 5 GROUP BY 1", UPD)
+ROUNDS = UPD + ", er AS (SELECT merchant, sum(value * value) AS e FROM de GROUP BY 1), me AS (SELECT idx, avg(value) AS value FROM de WHERE merchant >= 5 GROUP BY 1), pick AS (SELECT (SELECT sum(value * value) FROM me) <= (SELECT min(e) FROM er) AS m)"
+
+
+@query("SELECT CASE WHEN m THEN 'mean' ELSE 'best' END AS choice, idx, round(value, 6) AS value FROM pick, (SELECT true AS of_mean, idx, value FROM me UNION ALL SELECT false, idx, value FROM de WHERE merchant = (SELECT merchant FROM er ORDER BY round(e, 6), merchant LIMIT 1)) x WHERE x.of_mean = m", ROUNDS)
 def mean_of_rounds(spark, d):
-    """Merchants stand for rounds: the mean of the last three."""
-    return updates(spark, d)[0].filter("merchant >= 5").groupBy("idx").agg(F.round(F.avg("value"), 6).alias("value"))
+    """Merchants stand for rounds: the mean of the last three or the round nearest the pooled vector, whichever is nearer to it. ``models.mean_or_best`` chooses by scores on val."""
+    u, _ = updates(spark, d)
+    mean = u.filter("merchant >= 5").groupBy("idx").agg(F.avg("value").alias("value"))
+    errors = staged(u.groupBy("merchant").agg(F.sum(F.col("value") * F.col("value")).alias("e")), "errors")
+    top = errors.agg(F.min(F.struct(F.round("e", 6).alias("r"), "merchant")).alias("t"), F.min("e").alias("e"))
+    pick = staged(mean.agg(F.sum(F.col("value") * F.col("value")).alias("own")).crossJoin(F.broadcast(top)).select((F.col("own") <= F.col("e")).alias("m"), F.col("t.merchant").alias("merchant")), "pick")
+    both = mean.select(F.lit(True).alias("of_mean"), "idx", "value").unionByName(u.join(F.broadcast(pick), "merchant").select(F.lit(False).alias("of_mean"), "idx", "value"))
+    out = both.join(F.broadcast(pick.select("m")), F.col("of_mean") == F.col("m"))
+    return out.select(F.when(F.col("m"), "mean").otherwise("best").alias("choice"), "idx", F.round("value", 6).alias("value"))
 
 
 @query(
@@ -254,34 +283,53 @@ def dp_update(spark, d):
     u, _ = updates(spark, d)
     n = P.norm_filter(u).select("merchant", "norm")
     noise = K.gaussian_sigma(F.lit(8.0)) * K.unit_noise(F.lit("u"), F.col("merchant").cast("string"), F.col("idx").cast("string"))
-    return u.join(F.broadcast(n), "merchant").select("merchant", "idx", F.round(F.col("value") / F.greatest("norm", F.lit(1.0)) + noise, 6).alias("value"))
+    return u.join(sized(staged(n, "norms")), "merchant").select("merchant", "idx", F.round(F.col("value") / F.greatest("norm", F.lit(1.0)) + noise, 6).alias("value"))
+
+
+def reach(edges: str, by: str, rounds: int) -> str:
+    """SQL tables up to ``reach`` (by, n, m): m is the least node within 2 ** rounds steps of n, over the tables edges (by, a, b)."""
+    g = f"{by}, " if by else ""
+    on = lambda x, y: f" AND {x}.{by} = {y}.{by}" if by else ""
+    two = f"un AS MATERIALIZED (SELECT {g}a, b FROM {edges} UNION SELECT {g}b, a FROM {edges}), l0 AS MATERIALIZED (SELECT {g}a AS n, least(a, min(b)) AS m FROM un GROUP BY {g}a)"
+    at = lambda t: f"{t}.{by}, " if by else ""
+    for i in range(1, rounds + 1):  # the least label of the neighbours, then that label's own
+        two += f", h{i} AS MATERIALIZED (SELECT {at('x')}x.n, least(x.m, min(y.m)) AS m FROM l{i - 1} x JOIN un ON x.n = un.a{on('x', 'un')} JOIN l{i - 1} y ON y.n = un.b{on('y', 'un')} GROUP BY {at('x')}x.n, x.m)"
+        two += f", l{i} AS MATERIALIZED (SELECT {at('x')}x.n, least(x.m, y.m) AS m FROM h{i} x JOIN h{i} y ON y.n = x.m{on('x', 'y')})"
+    return two + f", reach AS (SELECT * FROM l{rounds})"
+
+
+DAYS = f"de_ AS (SELECT DISTINCT t // 86400 AS d, 'c' || card1 AS a, 'v' || {DEV} AS b FROM txn WHERE device_info IS NOT NULL), ed AS (SELECT DISTINCT unnest(range(d, d + 7)) AS day, a, b FROM de_)"
+COMPS = (
+    DAYS + ", " + reach("ed", "day", 12)
+    + f", wk AS (SELECT unnest(range(t // 86400, t // 86400 + 7)) AS day, t, account, 'c' || card1 AS a, 'v' || {DEV} AS b FROM txn WHERE device_info IS NOT NULL)"
+    + ", st AS (SELECT day, m, count(DISTINCT a) AS comp_cards, count(DISTINCT b) AS comp_devices, count(DISTINCT account) AS comp_accounts, count(*) / greatest((max(t) - min(t)) / 3600, 1.0::DOUBLE / 60) AS comp_rate FROM wk JOIN reach USING (day) WHERE n = a GROUP BY ALL)"
+)
 
 
-def day_edges(x):
-    """Distinct (day, card, device) of the seven days up to each day; nodes are hashed keys."""
-    e = x.filter("device_info is not null").select(F.floor(F.col("t") / 86400).cast("long").alias("d"), "card1", K.device_key().alias("dev")).distinct()
-    return e.select(F.explode(F.sequence("d", F.col("d") + 6)).alias("day"), F.xxhash64(F.lit("c"), "card1").alias("src"), F.xxhash64(F.lit("v"), "dev").alias("dst")).distinct()
+@query("SELECT day, comp_cards + comp_devices AS comp_size, comp_cards, comp_devices, comp_accounts, round(comp_rate, 6) AS comp_rate FROM st", COMPS)
+def ring_components(spark, d):
+    """Every day's components of cards and devices over the seven days up to it."""
+    return L.component_table(txn(spark, d)).select("day", "comp_size", "comp_cards", "comp_devices", "comp_accounts", F.round("comp_rate", 6).alias("comp_rate"))
 
 
-@query()
-def ring_components(spark, d):
-    c = G.connected_components(day_edges(txn(spark, d)), ["day"])
-    return c.groupBy("day", "component").agg(F.count(F.lit(1)).alias("size"))
+@query("SELECT txn_id, comp_cards + comp_devices AS comp_size, comp_cards, comp_devices, comp_accounts, round(comp_rate, 6) AS comp_rate FROM txn JOIN reach ON reach.day = t // 86400 AND n = 'c' || card1 JOIN st ON st.day = reach.day AND st.m = reach.m", COMPS)
+def component_features(spark, d):
+    """For each row its card's component."""
+    return L.component_features(txn(spark, d)).withColumn("comp_rate", F.round("comp_rate", 6))
 
 
-EDGE = "ed AS (SELECT DISTINCT 2 * account AS a, 2 * (addr1 * 4 + addr2) + 1 AS b FROM txn WHERE addr1 IS NOT NULL AND k_ > 0.6::DOUBLE)".replace("k_", "score")
+EDGE = "ed AS (SELECT DISTINCT 2 * account AS a, 2 * (addr1 * 4 + addr2) + 1 AS b FROM txn WHERE addr1 IS NOT NULL), " + reach("ed", "", 8)
 
 
-@query("SELECT size, count(*) AS components FROM (SELECT c, count(*) AS size FROM (SELECT n, min(m) AS c FROM reach GROUP BY 1) GROUP BY 1) GROUP BY 1", EDGE + ", un AS (SELECT a, b FROM ed UNION ALL SELECT b, a FROM ed), ns AS (SELECT DISTINCT a AS n FROM un)" + ", l0 AS (SELECT n, least(n, min(b)) AS m FROM ns JOIN un ON n = a GROUP BY n)" + "".join(f", l{i} AS (SELECT x.n, least(x.m, min(y.m)) AS m FROM l{i - 1} x JOIN un ON x.n = un.a JOIN l{i - 1} y ON y.n = un.b GROUP BY x.n, x.m)" for i in range(1, 13)) + ", reach AS (SELECT n, m FROM l12)")
+@query("SELECT size, count(*) AS components FROM (SELECT m, count(*) AS size FROM reach GROUP BY 1) GROUP BY 1", EDGE)
 def component_sizes(spark, d):
-    """Sizes of the components of accounts and addresses that share a row with a high score."""
-    e = txn(spark, d).filter("addr1 is not null and score > 0.6D").select((2 * F.col("account")).alias("src"), (2 * (F.col("addr1") * 4 + F.col("addr2")) + 1).alias("dst"))
+    """Sizes of the components of accounts and the addresses that they use."""
+    e = txn(spark, d).filter("addr1 is not null").select((2 * F.col("account")).alias("src"), (2 * (F.col("addr1") * 4 + F.col("addr2")) + 1).alias("dst"))
     return G.connected_components(e).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
 @query(f"SELECT kind, {hmac_sql(P.SECRET, "kind || '|' || key || '|' || day")}[1:16] AS fp, frauds >= 2 AS truth FROM exact")
 def truth_join(spark, d):
     r = rows(spark, d)
-    fp = F.substr(K.hmac_sha256(P.SECRET, F.concat_ws("|", "kind", "key", F.col("day").cast("string"))), F.lit(1), F.lit(16))
-    truth = r.groupBy("kind", "key", "day").agg(F.sum("is_fraud").alias("f")).filter("f >= 2").select("kind", fp.alias("fp"), F.lit(True).alias("t"))
+    truth = r.groupBy("kind", "key", "day").agg(F.sum("is_fraud").alias("f")).filter("f >= 2").select("kind", P.fingerprint().alias("fp"), F.lit(True).alias("t"))
     return P.federated_sum(P.merchant_hist(r)).join(truth.hint("merge"), ["kind", "fp"], "left").select("kind", "fp", F.coalesce("t", F.lit(False)).alias("truth"))

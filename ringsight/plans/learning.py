@@ -10,7 +10,7 @@ from ringsight.operators import models as L
 from ringsight.plans.aggregates import PEERS
 from ringsight.plans.base import query
 from ringsight.plans.federated import FLAGGED
-from ringsight.plans.rowwise import DISP, R4, disputes, split, txn
+from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, split, txn
 from ringsight.session import staged, workspace
 from ringsight.sources import files
 from ringsight.streaming import feeds
@@ -48,14 +48,29 @@ def sink_splits(spark, d):
 
 
 @query("SELECT split, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS frauds, min(t) AS t0, max(t) AS t1 FROM sp GROUP BY 1")
-def scan_report_json(spark, d):
-    """A report written by ``sink_report`` and read back."""
-    report = split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").cast("long").alias("frauds"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+def sink_report(spark, d):
+    """A flat report, written and read back."""
     path = workspace(spark, "report")
+    report = split_lines(spark, d)
     files.sink_report(report, path)
     return files.scan_report_json(spark, path, report.schema)
 
 
+def split_lines(spark, d):
+    return split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").cast("long").alias("frauds"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+
+
+@query("SELECT split, n, frauds, (SELECT count(*) FROM sp) AS total, round(frauds / n, 9) AS rate FROM (SELECT split, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS frauds FROM sp GROUP BY 1)")
+def scan_report_json(spark, d):
+    """A nested report (meta, and figures by split), read back and flattened."""
+    lines = split_lines(spark, d).withColumn("figures", F.struct((F.col("frauds") / F.col("n")).alias("rate")))
+    report = lines.agg(F.struct(F.sum("n").alias("total"), F.lit("splits").alias("name")).alias("meta"), F.collect_list(F.struct("split", "n", "frauds", "figures")).alias("parts"))  # three parts
+    path = workspace(spark, "report")
+    files.sink_report(report, path)
+    back = files.scan_report_json(spark, path, report.schema)
+    return back.select("meta.total", F.inline("parts")).select("split", "n", "frauds", "total", R4("figures.rate").alias("rate"))
+
+
 @query("SELECT txn_id, amount FROM txn")
 def sink_event_store(spark, d):
     """Three deliveries that overlap leave each transaction once."""
@@ -150,12 +165,13 @@ def fed_rounds(spark, d):
     return L.fed_rounds(dense(spark, d), len(DENSE) + 1)[0]
 
 
-def delivered(spark, d, run):
-    """Deliver the splits one after another; after each, ``run`` reads what is new. Gives the output path."""
+def delivered(spark, d, run, twice=None):
+    """Deliver the splits one after another, rows of the condition ``twice`` doubly; after each, ``run`` reads what is new. Gives the output path."""
     rows, source, out, mark = split(spark, d), workspace(spark, "feed"), workspace(spark, "out"), workspace(spark, "mark")
     rows = staged(rows, "splits")
     for part in ("train", "val", "test"):
-        rows.filter(F.col("split") == part).write.mode("append").parquet(source)
+        some = rows.filter(F.col("split") == part)
+        (some.unionByName(some.filter(twice)) if twice else some).write.mode("append").parquet(source)
         run(feeds.transaction_feed(spark, source, rows.schema, 10_000), out, mark)
     return out
 
@@ -173,11 +189,51 @@ def stream_fed_detect(spark, d):
     return rows.join(F.broadcast(last), "batch").select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
 
 
-@query("SELECT dispute_id, txn_id, round(coalesce(amount_minor / 100.0, amount), 2) AS amount, score >= 0.5::DOUBLE AS was_flagged, CASE WHEN txn_id % 2 = 0 THEN 'won' ELSE 'open' END AS status FROM disp JOIN txn USING (txn_id)", DISP)
+@query("SELECT dispute_id, txn_id, round(coalesce(amount_minor / 100.0, amount), 2) AS amount, score >= 0.5::DOUBLE OR inr.txn_id IS NOT NULL AS was_flagged, CASE WHEN txn_id % 2 = 0 THEN 'won' ELSE 'open' END AS status FROM disp JOIN txn USING (txn_id) LEFT JOIN inr USING (txn_id)", DISP + ", " + INR)
 def stream_disputes(spark, d):
     x = disputes(spark, d).withColumn("status", F.lit("open"))
     events = x.unionByName(x.filter("txn_id % 2 = 0").withColumn("dt", F.col("dt") + 60).withColumn("status", F.lit("won")))
     source, out = workspace(spark, "feed"), workspace(spark, "out")
     events.write.parquet(source)
-    feeds.run_disputes(spark.readStream.schema(events.schema).parquet(source), txn(spark, d), out, workspace(spark, "mark"))
+    rings = in_ring(spark, d).withColumn("r", F.lit(True))
+    warned = (F.col("score") >= 0.5) | F.coalesce("r", F.lit(False))
+    known = staged(txn(spark, d).select("txn_id", "amount", "score").join(rings.hint("merge"), "txn_id", "left").select("txn_id", "amount", warned.alias("warned")), "known")
+    feeds.run_disputes(spark.readStream.schema(events.schema).parquet(source), known, out, workspace(spark, "mark"))
     return feeds.latest_disputes(spark, out)
+
+
+@query("SELECT txn_id, t, max(t) OVER (PARTITION BY split) AS clock FROM sp")
+def stream_feed(spark, d):
+    """Every row with the clock of its delivery."""
+    return spark.read.parquet(delivered(spark, d, feeds.run_feed)).drop("batch")
+
+
+@query("SELECT txn_id, t FROM txn")
+def stream_dedup(spark, d):
+    """Every tenth row is delivered twice and comes out once."""
+    run = lambda feed, out, mark: feeds.run_available(feeds.deduplicated(feed).select("txn_id", "t"), out, mark)
+    return spark.read.parquet(delivered(spark, d, run, twice="txn_id % 10 = 0"))
+
+
+@query("SELECT txn_id, round(score, 9) AS score, score >= 0.5::DOUBLE AS flagged, CASE WHEN score >= 0.5::DOUBLE THEN 'payment ' || txn_id || ' scored ' || printf('%.2f', score) END AS alert FROM txn")
+def stream_score(spark, d):
+    run = lambda feed, out, mark: feeds.run_available(feeds.scored(feed).select("txn_id", R4("score").alias("score"), "flagged", "alert"), out, mark)
+    return spark.read.parquet(delivered(spark, d, run))
+
+
+@query("SELECT dd AS day, kind, key, count(*) AS txns, round(avg(score), 6) AS score_mean FROM (SELECT *, unnest(range(day - 6, day + 1)) AS dd FROM rr) GROUP BY ALL")
+def stream_rings_sliding(spark, d):
+    """Rows and mean score of every sliding week as its last batch left it; member counts are approximate and not told."""
+    return feeds.last_sliding(spark, delivered(spark, d, feeds.run_sliding)).select("day", "kind", "key", "txns", F.round("score_mean", 6).alias("score_mean"))
+
+
+FIRST = (
+    "bt AS (SELECT split, max(t) AS clock, row_number() OVER (ORDER BY max(t)) AS b FROM sp GROUP BY 1), wk AS (SELECT bt.b, rr.* FROM bt JOIN rr ON rr.t BETWEEN bt.clock - 604800 AND bt.clock),"
+    " rb AS (SELECT b, kind, key, day, count(DISTINCT member) AS members, avg(score) AS score_mean FROM wk GROUP BY ALL), fi AS (SELECT *, row_number() OVER (PARTITION BY kind, key, day ORDER BY b) AS o FROM rb WHERE members BETWEEN 2 AND 25 AND score_mean >= 0.35::DOUBLE)"
+)
+
+
+@query("SELECT kind, key, day, members, round(score_mean, 9) AS score_mean FROM fi WHERE o = 1", FIRST)
+def stream_new_alerts(spark, d):
+    """A ring's first alert: as the batch in which it was first flagged saw it."""
+    return spark.read.parquet(delivered(spark, d, feeds.run_rings)).select("kind", "key", "day", "members", R4("score_mean").alias("score_mean"))

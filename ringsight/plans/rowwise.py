@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
 from ringsight.operators import rings as R
+from ringsight.operators.metrics import quantiles
 from ringsight.plans.base import ADDR, BUCKET, DEV, SPEC, hmac_sql, query
 from ringsight.session import staged
 from ringsight.sources import tables as S
@@ -40,10 +41,19 @@ def scan_pruned_capped(spark, d):
     return txn(spark, d).select("txn_id", "t", "amount").orderBy("t", "txn_id").limit(500)
 
 
-@query("SELECT 'payment.captured' AS event, 'pay_' || txn_id AS id, CAST(round(amount * 100) AS BIGINT) AS amount_minor, 'm' || (card1 % 8) AS merchant FROM txn")
+DISP = "disp AS (SELECT 'd' || txn_id AS dispute_id, txn_id, t + 7200 + (txn_id % 5) * 3600 AS dt, CASE WHEN txn_id % 4 = 0 THEN NULL ELSE CAST(txn_id % 1000 AS BIGINT) END AS amount_minor FROM txn WHERE is_fraud = 1)"
+
+
+@query(
+    "SELECT 'payment.captured' AS event, 'pay_' || txn_id AS id, NULL AS payment_id, CAST(round(amount * 100) AS BIGINT) AS amount_minor, 'm' || (card1 % 8) AS merchant FROM txn"
+    " UNION ALL SELECT 'payment.dispute.created', dispute_id, 'pay_' || txn_id, amount_minor, NULL FROM disp",
+    DISP,
+)
 def scan_events_json(spark, d):
-    x = S.payment_events(S.payment_json(txn(spark, d)))
-    return x.select("event", "payment.id", F.col("payment.amount").alias("amount_minor"), F.col("payment.notes")["merchant"].alias("merchant"))
+    """Payments and disputes out of one feed of bodies; disputes stand under either of two names."""
+    x = S.payment_events(S.payment_json(txn(spark, d)).unionByName(S.dispute_json(disputes(spark, d))))
+    pay, dis = F.col("payment"), F.col("dispute")
+    return x.select("event", F.coalesce(pay["id"], dis["id"]).alias("id"), dis["payment_id"].alias("payment_id"), F.coalesce(pay["amount"], dis["amount"]).alias("amount_minor"), pay["notes"]["merchant"].alias("merchant"))
 
 
 @query(
@@ -80,9 +90,11 @@ def composite_key(spark, d):
     return txn(spark, d).select("txn_id", K.composite_key("card1", "addr1", "device_info").alias("key"))
 
 
-@query(f"SELECT txn_id, t // 86400 AS day, card1 || '|' || account AS uid, CAST(card1 AS VARCHAR) AS card_id, {DEV} AS device_id, coalesce(email_domain, 'n') || '|' || coalesce(CAST(addr1 AS VARCHAR), 'n') AS emailaddr_id FROM txn")
+@query(f"SELECT txn_id, t // 86400 AS day, card1 || '|' || coalesce(CAST(addr1 AS VARCHAR), 'n') || '|' || coalesce(CAST(CASE WHEN txn_id % 6 > 0 THEN account % 60 END - t // 86400 AS VARCHAR), 'n') AS uid, CAST(card1 AS VARCHAR) AS card_id, {DEV} AS device_id, coalesce(email_domain, 'n') || '|' || coalesce(CAST(addr1 AS VARCHAR), 'n') AS emailaddr_id FROM txn")
 def entity_keys(spark, d):
-    return txn(spark, d).select("txn_id", F.floor(F.col("t") / 86400).cast("long").alias("day"), K.composite_key("card1", "account").alias("uid"), K.composite_key("card1").alias("card_id"), K.device_key().alias("device_id"), K.composite_key("email_domain", "addr1").alias("emailaddr_id"))
+    """An account is a card, an address and the day on which its age was nought, from the card's age ``d1`` in days."""
+    x = txn(spark, d).withColumn("d1", F.when(F.col("txn_id") % 6 > 0, F.col("account") % 60 + 0.25))
+    return x.select("txn_id", K.day().alias("day"), K.account_key("card1", "addr1").alias("uid"), K.composite_key("card1").alias("card_id"), K.device_key().alias("device_id"), K.composite_key("email_domain", "addr1").alias("emailaddr_id"))
 
 
 @query(f"SELECT txn_id, {SPEC} AS specific FROM txn")
@@ -141,12 +153,19 @@ def signature_check(spark, d):
     return given.select("txn_id", F.coalesce(mac(F.col("txn_id")) == F.col("signature"), F.lit(False)).alias("valid"))
 
 
-@query("SELECT round(m, 9) AS addr1_median, round(avg(x), 9) AS addr1_mean, round(greatest(stddev_pop(x), 1e-9), 9) AS addr1_std FROM (SELECT m, coalesce(addr1, m) AS x FROM sp, (SELECT median(addr1) AS m FROM sp WHERE split = 'train') WHERE split = 'train') GROUP BY m")
+IMPUTED = ("addr1", "addr2", "amount")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(m, 9) AS median, round(avg(x), 9) AS mean, round(CASE WHEN stddev_pop(x) <= 1e-9 THEN 1 ELSE stddev_pop(x) END, 9) AS std FROM (SELECT m, coalesce({c}, m) AS x FROM sp, (SELECT median({c}) AS m FROM sp WHERE split = 'train') WHERE split = 'train') GROUP BY m" for c in IMPUTED))
 def fit_impute_scale(spark, d):
-    train = split(spark, d).filter("split = 'train'")
-    m = train.agg(F.percentile("addr1", F.lit(0.5)).alias("m"))
-    x = train.crossJoin(F.broadcast(m)).select("m", F.coalesce(F.col("addr1").cast("double"), "m").alias("x"))
-    return x.groupBy("m").agg(F.avg("x").alias("a"), F.greatest(F.stddev_pop("x"), F.lit(1e-9)).alias("s")).select(R4("m").alias("addr1_median"), R4("a").alias("addr1_mean"), R4("s").alias("addr1_std"))
+    """Median, and mean and population deviation after filling, of every column: fitted on train in one pass after the medians."""
+    train = split(spark, d).filter("split = 'train'").select(*[F.col(c).cast("double").alias(c) for c in IMPUTED])
+    mid = {c: quantiles(train, c, [0.5])[0] for c in IMPUTED}
+    x = train.fillna({c: m for c, m in mid.items() if m is not None})
+    got = x.agg(*[f(c).alias(f"{c}_{n}") for c in IMPUTED for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
+    std = lambda c: F.when(F.col(f"{c}_s") <= 1e-9, 1.0).otherwise(F.col(f"{c}_s"))
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), R4(F.lit(mid[c]).cast("double")).alias("median"), R4(f"{c}_m").alias("mean"), R4(std(c)).alias("std")) for c in IMPUTED])
+    return got.select(F.inline(each))
 
 
 @query("SELECT txn_id, round(coalesce(c / n, 0), 6) AS freq FROM sp LEFT JOIN (SELECT device_info, count(*) AS c FROM sp WHERE split = 'train' AND device_info IS NOT NULL GROUP BY 1) USING (device_info), (SELECT count(device_info) AS n FROM sp WHERE split = 'train')")
@@ -229,20 +248,24 @@ def identity_coverage(spark, d):
 @query("SELECT count(DISTINCT txn_id) AS n, count(DISTINCT txn_id) FILTER (WHERE is_fraud = 1) AS frauds, count(DISTINCT txn_id) FILTER (WHERE is_fraud = 1 AND score < 0.5::DOUBLE) AS bonus FROM rr SEMI JOIN (SELECT kind, key, day FROM win WHERE score_mean >= 0.35::DOUBLE) f USING (kind, key, day)")
 def ring_members_semi(spark, d):
     f = rings(spark, d).filter("score_mean >= 0.35D").select("kind", "key", "day")
-    m = rows(spark, d).join(f, ["kind", "key", "day"], "left_semi").groupBy("txn_id").agg(F.max("is_fraud").alias("f"), F.max("score").alias("s"))
+    m = rows(spark, d).join(f.hint("merge"), ["kind", "key", "day"], "left_semi").groupBy("txn_id").agg(F.max("is_fraud").alias("f"), F.max("score").alias("s"))
     return m.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("f") == 1).alias("frauds"), F.count_if((F.col("f") == 1) & (F.col("s") < 0.5)).alias("bonus"))
 
 
-@query("SELECT 'card1' AS key, round(avg(CASE WHEN card1 IN (SELECT card1 FROM sp WHERE split = 'train') THEN 1 ELSE 0 END), 6) AS share FROM sp WHERE split = 'test' UNION ALL SELECT 'device_info', round(avg(CASE WHEN device_info IN (SELECT device_info FROM sp WHERE split = 'train') THEN 1 ELSE 0 END), 6) FROM sp WHERE split = 'test' AND device_info IS NOT NULL")
+OVERLAP = ("card1", "addr1", "email_domain", "device_info")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS key, round(avg(CASE WHEN {c} IN (SELECT {c} FROM sp WHERE split = 'train') THEN 1 ELSE 0 END), 6) AS share FROM sp WHERE split = 'test' AND {c} IS NOT NULL" for c in OVERLAP))
 def key_overlap(spark, d):
+    """Share of test rows whose key train has, for all keys in one pass."""
     s = split(spark, d)
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("v")) for c in ("card1", "device_info")]))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("v")) for c in OVERLAP]))
     kv = s.select("split", each.alias("x")).select("split", "x.*").filter("v is not null")
     per = kv.groupBy("key", "v").agg(F.max((F.col("split") == "train").cast("int")).alias("seen"), F.count_if(F.col("split") == "test").alias("n"))
     return per.groupBy("key").agg(F.round(F.sum(F.col("seen") * F.col("n")) / F.sum("n"), 6).alias("share"))
 
 
-@query("SELECT txn_id, CASE email_domain WHEN 'protonmail.com' THEN 0.40 WHEN 'mail.com' THEN 0.19 WHEN 'outlook.com' THEN 0.12 WHEN 'gmail.com' THEN 0.04 END::DOUBLE AS rate FROM txn")
+@query("SELECT txn_id, CASE email_domain WHEN 'protonmail.com' THEN 0.41 WHEN 'mail.com' THEN 0.19 WHEN 'outlook.es' THEN 0.13 WHEN 'aim.com' THEN 0.13 WHEN 'outlook.com' THEN 0.09 WHEN 'hotmail.es' THEN 0.07 WHEN 'live.com.mx' THEN 0.05 END::DOUBLE AS rate FROM txn")
 def domain_risk_lookup(spark, d):
     from ringsight.operators.features import DOMAIN_RISK
 
@@ -267,13 +290,10 @@ def new_ring_alerts(spark, d):
 @query("SELECT kind, key, day, txn_id, n, round(span_h, 9) AS window_hours FROM (SELECT *, row_number() OVER (PARTITION BY kind, key, day ORDER BY t, txn_id) AS n FROM rr JOIN win USING (kind, key, day)) WHERE n <= 40")
 def ring_detail(spark, d):
     w = Window.partitionBy("kind", "key", "day").orderBy("t", "txn_id")
-    j = rows(spark, d).select("kind", "key", "day", "t", "txn_id").join(rings(spark, d).select("kind", "key", "day", "span_h"), ["kind", "key", "day"])
+    j = rows(spark, d).select("kind", "key", "day", "t", "txn_id").join(rings(spark, d).select("kind", "key", "day", "span_h").hint("merge"), ["kind", "key", "day"])
     return j.withColumn("n", F.row_number().over(w).cast("long")).filter("n <= 40").select("kind", "key", "day", "txn_id", "n", R4("span_h").alias("window_hours"))
 
 
-DISP = "disp AS (SELECT 'd' || txn_id AS dispute_id, txn_id, t + 7200 + (txn_id % 5) * 3600 AS dt, CASE WHEN txn_id % 4 = 0 THEN NULL ELSE CAST(txn_id % 1000 AS BIGINT) END AS amount_minor FROM txn WHERE is_fraud = 1)"
-
-
 def disputes(spark, d):
     x = txn(spark, d).filter("is_fraud = 1")
     return x.select(F.concat(F.lit("d"), "txn_id").alias("dispute_id"), "txn_id", (F.col("t") + 7200 + (F.col("txn_id") % 5) * 3600).alias("dt"), F.when(F.col("txn_id") % 4 != 0, F.col("txn_id") % 1000).cast("long").alias("amount_minor"))
@@ -289,12 +309,12 @@ INR = "inr AS (SELECT DISTINCT txn_id FROM rr SEMI JOIN (SELECT kind, key, day F
 
 def in_ring(spark, d):
     f = rings(spark, d).filter("score_mean >= 0.35D").select("kind", "key", "day")
-    return rows(spark, d).join(f, ["kind", "key", "day"], "left_semi").select("txn_id").distinct()
+    return rows(spark, d).join(f.hint("merge"), ["kind", "key", "day"], "left_semi").select("txn_id").distinct()
 
 
 @query("SELECT dispute_id, txn_id, round(coalesce(amount_minor / 100.0, amount), 2) AS amount, score >= 0.5::DOUBLE OR inr.txn_id IS NOT NULL AS was_flagged FROM disp JOIN txn USING (txn_id) LEFT JOIN inr USING (txn_id)", DISP + ", " + INR)
 def dispute_enrich(spark, d):
-    j = disputes(spark, d).join(txn(spark, d).select("txn_id", "amount", "score"), "txn_id").join(in_ring(spark, d).withColumn("r", F.lit(True)), "txn_id", "left")
+    j = disputes(spark, d).join(txn(spark, d).select("txn_id", "amount", "score"), "txn_id").join(in_ring(spark, d).withColumn("r", F.lit(True)).hint("merge"), "txn_id", "left")
     return j.select("dispute_id", "txn_id", F.round(F.coalesce(F.col("amount_minor") / 100, "amount"), 2).alias("amount"), ((F.col("score") >= 0.5) | F.coalesce("r", F.lit(False))).alias("was_flagged"))
 
 
@@ -308,7 +328,7 @@ def dispute_status_update(spark, d):
 
 @query("SELECT dispute_id, CASE WHEN score >= 0.5::DOUBLE OR inr.txn_id IS NOT NULL THEN round(greatest((dt - t) / 3600, 0), 9) END AS lead_h FROM disp JOIN txn USING (txn_id) LEFT JOIN inr USING (txn_id)", DISP + ", " + INR)
 def lead_time(spark, d):
-    j = disputes(spark, d).join(txn(spark, d).select("txn_id", "t", "score"), "txn_id").join(in_ring(spark, d).withColumn("r", F.lit(True)), "txn_id", "left")
+    j = disputes(spark, d).join(txn(spark, d).select("txn_id", "t", "score"), "txn_id").join(in_ring(spark, d).withColumn("r", F.lit(True)).hint("merge"), "txn_id", "left")
     return j.select("dispute_id", F.when((F.col("score") >= 0.5) | F.coalesce("r", F.lit(False)), R4(F.greatest((F.col("dt") - F.col("t")) / 3600, F.lit(0.0)))).alias("lead_h"))
 
 
@@ -342,9 +362,11 @@ def ring_rank(spark, d):
     return rings(spark, d).filter("score_mean >= 0.35D").withColumn("rank", F.row_number().over(w).cast("long")).select("kind", "key", "day", "rank")
 
 
-@query("SELECT txn_id, round(score, 6) AS score FROM txn JOIN inr USING (txn_id) WHERE is_fraud = 1 ORDER BY txn.score DESC, txn_id LIMIT 1", INR)
+@query("SELECT txn_id, source, round(score, 6) AS score FROM (SELECT *, CASE WHEN txn_id % 5 = 0 THEN 'live' ELSE 'replay' END AS source FROM txn) x JOIN inr USING (txn_id) WHERE score >= 0.5::DOUBLE AND NOT (is_fraud = 1 AND txn_id % 2 = 0) AND (source = 'live' OR is_fraud = 1) ORDER BY source DESC, x.score DESC, txn_id LIMIT 1", INR)
 def dispute_candidate(spark, d):
-    return txn(spark, d).filter("is_fraud = 1").join(in_ring(spark, d), "txn_id", "left_semi").orderBy(F.desc("score"), "txn_id").limit(1).select("txn_id", F.round("score", 6).alias("score"))
+    """The flagged, undisputed row of a flagged ring with the highest score: frauds of the replay first, else live rows. Even frauds are disputed already."""
+    x = R.with_source(txn(spark, d)).filter((F.col("score") >= 0.5) & ~F.col("disputed") & ((F.col("source") == "live") | (F.col("is_fraud") == 1)))
+    return x.join(in_ring(spark, d).hint("merge"), "txn_id", "left_semi").orderBy(F.desc("source"), F.desc("score"), "txn_id").limit(1).select("txn_id", "source", F.round("score", 6).alias("score"))
 
 
 @query("SELECT txn_id, split FROM sp")
@@ -388,4 +410,4 @@ def union_flagged_members(spark, d):
 
 @query("SELECT kind, key, day, txn_id FROM rr SEMI JOIN win USING (kind, key, day)")
 def ring_members(spark, d):
-    return rows(spark, d).join(rings(spark, d), ["kind", "key", "day"], "left_semi").select("kind", "key", "day", "txn_id")
+    return rows(spark, d).join(rings(spark, d).hint("merge"), ["kind", "key", "day"], "left_semi").select("kind", "key", "day", "txn_id")

@@ -11,7 +11,6 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -29,24 +28,38 @@ def sink_splits(df: DataFrame, path: str) -> None:
 
 
 def sink_report(df: DataFrame, path: str) -> None:
-    """A report as JSON lines in one file; reports have a bounded number of rows."""
+    """A report as JSON lines in one file; reports have a bounded number of rows. Columns may be nested."""
     df.coalesce(1).write.json(path)
 
 
-def scan_report_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+def scan_report_json(spark: SparkSession, path: str, schema: StructType, pretty: bool = False) -> DataFrame:
+    """Reports of a given schema; ``pretty`` for files that hold one report over many lines."""
+    return spark.read.schema(schema).option("multiLine", pretty).json(path)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended: its _SUCCESS file is there."""
+    jvm = spark._jvm
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """What ``path`` holds; an empty table if nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """What ``path`` holds; an empty table if it is not there yet. A folder of batches is there once its first batch is."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def sink_event_store(batch: DataFrame, path: str, key: str = "txn_id") -> None:
-    """Append the rows whose key is not stored yet. Of rows that repeat a key in the batch, one is kept."""
+    """Append the rows whose key is not stored yet. Of rows that repeat a key in the batch, one is kept.
+
+    The committer moves files into the store when a job ends, so that a job that
+    died leaves none of its rows, and delivering its batch again stores them once.
+    """
     old = stored(batch.sparkSession, path, batch.schema).select(key)
     batch.dropDuplicates([key]).join(old.hint("merge"), key, "left_anti").write.mode("append").parquet(path)
 
@@ -60,11 +73,9 @@ def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
 def cache_features(spark: SparkSession, root: str, version: int, schema: StructType, build: Callable[[], DataFrame]) -> DataFrame:
     """Features of a version: read if they are there, else built and written under v=<version>."""
     path = f"{root}/v={version}"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        build().write.parquet(path)
-        return spark.read.schema(schema).parquet(path)
+    if not written(spark, path):  # absent, or left by a job that died
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringsight.functions import keys as K
+from ringsight.operators.metrics import quantiles
+
 DAY = 86400
+#: Event types, and two email domains for each.
+KINDS = ("view", "click", "purchase", "error")
+DOMAINS = ("mail.com", "aim.com", "gmail.com", "live.com.mx", "protonmail.com", "outlook.es", "outlook.com", "hotmail.es")
 PAYMENT = (
     "struct<id string, amount bigint, currency string, email string, contact string, method string, "
     "card struct<last4 string, network string, issuer string, type string, international string>, created_at double, notes map<string,string>>"
@@ -23,13 +29,15 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", k.alias("k"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("t"))
     k, user = F.col("k"), F.col("user_id")
-    email = F.create_map(*[F.lit(x) for x in ("view", "mail.com", "click", "gmail.com", "purchase", "protonmail.com", "error", "outlook.com")])
+    email = F.array(*map(F.lit, DOMAINS))
+    device = F.array(*map(F.lit, K.GENERIC_DEVICES))
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")).cast("int")
     return e.select(
         F.col("event_id").alias("txn_id"), F.col("t").cast("long").alias("t"), F.col("value").alias("amount"),
         (F.floor(user / 2) + (k % 3) * 100000).cast("long").alias("card1"), user.cast("long").alias("account"),
         F.when(k % 7 != 0, user % 40).cast("long").alias("addr1"), (k % 4).cast("long").alias("addr2"),
-        F.try_element_at(email, F.col("event_type")).alias("email_domain"),
-        F.when(k % 5 == 0, None).when(k % 5 == 1, "Windows").otherwise(F.concat(F.lit("D"), k, F.lit(" "), F.col("event_type"))).alias("device_info"),
+        F.when(kind > 0, F.try_element_at(email, 2 * kind - (k % 2).cast("int"))).alias("email_domain"),
+        F.when(k % 5 == 0, None).when(k % 5 == 1, F.try_element_at(device, (F.floor(k / 5) % 6 + 1).cast("int"))).otherwise(F.concat(F.lit("D"), k, F.lit(" "), F.col("event_type"))).alias("device_info"),
         F.concat(F.lit("browser "), k % 3).alias("browser"), F.least(F.col("value") / 200, F.lit(0.999)).alias("score"),
         F.when(((F.col("value") > 100) & (F.col("event_id") % 3 != 0)) | (F.col("event_id") % 29 == 0), 1).otherwise(0).alias("is_fraud"),
     )
@@ -40,10 +48,9 @@ def identity(txn: DataFrame) -> DataFrame:
 
 
 def temporal_split(txn: DataFrame, low: float = 0.7, high: float = 0.85) -> DataFrame:
-    """split by the value quantiles of t, interpolated; the two cuts are a one-row table."""
-    q = txn.agg(F.percentile("t", F.array(F.lit(low), F.lit(high))).alias("q"))
-    out = txn.crossJoin(F.broadcast(q))
-    return out.withColumn("split", F.when(F.col("t") <= F.col("q")[0], "train").when(F.col("t") <= F.col("q")[1], "val").otherwise("test")).drop("q")
+    """split by the value quantiles of t, interpolated."""
+    a, b = quantiles(txn, "t", [low, high])
+    return txn.withColumn("split", F.when(F.col("t") <= F.lit(a), "train").when(F.col("t") <= F.lit(b), "val").otherwise("test"))
 
 
 def payment_events(json_rows: DataFrame, column: str = "value") -> DataFrame:
@@ -52,6 +59,14 @@ def payment_events(json_rows: DataFrame, column: str = "value") -> DataFrame:
     return x.select("x.event", F.col("x.payload.payment.entity").alias("payment"), F.coalesce(F.col("x.payload.dispute.entity"), F.col("x.payload.`payment.dispute`.entity")).alias("dispute"))
 
 
+def dispute_json(disputes: DataFrame) -> DataFrame:
+    """Webhook bodies of disputes (dispute_id, txn_id, amount_minor); odd ones stand under payload.dispute, the others under payload.payment.dispute."""
+    entity = F.struct(F.col("dispute_id").alias("id"), F.concat(F.lit("pay_"), "txn_id").alias("payment_id"), F.lit("fraud").alias("phase"), F.lit("10.4").alias("reason_code"), F.col("amount_minor").alias("amount"), F.lit("open").alias("status"))
+    held = F.struct(entity.alias("entity"))
+    body = lambda name: F.to_json(F.struct(F.lit("payment.dispute.created").alias("event"), F.struct(held.alias(name)).alias("payload")))
+    return disputes.select(F.when(F.col("txn_id") % 2 == 1, body("dispute")).otherwise(body("payment.dispute")).alias("value"))
+
+
 def payment_json(txn: DataFrame) -> DataFrame:
     """Webhook bodies of the transactions, as a feed would deliver them."""
     entity = F.struct(

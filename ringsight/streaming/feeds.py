@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ringsight.functions import keys as K
 from ringsight.operators import features as X
 from ringsight.operators import privacy as P
 from ringsight.operators import rings as R
 from ringsight.session import staged
-from ringsight.sources.files import latest
+from ringsight.sources.files import latest, stored, written
 
 LATE, WEEK, DAY, HOUR = "1 hour", 604800, 86400, 3600
 
@@ -32,7 +32,9 @@ def deduplicated(feed: DataFrame) -> DataFrame:
 
 
 def scored(feed: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return feed.withColumn("flagged", F.col("score") >= threshold)
+    """``feed`` with flagged, and for flagged rows the text of an alert."""
+    hit = F.col("score") >= threshold
+    return feed.withColumn("flagged", hit).withColumn("alert", F.when(hit, F.format_string("payment %d scored %.2f", "txn_id", "score")))
 
 
 def sliding_rings(feed: DataFrame) -> DataFrame:
@@ -47,26 +49,71 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.35) -> None:
-    """Rings of each batch's trailing week; a ring is appended to ``path`` the first time that it is flagged."""
-    store = f"{checkpoint}-rows"
+def each_batch(stream: DataFrame, step, checkpoint: str, mode: str = "append") -> None:
+    """Call ``step`` (rows, number) for what is there. A batch may come again after a crash, so a step overwrites what it wrote for that number."""
+    stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def numbered(path: str, number: int) -> str:
+    return f"{path}/batch={number}"
+
+
+def run_feed(feed: DataFrame, path: str, checkpoint: str) -> None:
+    """txn_id, t and the clock, the latest time delivered up to the row's batch."""
     spark = feed.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        held = batch.withColumns({"batch": F.lit(number).cast("long"), "stored_day": F.floor(F.col("t") / DAY).cast("long")})
-        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "stored_day").parquet(store)
+        clock = tick(spark, batch, checkpoint, number)
+        if clock is not None:
+            batch.select("txn_id", "t", F.lit(clock).cast("long").alias("clock")).write.mode("overwrite").parquet(numbered(path, number))
+
+    each_batch(feed, step, checkpoint)
+
+
+def tick(spark: SparkSession, batch: DataFrame, checkpoint: str, number: int) -> int | None:
+    """The latest t up to this batch: one row a batch is kept. None before the first row."""
+    clocks = f"{checkpoint}-clock"
+    batch.agg(F.max("t").alias("t")).write.mode("overwrite").parquet(numbered(clocks, number))
+    return spark.read.schema("t long, batch long").parquet(clocks).filter(F.col("batch") <= number).agg(F.max("t")).first()[0]
+
+
+def run_sliding(feed: DataFrame, path: str, checkpoint: str) -> None:
+    """The windows that a batch changes, under its number; ``last_sliding`` reads what stands."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.floor(F.unix_timestamp("window.start") / DAY).cast("long").alias("day"), "kind", "key", "txns", "members", "score_mean")
+        rows.write.mode("overwrite").parquet(numbered(path, number))
+
+    each_batch(sliding_rings(feed), step, checkpoint, "update")
+
+
+def last_sliding(spark: SparkSession, path: str) -> DataFrame:
+    """day (the window's first), kind, key, txns, members, score_mean of every window as last seen."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("day", "kind", "key").agg(F.max_by(F.struct("txns", "members", "score_mean"), "batch").alias("x"))
+    return last.select("day", "kind", "key", "x.*")
+
+
+def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.35) -> None:
+    """Rings of the week up to each batch's clock; a ring is written to ``path`` the first time that it is flagged.
+
+    Rows are stored by day, so that a batch reads the days of its week only.
+    """
+    store, spark = f"{checkpoint}-rows", feed.sparkSession
+
+    def step(batch: DataFrame, number: int) -> None:
+        held = batch.withColumns({"stored_day": F.floor(F.col("t") / DAY).cast("long"), "batch": F.lit(number).cast("long")})
+        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stored_day", "batch").parquet(store)
+        clock = tick(spark, batch, checkpoint, number)
+        if clock is None:
+            return
         rows = spark.read.schema(held.schema).parquet(store)
-        last = rows.agg(F.max("stored_day")).first()[0]
-        kept = rows.filter(F.col("stored_day") >= (last or 0) - WEEK // DAY).dropDuplicates(["txn_id"])
-        top = kept.agg(F.max("t").alias("m"))
-        recent = kept.crossJoin(F.broadcast(top)).filter(F.col("t") >= F.col("m") - WEEK).drop("m")
-        new = R.flagged(R.in_window(R.ring_agg(R.ring_rows(recent))), threshold).select("kind", "key", "day", "members", "score_mean")
-        if number:
-            old = spark.read.schema(new.schema).parquet(path).select("kind", "key", "day")
-            new = new.join(old, ["kind", "key", "day"], "left_anti")
-        new.write.mode("append").parquet(path)
+        recent = rows.filter((F.col("stored_day") >= (clock - WEEK) // DAY) & (F.col("t") >= clock - WEEK) & (F.col("batch") <= number)).dropDuplicates(["txn_id"])
+        new = R.flagged(R.in_window(R.ring_agg(R.ring_rows(recent.drop("batch", "stored_day")))), threshold).select("kind", "key", "day", "members", "score_mean")
+        old = stored(spark, path, StructType([*new.schema.fields, StructField("batch", LongType())])).filter(F.col("batch") < number).select("kind", "key", "day")
+        new.join(old.hint("merge"), ["kind", "key", "day"], "left_anti").write.mode("overwrite").parquet(numbered(path, number))
 
-    feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    each_batch(feed, step, checkpoint)
 
 
 def run_velocity(feed: DataFrame, path: str, checkpoint: str) -> None:
@@ -87,20 +134,21 @@ def run_velocity(feed: DataFrame, path: str, checkpoint: str) -> None:
         near = rows.filter((F.col("hour") >= span[0] - 1) & (F.col("hour") <= span[1]) & (F.col("batch") <= number))
         seen = near.groupBy("txn_id").agg(F.min("batch").alias("batch"))
         own = X.hour_peers(near.join(seen.hint("merge"), ["txn_id", "batch"], "left_semi")).filter(F.col("batch") == number)
-        own.select("txn_id", "accounts", "merchants", "cards").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        own.select("txn_id", "accounts", "merchants", "cards").write.mode("overwrite").parquet(numbered(path, number))
 
-    feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    each_batch(feed, step, checkpoint)
 
 
 def run_disputes(feed: DataFrame, transactions: DataFrame, path: str, checkpoint: str) -> None:
-    """Disputes (dispute_id, txn_id, dt, amount_minor, status) joined to stored transactions; those of unknown transactions are left out.
+    """Disputes (dispute_id, txn_id, dt, amount_minor, status) joined to stored transactions (txn_id, amount, warned); those of unknown transactions are left out.
 
-    Amounts are in major units, or the transaction's where the dispute has none.
+    ``warned`` tells whether a transaction was flagged or lay in a flagged ring. Amounts
+    are in major units, or the transaction's where the dispute has none.
     ``latest_disputes`` gives the last status of each.
     """
-    known = transactions.select("txn_id", F.col("amount").alias("_amount"), "score")
+    known = transactions.select("txn_id", F.col("amount").alias("_amount"), F.col("warned").alias("was_flagged"))
     j = feed.join(known.hint("shuffle_hash"), "txn_id")
-    out = j.select("dispute_id", "txn_id", "dt", F.round(F.coalesce(F.col("amount_minor") / 100, "_amount"), 2).alias("amount"), (F.col("score") >= 0.5).alias("was_flagged"), "status")
+    out = j.select("dispute_id", "txn_id", "dt", F.round(F.coalesce(F.col("amount_minor") / 100, "_amount"), 2).alias("amount"), "was_flagged", "status")
     run_available(out, path, checkpoint)
 
 
@@ -112,14 +160,16 @@ def latest_disputes(spark: SparkSession, path: str) -> DataFrame:
 def run_fed_detect(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.3) -> None:
     """Rings over merchants' committed histograms of all rows so far; ``path`` holds the result after each batch.
 
-    Only histograms are kept between batches: a batch adds its own to those before.
+    Only sums are kept between batches: a batch adds its own to the last.
     """
-    store, spark = f"{checkpoint}-hist", feed.sparkSession
+    sums, spark = f"{checkpoint}-sums", feed.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        P.merchant_hist(R.ring_rows(batch).withColumn("merchant", K.merchant())).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        held = spark.read.parquet(store).filter(F.col("batch") <= number)
-        hist = staged(held.groupBy("merchant", "kind", "fp").agg(*[F.sum(b).alias(b) for b in P.B]), "hist")
-        P.fed_rings(hist, P.commitments(hist), threshold).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    feed.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        new = P.merchant_hist(R.ring_rows(batch).withColumn("merchant", K.merchant()))
+        last = next((n for n in range(number - 1, -1, -1) if written(spark, numbered(sums, n))), None)
+        held = new if last is None else new.unionByName(spark.read.schema(new.schema).parquet(numbered(sums, last)))
+        held.groupBy("merchant", "kind", "fp").agg(*[F.sum(b).alias(b) for b in P.B]).write.mode("overwrite").parquet(numbered(sums, number))
+        hist = spark.read.schema(new.schema).parquet(numbered(sums, number))
+        P.fed_rings(hist, P.commitments(hist), threshold).write.mode("overwrite").parquet(numbered(path, number))
+
+    each_batch(feed, step, checkpoint)
