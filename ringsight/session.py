@@ -29,9 +29,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """The side of a join with a hint: broadcast up to MOST_IDS counted rows, else merged. ``table`` should be cheap to count."""
-    return F.broadcast(table) if table.count() <= MOST_IDS else table.hint("merge")
+def sized(table: DataFrame, most: int = 200_000) -> DataFrame:
+    """The side of a join with a hint: broadcast up to ``most`` counted rows, else merged. ``table`` should be cheap to count."""
+    return F.broadcast(table) if table.count() <= most else table.hint("merge")
 
 
 def by_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
