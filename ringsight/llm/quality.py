@@ -1,12 +1,19 @@
 """Quality rules whose cutoffs are controlled for false rejection. Native expressions only.
 
-Base features are counted within each row. For every rule there is a grid of
-cutoffs; for every stratum (language) and cutoff the labelled good documents that
-the rule would reject are counted over all labels. A cutoff is admissible if the
-exact binomial tail P(Bin(n, a) <= k) at the tolerated rate a is at most the error
-budget divided by the number of tests (Bonferroni over strata, rules and cutoffs),
-which is the same as an exact upper confidence bound on the rate being below a. Of
-the admissible cutoffs the strictest is taken; a stratum without one keeps all.
+Base features are counted within each row. Every rule has cutoffs from loose to
+strict, and all rules together have one path fixed beforehand: level by level, rule
+by rule, one cutoff is tightened at a time, so that each step of the path rejects
+what the step before rejects and maybe more. A document falls at the first step that
+rejects it.
+
+For every stratum (language) the labelled good documents that have fallen by each
+step are counted over all labels. The exact binomial tail P(Bin(n, a) <= k) at the
+tolerated rate a tests "more than a share a of the good ones is rejected" for each
+step. Steps are tested in the order of the path until one is not significant (a
+fixed sequence needs no correction along the path); the error budget is divided by
+the number of strata (Bonferroni). So with probability 1 - ERROR no stratum loses
+more than RATE of its good documents. A stratum without enough labels for the first
+step keeps all.
 """
 
 from __future__ import annotations
@@ -15,24 +22,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringsight.llm.common import bind, by_ids, read, staged, words
+from ringsight.session import sized
 
 MIN_WORDS, MAX_REPEAT = 50, 50
-#: Strata; any other language, or none, is "other".
-STRATA = ("de", "en", "es", "fr", "other")
-#: rule -> (numerator, denominator, cutoffs in thousandths; a document fails if 1000 * numerator > cutoff * denominator)
+#: rule -> (numerator, denominator, cutoffs in thousandths, loose to strict; a document fails if 1000 * numerator > cutoff * denominator)
 RULES = {
-    "symbols": ("n_symbols", "n_words", (20, 50, 100, 200, 400, 800)),
-    "dup_lines": ("n_dup_lines", "n_lines", (50, 100, 200, 300, 400, 600)),
-    "repeats": ("n_repeat_words", "n_words", (50, 100, 200, 300, 400)),
-    "long_words": ("word_chars", "n_words", (7000, 8000, 9000, 10000, 12000, 15000)),
-    "shouting": ("n_upper", "word_chars", (60, 100, 150, 200, 300, 500)),
+    "symbols": ("n_symbols", "n_words", (800, 400, 200, 100, 50, 20)),
+    "dup_lines": ("n_dup_lines", "n_lines", (600, 400, 300, 200, 100, 50)),
+    "repeats": ("n_repeat_words", "n_words", (400, 300, 200, 100, 50)),
+    "long_words": ("word_chars", "n_words", (15000, 12000, 10000, 9000, 8000, 7000)),
+    "shouting": ("n_upper", "word_chars", (500, 300, 200, 150, 100, 60)),
 }
-#: Tolerated rate of false rejection over all rules, and the chance that any bound fails.
-RATE, ERROR = 0.05, 0.05
-
-
-def stratum(lang: Column) -> Column:
-    return F.when(lang.isin(*STRATA[:-1]), lang).otherwise(STRATA[-1])
+#: The path: (rule, cutoff) of each step.
+PATH = [(r, grid[j]) for j in range(max(len(g) for _, _, g in RULES.values())) for r, (_, _, grid) in RULES.items() if j < len(grid)]
+#: Tolerated rate of false rejection by all rules together, and the chance that any stratum exceeds it.
+RATE, ERROR = 0.03, 0.05
 
 
 def repeat_words(hashes: Column) -> Column:
@@ -76,7 +80,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         repeat_words(F.col("_h")).alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
         F.regexp_count(F.col("_t"), F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        stratum(F.col("lang")).alias("stratum"),
+        F.coalesce("lang", F.lit("none")).alias("stratum"),
     )
 
 
@@ -84,11 +88,25 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
 
 
-def fires(rule: str, cutoff: Column) -> Column:
+def fires(rule: str, cutoff: int) -> Column:
     num, den, _ = RULES[rule]
     return 1000 * F.col(num) > cutoff * F.col(den)
 
 
+def fall() -> Column:
+    """The first step of the path that rejects a document; null if none does."""
+    out = F
+    for i, (r, c) in enumerate(PATH):
+        out = out.when(fires(r, c), i)
+    return out
+
+
+def cutoffs_at(level: int | None) -> dict[str, int | None]:
+    """The cutoff of each rule at a step of the path."""
+    steps = PATH[: level + 1] if level is not None else []
+    return {r: min((c for x, c in steps if x == r), default=None) for r in RULES}
+
+
 def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     """P(Bin(n, rate) <= k), summed in logarithms."""
     step = lambda a, i: F.struct(
@@ -99,30 +117,27 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k >= n * rate, 1.0).when(k == 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step)["s"])
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, rate: float = RATE, error: float = ERROR) -> DataFrame:
-    """One row per stratum (at most len(STRATA)) with the cutoff of each rule, null where none is admissible.
+def levels(features: DataFrame, labels: DataFrame, rate: float = RATE, error: float = ERROR) -> DataFrame:
+    """stratum, n (labelled good documents) and level, the last step of the path that is admitted; null where none is.
 
     features: of with_features; labels: doc_id, quality (1 is good). A document that
     is labelled more than once counts with its lowest label. Documents that fail the
     base rules do not count.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
-    held = features.filter(~base_failed()).join(good.hint("merge"), "doc_id", "left_semi")
-    tests = [(r, c) for r, (_, _, grid) in RULES.items() for c in grid]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(fires(r, F.lit(c))).alias(f"{r}_{c}") for r, c in tests])
-    least = error / (len(tests) * len(STRATA))
-    admissible = lambda r, c: F.when(binomial_tail(F.col("n"), F.col(f"{r}_{c}"), rate / len(RULES)) <= least, c)
-    strictest = {r: [admissible(r, c) for c in grid] for r, (_, _, grid) in RULES.items()}
-    return counts.select("stratum", *[F.least(*v).alias(f"cut_{r}") for r, v in strictest.items()])
+    held = features.filter(~base_failed()).join(good.hint("merge"), "doc_id", "left_semi").select("stratum", fall().alias("_fall"))
+    counts = staged(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_fall") <= i).alias(f"_{i}") for i in range(len(PATH))]), "counts")
+    least = error / max(1, counts.count())
+    tails = [binomial_tail(F.col("n"), F.col(f"_{i}"), rate) for i in range(len(PATH))]
+    passed = F.filter(F.transform(F.array(*tails), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] <= least)
+    # tails rise along the path, so those that pass are its beginning
+    return counts.select("stratum", "n", F.when(F.size(passed) > 0, F.size(passed) - 1).alias("level"))
 
 
 def verdict(features: DataFrame, cuts: DataFrame) -> DataFrame:
-    """features plus base_failed and kept. ``cuts`` has at most len(STRATA) rows, so it is broadcast."""
-    joined = features.join(F.broadcast(cuts), "stratum", "left").withColumn("base_failed", base_failed())
-    hit = F.lit(False)
-    for r in RULES:
-        hit = hit | F.coalesce(fires(r, F.col(f"cut_{r}")), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~hit)
+    """features plus base_failed and kept. ``cuts`` has one row per stratum."""
+    joined = features.join(sized(staged(cuts.select("stratum", F.col("level").alias("_level")), "cuts")), "stratum", "left").withColumn("base_failed", base_failed())
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(fall() <= F.col("_level"), F.lit(False))).drop("_level")
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -133,7 +148,7 @@ def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     doc_id stay.
     """
     feats = staged(with_features(docs.select("doc_id", "text", "lang")).drop("text", "lang"), "features")
-    bad = staged(verdict(feats, cutoffs(feats, labels)).filter("not kept").select("doc_id").distinct(), "rejected")
+    bad = staged(verdict(feats, levels(feats, labels)).filter("not kept").select("doc_id").distinct(), "rejected")
     return by_ids(docs, bad, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -143,14 +158,12 @@ COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     feats = staged(with_features(docs).drop("text", "lang"), "features")
-    return verdict(feats, cutoffs(feats, read(spark, sf_dir, "labels"))).select(*COLUMNS)
+    return verdict(feats, levels(feats, read(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
-_TESTS = [(r, num, den, c) for r, (num, den, grid) in RULES.items() for c in grid]
-_N_TESTS = len(_TESTS) * len(STRATA)
-_A = RATE / len(RULES)
+_FALL = "CASE " + " ".join(f"WHEN 1000 * {RULES[r][0]} > {c} * {RULES[r][1]} THEN {i}" for i, (r, c) in enumerate(PATH)) + " END"
 OP9_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({', '.join(f"'{s}'" for s in STRATA[:-1])}) THEN lang ELSE 'other' END AS stratum FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, 'none') AS stratum FROM documents),
 w AS (SELECT doc_id, stratum, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
              [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS ls FROM d),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)),
@@ -160,13 +173,11 @@ f AS (SELECT w.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(
              CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              coalesce(cov.n, 0) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS n_upper
       FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
-b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM f),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed, {_FALL} AS fall FROM f),
 good AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1)),
-t(rule, cutoff) AS (VALUES {', '.join(f"('{r}', {c})" for r, _, _, c in _TESTS)}),
-k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE CASE rule {' '.join(f"WHEN '{r}' THEN 1000 * {num} > cutoff * {den}" for r, (num, den, _) in RULES.items())} END) AS k FROM good, t GROUP BY ALL),
-ok AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM k WHERE k < n * {_A!r}::DOUBLE
-         AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_A!r}::DOUBLE) + (n - i) * ln(1 - {_A!r}::DOUBLE)) FOR i IN range(0, k + 1)]) <= {ERROR / _N_TESTS!r}::DOUBLE
-       GROUP BY ALL),
-x AS (SELECT DISTINCT doc_id FROM b JOIN ok USING (stratum) WHERE CASE rule {' '.join(f"WHEN '{r}' THEN 1000 * {num} > cutoff * {den}" for r, (num, den, _) in RULES.items())} END)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM b
+k AS (SELECT stratum, i, count(*) AS n, count(*) FILTER (WHERE fall <= i) AS k FROM good, (SELECT unnest(range(0, {len(PATH)})) AS i) GROUP BY ALL),
+ok AS (SELECT stratum, max(i) AS level FROM k WHERE k < n * {RATE!r}::DOUBLE
+         AND list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RATE!r}::DOUBLE) + (n - i) * ln(1 - {RATE!r}::DOUBLE)) FOR i IN range(0, k + 1)]) <= {ERROR!r}::DOUBLE / (SELECT count(DISTINCT stratum) FROM k)
+       GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(fall <= level, false) AS kept FROM b LEFT JOIN ok USING (stratum)
 """

@@ -163,6 +163,23 @@ def test_warc(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_warc_parts(spark):
+    """Members and records over any borders of parts; a cut file is an error."""
+    import gzip
+
+    rec = lambda b: f"WARC/1.1\r\nContent-Length: {len(b)}\r\nX: y\r\n\r\n".encode() + b + b"\r\n\r\n"
+    bodies = [b"", b"a\r\n\r\nb", b"z" * 5000, "é".encode() * 700]
+    blob = b"".join(gzip.compress(rec(b)) for b in bodies[:2]) + gzip.compress(b"".join(map(rec, bodies[2:])))
+    for step in (1, 7, 64, 1 << 20):
+        assert [b for _, b in warc.parse_warc(warc.inflated(blob, step))] == bodies
+    with pytest.raises(ValueError):
+        list(warc.parse_warc([b"".join(map(rec, bodies))[:-900]]))
+    path = workspace(spark, "warc")
+    pages = spark.createDataFrame([(i, "u", "x" * (i * 10)) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, path, file_bytes=20_000)
+    assert spark.read.format("binaryFile").load(path).count() > 5 and warc.read_archives(spark, path).count() == 200
+
+
 # 4 Jaccard
 def words(t):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
@@ -249,8 +266,8 @@ def test_jaccard_edges(odd, none):
 def test_signatures_lose_no_pair(num, den):
     rng = np.random.default_rng(5)
     scheme = jaccard.Scheme(num, den)
-    boundary = scheme.boundary
-    for _ in range(3000):
+    for trial in range(3000):
+        boundary = (1, 8, 12, 20)[trial % 4]
         n = int(rng.integers(1, 400)) if rng.random() < 0.3 else int(rng.integers(1, 45))
         a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
         cut = int(rng.integers(0, max(1, n // 4) + 1))
@@ -265,6 +282,32 @@ def test_signatures_lose_no_pair(num, den):
                 assert len(np.intersect1d(gx, gy)) >= max(scheme.need(len(x)), scheme.need(len(y)))
 
 
+def test_boundary_follows_cost():
+    s = jaccard.Scheme(90, 100)
+    assert s.fitted({5: 1000}).boundary >= 5 and s.fitted({30: 1000}).boundary < 30 and s.fitted({}).boundary == 1
+    for sizes in ({5: 10, 14: 3, 20: 50}, {9: 1, 12: 1000, 13: 5}, {k: 1 for k in range(1, 60)}):
+        b = s.fitted(sizes).boundary
+        assert all(s.cost(b, sizes) <= s.cost(x, sizes) for x in range(1, 90) if s.subsets(x) <= jaccard.MOST_SUBSETS)
+
+
+@pytest.mark.parametrize("block", [2, 5])
+def test_open_lists_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "OPEN", block)
+    rng = np.random.default_rng(8)
+    docs_text = {}
+    for g in range(6):  # groups whose members differ from the least one more than from each other
+        base = [f"v{g}_{i}" for i in range(60)]
+        for k in range(12):
+            v = list(base)
+            for _ in range(int(rng.integers(0, 6))):
+                v[int(rng.integers(60))] = f"w{rng.integers(3)}"
+            docs_text[100 * g + k] = " ".join(v)
+    df = spark.createDataFrame(list(docs_text.items()), "doc_id long, text string").repartition(3)
+    for n, num in ((3, 90), (3, 75)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, n, num, 100).collect()}
+        assert got == brute(docs_text, n, num, 100)
+
+
 # 5 language
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -295,7 +338,47 @@ def test_presence_in_parts(monkeypatch):
     assert set(whole) <= set(langid.Presence()(text))
 
 
+def test_scores_are_kernel_ridge():
+    """With all training texts as landmarks the model is the exact weighted kernel ridge regression, here solved in its dual form."""
+    texts_, langs = ["der hund und die katze", "das haus und der baum", "the dog and the cat", "the house and a tree", "le chien et le chat", "la maison et un arbre", "ein mann", "a man", "un homme"], ["de", "de", "en", "en", "fr", "fr", "de", "en", "fr"]
+    ridge = 1e-2
+    model = langid.Model(texts_, langs, landmarks=100, ridge=ridge)
+
+    make = langid.Presence()
+    grams = lambda t: set(make(t).tolist())
+    plain = {f" {t} "[i : i + n] for t in texts_[:1] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
+    assert len(plain) - 2 <= len(grams(texts_[0])) <= len(plain)  # but for grams that share a bucket
+    kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    w = np.array([1 / langs.count(x) for x in langs])
+    k = np.array([[kernel(a, b) + 1 for b in texts_] for a in texts_])
+    y = np.array([[1.0 if x == lang else -1.0 for lang in model.langs] for x in langs])
+    alpha = np.linalg.solve(k + ridge * np.diag(1 / w), y)
+    new = ["the hund and le chat", "un arbre", "xyz"]
+    want = np.array([[kernel(a, b) + 1 for b in texts_] for a in new]) @ alpha
+    assert np.allclose(model.scores(*langid.Presence().matrix(new)), want, atol=2e-3)
+
+
+def test_language_replaces_clashing_columns(spark, none):
+    df = spark.createDataFrame([(1, "the house", "en", 7, "x"), (2, "das haus", "de", 8, "y")], "doc_id long, text string, lang string, score int, lang_pred string")
+    got = langid.predict(df, langid.fit(df))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and [r["lang_pred"] for r in got.orderBy("doc_id").collect()] == ["en", "de"]
+
+
 # 6 and 7 tokenizers
+def test_pretokens_of_all_characters():
+    """Cut by the pattern, a text has the tokenizer's own pre-tokens: their lengths add up to its tokens."""
+    path = bpe.default_path("byte_bpe_50k.json")
+    lib = bpe.library(path)
+    rng = np.random.default_rng(6)
+    alpha = [chr(c) for c in [*range(0, 0x250), 0x300, 0x301, 0x2028, 0x200B, 0x3A3, 0x3C2, 0x4E00, 0x4E8C, 0x43C, 0x438, 0x1F642, 0x3000, 0x661, 0x2167]] + [" "] * 80 + ["\n", "\t", "'s", "'ll", tokencount.SPECIAL, "<|"] * 4
+    cases = ["".join(rng.choice(alpha, int(rng.integers(0, 50)))) for _ in range(4000)]
+    cut = [tokencount.pretokens(t) for t in cases]
+    assert ["".join(p) for p in cut] == cases
+    flat = [w for p in cut for w in p]
+    n = iter(tokencount.token_lengths(flat, path))
+    assert [sum(next(n) for _ in p) for p in cut] == [len(e.ids) for e in lib.encode_batch(cases, add_special_tokens=False)]
+
+
 def test_token_counts(docs, odd, none):
     path = bpe.default_path("byte_bpe_50k.json")
     lib = bpe.library(path)
@@ -383,6 +466,22 @@ def test_license_files_and_wrapped_headers(spark):
     assert got[207]["license"] == "MIT" and got[208]["via"] == "none"
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_license_ties_copies_and_long_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MOST_DIRS", most)  # salted and broadcast joins
+    long = "\n".join(f"some words of line {i} without blank lines between" for i in range(6000))
+    rows = [
+        (1, "r/LICENSE", "Released under the MIT License"), (1, "r/LICENSE", "Released under the MIT License"), (2, "r/COPYING", "Licensed under CC BY-NC 4.0"), (3, "r/x.c", "a"), (3, "r/x.c", "a"),
+        (4, "l/a.txt", long + "\nReleased under the MIT License\n" + long), (5, "l/b.txt", long + "\nall permission " * 200), (6, None, None), (7, "", ""), (None, "r/y.c", "b"),
+    ]
+    got = defaultdict(list)
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect():
+        got[r["doc_id"]].append((r["license"], r["via"], r["from_dir"]))
+    assert got[1] == [("MIT", "header", None)] * 2 and got[2] == [("CC-BY-NC-4.0", "header", None)]
+    assert got[3] == [("MIT", "inherited", "r")] * 2 and got[None] == [("MIT", "inherited", "r")]  # of a directory's licence files the least doc_id gives
+    assert got[4] == [("MIT", "header", None)] and got[5] == got[6] == got[7] == [(None, "none", None)]
+
+
 # 9 quality
 def naive_features(t):
     import re
@@ -418,6 +517,53 @@ def test_quality_cutoffs(spark, none):
     assert [r["doc_id"] for r in quality.quality_filter(some, labels).collect()] == [1]
 
 
+def test_quality_levels_on_known_labels(spark):
+    """Of 1,000 good documents a stratum, the share that falls at each step is known; the level is what the exact test says, by plain Python."""
+    from math import comb
+
+    rate, error = 0.05, 0.05
+    tail = lambda n, k: sum(comb(n, i) * rate**i * (1 - rate) ** (n - i) for i in range(k + 1))
+    fallen = {"a": {0: 10, 1: 5, 7: 12, 20: 100}, "b": {2: 400}, "c": {}, "few": {}}  # step -> documents
+    rows, doc = [], 0
+    for stratum, steps in fallen.items():
+        n = 40 if stratum == "few" else 1000
+        todo = [s for s, k in steps.items() for _ in range(k)]
+        for step in todo + [None] * (n - len(todo)):
+            f = {"n_words": 1000, "word_chars": 5000, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 1000, "n_upper": 0}
+            if step is not None:
+                rule, cut = quality.PATH[step]
+                num, den, _ = quality.RULES[rule]
+                f[num] = cut * f[den] // 1000 + 1
+            rows.append((doc, stratum, *f.values()))
+            doc += 1
+    feats = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
+    labels = feats.select("doc_id", F.lit(1).alias("quality")).unionByName(feats.filter("stratum = 'few'").select("doc_id", F.lit(1).alias("quality")))
+    got = {r["stratum"]: r["level"] for r in quality.levels(feats, labels, rate, error).collect()}
+    want = {}
+    for stratum, steps in fallen.items():
+        n = 40 if stratum == "few" else 1000
+        ok = [i for i in range(len(quality.PATH)) if tail(n, sum(k for s, k in steps.items() if s <= i)) <= error / 4]
+        want[stratum] = max(ok) if ok else None
+    assert got == want and got["a"] == 19 and got["b"] == 1 and got["c"] == len(quality.PATH) - 1 and got["few"] is None
+    kept = {(r["stratum"], r["kept"]): r["count"] for r in quality.verdict(feats, quality.levels(feats, labels, rate, error)).groupBy("stratum", "kept").count().collect()}
+    assert kept == {("a", False): 27, ("a", True): 973, ("b", True): 1000, ("c", True): 1000, ("few", True): 40}
+    assert quality.cutoffs_at(got["b"]) == {"symbols": 800, "dup_lines": 600, "repeats": None, "long_words": None, "shouting": None} and set(quality.cutoffs_at(None).values()) == {None}
+
+
+def test_quality_sql_where_levels_are_admitted(spark):
+    """At sf0.1 every stratum has a level; query and SQL agree on it."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = {tuple(r) for r in con.sql(f"SELECT {', '.join(quality.COLUMNS)} FROM ({quality.OP9_SQL})").fetchall()}
+    got = quality.op9_quality_rules(spark, sf).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert any(not r["kept"] and not r["base_failed"] for r in got)
+
+
 # 10 fingerprints
 def test_fingerprints(spark, docs, odd, none):
     for df in (docs, odd):
@@ -434,6 +580,54 @@ def test_fingerprints(spark, docs, odd, none):
     assert fingerprints.with_next(none.select("doc_id", "text").withColumn("sketch", F.array().cast("array<long>"))).count() == 0
 
 
+def brute_sketch(text, k=128, size=5):
+    import xxhash
+
+    w = __import__("re").findall("[^\x20\x09-\x0d]+", text)
+
+    def h(parts):
+        x = 42
+        for p in parts:
+            x = xxhash.xxh64_intdigest(p.encode(), seed=x)
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    grams = {h(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {h([" ".join(w)])} if w else set()
+    return sorted(grams)[:k]
+
+
+def brute_resemblance(a, b, k=128):
+    both = sorted(set(a) | set(b))[:k]
+    return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
+
+
+def test_op10_matches_plain_python(spark, tmp_path):
+    from ringsight.llm.queries import QUERIES
+
+    t = texts(spark.read.parquet(f"{SF}/documents.parquet"))
+    t |= {10_000 + i: x or "" for i, x in enumerate(ODD)} | {10_100: t[min(t)], 10_101: "w " * 30_000}
+    spark.createDataFrame([(d, x or None) for d, x in t.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = by_doc(QUERIES["op10_fingerprints"](spark, str(tmp_path)))
+    order = sorted(t)
+    hexed = lambda s: ",".join(f"{x & ((1 << 64) - 1):X}" for x in s)
+    for i, d in enumerate(order):
+        x, y = t[d], t[order[(i + 1) % len(order)]]
+        k = len(x) // 4
+        e = x[: len(x) - k] + y[:k]
+        a, b, c = brute_sketch(x), brute_sketch(e), brute_sketch(y)
+        r = got[d]
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(x), hexed(a), hexed(b))
+        assert r["near_edited"] == pytest.approx(brute_resemblance(a, b)) and r["near_next"] == pytest.approx(brute_resemblance(a, c))
+
+
+def test_next_with_null_and_repeated_ids(spark):
+    rows = [(None, "n"), (None, "a"), (3, "x"), (3, "x"), (3, "b"), (5, "y"), (-9, "z")] + [(100 + i, f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sketch", F.array().cast("array<long>"))
+    for size in (1, 7, 4000):
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -(1 << 63), r["text"], r["next_text"]) for r in fingerprints.with_next(df, size).collect())
+        order = sorted((d if d is not None else -(1 << 63), x) for d, x in rows)
+        assert got == sorted((d, x, order[(i + 1) % len(order)][1]) for i, (d, x) in enumerate(order))
+
+
 def test_op10_edited_text(spark):
     from ringsight.llm.queries import QUERIES
 
