@@ -12,8 +12,8 @@ as many as may differ from any partner, and as many again. So two sets that link
 are together in at least that second number of lists, and each may leave all but
 one of these, its longest lists: a passage that very many documents share brings
 none of them together, and a set with too few n-grams in common with any others
-is in no list at all. The boundary is where listing subsets begins to cost more
-than keeping and scanning the inverted lists.
+is in no list at all. The boundary is the one that costs least over the histogram of
+the small sets' sizes: what each stores as subsets, or keeps and scans as lists.
 
 A list yields no pairs of all its members, and of lists with equal members one is
 kept. Every member is compared with the list's least one; linked ones are joined by
@@ -25,7 +25,7 @@ distance is a metric) still allow a link.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import comb
 
 import numpy as np
@@ -39,8 +39,10 @@ from ringsight.operators.graph import connected_components
 
 #: Relative cost of scanning an inverted list against storing one subset; members of a list per copy of its least one.
 SCAN_COST, PER_COPY, SALTS = 8, 48, 16
-#: Members of a list that are compared under one key where all pairs are wanted.
-BLOCK = 128
+#: Members of a list that are compared under one key where all pairs are wanted, and where few are open.
+BLOCK, OPEN = 128, 256
+#: Sizes are counted for texts of up to so many bytes; subsets that a set may list at most.
+SHORT, MOST_SUBSETS = 4096, 100_000
 #: Parity words compared before whole parities are.
 FIRST = 16
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,6 +76,8 @@ class Scheme:
 
     num: int = 90
     den: int = 100
+    #: Largest size whose sets enumerate subsets.
+    boundary: int = 1
 
     def overlap(self, size: int) -> int:
         """Least overlap with any partner: a smaller partner has at least this size."""
@@ -98,13 +102,15 @@ class Scheme:
         """Lists that a set shares with any partner, the least partner's ``spare``."""
         return self.spare(self.overlap(size))
 
-    @property
-    def boundary(self) -> int:
-        """Largest size whose sets enumerate subsets."""
-        size = 1
-        while self.subsets(size + 1) <= SCAN_COST * (1 + self.listed(size + 1)) and size < 64:
-            size += 1
-        return size
+    def cost(self, boundary: int, sizes: dict[int, int]) -> float:
+        """Of sets by size: subsets stored up to the boundary, lists kept and scanned from the least partner of larger ones on."""
+        small = sum(n * self.subsets(s) for s, n in sizes.items() if s <= boundary)
+        return small + SCAN_COST * sum(n * self.listed(s) for s, n in sizes.items() if s >= self.overlap(boundary + 1))
+
+    def fitted(self, sizes: dict[int, int]) -> Scheme:
+        """The scheme with the boundary of the least cost, the lowest of equals. Sets left out of ``sizes`` are taken for large."""
+        able = [b for b in range(1, 2 + self.den * max(sizes, default=1) // self.num) if self.subsets(b) <= MOST_SUBSETS] or [1]
+        return replace(self, boundary=min(able, key=lambda b: (self.cost(b, sizes), b)))
 
 
 def subset_keys(s: np.ndarray, scheme: Scheme) -> np.ndarray:
@@ -263,8 +269,17 @@ def folded(bits: Column, words: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda s, j: s.bitwiseXOR(F.get(bits, j))))
 
 
+def short_sizes(docs: DataFrame, n: int) -> dict[int, int]:
+    """Texts of up to SHORT bytes by their number of n-grams, taken for distinct: what they have in words, counted by blanks."""
+    text = F.col("text")
+    grams = F.greatest(F.char_length(text) - F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")) + 2 - n, F.lit(1))
+    rows = docs.filter(F.octet_length("text") <= SHORT).groupBy(grams.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most SHORT rows
+    return {r["s"]: r["n"] for r in rows}
+
+
 def prepared(docs: DataFrame, n: int, scheme: Scheme) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets, the classes of equal ones, and the lists of their representatives."""
+    scheme = scheme.fitted(short_sizes(docs, n))
     table = staged(set_table(docs, n, scheme), "sets")
     members = staged(classes(table.select("doc_id", "n_shingles", "key")), "classes")
     copies = members.filter("doc_id <> rep").select("doc_id").distinct()
@@ -361,16 +376,20 @@ def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFr
     open_rows = staged(rows.filter("doc_id <> hub").join(mixed.hint("merge"), "sig", "left_semi"), "open")
     some = by_ids(shape, open_rows.select("doc_id").distinct(), "doc_id", "left_semi")
     full = open_rows.join(some.hint("merge"), "doc_id")
-    # both sides have the same columns, so that one shuffle serves them
+    # a list is dealt into blocks; every two of them, and each with itself, meet under a key of their own
+    count = F.ceil(F.col("crowd") / OPEN).cast("int")
+    dealt = full.withColumn("last", count - 1).withColumn("own", F.pmod(F.xxhash64("doc_id"), count).cast("int"))
     names = ("distance", "component", "n_shingles", "bits", "crowd")
-    a, b = (full.select("sig", F.col("doc_id").alias(x), *[F.col(c).alias(p + x) for c, p in zip(names, "dcnbw", strict=True)]) for x in "ab")
+    side = lambda x, i, j: dealt.select("sig", i.alias("i"), j.alias("j"), F.col("doc_id").alias(x), *[F.col(c).alias(p + x) for c, p in zip(names, "dcnbw", strict=True)])
+    a = side("a", F.col("own"), F.explode(F.sequence("own", "last")))
+    b = side("b", F.explode(F.sequence(F.lit(0), "own")), F.col("own"))
     far = (scheme.den - scheme.num) / scheme.den + 1e-9
     may = (
-        (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= far, F.lit(True))
+        ((a["i"] < a["j"]) | (F.col("a") > F.col("b"))) & (F.col("ca") != F.col("cb")) & F.coalesce(F.abs(F.col("da") - F.col("db")) <= far, F.lit(True))
         & may_link(F.col("na"), F.col("ba"), F.col("nb"), F.col("bb"), scheme)
     )
-    pairs = a.hint("merge").join(b, (a["sig"] == b["sig"]) & may)
-    return pairs.groupBy("a", "b").agg(F.max(F.greatest("wa", "wb")).alias("crowd"))
+    pairs = a.hint("merge").join(b, (a["sig"] == b["sig"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & may)
+    return pairs.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max(F.greatest("wa", "wb")).alias("crowd"))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
