@@ -59,21 +59,41 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.hex(x)), ",")
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 4000) -> DataFrame:
+#: Buckets of rows that are put in order by a task each; with more rows the buckets grow.
+MOST_BUCKETS = 1_000_000
+
+
+def literal(values: list[int]) -> Column:
+    """Integers as one array literal, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def bucket_of(key: Column, starts: list[int]) -> Column:
+    """The place of the last of the ascending ``starts`` that is not above the key, by binary search."""
+    table = literal(starts)
+    steps = F.array(*[F.lit(1 << i) for i in range(len(starts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s < len(starts)) & (F.get(table, lo + s) <= key), lo + s).otherwise(lo))
+
+
+def with_next(docs: DataFrame, rows_per_bucket: int = 250) -> DataFrame:
     """``docs`` (doc_id, text, sketch) with next_text and next_sketch of the row that follows by (doc_id, text), the first after the last.
 
-    Rows are dealt into buckets by quantiles of doc_id, which are ids that occur:
-    the rows of a bucket's first id also go, as strangers at its end, to the bucket
-    before, so that a window per bucket sees every successor. Null ids come first.
-    At most 1024 boundaries reach the driver.
+    Every id whose hash is a multiple of ``rows_per_bucket`` starts a bucket, so that
+    buckets hold about as many ids (the largest some times more) and their number grows
+    with the table. The rows of
+    a bucket's first id also go, as strangers at its end, to the bucket before, so
+    that a window per bucket sees every successor; texts are shuffled once. Null ids
+    come first. The starts reach the driver: MOST_BUCKETS at most or thereabouts.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
-    n = min(1024, max(1, docs.count() // rows_per_bucket))
-    cut = docs.select(F.min(key).alias("lo"), F.percentile_approx(key, F.array(*[F.lit(i / n) for i in range(1, n + 1)]), 10_000).alias("q")).first()
-    starts = sorted({cut["lo"], *cut["q"][:-1]}) if cut["q"] else [LEAST]
+    every = max(rows_per_bucket, docs.count() // MOST_BUCKETS)
+    ids = docs.select(key.alias("_key"))
+    first = ids.agg(F.min("_key")).first()[0]
+    drawn = ids.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).distinct().collect()
+    starts = sorted({first if first is not None else LEAST, *(r["_key"] for r in drawn)})
     last = len(starts) - 1
-    table = F.array(*[F.lit(int(x)) for x in starts])
-    dealt = docs.select("doc_id", "text", "sketch", key.alias("_key"), (F.size(F.filter(table, lambda b: b <= key)) - 1).alias("_b"), F.array_contains(table, key).alias("_head"))
+    dealt = docs.select("doc_id", "text", "sketch", key.alias("_key")).withColumn("_b", bucket_of(F.col("_key"), starts))
+    dealt = dealt.withColumn("_head", F.get(literal(starts), F.col("_b")) == F.col("_key"))
     home = F.struct(F.col("_b").alias("b"), F.lit(False).alias("guest"))
     away = F.struct(F.when(F.col("_b") == 0, last).otherwise(F.col("_b") - 1).alias("b"), F.lit(True).alias("guest"))
     spread = dealt.withColumn("_at", F.explode(F.when(F.col("_head"), F.array(home, away)).otherwise(F.array(home))))
