@@ -14,21 +14,49 @@ PRIOR, WEIGHT = 0.035, 20.0
 DOMAIN_RISK = {"protonmail.com": 0.41, "mail.com": 0.19, "outlook.es": 0.13, "aim.com": 0.13, "outlook.com": 0.09, "hotmail.es": 0.07, "live.com.mx": 0.05}
 
 
-def velocity(txn: DataFrame, key: str) -> DataFrame:
-    """Counts and amounts over [t - W, t): rows of the same second are not before each other."""
-    w = lambda s: Window.partitionBy(key).orderBy("t").rangeBetween(-s, -1)
-    prev = Window.partitionBy(key).orderBy("t", "txn_id")
-    return txn.select(
-        "*", (F.col("t") - F.lag("t").over(prev)).alias("gap"), F.count(F.lit(1)).over(w(86400)).alias("n_24h"), F.count(F.lit(1)).over(w(604800)).alias("n_7d"),
-        F.coalesce(F.sum("amount").over(w(86400)), F.lit(0.0)).alias("sum_24h"), F.avg("amount").over(w(86400)).alias("mean_24h"),
-    )
+def in_buckets(txn: DataFrame, length: int) -> DataFrame:
+    """Each row in the time bucket of its own (``_guest`` false) and, to be looked back at, in the next one (true).
+
+    A frame no longer than a bucket sees all its rows within (key, bucket), so that a
+    key of very many rows is split over time.
+    """
+    own = F.floor(F.col("t") / length).cast("long")
+    at = F.array(F.struct(own.alias("_bucket"), F.lit(False).alias("_guest")), F.struct((own + 1).alias("_bucket"), F.lit(True).alias("_guest")))
+    return txn.select("*", F.inline(at))
 
 
-def fanout(txn: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Distinct values of ``value`` seen under ``key`` before each row; null is a value."""
-    first = F.row_number().over(Window.partitionBy(key, value).orderBy("t", "txn_id")) == 1
-    w = Window.partitionBy(key).orderBy("t", "txn_id").rowsBetween(Window.unboundedPreceding, -1)
-    return txn.withColumn("_first", first.cast("long")).withColumn(name, F.coalesce(F.sum("_first").over(w), F.lit(0))).drop("_first")
+def velocity(txn: DataFrame, key: str) -> DataFrame:
+    """Counts and amounts over [t - W, t): rows of the same second are not before each other. ``gap`` is the time since the row before, however long."""
+    week = 604800
+    w = lambda s: Window.partitionBy(key, "_bucket").orderBy("t").rangeBetween(-s, -1)
+    prev = Window.partitionBy(key, "_bucket").orderBy("t", "txn_id")
+    seen = in_buckets(txn, week).select(
+        "*", F.lag("t").over(prev).alias("_prev"), F.count(F.lit(1)).over(w(86400)).alias("n_24h"), F.count(F.lit(1)).over(w(week)).alias("n_7d"),
+        F.coalesce(F.sum("amount").over(w(86400)), F.lit(0.0)).alias("sum_24h"), F.avg("amount").over(w(86400)).alias("mean_24h"),
+    ).filter(~F.col("_guest"))
+    # the last row of the buckets before, for rows with nothing in the bucket before theirs: a row per key and bucket
+    lasts = txn.groupBy(key, F.floor(F.col("t") / week).cast("long").alias("_bucket")).agg(F.max("t").alias("_t"))
+    lasts = lasts.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.lag("_t").over(Window.partitionBy(key).orderBy("_bucket")).alias("_last")).filter("_last is not null")
+    out = seen.join(lasts.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+    return out.select(*txn.columns, (F.col("t") - F.coalesce("_prev", "_last")).alias("gap"), "n_24h", "n_7d", "sum_24h", "mean_24h")
+
+
+def fanout(txn: DataFrame, key: str, value: str, name: str, length: int = 604800) -> DataFrame:
+    """Distinct values of ``value`` seen under ``key`` before each row; null is a value.
+
+    The first row of every pair is found by an aggregate. First rows are counted within
+    (key, time bucket), and those of the buckets before are added: no task needs all
+    rows of a key.
+    """
+    firsts = txn.groupBy(key, value).agg(F.min(F.struct("t", "txn_id")).alias("_f")).select("_f.txn_id", F.lit(1).alias("_first"))
+    marked = txn.join(firsts.hint("merge"), "txn_id", "left").withColumns({"_first": F.coalesce("_first", F.lit(0)), "_bucket": F.floor(F.col("t") / length).cast("long")})
+    marked = staged(marked.select(*txn.columns, "_first", "_bucket"), "firsts")
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    per = marked.groupBy(F.col(key).alias("_k"), F.col("_bucket").alias("_b")).agg(F.sum("_first").alias("_n"))
+    before = per.select("_k", "_b", F.coalesce(F.sum("_n").over(upto.partitionBy("_k").orderBy("_b")), F.lit(0)).alias("_before"))
+    own = marked.withColumn("_own", F.coalesce(F.sum("_first").over(upto.partitionBy(key, "_bucket").orderBy("t", "txn_id")), F.lit(0)))
+    out = own.join(before.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+    return out.select(*txn.columns, (F.col("_own") + F.col("_before")).alias(name))
 
 
 def folds(train: DataFrame, k: int = 5) -> DataFrame:
@@ -53,10 +81,11 @@ def smoothed() -> list[Column]:
 
 def hour_peers(txn: DataFrame) -> DataFrame:
     """Peers in the hour before each row: accounts and cards with this row's own, merchants without."""
-    w = lambda k: Window.partitionBy(k).orderBy("t").rangeBetween(-3600, -1)
+    w = lambda k: Window.partitionBy(k, "_bucket").orderBy("t").rangeBetween(-3600, -1)
     seen = lambda c, k: F.collect_set(c).over(w(k))
-    m = txn.withColumn("merchant", K.merchant())
-    return m.select("*", F.size(F.array_union(seen("account", "card1"), F.array("account"))).alias("accounts"), F.size(seen("merchant", "card1")).alias("merchants"), F.size(F.array_union(seen("card1", "account"), F.array("card1"))).alias("cards"))
+    m = in_buckets(txn.withColumn("merchant", K.merchant()), 3600)
+    out = m.select("*", F.size(F.array_union(seen("account", "card1"), F.array("account"))).alias("accounts"), F.size(seen("merchant", "card1")).alias("merchants"), F.size(F.array_union(seen("card1", "account"), F.array("card1"))).alias("cards"))
+    return out.filter(~F.col("_guest")).drop("_guest", "_bucket")
 
 
 def rules_score(df: DataFrame) -> DataFrame:

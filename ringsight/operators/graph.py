@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringsight.session import staged
+from ringsight.session import sized, staged
 
-SALTS = 8
+#: Nodes that point at one node and are looked up by one task.
+HOT = 20_000
 
 
 def connected_components(edges: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -16,8 +17,8 @@ def connected_components(edges: DataFrame, group: list[str] | None = None) -> Da
     Each round every node keeps its least smaller neighbour, hands its other
     smaller neighbours to that one, and jumps to its neighbour's own. Rounds go
     on until nothing is handed over and every neighbour is a root: a number of
-    rounds that follows the logarithm of the longest path. A node that many point
-    at is dealt over SALTS tasks. Self loops are nodes; null ends are left out.
+    rounds that follows the logarithm of the longest path. Of a node that over HOT
+    point at there is a copy for every HOT of them. Self loops are nodes; null ends are left out.
     """
     g = group or []
     ends = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(*g, F.greatest("src", "dst").alias("c"), F.least("src", "dst").alias("p")).distinct()
@@ -28,8 +29,14 @@ def connected_components(edges: DataFrame, group: list[str] | None = None) -> Da
         least = e.groupBy(*g, "c").agg(F.min("p").alias("m"), F.count(F.lit(1)).alias("n"))
         best = staged(least, "least")
         handed = e.join(best.filter("n > 1").select(*g, "c", "m").hint("merge"), [*g, "c"]).filter("p <> m").select(*g, F.col("p").alias("c"), F.col("m").alias("p"))
-        left = best.select(*g, "c", "m", F.pmod(F.xxhash64("c"), F.lit(SALTS)).cast("int").alias("salt"))
-        up = best.select(*g, F.col("c").alias("m"), F.col("m").alias("top"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        left, up = best.select(*g, "c", "m"), best.select(*g, F.col("c").alias("m"), F.col("m").alias("top"))
+        copies = F.lit(1)
+        if best.count() > HOT:  # else no node has so many
+            many = best.groupBy(*g, "m").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("copies")).filter("copies > 1")
+            many = sized(staged(many, "many"))  # one row for HOT edges at most
+            left, up, copies = left.join(many, [*g, "m"], "left"), up.join(many, [*g, "m"], "left"), F.coalesce("copies", F.lit(1))
+        left = left.select(*g, "c", "m", F.pmod(F.xxhash64("c"), copies).cast("int").alias("salt"))
+        up = up.select(*g, "m", "top", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
         jumped = left.join(up.hint("merge"), [*g, "m", "salt"], "left").select(*g, "c", F.coalesce("top", "m").alias("p"), F.col("top").isNotNull().cast("int").alias("moved"))
         nxt = staged(jumped.unionByName(handed.withColumn("moved", F.lit(1))).groupBy(*g, "c", "p").agg(F.max("moved").alias("moved")), "edges")
         e = nxt.drop("moved")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ringsight.functions import keys as K
 from ringsight.operators import features as X
 from ringsight.operators import models as L
-from ringsight.plans.aggregates import PEERS
+from ringsight.plans.aggregates import FOLD, PEERS
 from ringsight.plans.base import query
-from ringsight.plans.federated import FLAGGED
+from ringsight.plans.federated import COMPS, FLAGGED
 from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, split, txn
 from ringsight.session import staged, workspace
 from ringsight.sources import files
@@ -135,9 +135,39 @@ def model_save_load(spark, d):
     return a.join(b.hint("merge"), "txn_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("score") - F.col("again"))).alias("gap"))
 
 
-@query()
+def _velocity(key: str) -> str:
+    a, b = (f"(PARTITION BY {key} ORDER BY t RANGE BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (86400, 604800))
+    return f"t - lag(t) OVER (PARTITION BY {key} ORDER BY t, txn_id) AS {key}_gap, count(*) OVER {a} AS {key}_n_24h, count(*) OVER {b} AS {key}_n_7d, round(coalesce(sum(amount) OVER {a}, 0), 4) AS {key}_sum_24h, round(avg(amount) OVER {a}, 6) AS {key}_mean_24h"
+
+
+SPREAD, REPUTED = (("card1", "account"), ("card1", "addr1"), ("account", "device_info")), ("card1", "addr1", "email_domain")
+_FIRSTS = ", ".join(f"CASE WHEN row_number() OVER (PARTITION BY {k}, {v} ORDER BY t, txn_id) = 1 THEN 1 ELSE 0 END AS f{i}" for i, (k, v) in enumerate(SPREAD))
+_FANS = ", ".join(f"CAST(coalesce(sum(f{i}) OVER (PARTITION BY {k} ORDER BY t, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS {k}_{v}s" for i, (k, v) in enumerate(SPREAD))
+_COUNTS = "".join(f", own_{k} AS (SELECT {k}, fold, sum(is_fraud) AS fr, count(*) AS cnt FROM fo WHERE {k} IS NOT NULL GROUP BY ALL), all_{k} AS (SELECT {k}, sum(is_fraud) AS fr, count(*) AS cnt FROM fo WHERE {k} IS NOT NULL GROUP BY ALL)" for k in REPUTED)
+_RATES = ", ".join(
+    f"round(coalesce((a_{k}.fr - coalesce(o_{k}.fr, 0) + 20 * 0.035::DOUBLE) / (a_{k}.cnt - coalesce(o_{k}.cnt, 0) + 20), 0.035::DOUBLE), 9) AS {k}_rate, round(coalesce(ln(1 + a_{k}.cnt - coalesce(o_{k}.cnt, 0)), 0), 9) AS {k}_log_n, CASE WHEN a_{k}.cnt - coalesce(o_{k}.cnt, 0) > 0 THEN 1 ELSE 0 END AS {k}_seen"
+    for k in REPUTED
+)
+_COMP = ", ".join(f"comp_{c}" for c in ("size", "cards", "devices", "accounts")) + ", round(comp_rate, 6) AS comp_rate"
+ENTITY = (
+    COMPS + ", " + FOLD + _COUNTS
+    + ", pc AS (SELECT txn_id, comp_cards + comp_devices AS comp_size, comp_cards, comp_devices, comp_accounts, comp_rate FROM txn JOIN reach ON reach.day = t // 86400 AND n = 'c' || card1 JOIN st ON st.day = reach.day AND st.m = reach.m)"
+    + f", ve AS (SELECT *, {_velocity('account')}, {_velocity('card1')}, {_FANS} FROM (SELECT *, {_FIRSTS} FROM sp))"
+    + ", ef AS (SELECT ve.*, coalesce(x.fold, -1) AS fold FROM ve LEFT JOIN (SELECT txn_id, fold FROM fo) x USING (txn_id))"
+)
+MADE = [f"{k}_{c}" for k in ("account", "card1") for c in ("gap", "n_24h", "n_7d", "sum_24h", "mean_24h")] + [f"{k}_{v}s" for k, v in SPREAD]
+
+
+@query(
+    f"SELECT txn_id, {', '.join('ef.' + c for c in MADE)}, {_COMP}, {_RATES} FROM ef LEFT JOIN pc USING (txn_id)"
+    + "".join(f" LEFT JOIN all_{k} a_{k} ON ef.{k} = a_{k}.{k} LEFT JOIN own_{k} o_{k} ON ef.{k} = o_{k}.{k} AND ef.fold = o_{k}.fold" for k in REPUTED),
+    ENTITY,
+)
 def entity_features(spark, d):
-    return L.entity_features(split(spark, d))
+    x = L.entity_features(split(spark, d))
+    digits = {c: 4 if "sum" in c else 6 for c in MADE if "sum" in c or "mean" in c} | {"comp_rate": 6} | {f"{k}_{c}": 9 for k in REPUTED for c in ("rate", "log_n")}
+    names = ["txn_id", *MADE, "comp_size", "comp_cards", "comp_devices", "comp_accounts", "comp_rate", *[f"{k}_{c}" for k in REPUTED for c in ("rate", "log_n", "seen")]]
+    return x.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in names])
 
 
 @query()
@@ -215,16 +245,16 @@ def stream_dedup(spark, d):
     return spark.read.parquet(delivered(spark, d, run, twice="txn_id % 10 = 0"))
 
 
-@query("SELECT txn_id, round(score, 9) AS score, score >= 0.5::DOUBLE AS flagged, CASE WHEN score >= 0.5::DOUBLE THEN 'payment ' || txn_id || ' scored ' || printf('%.2f', score) END AS alert FROM txn")
+@query("SELECT txn_id, round(score, 9) AS score, score >= 0.5::DOUBLE AS flagged, CASE WHEN score >= 0.5::DOUBLE THEN 'payment ' || txn_id || ' scored ' || CAST(floor(score * 1000) AS BIGINT) || ' of 1000' END AS alert FROM txn")
 def stream_score(spark, d):
     run = lambda feed, out, mark: feeds.run_available(feeds.scored(feed).select("txn_id", R4("score").alias("score"), "flagged", "alert"), out, mark)
     return spark.read.parquet(delivered(spark, d, run))
 
 
-@query("SELECT dd AS day, kind, key, count(*) AS txns, round(avg(score), 6) AS score_mean FROM (SELECT *, unnest(range(day - 6, day + 1)) AS dd FROM rr) GROUP BY ALL")
+@query("SELECT dd AS day, kind, key, count(*) AS txns, round(avg(score), 12) AS score_mean FROM (SELECT *, unnest(range(day - 6, day + 1)) AS dd FROM rr) GROUP BY ALL")
 def stream_rings_sliding(spark, d):
     """Rows and mean score of every sliding week as its last batch left it; member counts are approximate and not told."""
-    return feeds.last_sliding(spark, delivered(spark, d, feeds.run_sliding)).select("day", "kind", "key", "txns", F.round("score_mean", 6).alias("score_mean"))
+    return feeds.last_sliding(spark, delivered(spark, d, feeds.run_sliding)).select("day", "kind", "key", "txns", F.round("score_mean", 12).alias("score_mean"))
 
 
 FIRST = (

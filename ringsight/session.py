@@ -12,13 +12,28 @@ from pyspark.sql import functions as F
 MOST_IDS = 1_000_000
 
 
+#: Paths that this process made, for ``release``.
+_made: list[str] = []
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """A fresh path in the shared folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster has none to share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this process put into the shared folder. Results that were not written elsewhere can no longer be read."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

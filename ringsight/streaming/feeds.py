@@ -34,7 +34,7 @@ def deduplicated(feed: DataFrame) -> DataFrame:
 def scored(feed: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``feed`` with flagged, and for flagged rows the text of an alert."""
     hit = F.col("score") >= threshold
-    return feed.withColumn("flagged", hit).withColumn("alert", F.when(hit, F.format_string("payment %d scored %.2f", "txn_id", "score")))
+    return feed.withColumn("flagged", hit).withColumn("alert", F.when(hit, F.concat(F.lit("payment "), "txn_id", F.lit(" scored "), F.floor(F.col("score") * 1000), F.lit(" of 1000"))))
 
 
 def sliding_rings(feed: DataFrame) -> DataFrame:

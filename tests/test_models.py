@@ -45,6 +45,24 @@ def test_fed_rounds(spark):
     assert held == [[0.0] * (len(learning.DENSE) + 1)] and few.count() == 1
 
 
+def test_changed_reveals_are_left_out(spark):
+    rows, size = learning.dense(spark, SF), len(learning.DENSE) + 1
+    plain = L.fed_rounds(rows, size, 1, 1)[0].first()["merchants"]
+    table, weights = L.fed_rounds(rows, size, 1, 1, reveal=lambda x: x.withColumn("value", F.when(F.col("merchant") == 2, F.col("value") + 1).otherwise(F.col("value"))))
+    assert table.first()["merchants"] == plain - 1
+    few, held = L.fed_rounds(rows, size, 1, 1, reveal=lambda x: x.withColumn("value", F.col("value") + 1))
+    assert few.first()["merchants"] == 0 and held == [[0.0] * size]
+
+
+def test_mean_or_best_round(spark):
+    rows, size = learning.dense(spark, SF), len(learning.DENSE) + 1
+    table, weights = L.fed_rounds(rows, size, 2, 2)
+    got = L.mean_or_best(rows, table, weights).orderBy("idx").collect()
+    best = table.filter("best").first()
+    want = [sum(w[i] for w in weights) / 2 for i in range(size)] if got[0]["choice"] == "mean" else weights[best["round"] - 1]
+    assert [r["value"] for r in got] == want and got[0]["pr_auc"] >= best["pr_auc"]
+
+
 def test_model_keeps_scores(spark):
     r = learning.model_save_load(spark, SF).first()
     assert r["n"] > 0 and r["gap"] == 0

@@ -1,10 +1,11 @@
 import hashlib
 import hmac
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
-from ringsight.operators import graph, metrics, privacy
+from ringsight.operators import features, graph, metrics, privacy
 from ringsight.streaming import feeds
 
 
@@ -61,3 +62,58 @@ def test_streams_equal_batch(spark, tmp_path):
     feeds.run_rings(feed, str(tmp_path / "alerts"), str(tmp_path / "cp2"))
     seen = spark.read.parquet(str(tmp_path / "alerts"))
     assert seen.count() == seen.select("kind", "key", "day").distinct().count() > 0
+
+
+def test_quantiles_at_any_size(spark):
+    rows = [(float(v),) for v in [3, 1, 1, 7, 9, 9, 9, 2, 5, 5.5]] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    want = np.quantile([r[0] for r in rows[:-1]], shares).tolist()
+    for most in (3, 1000):
+        assert np.allclose(metrics.quantiles(df, "x", shares, most), want)
+    assert metrics.quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_hot_nodes_have_copies(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HOT", 3)
+    star = [(i, 0) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(9)]
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(star, "src long, dst long")).collect()}
+    assert all(got[i] == 0 for i in range(40)) and all(got[100 + i] == 100 for i in range(10))
+
+
+def test_velocity_over_buckets(spark):
+    """Rows in weeks far apart and on their borders, against plain Python."""
+    rng = np.random.default_rng(2)
+    times = sorted({*rng.integers(0, 40 * 86400, 150).tolist(), 604799, 604800, 604801, 1209600, 0, 86400})
+    rows = [(i, int(t), int(rng.integers(0, 3)), float(i % 7)) for i, t in enumerate(times)] + [(500, times[5], 1, 2.0), (501, times[5], 1, 3.0)]
+    df = spark.createDataFrame(rows, "txn_id long, t long, card1 long, amount double")
+    got = {r["txn_id"]: r for r in features.velocity(df, "card1").collect()}
+    assert len(got) == len(rows)
+    for i, t, c, _ in rows:
+        mine = [(x[1], x[3]) for x in rows if x[2] == c]
+        day, week = [a for u, a in mine if t - 86400 <= u < t], [a for u, a in mine if t - 604800 <= u < t]
+        before = [x[1] for x in rows if x[2] == c and (x[1], x[0]) < (t, i)]
+        r = got[i]
+        assert (r["n_24h"], r["n_7d"], r["sum_24h"], r["gap"]) == (len(day), len(week), sum(day), t - max(before) if before else None)
+
+
+def test_unfinished_caches_are_built_again(spark, tmp_path):
+    from ringsight.sources import files
+
+    df = spark.range(3)
+    (tmp_path / "v=1" / "_temporary").mkdir(parents=True)
+    got = files.cache_features(spark, str(tmp_path), 1, df.schema, lambda: df)
+    assert got.count() == 3 and files.cache_features(spark, str(tmp_path), 1, df.schema, lambda: df.limit(0)).count() == 3
+    assert files.stored(spark, str(tmp_path / "absent"), df.schema).count() == 0
+
+
+def test_retried_batches_repeat_no_alert(spark, tmp_path):
+    """The same rows delivered again under a new batch number alert nothing anew."""
+    from ringsight.plans.rowwise import txn
+
+    x = txn(spark, "/root/testdata/sf0.001")
+    for _ in range(2):
+        x.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        feeds.run_rings(feeds.transaction_feed(spark, str(tmp_path / "in"), x.schema), str(tmp_path / "alerts"), str(tmp_path / "cp"))
+    seen = spark.read.parquet(str(tmp_path / "alerts"))
+    assert seen.count() == seen.select("kind", "key", "day").distinct().count() > 0
