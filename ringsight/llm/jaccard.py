@@ -36,11 +36,14 @@ from pyspark.sql import functions as F
 from ringsight.llm.bpe import blocks
 from ringsight.llm.common import by_ids, read, staged
 from ringsight.operators.graph import connected_components
+from ringsight.session import sized
 
 #: Relative cost of scanning an inverted list against storing one subset; members of a list per copy of its least one.
 SCAN_COST, PER_COPY, SALTS = 8, 48, 16
 #: Members of a list that are compared under one key where all pairs are wanted, and where few are open.
 BLOCK, OPEN = 128, 256
+#: Members from which a list's own row is broadcast.
+CROWD = 500
 #: Sizes are counted for texts of up to so many bytes; subsets that a set may list at most.
 SHORT, MOST_SUBSETS = 4096, 100_000
 #: Parity words compared before whole parities are.
@@ -188,8 +191,12 @@ def inverted_lists(table: DataFrame) -> DataFrame:
     same = ["hub", "crowd", "low", "high"]
     members = [F.min("doc_id"), F.count(F.lit(1)), F.sum(x.bitwiseAND(F.lit(0x7FFFFFFF))), F.sum(F.shiftrightunsigned(x, 33))]
     lists = kept.groupBy("sig").agg(*[m.alias(c) for m, c in zip(members, same, strict=True)]).filter("crowd > 1")
-    one = lists.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", "hub", "crowd")
-    return staged(kept.join(one.hint("merge"), "sig"), "lists")
+    one = staged(lists.groupBy(*same).agg(F.min("sig").alias("sig")).select("sig", "hub", "crowd"), "one")
+    # the crowded lists, of which there is one for CROWD rows at most, go to the rows; no task has one as a whole
+    big = one.filter(F.col("crowd") > CROWD)
+    few = sized(big, 1_000_000)
+    rest = kept.join(sized(big.select("sig"), 1_000_000), "sig", "left_anti").join(one.filter(F.col("crowd") <= CROWD).hint("merge"), "sig")
+    return staged(kept.join(few, "sig").unionByName(rest), "lists")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -371,9 +378,9 @@ def remaining(lists: DataFrame, first: DataFrame, comp: DataFrame, table: DataFr
     rows = lists.join(near.hint("merge"), ["doc_id", "hub"], "left")
     named = comp.select(F.col("node").alias("doc_id"), "component")
     rows = staged(rows.join(named.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "rows")
-    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
+    mixed = staged(rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig"), "mixed")
     shape = table.select("doc_id", "n_shingles", "bits")
-    open_rows = staged(rows.filter("doc_id <> hub").join(mixed.hint("merge"), "sig", "left_semi"), "open")
+    open_rows = staged(by_ids(rows.filter("doc_id <> hub"), mixed, "sig", "left_semi"), "open")
     some = by_ids(shape, open_rows.select("doc_id").distinct(), "doc_id", "left_semi")
     full = open_rows.join(some.hint("merge"), "doc_id")
     # a list is dealt into blocks; every two of them, and each with itself, meet under a key of their own
