@@ -1,27 +1,30 @@
 """WARC archives with revisit records.
 
-Headers (page_id, digest, size) are shuffled by payload digest to find, for every
-digest that occurs more than once, the response it keeps; only the rows that
-become revisits are then joined to the payloads, by (page_id, digest), which has
-no hot keys. The archives are written by Spark's text sink with the record
-terminator as line separator, so that any Hadoop path works, and are read back
-file by file by their Content-Length.
+Headers (page_id, digest, size) are written once and shuffled by payload digest to
+find, for every digest that occurs more than once, the response it keeps; the rows
+that become revisits are then joined to the payloads, by (page_id, digest), which has
+no hot keys. The archives are written by Spark's text sink with the record terminator
+as line separator, so that any Hadoop path works, and are read back file by file by
+their Content-Length, a record at a time.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringsight.llm.common import read, workspace
+from ringsight.llm.common import read, staged, workspace
+from ringsight.session import sized
 
 MIN_PAYLOAD = 1000
 SALTS = 16
+#: Payload bytes of a file, on average; revisits up to which their ids are broadcast (about 100 bytes each).
+FILE_BYTES, MOST_REVISITS = 64_000_000, 200_000
 CRLF = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -66,29 +69,62 @@ def warc_record(date: str = "2024-01-01T00:00:00Z") -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, file_bytes: int = FILE_BYTES) -> None:
     """Write one record per row of ``pages`` (page_id, url, html; other columns are ignored) as gzipped WARC files.
 
     Null html is an empty payload, null url an empty target. An empty table gives
-    an archive without records.
+    an archive without records. Headers are written once; payloads are shuffled only
+    where the revisits are too many to be broadcast. A file ends after as many records
+    as have ``file_bytes`` on average.
     """
-    full = payload_headers(pages)
-    again = revisits(full.drop("html", "url"), min_payload).withColumnRenamed("page_id", "r_page").withColumnRenamed("digest", "r_digest")
-    joined = full.join(again.hint("merge"), F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
+    headers = staged(payload_headers(pages).drop("html", "url"), "headers")
+    mean = headers.agg(F.avg("n_bytes")).first()[0] or 0.0
+    again = revisits(headers, min_payload).withColumnRenamed("page_id", "r_page").withColumnRenamed("digest", "r_digest")
+    joined = payload_headers(pages).join(sized(staged(again, "revisits"), MOST_REVISITS), F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     out = joined.withColumn("is_revisit", F.col("r_digest").isNotNull()).select(warc_record().alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
+    records = max(1, min(20_000, int(file_bytes / (mean + 500))))
+    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+
+
+def inflated(blob: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The text of a gzip file of one or more members, about ``step`` bytes at a time."""
+    rest = memoryview(blob)
+    while len(rest):
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof and len(rest):
+            piece = member.decompress(bytes(rest[:step]), step)
+            rest = rest[min(step, len(rest)) :]
+            yield piece
+            while member.unconsumed_tail:
+                yield member.decompress(member.unconsumed_tail, step)
+        if member.unused_data:
+            rest = memoryview(member.unused_data + bytes(rest))
+
+
+def parse_warc(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an archive that comes in parts; a record and a part are held at a time."""
+    held, parts = bytearray(), iter(parts)
+
+    def more() -> bool:
+        for part in parts:
+            held.extend(part)
+            return True
+        return False
+
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held.strip():
+                    raise ValueError("archive ends within a record")
+                return
+        lines = bytes(held[:end]).decode().split(CRLF)
         head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-        n = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        stop = end + 4 + int(head["Content-Length"])
+        while len(held) < stop + 4:
+            if not more():
+                raise ValueError(f"archive ends within {head.get('WARC-Record-ID')}")
+        yield head, bytes(held[end + 4 : stop])
+        del held[: stop + 4]
 
 
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string"
@@ -103,7 +139,7 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("content"):
             rows, held = [], 0
-            for head, block in parse_warc(gzip.decompress(blob.as_py())):
+            for head, block in parse_warc(inflated(blob.as_py())):
                 http, _, body = block.partition(b"\r\n\r\n")
                 kind = head["WARC-Type"]
                 said = int(http.rpartition(b"Content-Length: ")[2])
