@@ -128,12 +128,12 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus lang_pred and score; only the text is looked at.
+    """``docs`` plus lang_pred and score, which replace columns of these names; only the text is looked at.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
     learned. The score is half of one plus the lead over the second language, cut to 0..1.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     held = spark.sparkContext.broadcast(model)  # landmarks times buckets, whatever the corpus
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
