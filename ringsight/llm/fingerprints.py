@@ -59,8 +59,8 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.hex(x)), ",")
 
 
-#: Buckets of rows that are put in order by a task each; with more rows the buckets grow.
-MOST_BUCKETS = 1_000_000
+#: Ids drawn by hash at most, with more rows buckets grow; one in THIN of them starts a bucket, so that buckets are much of a size.
+MOST_DRAWN, THIN = 2_000_000, 8
 
 
 def literal(values: list[int]) -> Column:
@@ -78,19 +78,18 @@ def bucket_of(key: Column, starts: list[int]) -> Column:
 def with_next(docs: DataFrame, rows_per_bucket: int = 250) -> DataFrame:
     """``docs`` (doc_id, text, sketch) with next_text and next_sketch of the row that follows by (doc_id, text), the first after the last.
 
-    Every id whose hash is a multiple of ``rows_per_bucket`` starts a bucket, so that
-    buckets hold about as many ids (the largest some times more) and their number grows
-    with the table. The rows of
-    a bucket's first id also go, as strangers at its end, to the bucket before, so
-    that a window per bucket sees every successor; texts are shuffled once. Null ids
-    come first. The starts reach the driver: MOST_BUCKETS at most or thereabouts.
+    Ids are drawn by their hash, and every THIN-th of those drawn starts a bucket, so
+    that buckets hold about ``rows_per_bucket`` ids and their number grows with the
+    table. The rows of a bucket's first id also go, as strangers at its end, to the
+    bucket before, so that a window per bucket sees every successor; texts are shuffled
+    once. Null ids come first. The drawn ids reach the driver, about MOST_DRAWN at most.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
-    every = max(rows_per_bucket, docs.count() // MOST_BUCKETS)
+    every = max(1, rows_per_bucket // THIN, docs.count() // MOST_DRAWN)
     ids = docs.select(key.alias("_key"))
     first = ids.agg(F.min("_key")).first()[0]
     drawn = ids.filter(F.pmod(F.xxhash64("_key"), F.lit(every)) == 0).distinct().collect()
-    starts = sorted({first if first is not None else LEAST, *(r["_key"] for r in drawn)})
+    starts = sorted({first if first is not None else LEAST, *sorted(r["_key"] for r in drawn)[::THIN]})
     last = len(starts) - 1
     dealt = docs.select("doc_id", "text", "sketch", key.alias("_key")).withColumn("_b", bucket_of(F.col("_key"), starts))
     dealt = dealt.withColumn("_head", F.get(literal(starts), F.col("_b")) == F.col("_key"))
