@@ -82,7 +82,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 250) -> DataFrame:
     that buckets hold about ``rows_per_bucket`` ids and their number grows with the
     table. The rows of a bucket's first id also go, as strangers at its end, to the
     bucket before, so that a window per bucket sees every successor; texts are shuffled
-    once. Null ids come first. The drawn ids reach the driver, about MOST_DRAWN at most.
+    once. Null ids come first, and like the rows of one repeated id they are in one bucket,
+    in order of text. The drawn ids reach the driver, about MOST_DRAWN at most.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
     every = max(1, rows_per_bucket // THIN, docs.count() // MOST_DRAWN)

@@ -61,19 +61,21 @@ def repeat_words(hashes: Column) -> Column:
 def with_features(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper and stratum.
 
-    Null and empty texts have no words and all counts 0. Columns of docs with one
-    of these names are replaced.
+    Null and empty texts have no words and all counts 0, a null lang is the stratum
+    "none". Repeated rows are counted each. Columns of docs with one of these names are
+    replaced. The result need not be written before rules read it: counts are made
+    once a row.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "stratum")
-    keep = [c for c in docs.columns if c.lower() not in made]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "stratum")
+    keep = [c for c in docs.columns if c.lower() not in (*names, "_w", "_l", "_t", "_h", "_f")]
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     one = docs.select(*keep, words(F.col("text")).alias("_w"), lines.alias("_l"), F.translate(text, " \t\n\x0b\x0c\r", "").alias("_t"))
     w = F.col("_w")
     hashes = F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     two = one.select(*keep, F.size(w).cast("long").alias("n_words"), hashes.alias("_h"), "_l", "_t")
-    return two.select(
-        *keep, "n_words",
+    made = F.struct(
+        "n_words",
         F.char_length("_t").cast("long").alias("word_chars"),
         F.regexp_count(F.col("_t"), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -81,7 +83,9 @@ def with_features(docs: DataFrame) -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         F.regexp_count(F.col("_t"), F.lit("[A-Z]")).cast("long").alias("n_upper"),
         F.coalesce("lang", F.lit("none")).alias("stratum"),
-    )
+    )
+    # out of a generator, so that no rule that reads a count copies its expression
+    return two.select(*keep, made.alias("_f")).select(*keep, F.inline(F.array("_f")))
 
 
 def base_failed() -> Column:
@@ -122,7 +126,7 @@ def levels(features: DataFrame, labels: DataFrame, rate: float = RATE, error: fl
 
     features: of with_features; labels: doc_id, quality (1 is good). A document that
     is labelled more than once counts with its lowest label. Documents that fail the
-    base rules do not count.
+    base rules do not count, nor do null doc_ids; each row of a repeated doc_id counts.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
     held = features.filter(~base_failed()).join(good.hint("merge"), "doc_id", "left_semi").select("stratum", fall().alias("_fall"))
@@ -135,7 +139,7 @@ def levels(features: DataFrame, labels: DataFrame, rate: float = RATE, error: fl
 
 
 def verdict(features: DataFrame, cuts: DataFrame) -> DataFrame:
-    """features plus base_failed and kept. ``cuts`` has one row per stratum."""
+    """features plus base_failed and kept. ``cuts`` has one row per stratum; a stratum without one keeps all that the base rules keep. Every row has its own verdict, whether its doc_id is null or repeated."""
     joined = features.join(sized(staged(cuts.select("stratum", F.col("level").alias("_level")), "cuts")), "stratum", "left").withColumn("base_failed", base_failed())
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(fall() <= F.col("_level"), F.lit(False))).drop("_level")
 

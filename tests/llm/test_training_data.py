@@ -640,6 +640,45 @@ def test_op10_edited_text(spark):
         assert got[d]["edited_sha256"] == hashlib.sha256((x[: len(x) - k] + y[:k]).encode()).hexdigest()
 
 
+# all
+CLASH = ("n_tokens", "n_bytes", "over_limit", "ids_sha256", "piece", "start", "length", "ids_crc32", "n_shingles", "component_id", "key", "bits", "need", "sig", "kept", "base_failed", "n_words", "stratum", "next_text", "_key", "_b", "turns", "pieces", "formatted", "loss_chars", "digest", "license", "dir", "lang_pred", "score", "_f", "n_chars", "record_type", "payload_digest")
+
+
+def test_clashing_columns_copies_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(25_000)) + "\n" + "Released under the MIT License"
+    rows = [(1, long, "en"), (1, long, "en"), (2, long + " x", None), (None, "a b c", "de"), (3, None, None), (4, "", "en"), (5, "a b c", "de")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    wide = plain.withColumns({c: F.lit(7) for c in CLASH})
+    path, labels = bpe.default_path("word_bpe_49k.json"), plain.filter("doc_id is not null").select("doc_id", F.lit(1).alias("quality"))
+    empty = F.array().cast("array<long>")
+    model = langid.fit(plain)
+    some = lambda df, *cols: sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    ops = {
+        "2": lambda d: some(packing.token_pieces(d, path), "doc_id", "piece", "start", "length", "ids_crc32"),
+        "4": lambda d: some(jaccard.jaccard_components(d.filter("doc_id is not null")), "doc_id", "n_shingles", "component_id"),
+        "5": lambda d: some(langid.predict(d, model), "doc_id", "lang_pred"),
+        "6": lambda d: some(tokencount.count_tokens(d, bpe.default_path("byte_bpe_50k.json")), "doc_id", "n_bytes", "n_tokens", "over_limit"),
+        "7": lambda d: some(bpe.encode_table(d, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"),
+        "8": lambda d: some(licenses.scan_licenses(d.withColumn("path", F.lit("a/x"))), "doc_id", "license", "via"),
+        "9": lambda d: some(quality.verdict(quality.with_features(d), quality.levels(quality.with_features(d), labels)), "doc_id", "n_words", "kept"),
+        "10": lambda d: some(fingerprints.with_next(d.select("*", F.coalesce("text", F.lit("")).alias("t")).drop("text").withColumnRenamed("t", "text").withColumn("sketch", empty)), "doc_id", "next_text"),
+    }
+    for name, op in ops.items():
+        got = op(plain)
+        assert got == op(wide), name
+        assert len(got) >= (6 if name == "4" else 7), name
+        by = defaultdict(list)
+        for r in got:
+            by[r[0]].append(r)
+        if name in ("6", "7", "8", "9"):
+            assert len(by[1]) == 2 and by[1][0] == by[1][1], name
+    assert quality.quality_filter(wide, labels).columns == wide.columns
+    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, None, None, None)], "conv_id long, turn long, role string, text string")
+    full = turns.withColumns({c: F.lit(7) for c in CLASH})
+    want = some(chat.expand_prefix_targets(turns), "conv_id", "example", "n_turns", "loss_chars", "formatted")
+    assert want == some(chat.expand_prefix_targets(full), "conv_id", "example", "n_turns", "loss_chars", "formatted") and len(want) == 3
+
+
 # pipeline
 def test_pipeline(spark):
     import corpus_pipeline as p
