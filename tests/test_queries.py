@@ -32,7 +32,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
 
 def count(duck, where="true"):
-    return duck.sql(f"SELECT count(*) FROM events WHERE {where}").fetchone()[0]
+    return duck.sql(f"SELECT count(*) FROM events WHERE {where}").fetchall()[0][0]
 
 
 def areas(rows, duck):
