@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringsight.functions import keys as K
 from ringsight.operators.metrics import prefix_sums
 from ringsight.session import staged
 
@@ -80,21 +79,21 @@ def smoothed() -> list[Column]:
 
 
 def hour_peers(txn: DataFrame) -> DataFrame:
-    """Peers in the hour before each row: accounts and cards with this row's own, merchants without."""
+    """Peers in the hour before each row: accounts and cards with this row's own, merchants (shop) without."""
     w = lambda k: Window.partitionBy(k, "_bucket").orderBy("t").rangeBetween(-3600, -1)
     seen = lambda c, k: F.collect_set(c).over(w(k))
-    m = in_buckets(txn.withColumn("merchant", K.merchant()), 3600)
-    out = m.select("*", F.size(F.array_union(seen("account", "card1"), F.array("account"))).alias("accounts"), F.size(seen("merchant", "card1")).alias("merchants"), F.size(F.array_union(seen("card1", "account"), F.array("card1"))).alias("cards"))
+    m = in_buckets(txn, 3600)
+    out = m.select("*", F.size(F.array_union(seen("account", "card1"), F.array("account"))).alias("accounts"), F.size(seen("shop", "card1")).alias("merchants"), F.size(F.array_union(seen("card1", "account"), F.array("card1"))).alias("cards"))
     return out.filter(~F.col("_guest")).drop("_guest", "_bucket")
 
 
 def rules_score(df: DataFrame) -> DataFrame:
-    """Rule score and reasons from email_domain, international, amount and the hour's peers."""
+    """Rule score and reasons from email_domain, international, amount and the hour's peers. An amount of 0 is not known: no rule on amounts fires."""
     risk = F.create_map(*[F.lit(x) for kv in DOMAIN_RISK.items() for x in kv])
     rate = F.try_element_at(risk, F.col("email_domain"))
     grown = lambda c: 0.25 + 0.08 * F.least(F.col(c) - 2, F.lit(4))
     rules = [
-        ("email", rate.isNotNull(), 0.15 + 0.25 * rate), ("international", F.col("international"), F.lit(0.20)), ("tiny", F.col("amount") < 3, F.lit(0.15)), ("large", F.col("amount") > 2000, F.lit(0.10)),
+        ("email", rate.isNotNull(), 0.15 + 0.25 * rate), ("international", F.col("international"), F.lit(0.20)), ("tiny", (F.col("amount") < 3) & (F.col("amount") != 0), F.lit(0.15)), ("large", F.col("amount") > 2000, F.lit(0.10)),
         ("accounts", F.col("accounts") >= 2, grown("accounts")), ("merchants", F.col("merchants") >= 2, F.lit(0.15)), ("cards", F.col("cards") >= 2, grown("cards")),
     ]
     score = F.lit(0.05)

@@ -15,12 +15,11 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from ringsight.functions import keys as K
 from ringsight.operators import features as X
-from ringsight.operators import graph as G
 from ringsight.operators import metrics as M
 from ringsight.operators import privacy as P
+from ringsight.operators.sliding import component_features
 from ringsight.session import staged
 
-DAY = 86400
 NOT_FEATURES = ("txn_id", "t", "is_fraud", "split")
 
 
@@ -67,40 +66,6 @@ def prepare_features(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> t
     return encoded(rows, spec, staged(category_shares(train, spec), "shares")), spec
 
 
-def week_components(txn: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(day, node, component) of cards and devices over the seven days up to each day; the rows of those days with their component.
-
-    Cards and devices are nodes, rows with a device are edges; each row serves the
-    seven days from its own. Cards without a device have no component.
-    """
-    d = txn.select("t", "account", K.day().alias("d"), F.xxhash64(F.lit("c"), "card1").alias("src"), K.device_key().alias("dev"))
-    linked = d.filter("dev is not null").withColumn("dst", F.xxhash64(F.lit("v"), "dev"))
-    edges = linked.select("d", "src", "dst").distinct().select(F.explode(F.sequence("d", F.col("d") + 6)).alias("day"), "src", "dst").distinct()
-    comp = staged(G.connected_components(edges, ["day"]), "components")
-    week = linked.select(F.explode(F.sequence("d", F.col("d") + 6)).alias("day"), "t", "account", "src", "dst").join(comp.withColumnRenamed("node", "src").hint("merge"), ["day", "src"])
-    return comp, week
-
-
-def component_table(txn: DataFrame) -> DataFrame:
-    return component_stats(week_components(txn)[1])
-
-
-def component_features(txn: DataFrame) -> DataFrame:
-    """Per txn_id: size, cards, devices, accounts and rows an hour of its card's component in the week up to its day."""
-    comp, week = week_components(txn)
-    named = comp.join(component_stats(week).hint("merge"), ["day", "component"]).drop("component")
-    return txn.select("txn_id", K.day().alias("day"), F.xxhash64(F.lit("c"), "card1").alias("src")).join(named.withColumnRenamed("node", "src").hint("merge"), ["day", "src"]).drop("day", "src")
-
-
-def component_stats(week: DataFrame) -> DataFrame:
-    """day, component and its cards, devices, accounts and rows an hour, of rows (day, component, t, account, src, dst)."""
-    stats = week.groupBy("day", "component").agg(
-        F.count_distinct("src").alias("comp_cards"), F.count_distinct("dst").alias("comp_devices"), F.count_distinct("account").alias("comp_accounts"), F.count(F.lit(1)).alias("n"),
-        F.greatest((F.max("t") - F.min("t")) / 3600, F.lit(1.0 / 60)).alias("span"),
-    )
-    return stats.select("day", "component", (F.col("comp_cards") + F.col("comp_devices")).alias("comp_size"), "comp_cards", "comp_devices", "comp_accounts", (F.col("n") / F.col("span")).alias("comp_rate"))
-
-
 def entity_features(rows: DataFrame) -> DataFrame:
     """``rows`` (splits) with gaps, velocities, fan-outs, components and reputations.
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
-from ringsight.operators.rings import bucket_counts
+from ringsight.operators.metrics import prefix_sums
+from ringsight.operators.rings import DAILY, bucket_counts
 from ringsight.session import sized, staged
 
 B = [f"b{i}" for i in range(5)]
@@ -25,14 +26,15 @@ def total() -> Column:
     return reduce(lambda a, b: a + b, map(F.col, B))
 
 
-def fingerprint(secret: bytes = SECRET) -> Column:
-    """A keyed hash of kind, key and day."""
-    return F.substr(K.hmac_sha256(secret, F.concat_ws("|", "kind", "key", F.col("day").cast("string"))), F.lit(1), F.lit(16))
+def fingerprint(secret: bytes = SECRET, of: tuple[str, ...] = DAILY) -> Column:
+    """A keyed hash of the columns of a ring; its first 16 characters."""
+    return F.substr(K.hmac_sha256(secret, F.concat_ws("|", *[F.col(c).cast("string") for c in of])), F.lit(1), F.lit(16))
 
 
-def merchant_hist(rows: DataFrame, secret: bytes = SECRET, by: tuple[str, ...] = ()) -> DataFrame:
-    """merchant, kind, fp, b0..b4: a keyed hash, made once a group, stands for the shared value and its day."""
-    return bucket_counts(rows, [*by, "merchant", "kind", "key", "day"]).select(*by, "merchant", "kind", fingerprint(secret).alias("fp"), *B)
+def merchant_hist(rows: DataFrame, secret: bytes = SECRET, by: tuple[str, ...] = (), of: tuple[str, ...] = DAILY) -> DataFrame:
+    """merchant, kind, fp, b0..b4: a keyed hash, made once a group, stands for the shared value and what else is ``of`` the ring (by default its day)."""
+    keys = [c for c in dict.fromkeys(("kind", "key", *of))]
+    return bucket_counts(rows, [*by, "merchant", *keys]).select(*by, "merchant", "kind", fingerprint(secret, of).alias("fp"), *B)
 
 
 def dp_release(hist: DataFrame, seed: Column, epsilon: Column) -> DataFrame:
@@ -46,33 +48,91 @@ def dp_release(hist: DataFrame, seed: Column, epsilon: Column) -> DataFrame:
     return hist.select("*", F.inline(F.array(hashes))).withColumns(noisy).drop(*[f"_{b}" for b in B]).filter(total() >= 1)
 
 
-def commitments(hist: DataFrame) -> DataFrame:
-    """SHA-256 over a merchant's rows in order of fp, by chunks of the fp's first character, so that no row holds a whole merchant."""
-    text = F.concat_ws(":", "kind", "fp", *[F.format_string("%.1f", F.col(b)) for b in B])
-    chunks = hist.withColumn("chunk", F.substr(F.col("fp"), F.lit(1), F.lit(2))).groupBy("merchant", "chunk").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(text)), ","), 256).alias("d"))
-    return chunks.groupBy("merchant").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "d"))), lambda x: x["d"]), ","), 256).alias("digest"))
+#: Rows of a merchant that make one leaf of its tree, about; children of an inner node: one for each hexadecimal digit.
+LEAF = 512
 
 
-def merkle_root(leaves: DataFrame) -> DataFrame:
-    """Root of hex ``digest`` leaves in order of ``pos`` (from 0): pairs are hashed, the last doubled on odd levels; the digest of nothing if empty."""
-    level = leaves.select("pos", "digest")
-    n = level.count()
-    while n > 1:
+def chunk_depth(n: Column) -> Column:
+    """Characters of fp that tell a merchant's leaves apart: so many that a leaf holds about LEAF rows."""
+    deep = F.lit(0)
+    for i in range(8):
+        deep = deep + (n > LEAF * 16**i).cast("int")
+    return deep
+
+
+def chunk_digests(hist: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """by, merchant, prefix, depth, digest of every node of every merchant's tree, one for each kind.
+
+    A leaf is SHA-256 over the rows whose fp begins with its prefix, in order of fp; the
+    prefix is as long as the merchant's counted rows ask for. An inner node is SHA-256
+    over the digests of its children, sixteen at most, in order, each after its prefix.
+    No list is longer than about LEAF rows, however large a merchant is; a merchant
+    whose rows are few is one leaf, its root.
+    """
+    keys = [*by, "merchant"]
+    text = F.concat_ws(":", "fp", *[F.format_string("%.1f", F.col(b)) for b in B])
+    depth = staged(hist.groupBy(*keys).agg(chunk_depth(F.count(F.lit(1))).alias("depth")), "depths")
+    rows = hist.join(sized(depth), keys).select(*keys, "depth", F.expr("substr(fp, 1, depth)").alias("prefix"), text.alias("text"))
+    level = rows.groupBy(*keys, "depth", "prefix").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("text")), ","), 256).alias("digest"))
+    level = out = staged(level.select(*keys, "prefix", "depth", "digest"), "leaves")
+    deepest = depth.agg(F.max("depth")).first()[0] or 0
+    for d in range(deepest, 0, -1):
+        child = F.struct("prefix", "digest")
+        kids = F.transform(F.sort_array(F.collect_list(child)), lambda x: F.concat_ws(":", x["prefix"], x["digest"]))
+        ups = out.filter(F.col("depth") == d).groupBy(*keys, F.expr(f"substr(prefix, 1, {d - 1})").alias("prefix")).agg(F.sha2(F.array_join(kids, ","), 256).alias("digest"))
+        level = staged(ups.select(*keys, "prefix", F.lit(d - 1).alias("depth"), "digest"), "nodes")
+        out = out.unionByName(level)
+    return out
+
+
+def commitments(hist: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """by, merchant, digest: the roots of ``chunk_digests``."""
+    return chunk_digests(hist, by).filter("depth = 0").select(*by, "merchant", "digest")
+
+
+def chunk_proof(nodes: DataFrame, merchant: int, prefix: str, by: dict[str, str]) -> DataFrame:
+    """prefix, digest of the nodes that a leaf's owner needs to come from the leaf ``prefix`` to the root: the children of every node above it. ``by``: the group's values."""
+    own = nodes.filter((F.col("merchant") == merchant) & F.lit(True))
+    for c, v in by.items():
+        own = own.filter(F.col(c) == v)
+    on_path = F.lit(prefix).startswith(F.expr("substr(prefix, 1, length(prefix) - 1)")) & (F.col("depth") > 0)
+    return own.filter(on_path & (F.length("prefix") <= len(prefix))).select("prefix", "digest")
+
+
+def merkle_leaves(committed: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """by, pos (from 0, in order of merchant), digest: positions are counted in parallel. A row for a merchant."""
+    ordered = prefix_sums(committed.withColumn("_o", F.struct(*by, "merchant")).withColumn("_one", F.lit(1)), "_o", ["_one"], descending=False)
+    ordered = staged(ordered.select(*by, "merchant", "digest", F.col("cum__one").cast("long").alias("_at")), "ordered")
+    first = ordered.groupBy(*by).agg(F.min("_at").alias("_first"))
+    out = ordered.join(sized(staged(first, "first")), list(by)) if by else ordered.crossJoin(F.broadcast(first))
+    return out.select(*by, (F.col("_at") - F.col("_first")).alias("pos"), "digest")
+
+
+def merkle_root(leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, root of hex ``digest`` leaves in order of ``pos`` (from 0): pairs are hashed, the last doubled on odd levels. Without ``by`` the digest of nothing if empty."""
+    sizes = staged(leaves.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    level = leaves.select(*by, "pos", "digest").join(sized(sizes), list(by)) if by else leaves.select("pos", "digest").crossJoin(F.broadcast(sizes))
+    while most > 1:
         w = F.col("pos") % 2
-        pair = level.groupBy(F.floor(F.col("pos") / 2).cast("long").alias("up")).agg(F.max(F.when(w == 0, F.col("digest"))).alias("l"), F.max(F.when(w == 1, F.col("digest"))).alias("r"))
-        level = staged(pair.select(F.col("up").alias("pos"), F.sha2(F.unhex(F.concat("l", F.coalesce("r", "l"))), 256).alias("digest")), "merkle")
-        n = (n + 1) // 2
+        pair = level.groupBy(*by, "_n", F.floor(F.col("pos") / 2).cast("long").alias("up")).agg(F.max(F.when(w == 0, F.col("digest"))).alias("l"), F.max(F.when(w == 1, F.col("digest"))).alias("r"))
+        up = F.when(F.col("_n") > 1, F.sha2(F.unhex(F.concat("l", F.coalesce("r", "l"))), 256)).otherwise(F.col("l"))
+        level = staged(pair.select(*by, F.col("up").alias("pos"), up.alias("digest"), F.ceil(F.col("_n") / 2).cast("long").alias("_n")), "merkle")
+        most = (most + 1) // 2
+    if by:
+        return level.select(*by, F.col("digest").alias("root"))
     return level.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("root"))
 
 
-def reveal_check(hist: DataFrame, committed: DataFrame) -> DataFrame:
-    """merchant, ok: whether what was revealed has the committed digest."""
-    got = commitments(hist).withColumnRenamed("digest", "revealed")
-    return committed.join(got.hint("merge"), "merchant", "full").select("merchant", F.col("digest").eqNullSafe(F.col("revealed")).alias("ok"))
+def reveal_check(hist: DataFrame, committed: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """by, merchant, ok: whether what was revealed has the committed digest."""
+    keys = [*by, "merchant"]
+    got = commitments(hist, by).withColumnRenamed("digest", "revealed")
+    return committed.join(got.hint("merge"), keys, "full").select(*keys, F.col("digest").eqNullSafe(F.col("revealed")).alias("ok"))
 
 
-def outliers(hist: DataFrame, volume: float = 5.0, risk: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
-    """merchant, volume, risk, reason (null if kept), ratio; one row per merchant, within each group ``by``."""
+def outliers(hist: DataFrame, volume: float = 5.0, risk: float = 2.0, by: tuple[str, ...] = ("kind",)) -> DataFrame:
+    """by, merchant, volume, risk, reason (null if kept), ratio; one row per merchant, within each group ``by``."""
     per = hist.groupBy(*by, "merchant").agg(*[F.sum(b).alias(b) for b in B])
     m = staged(per.select(*by, "merchant", total().alias("volume"), K.risk_estimate([F.col(b) for b in B]).alias("risk")), "volumes")
     med = m.groupBy(*by).agg(F.percentile("volume", F.lit(0.5)).alias("mv"), F.percentile("risk", F.lit(0.5)).alias("mr"), F.count(F.lit(1)).alias("n"))
@@ -92,12 +152,28 @@ def fed_flag(sums: DataFrame, threshold: float, low: int = LOW, cap: int = CAP)
     return sums.withColumn("flagged", F.col("txns").between(low, cap) & (F.col("merchants") >= 2) & K.risk_reaches([F.col(b) for b in B], threshold))
 
 
-def fed_rings(hist: DataFrame, committed: DataFrame, threshold: float) -> DataFrame:
+def surviving(hist: DataFrame, committed: DataFrame, defend: bool = True) -> DataFrame:
+    """The rows of the merchants whose reveal is what they committed to and, with ``defend``, that no filter takes out; each kind apart."""
+    keys = ["kind", "merchant"]
+    good = reveal_check(hist, committed).filter("ok").select(*keys)
+    seen = staged(hist.join(sized(staged(good, "good")), keys, "left_semi"), "revealed")
+    if not defend:
+        return seen
+    kept = outliers(seen).filter("reason is null").select(*keys)
+    return seen.join(sized(staged(kept, "kept")), keys, "left_semi")
+
+
+def fed_rings(hist: DataFrame, committed: DataFrame, threshold: float, defend: bool = True, cap: int = CAP) -> DataFrame:
     """Checked, filtered, summed and flagged."""
-    good = reveal_check(hist, committed).filter("ok").select("merchant")
-    seen = staged(hist.join(good.hint("merge"), "merchant", "left_semi"), "revealed")
-    kept = outliers(seen).filter("reason is null").select("merchant")
-    return fed_flag(federated_sum(seen.join(kept.hint("merge"), "merchant", "left_semi")), threshold)
+    return fed_flag(federated_sum(surviving(hist, committed, defend)), threshold, cap=cap)
+
+
+def rejected(hist: DataFrame, committed: DataFrame) -> DataFrame:
+    """kind, merchant, reason (commit, volume or risk), ratio to the median of every merchant that is left out. Commitments are checked first; filters see those that pass."""
+    checked = staged(reveal_check(hist, committed), "checked")
+    wrong = checked.filter("not ok").select("kind", "merchant", F.lit("commit").alias("reason"), F.lit(None).cast("double").alias("ratio"))
+    seen = hist.join(sized(checked.filter("ok").select("kind", "merchant")), ["kind", "merchant"], "left_semi")
+    return outliers(seen).filter("reason is not null").select("kind", "merchant", "reason", "ratio").unionByName(wrong)
 
 
 # the sweep over privacy budgets: every setting in one job
@@ -112,12 +188,12 @@ def settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(test + val, "eps int, rep int, split string")
 
 
-def exact_rings(rows: DataFrame) -> DataFrame:
+def exact_rings(rows: DataFrame, of: tuple[str, ...] = DAILY) -> DataFrame:
     """split, kind, fp, b0..b4, merchants, txns, frauds of rings counted in one place."""
-    bucket = K.risk_bucket(F.col("score"))
-    per = rows.groupBy("split", "kind", "key", "day", "merchant").agg(*[F.count_if(bucket == i).cast("double").alias(b) for i, b in enumerate(B)], F.sum("is_fraud").alias("frauds"))
-    g = per.groupBy("split", "kind", "key", "day").agg(*[F.sum(b).alias(b) for b in B], F.count(F.lit(1)).alias("merchants"), F.sum("frauds").alias("frauds"))
-    return g.select("split", "kind", fingerprint().alias("fp"), *B, "merchants", total().alias("txns"), "frauds")
+    bucket, keys = K.risk_bucket(F.col("score")), [*dict.fromkeys(("split", "kind", "key", *of))]
+    per = rows.groupBy(*keys, "merchant").agg(*[F.count_if(bucket == i).cast("double").alias(b) for i, b in enumerate(B)], F.sum("is_fraud").alias("frauds"))
+    g = per.groupBy(*keys).agg(*[F.sum(b).alias(b) for b in B], F.count(F.lit(1)).alias("merchants"), F.sum("frauds").alias("frauds"))
+    return g.select("split", "kind", fingerprint(of=of).alias("fp"), *B, "merchants", total().alias("txns"), "frauds")
 
 
 def noisy_sums(hist: DataFrame, sets: DataFrame) -> DataFrame:
@@ -171,6 +247,40 @@ def sweep(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged(flagged, exact, ["eps", "rep"], cells), slots
 
 
+#: Arms of the attack: what merchant 0 reveals and commits to, and whether filters are on.
+ARMS = (("honest", True), ("hot_flood_no_defense", False), ("hot_flood_defended", True), ("commit_mismatch_defended", True))
+
+
+def flooded(hist: DataFrame, merchant: int = 0) -> DataFrame:
+    """All of a merchant's counts in the top bucket."""
+    own = F.col("merchant") == merchant
+    return hist.withColumns({b: F.when(own, total() if b == B[-1] else F.lit(0.0)).otherwise(F.col(b)) for b in B})
+
+
+def attack_arms(rows: DataFrame, of: tuple[str, ...] = ("key",)) -> tuple[DataFrame, DataFrame]:
+    """(arm, kind, flagged, tp, fp, fn on test), (arm, kind, merchant, reason, ratio): rings of whole splits without noise, thresholds from exact counts on val.
+
+    Merchant 0 floods the top bucket of all its rings and commits to that, or commits to
+    its honest counts and reveals the flood. rows: ring rows with split.
+    """
+    later = staged(rows.filter("split <> 'train'").select("split", "merchant", "kind", "key", "day", "score", "is_fraud"), "later")
+    exact = staged(exact_rings(later, of), "exact")
+    slots = staged(tuned(exact.withColumns({"eps": F.lit(0), "rep": F.lit(0)}), exact).select("kind", "slot"), "thresholds")
+    hist = staged(merchant_hist(later.filter("split = 'test'"), of=of), "hist")
+    committed, bad = staged(commitments(hist), "committed"), staged(flooded(hist), "flooded")
+    flood = staged(commitments(bad), "committed")
+    flagged = audit = None
+    for arm, defend in ARMS:
+        revealed, told = (hist, committed) if arm == "honest" else (bad, committed if arm.startswith("commit") else flood)
+        sums = federated_sum(surviving(revealed, told, defend)).filter(f"merchants >= 2 and txns between {LOW} and {CAP}").join(F.broadcast(slots), "kind")  # a row for a kind
+        one = sums.filter(10 * K.risk_tenths([F.col(b) for b in B]) >= F.col("slot") * F.col("txns")).select(F.lit(arm).alias("arm"), "kind", "fp")
+        out = rejected(revealed, told) if defend else rejected(revealed, told).filter("reason = 'commit'")
+        out = out.select(F.lit(arm).alias("arm"), "*")
+        flagged, audit = (one, out) if flagged is None else (flagged.unionByName(one), audit.unionByName(out))
+    cells = rows.sparkSession.createDataFrame([(a,) for a, _ in ARMS], "arm string").crossJoin(F.broadcast(slots.select("kind")))
+    return judged(flagged, exact, ["arm"], cells), audit
+
+
 # model updates: (merchant, idx, value), weights (merchant, rows, fraud_rows)
 def norm_filter(deltas: DataFrame, limit: float = 3.0) -> DataFrame:
     n = staged(deltas.groupBy("merchant").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")), "norms")

@@ -1,11 +1,12 @@
-"""Rings: groups of rows that share a device or an address within a day."""
+"""Rings: groups of rows that share a device or an address, within a day or at any time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
+from ringsight.session import sized, staged
 
 LOW, CAP, HOUR = 2, 25, 3600
 
@@ -24,27 +25,62 @@ def with_source(txn: DataFrame) -> DataFrame:
 
 
 def live_rows(txn: DataFrame) -> DataFrame:
-    """Ring rows of ``txn`` (with source) without days, and for live rows a ring of each card: replayed card codes stand for thousands of cards."""
-    cards = txn.filter("source = 'live' and card1 is not null").select("*", F.lit("card").alias("kind"), F.col("card1").cast("string").alias("key"), F.col("account").alias("member"), K.merchant().alias("merchant"))
-    return ring_rows(txn).drop("day").unionByName(cards)
+    """Ring rows of ``txn`` (with source) without days, and for live rows a ring of each card: replayed card codes stand for thousands of cards. merchant is the shop that was paid."""
+    cards = txn.filter("source = 'live' and card1 is not null").select("*", F.lit("card").alias("kind"), F.col("card1").cast("string").alias("key"), F.col("account").alias("member"), F.col("shop").alias("merchant"))
+    return ring_rows(txn).drop("day").withColumn("merchant", F.col("shop")).unionByName(cards)
+
+
+#: Different (card, account, merchant) of one ring up to which its sets are made in one row.
+CROWDED = 10_000
+#: What distinct counts are of.
+PEOPLE = ("card1", "account", "merchant")
+
+
+def grouped(rows: DataFrame, by: tuple[str, ...], told: dict[str, tuple[Column, str]], crowded: int = CROWDED) -> DataFrame:
+    """by, ``told`` (name -> aggregate of rows, and the name of the aggregate of such parts), cards, accounts, merchants and members (cards of address rings, else accounts).
+
+    In two levels: first a row for each card, account and merchant of a ring, then a
+    ring's sets. Rings with over ``crowded`` of those are counted value by value instead,
+    so that no row holds a large set and no row of the input is copied. Nulls are not
+    counted. ``by`` contains kind and has no nulls.
+    """
+    parts = staged(rows.groupBy(*by, *PEOPLE).agg(*[x.alias(n) for n, (x, _) in told.items()]), "parts")
+    sums = [getattr(F, again)(n).alias(n) for n, (_, again) in told.items()]
+    names = dict(zip(PEOPLE, ("cards", "accounts", "merchants"), strict=True))
+    many = staged(parts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > crowded).select(*by), "crowded")
+    few, out = parts, None
+    if not many.isEmpty():  # a row for ``crowded`` rows of the input at most
+        side = sized(many)
+        few, own = parts.join(side, list(by), "left_anti"), parts.join(side, list(by), "left_semi")
+        out = own.groupBy(*by).agg(*sums)
+        for c, n in names.items():
+            out = out.join(own.groupBy(*by, c).agg(F.lit(1)).groupBy(*by).agg(F.count(c).alias(n)).hint("merge"), list(by))
+    sets = few.groupBy(*by).agg(*sums, *[F.size(F.collect_set(c)).cast("long").alias(n) for c, n in names.items()])
+    out = sets if out is None else sets.unionByName(out)
+    return out.withColumn("members", F.when(F.col("kind") == "address", F.col("cards")).otherwise(F.col("accounts")))
+
+
+def figures() -> dict[str, tuple[Column, str]]:
+    return {"txns": (F.count(F.lit(1)), "sum"), "score": (F.sum("score"), "sum"), "score_max": (F.max("score"), "max"), "amount": (F.sum("amount"), "sum"), "t0": (F.min("t"), "min"), "t1": (F.max("t"), "max")}
 
 
 def live_agg(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
     """One row per kind and key: sizes, distinct members, cards and merchants, scores, source (mixed if there are two), frauds, disputes, flagged."""
-    g = rows.groupBy("kind", "key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("source").alias("s0"), F.max("source").alias("s1"), F.count_distinct("member").alias("members"), F.count_distinct("card1").alias("cards"), F.count_distinct("merchant").alias("merchants"),
-        F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.sum("amount").alias("amount"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.count_if(F.col("is_fraud") == 1).alias("frauds"), F.count_if("disputed").alias("disputed"),
-    )
-    return g.withColumn("source", F.when(F.col("s0") == F.col("s1"), F.col("s0")).otherwise("mixed")).withColumn("flagged", F.col("score_mean") >= threshold).drop("s0", "s1")
-
-
-def ring_agg(rows: DataFrame, hot: float = 0.5) -> DataFrame:
-    span = F.greatest((F.max("t") - F.min("t")) / HOUR, F.lit(1 / 60))
-    return rows.groupBy("kind", "key", "day").agg(
-        F.count(F.lit(1)).alias("txns"), F.count_distinct("member").alias("members"), F.count_distinct("card1").alias("cards"), F.count_distinct("account").alias("accounts"), F.count_distinct("merchant").alias("merchants"),
-        F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.avg((F.col("score") >= hot).cast("int")).alias("hot_share"),
-        F.sum("amount").alias("amount"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.sum("is_fraud").cast("long").alias("frauds"), span.alias("span_h"),
-    )
+    more = {"s0": (F.min("source"), "min"), "s1": (F.max("source"), "max"), "frauds": (F.count_if(F.col("is_fraud") == 1), "sum"), "disputed": (F.count_if("disputed"), "sum")}
+    g = grouped(rows, ("kind", "key"), figures() | more).withColumnRenamed("txns", "size").withColumn("score_mean", F.col("score") / F.col("size"))
+    return g.withColumn("source", F.when(F.col("s0") == F.col("s1"), F.col("s0")).otherwise("mixed")).withColumn("flagged", F.col("score_mean") >= threshold).drop("s0", "s1", "score")
+
+
+#: A ring is all rows of a key within a day, or all of a key.
+DAILY, WHOLE = ("kind", "key", "day"), ("kind", "key")
+
+
+def ring_agg(rows: DataFrame, hot: float = 0.5, by: tuple[str, ...] = DAILY) -> DataFrame:
+    """One row per ring of ``by``: txns, members, cards, accounts, merchants, mean and greatest score, share of hot rows, amount, time span, frauds."""
+    more = {"hot": (F.count_if(F.col("score") >= hot), "sum"), "frauds": (F.sum("is_fraud").cast("long"), "sum")}
+    g = grouped(rows, by, figures() | more)
+    span = F.greatest((F.col("t1") - F.col("t0")) / HOUR, F.lit(1 / 60))
+    return g.select(*by, "txns", "members", "cards", "accounts", "merchants", (F.col("score") / F.col("txns")).alias("score_mean"), "score_max", (F.col("hot") / F.col("txns")).alias("hot_share"), "amount", "t0", "t1", "frauds", span.alias("span_h"))
 
 
 def in_window(rings: DataFrame, low: int = LOW, cap: int = CAP) -> DataFrame:

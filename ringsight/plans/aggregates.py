@@ -16,14 +16,36 @@ from ringsight.session import staged
 FLAG = "score_mean >= 0.35::DOUBLE"
 
 
-@query("SELECT kind, key, day, txns, members, cards, accounts, merchants, round(score_mean, 9) AS score_mean, round(score_max, 9) AS score_max, round(hot_share, 9) AS hot_share, round(amount, 4) AS amount, frauds, frauds >= 2 AS is_fraud_ring, round(span_h, 9) AS span_h FROM ring")
+def ring_sql(by: str, table: str) -> str:
+    return f"SELECT {by}, txns, members, cards, accounts, merchants, round(score_mean, 9) AS score_mean, round(score_max, 9) AS score_max, round(hot_share, 9) AS hot_share, round(amount, 4) AS amount, frauds, frauds >= 2 AS is_fraud_ring, round(span_h, 9) AS span_h FROM {table}"
+
+
+def ring_figures(r, by):
+    return r.select(*by, "txns", "members", "cards", "accounts", "merchants", *[R4(c).alias(c) for c in ("score_mean", "score_max", "hot_share")], F.round("amount", 4).alias("amount"), "frauds", (F.col("frauds") >= 2).alias("is_fraud_ring"), R4("span_h").alias("span_h"))
+
+
+@query(ring_sql("kind, key, day", "ring"))
 def ring_agg(spark, d):
-    r = R.ring_agg(rows(spark, d))
-    return r.select("kind", "key", "day", "txns", "members", "cards", "accounts", "merchants", *[R4(c).alias(c) for c in ("score_mean", "score_max", "hot_share")], F.round("amount", 4).alias("amount"), "frauds", (F.col("frauds") >= 2).alias("is_fraud_ring"), R4("span_h").alias("span_h"))
+    return ring_figures(R.ring_agg(rows(spark, d)), R.DAILY)
+
+
+#: Rings of a key over a whole split.
+WHOLE = (
+    "wr AS (SELECT split, kind, key, count(*) AS txns, count(DISTINCT member) AS members, count(DISTINCT card1) AS cards, count(DISTINCT account) AS accounts, count(DISTINCT merchant) AS merchants, avg(score) AS score_mean, max(score) AS score_max,"
+    " avg(CASE WHEN score >= 0.5::DOUBLE THEN 1 ELSE 0 END) AS hot_share, sum(amount) AS amount, min(t) AS t0, max(t) AS t1, CAST(sum(is_fraud) AS BIGINT) AS frauds, greatest((max(t) - min(t)) / 3600, 1.0::DOUBLE / 60) AS span_h"
+    " FROM rr JOIN (SELECT txn_id, split FROM sp) x USING (txn_id) GROUP BY ALL)"
+)
+
+
+@query(ring_sql("split, kind, key", "wr"), WHOLE)
+def ring_agg_whole(spark, d):
+    """Rings of each key over its split, whatever the day."""
+    by = ("split", *R.WHOLE)
+    return ring_figures(R.ring_agg(R.ring_rows(split(spark, d)), by=by), by)
 
 
 LIVE = (
-    "xs AS (SELECT *, card1 % 8 AS merchant, CASE WHEN txn_id % 5 = 0 THEN 'live' ELSE 'replay' END AS source, is_fraud = 1 AND txn_id % 2 = 0 AS disputed FROM txn WHERE t >= (SELECT max(t) FROM txn) - 604800),"
+    "xs AS (SELECT *, shop AS merchant, CASE WHEN txn_id % 5 = 0 THEN 'live' ELSE 'replay' END AS source, is_fraud = 1 AND txn_id % 2 = 0 AS disputed FROM txn WHERE t >= (SELECT max(t) FROM txn) - 604800),"
     f" lr AS (SELECT *, 'device' AS kind, {DEV} AS key, account AS member FROM xs WHERE {SPEC} UNION ALL SELECT *, 'address', {ADDR}, card1 FROM xs WHERE {ADDR} IS NOT NULL UNION ALL SELECT *, 'card', CAST(card1 AS VARCHAR), account FROM xs WHERE source = 'live')"
 )
 
@@ -201,8 +223,8 @@ KINDS = ("address", "device")
 F1 = "round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 9)"
 
 
-def _ring_grid(name: str, split_: str, grid: str) -> str:
-    return f"{name} AS (SELECT kind, thr, count(*) FILTER (WHERE score >= thr AND bad) AS tp, count(*) FILTER (WHERE score >= thr AND NOT bad) AS fp, count(*) FILTER (WHERE score < thr AND bad) AS fn FROM {grid} LEFT JOIN (SELECT * FROM rv WHERE split = '{split_}') USING (kind) GROUP BY ALL)"
+def _ring_grid(name: str, split_: str, grid: str, rv: str = "rv") -> str:
+    return f"{name} AS (SELECT kind, thr, count(*) FILTER (WHERE score >= thr AND bad) AS tp, count(*) FILTER (WHERE score >= thr AND NOT bad) AS fp, count(*) FILTER (WHERE score < thr AND bad) AS fn FROM {grid} LEFT JOIN (SELECT * FROM {rv} WHERE split = '{split_}') USING (kind) GROUP BY ALL)"
 
 
 RT = (
@@ -233,6 +255,52 @@ def ring_tune(spark, d):
     return out
 
 
+def best_f1(spark, val):
+    """thr of the best F1 over 300 quantiles of the rings' means; the least of equals. No row without rings."""
+    best = score_grid(spark, val, RING_VAL).agg(F.max(F.struct(R4("f1").alias("f1"), (-F.col("thr")).alias("m"))).alias("b"))
+    return best.filter("b is not null").select((-F.col("b.m")).alias("thr"))
+
+
+TUNED = (
+    WHOLE + ", rw AS (SELECT split, kind, key, round(score_mean, 9) AS score, frauds >= 2 AS bad FROM wr WHERE split <> 'train' AND members BETWEEN 2 AND 25), gw AS ("
+    + " UNION ALL ".join(f"SELECT '{k}' AS kind, thr FROM ({quant('rw', 'score', RING_VAL, f"split = 'val' AND kind = '{k}'")})" for k in KINDS) + "), " + _ring_grid("rw1", "val", "gw", "rw")
+    + f", bw AS (SELECT kind, thr FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY {F1} DESC, thr) AS o FROM rw1) WHERE o = 1)"
+    ", fw AS (SELECT kind, key, bad, score >= thr AS hit FROM rw JOIN bw USING (kind) WHERE split = 'test'), te AS (SELECT * FROM sp WHERE split = 'test')"
+    ", mw AS (SELECT rr.kind, txn_id, rr.score, is_fraud, hit FROM rr SEMI JOIN te USING (txn_id) JOIN fw USING (kind, key))"
+    ", cw AS (SELECT kind, count(*) FILTER (WHERE is_fraud = 1) AS frauds, count(*) FILTER (WHERE is_fraud = 1 AND hit) AS covered, count(*) FILTER (WHERE is_fraud = 1 AND hit AND score < 0.5::DOUBLE) AS bonus FROM mw GROUP BY 1"
+    " UNION ALL SELECT 'combined', count(DISTINCT txn_id) FILTER (WHERE is_fraud = 1), count(DISTINCT txn_id) FILTER (WHERE is_fraud = 1 AND hit), count(DISTINCT txn_id) FILTER (WHERE is_fraud = 1 AND hit AND score < 0.5::DOUBLE) FROM mw)"
+    ", ew AS (SELECT coalesce(kind, 'combined') AS kind, count(*) AS groups, count(*) FILTER (WHERE bad) AS fraud_rings, count(*) FILTER (WHERE hit) AS flagged, count(*) FILTER (WHERE hit AND bad) AS tp, count(*) FILTER (WHERE hit AND NOT bad) AS fp, count(*) FILTER (WHERE bad AND NOT hit) AS fn FROM fw GROUP BY ROLLUP (kind))"
+)
+
+
+@query(
+    f"SELECT ew.*, {PRF}, round(thr, 9) AS thr, frauds, covered, bonus, round(covered / (SELECT sum(is_fraud) FROM te), 9) AS share_of_frauds, round((SELECT count(*) FILTER (WHERE score >= 0.5::DOUBLE) FROM te) / greatest(flagged, 1), 9) AS reduction FROM ew JOIN cw USING (kind) LEFT JOIN bw USING (kind)",
+    TUNED,
+)
+def ring_report(spark, d):
+    """Rings of each key over the test rows, flagged at the val threshold of their kind: counts, frauds in them, covered and below their own threshold, and transaction alerts for each ring alert; by kind and together."""
+    s = staged(split(spark, d).filter("split <> 'train'"), "later")
+    rows = staged(R.ring_rows(s).select("split", "kind", "key", "t", "txn_id", "score", "is_fraud", "amount", "card1", "account", "merchant"), "rows")
+    rings = R.in_window(R.ring_agg(rows, by=("split", *R.WHOLE)))
+    rings = staged(rings.select("split", "kind", "key", R4("score_mean").alias("score"), (F.col("frauds") >= 2).cast("int").alias("is_fraud"), F.lit(0.0).alias("amount")), "rings")
+    thr = None
+    for kind in KINDS:
+        one = best_f1(spark, rings.filter(f"split = 'val' and kind = '{kind}'")).withColumn("kind", F.lit(kind))
+        thr = one if thr is None else thr.unionByName(one)
+    thr = staged(thr, "thresholds")  # a row for a kind
+    bad = F.col("is_fraud") == 1
+    flagged = staged(rings.filter("split = 'test'").join(F.broadcast(thr), "kind").select("kind", "key", bad.alias("bad"), (F.col("score") >= F.col("thr")).alias("hit")), "flagged")
+    n = lambda c, name: F.count_if(c).alias(name)
+    hit, of = F.col("hit"), F.col("bad")
+    counts = flagged.rollup("kind").agg(F.count(F.lit(1)).alias("groups"), n(of, "fraud_rings"), n(hit, "flagged"), n(hit & of, "tp"), n(hit & ~of, "fp"), n(of & ~hit, "fn")).withColumn("kind", F.coalesce("kind", F.lit("combined")))
+    held = staged(rows.filter("split = 'test'").select("kind", "key", "txn_id", "score", bad.alias("f")).filter("f").join(flagged.select("kind", "key", "hit").hint("merge"), ["kind", "key"]), "held")
+    told = [F.count(F.lit(1)).alias("frauds"), n(hit, "covered"), n(hit & (F.col("score") < 0.5), "bonus")]
+    covered = held.groupBy("kind").agg(*told).unionByName(held.groupBy("txn_id").agg(F.max("hit").alias("hit"), F.max("score").alias("score")).agg(*told).withColumn("kind", F.lit("combined")))
+    whole = s.filter("split = 'test'").agg(F.sum("is_fraud").alias("_f"), n(F.col("score") >= 0.5, "_a"))
+    out = rounded_rates(counts).join(F.broadcast(covered), "kind").join(F.broadcast(thr), "kind", "left").crossJoin(F.broadcast(whole))  # three rows
+    return out.select(*counts.columns, "precision", "recall", "f1", R4("thr").alias("thr"), "frauds", "covered", "bonus", R4(F.col("covered") / F.col("_f")).alias("share_of_frauds"), R4(F.col("_a") / F.greatest("flagged", F.lit(1))).alias("reduction"))
+
+
 @query(f"SELECT a.n AS txn_alerts, r.n AS ring_alerts, f.n AS frauds, c.n AS covered, round(a.n / r.n, 9) AS reduction FROM (SELECT count(*) AS n FROM txn WHERE score >= 0.5::DOUBLE) a, (SELECT count(*) AS n FROM win WHERE {FLAG}) r, (SELECT count(*) AS n FROM txn WHERE is_fraud = 1) f, (SELECT count(*) AS n FROM txn JOIN inr USING (txn_id) WHERE is_fraud = 1) c", INR)
 def alert_reduction(spark, d):
     x = txn(spark, d)
@@ -311,7 +379,7 @@ def reputation_lookup(spark, d):
     return s.filter("split = 'test'").join(per.select("card1", *X.smoothed()).hint("merge"), "card1", "left").select("txn_id", R4(F.coalesce("rate", F.lit(X.PRIOR))).alias("rate"))
 
 
-PEERS = "peers AS (SELECT txn_id, (SELECT count(DISTINCT p.account) FROM txn p WHERE p.card1 = x.card1 AND (p.t BETWEEN x.t - 3600 AND x.t - 1 OR p.txn_id = x.txn_id)) AS accounts, (SELECT count(DISTINCT p.card1 % 8) FROM txn p WHERE p.card1 = x.card1 AND p.t BETWEEN x.t - 3600 AND x.t - 1) AS merchants, (SELECT count(DISTINCT p.card1) FROM txn p WHERE p.account = x.account AND (p.t BETWEEN x.t - 3600 AND x.t - 1 OR p.txn_id = x.txn_id)) AS cards FROM txn x)"
+PEERS = "peers AS (SELECT txn_id, (SELECT count(DISTINCT p.account) FROM txn p WHERE p.card1 = x.card1 AND (p.t BETWEEN x.t - 3600 AND x.t - 1 OR p.txn_id = x.txn_id)) AS accounts, (SELECT count(DISTINCT p.shop) FROM txn p WHERE p.card1 = x.card1 AND p.t BETWEEN x.t - 3600 AND x.t - 1) AS merchants, (SELECT count(DISTINCT p.card1) FROM txn p WHERE p.account = x.account AND (p.t BETWEEN x.t - 3600 AND x.t - 1 OR p.txn_id = x.txn_id)) AS cards FROM txn x)"
 
 
 @query("SELECT txn_id, CAST(accounts AS INT) AS accounts, CAST(merchants AS INT) AS merchants, CAST(cards AS INT) AS cards FROM peers", PEERS)
@@ -320,7 +388,7 @@ def shared_entity_velocity(spark, d):
 
 
 @query(
-    "SELECT txn_id, round(least(s, 0.99::DOUBLE), 9) AS rule_score, concat_ws(',', CASE WHEN rate IS NOT NULL THEN 'email' END, CASE WHEN txn_id % 2 = 0 THEN 'international' END, CASE WHEN amount < 3 THEN 'tiny' END, CASE WHEN amount > 2000 THEN 'large' END, CASE WHEN accounts >= 2 THEN 'accounts' END, CASE WHEN merchants >= 2 THEN 'merchants' END, CASE WHEN cards >= 2 THEN 'cards' END) AS reasons FROM (SELECT txn_id, rate, amount, accounts, merchants, cards, 0.05::DOUBLE + CASE WHEN rate IS NOT NULL THEN 0.15::DOUBLE + 0.25::DOUBLE * rate ELSE 0 END + CASE WHEN txn_id % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN amount < 3 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN amount > 2000 THEN 0.1::DOUBLE ELSE 0 END"
+    "SELECT txn_id, round(least(s, 0.99::DOUBLE), 9) AS rule_score, concat_ws(',', CASE WHEN rate IS NOT NULL THEN 'email' END, CASE WHEN txn_id % 2 = 0 THEN 'international' END, CASE WHEN amount < 3 AND amount <> 0 THEN 'tiny' END, CASE WHEN amount > 2000 THEN 'large' END, CASE WHEN accounts >= 2 THEN 'accounts' END, CASE WHEN merchants >= 2 THEN 'merchants' END, CASE WHEN cards >= 2 THEN 'cards' END) AS reasons FROM (SELECT txn_id, rate, amount, accounts, merchants, cards, 0.05::DOUBLE + CASE WHEN rate IS NOT NULL THEN 0.15::DOUBLE + 0.25::DOUBLE * rate ELSE 0 END + CASE WHEN txn_id % 2 = 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN amount < 3 AND amount <> 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN amount > 2000 THEN 0.1::DOUBLE ELSE 0 END"
     " + CASE WHEN accounts >= 2 THEN 0.25::DOUBLE + 0.08::DOUBLE * least(accounts - 2, 4) ELSE 0 END + CASE WHEN merchants >= 2 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN cards >= 2 THEN 0.25::DOUBLE + 0.08::DOUBLE * least(cards - 2, 4) ELSE 0 END AS s"
     " FROM (SELECT *, CASE email_domain WHEN 'protonmail.com' THEN 0.41 WHEN 'mail.com' THEN 0.19 WHEN 'outlook.es' THEN 0.13 WHEN 'aim.com' THEN 0.13 WHEN 'outlook.com' THEN 0.09 WHEN 'hotmail.es' THEN 0.07 WHEN 'live.com.mx' THEN 0.05 END::DOUBLE AS rate FROM txn) JOIN peers USING (txn_id))",
     PEERS,

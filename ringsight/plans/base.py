@@ -25,7 +25,7 @@ CTES = f"""WITH txn AS (
       WHEN 'purchase' THEN CASE WHEN k % 2 = 1 THEN 'protonmail.com' ELSE 'outlook.es' END WHEN 'error' THEN CASE WHEN k % 2 = 1 THEN 'outlook.com' ELSE 'hotmail.es' END END AS email_domain,
     CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN ['Windows','iOS Device','MacOS','Linux','Trident/7.0','other'][(k // 5) % 6 + 1] ELSE concat('D', k, ' ', event_type) END AS device_info,
     concat('browser ', k % 3) AS browser, least(value / 200.0, CAST(0.999 AS DOUBLE)) AS score,
-    CASE WHEN (value > 100 AND event_id % 3 <> 0) OR event_id % 29 = 0 THEN 1 ELSE 0 END AS is_fraud
+    CASE WHEN (value > 100 AND event_id % 3 <> 0) OR event_id % 29 = 0 THEN 1 ELSE 0 END AS is_fraud, CAST(event_id % 6 AS BIGINT) AS shop
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
 ident AS (SELECT txn_id, device_info, browser FROM txn WHERE txn_id % 4 = 0),
 sp AS (SELECT txn.*, CASE WHEN t <= q[1] THEN 'train' WHEN t <= q[2] THEN 'val' ELSE 'test' END AS split

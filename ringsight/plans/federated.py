@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
 from ringsight.operators import graph as G
-from ringsight.operators import models as L
 from ringsight.operators import metrics as M
 from ringsight.operators import privacy as P
 from ringsight.operators import rings as R
+from ringsight.operators import sliding as C
 from ringsight.plans.base import BUCKET, DEV, hmac_sql, query
 from ringsight.plans.rowwise import R4, rows, split, txn
 from ringsight.session import sized, staged
@@ -24,6 +24,12 @@ def hist(spark, d):
     return P.merchant_hist(rows(spark, d))
 
 
+@query(f"SELECT merchant, kind, {hmac_sql(P.SECRET, 'key')}[1:16] AS fp, " + ", ".join(f"CAST(count(*) FILTER (WHERE {BUCKET} = {i}) AS DOUBLE) AS b{i}" for i in range(5)) + " FROM rr GROUP BY ALL")
+def merchant_hist_whole(spark, d):
+    """Fingerprints of the shared value alone, over all days."""
+    return P.merchant_hist(rows(spark, d), of=("key",))
+
+
 @query(f"SELECT merchant, kind, fp, {BS} FROM hist")
 def merchant_hist(spark, d):
     return hist(spark, d)
@@ -105,70 +111,142 @@ def repeat_stats(spark, d):
     return out.select(F.nullif("eps", F.lit(0)).alias("eps"), "kind", *[F.round(c + e, 6).alias(c + e) for c in RATES for e in ("", "_std")])
 
 
-LINE = "kind || ':' || fp || ':' || " + " || ':' || ".join(f"printf('%.1f', b{i})" for i in range(5))
-COMMIT = f"cm AS (SELECT merchant, sha256(string_agg(d, ',' ORDER BY c)) AS digest FROM (SELECT merchant, fp[1:2] AS c, sha256(string_agg({LINE}, ',' ORDER BY {LINE})) AS d FROM hist GROUP BY ALL) GROUP BY 1)"
+LINE = "fp || ':' || " + " || ':' || ".join(f"printf('%.1f', b{i})" for i in range(5))
+
+
+def commit_sql(hist: str, name: str) -> str:
+    """SQL tables up to ``name`` (kind, merchant, digest): roots of trees of two levels at most."""
+    ups = "sha256(string_agg(p || ':' || d, ',' ORDER BY p))"
+    return (
+        f"{name}0 AS (SELECT kind, merchant, CAST(count(*) > {P.LEAF} AS INT) + CAST(count(*) > {16 * P.LEAF} AS INT) AS depth FROM {hist} GROUP BY ALL),"
+        f" {name}2 AS (SELECT kind, merchant, depth, fp[1:depth] AS p, sha256(string_agg({LINE}, ',' ORDER BY {LINE})) AS d FROM {hist} JOIN {name}0 USING (kind, merchant) GROUP BY ALL),"
+        f" {name}1 AS (SELECT kind, merchant, p, d FROM {name}2 WHERE depth = 1 UNION ALL SELECT kind, merchant, p[1:1], {ups} FROM {name}2 WHERE depth = 2 GROUP BY kind, merchant, p[1:1]),"
+        f" {name} AS (SELECT kind, merchant, d AS digest FROM {name}2 WHERE depth = 0 UNION ALL SELECT kind, merchant, {ups} FROM {name}1 GROUP BY ALL)"
+    )
 
 
-@query("SELECT merchant, digest FROM cm", COMMIT)
+COMMIT = commit_sql("hist", "cm")
+
+
+@query("SELECT kind, merchant, digest FROM cm", COMMIT)
 def commit_hist(spark, d):
     return P.commitments(hist(spark, d))
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY merchant) - 1 AS BIGINT) AS pos, digest FROM cm", COMMIT)
+@query("SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY merchant) - 1 AS BIGINT) AS pos, digest FROM cm", COMMIT)
 def merkle_order(spark, d):
     return leaves(spark, d)
 
 
 def leaves(spark, d):
-    c = M.prefix_sums(P.commitments(hist(spark, d)).withColumn("one", F.lit(1)), "merchant", ["one"], descending=False)
-    return c.select((F.col("cum_one") - 1).cast("long").alias("pos"), "digest")
+    return P.merkle_leaves(staged(P.commitments(hist(spark, d)), "commitments"))
 
 
-@query(
-    "SELECT sha256(from_hex(a.h || b.h)) AS root FROM (SELECT sha256(from_hex(max(h) FILTER (WHERE q % 2 = 0) || max(h) FILTER (WHERE q % 2 = 1))) AS h FROM l1 WHERE q < 2) a, (SELECT sha256(from_hex(max(h) FILTER (WHERE q % 2 = 0) || max(h) FILTER (WHERE q % 2 = 1))) AS h FROM l1 WHERE q >= 2) b",
-    COMMIT + ", l0 AS (SELECT row_number() OVER (ORDER BY merchant) - 1 AS pos, digest FROM cm), l1 AS (SELECT pos // 2 AS q, sha256(from_hex(max(digest) FILTER (WHERE pos % 2 = 0) || max(digest) FILTER (WHERE pos % 2 = 1))) AS h FROM l0 GROUP BY 1)",
-)
+def _up(below: str) -> str:
+    return f"SELECT kind, pos // 2 AS pos, sha256(from_hex(max(digest) FILTER (WHERE pos % 2 = 0) || coalesce(max(digest) FILTER (WHERE pos % 2 = 1), max(digest)))) AS digest FROM {below} GROUP BY 1, 2"
+
+
+@query("SELECT kind, digest AS root FROM l3", COMMIT + f", l0 AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY merchant) - 1 AS pos, digest FROM cm), l1 AS ({_up('l0')}), l2 AS ({_up('l1')}), l3 AS ({_up('l2')})")
 def merkle_root(spark, d):
-    return P.merkle_root(leaves(spark, d))
+    """Over eight merchants of each kind."""
+    return P.merkle_root(leaves(spark, d), ("kind",))
+
+
+def filter_sql(rows: str, name: str) -> str:
+    """SQL tables up to ``name`` (kind, merchant, reason, ratio) of the filters over ``rows``."""
+    why = lambda a, b: f"CASE WHEN n >= 3 AND volume / v > 5 THEN {a} WHEN n >= 3 AND risk / r > 2 THEN {b} END"
+    return (
+        f"{name}v AS (SELECT kind, merchant, sum({TOT}) AS volume, sum({S10}) / (10 * greatest(sum({TOT}), 1)) AS risk FROM {rows} GROUP BY ALL), {name}m AS (SELECT kind, median(volume) AS v, median(risk) AS r, count(*) AS n FROM {name}v GROUP BY 1),"
+        f" {name} AS (SELECT kind, merchant, {why("'volume'", "'risk'")} AS reason, {why('volume / v', 'risk / r')} AS ratio FROM {name}v JOIN {name}m USING (kind))"
+    )
 
 
-BAD = f"bad AS (SELECT merchant, kind, fp, b0, b1, b2, b3, CASE WHEN merchant = 3 THEN b4 + 40 ELSE b4 END AS b4 FROM hist), mv AS (SELECT merchant, sum({TOT}) AS volume, sum({S10}) / (10 * greatest(sum({TOT}), 1)) AS risk FROM bad GROUP BY 1), md AS (SELECT median(volume) AS v, median(risk) AS r FROM mv), au AS (SELECT merchant, CASE WHEN volume / v > 5 THEN 'volume' WHEN risk / r > 2 THEN 'risk' END AS reason, CASE WHEN volume / v > 5 THEN volume / v WHEN risk / r > 2 THEN risk / r END AS ratio FROM mv, md)"
+BAD = "bad AS (SELECT merchant, kind, fp, b0, b1, b2, b3, CASE WHEN merchant = 3 AND kind = 'device' THEN b4 + 40 WHEN merchant = 6 AND kind = 'address' THEN b4 + 3 ELSE b4 END AS b4 FROM hist)"
+FILTERED = BAD + ", " + filter_sql("bad", "au")
+SEEN = BAD + ", seen AS (SELECT * FROM bad WHERE merchant <> 5), " + filter_sql("seen", "au")
 
 
 def poisoned(spark, d):
-    """Merchant 3 floods the top bucket."""
-    return hist(spark, d).withColumn("b4", F.when(F.col("merchant") == 3, F.col("b4") + 40).otherwise(F.col("b4")))
+    """Merchant 3 floods the top bucket of its devices, merchant 6 puts some rows into those of its addresses."""
+    own = lambda m, k: (F.col("merchant") == m) & (F.col("kind") == k)
+    return hist(spark, d).withColumn("b4", F.when(own(3, "device"), F.col("b4") + 40).when(own(6, "address"), F.col("b4") + 3).otherwise(F.col("b4")))
 
 
-@query("SELECT merchant, reason IS NOT DISTINCT FROM 'volume' AS rejected FROM au", BAD)
+def changed(h):
+    """Merchant 5 reveals other than it committed to."""
+    return h.withColumn("b0", F.when(F.col("merchant") == 5, F.col("b0") + 1).otherwise(F.col("b0")))
+
+
+@query("SELECT kind, merchant, reason IS NOT DISTINCT FROM 'volume' AS rejected FROM au", FILTERED)
 def volume_outlier(spark, d):
-    return P.outliers(poisoned(spark, d)).select("merchant", F.col("reason").eqNullSafe("volume").alias("rejected"))
+    return P.outliers(poisoned(spark, d)).select("kind", "merchant", F.col("reason").eqNullSafe("volume").alias("rejected"))
 
 
-@query("SELECT merchant, reason IS NOT DISTINCT FROM 'risk' AS rejected FROM au", BAD)
+@query("SELECT kind, merchant, reason IS NOT DISTINCT FROM 'risk' AS rejected FROM au", FILTERED)
 def risk_outlier(spark, d):
-    return P.outliers(poisoned(spark, d)).select("merchant", F.col("reason").eqNullSafe("risk").alias("rejected"))
+    return P.outliers(poisoned(spark, d)).select("kind", "merchant", F.col("reason").eqNullSafe("risk").alias("rejected"))
 
 
-@query("SELECT merchant, reason, round(ratio, 6) AS ratio FROM au WHERE reason IS NOT NULL UNION ALL SELECT 5, 'commit', NULL", BAD)
+@query("SELECT kind, merchant, reason, round(ratio, 6) AS ratio FROM au WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT kind, 5, 'commit', NULL FROM bad WHERE merchant = 5", SEEN)
 def audit_log(spark, d):
-    """Merchant 5 reveals other than it committed; merchant 3 is an outlier."""
     h = staged(poisoned(spark, d), "hist")
-    wrong = P.reveal_check(h.withColumn("b0", F.when(F.col("merchant") == 5, F.col("b0") + 1).otherwise(F.col("b0"))), P.commitments(h)).filter("not ok")
-    out = P.outliers(h).filter("reason is not null").select("merchant", "reason", F.round("ratio", 6).alias("ratio"))
-    return out.unionByName(wrong.select("merchant", F.lit("commit").alias("reason"), F.lit(None).cast("double").alias("ratio")))
+    return P.rejected(changed(h), P.commitments(h)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("SELECT merchant, merchant <> 5 AS ok FROM (SELECT DISTINCT merchant FROM hist)")
+@query("SELECT DISTINCT kind, merchant, merchant <> 5 AS ok FROM hist")
 def commit_reveal_join(spark, d):
     h = staged(hist(spark, d), "hist")
-    return P.reveal_check(h.withColumn("b0", F.when(F.col("merchant") == 5, F.col("b0") + 1).otherwise(F.col("b0"))), P.commitments(h))
+    return P.reveal_check(changed(h), P.commitments(h))
+
 
+SUMMED = SEEN + f", fed AS (SELECT kind, fp, count(*) AS merchants, sum({TOT}) AS txns, {', '.join(f'sum(b{i}) AS b{i}' for i in range(5))} FROM seen SEMI JOIN (SELECT * FROM au WHERE reason IS NULL) k USING (kind, merchant) GROUP BY ALL)"
 
-@query(f"SELECT kind, fp, merchants, round(txns, 4) AS txns, round(risk_est, 9) AS risk_est, {FLAGGED} AS flagged FROM fsum")
+
+@query(f"SELECT kind, fp, merchants, round(txns, 4) AS txns, round(({S10}) / (10 * greatest(txns, 1)), 9) AS risk_est, {FLAGGED} AS flagged FROM fed", SUMMED)
 def fed_rings(spark, d):
-    h = staged(hist(spark, d), "hist")
-    return P.fed_rings(h, P.commitments(h), 0.3).select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
+    """One merchant reveals other than it committed to, and the filters take out others."""
+    h = staged(poisoned(spark, d), "hist")
+    return P.fed_rings(changed(h), P.commitments(h), 0.3).select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
+
+
+def _cells(table: str, arms: str, flagged: str, truth: str) -> str:
+    """SQL of flagged, tp and a (true rings) of every cell (arm, kind) of a table of flagged rings."""
+    at = f"{flagged}.arm = c.arm AND {flagged}.kind = c.kind"
+    return f"{table} AS (SELECT arm, kind, (SELECT count(*) FROM {flagged} WHERE {at}) AS flagged, (SELECT count(*) FROM {flagged} SEMI JOIN {truth} USING (kind, fp) WHERE {at}) AS tp, (SELECT count(*) FROM {truth} WHERE {truth}.kind = c.kind) AS a FROM ({arms}) c)"
+
+
+KEYED = hmac_sql(P.SECRET, "key") + "[1:16]"
+FLOOD = ", ".join(f"CASE WHEN merchant = 0 THEN {TOT if b == 4 else '0'} ELSE b{b} END AS b{b}" for b in range(5))
+ATTACK = (
+    "rs AS (SELECT rr.*, x.split FROM rr JOIN (SELECT txn_id, split FROM sp WHERE split <> 'train') x USING (txn_id)),"
+    f" hk AS (SELECT merchant, kind, {KEYED} AS fp, {BUCKETS} FROM rs WHERE split = 'test' GROUP BY ALL), ek AS (SELECT split, kind, {KEYED} AS fp, count(*) AS txns, count(DISTINCT merchant) AS merchants, sum(is_fraud) AS frauds, {BUCKETS} FROM rs GROUP BY ALL),"
+    f" vk AS (SELECT kind, i, count(*) FILTER (WHERE frauds >= 2 AND 10 * ({S10}) >= i * txns) AS tp, count(*) FILTER (WHERE frauds < 2 AND 10 * ({S10}) >= i * txns) AS fp_, count(*) FILTER (WHERE frauds >= 2) AS a FROM ek, (SELECT unnest(range(10, 91)) AS i) WHERE split = 'val' AND txns BETWEEN 2 AND 40 GROUP BY ALL),"
+    " tk AS (SELECT kind, i AS slot FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (tp + fp_ + a) END, 9) DESC, i) AS o FROM vk) WHERE o = 1),"
+    f" fk AS (SELECT merchant, kind, fp, {FLOOD} FROM hk), hn AS (SELECT * FROM fk WHERE merchant <> 0), " + ", ".join(filter_sql(t, n) for t, n in (("hk", "a0"), ("fk", "a1"), ("hn", "a2")))
+    + ", ar AS (SELECT 'honest' AS arm, * FROM hk SEMI JOIN (SELECT * FROM a0 WHERE reason IS NULL) k USING (kind, merchant) UNION ALL SELECT 'hot_flood_no_defense', * FROM fk UNION ALL SELECT 'hot_flood_defended', * FROM fk SEMI JOIN (SELECT * FROM a1 WHERE reason IS NULL) k USING (kind, merchant)"
+    " UNION ALL SELECT 'commit_mismatch_defended', * FROM hn SEMI JOIN (SELECT * FROM a2 WHERE reason IS NULL) k USING (kind, merchant)),"
+    f" sk AS (SELECT arm, kind, fp, count(*) AS merchants, sum({TOT}) AS txns, sum({S10}) AS s10 FROM ar GROUP BY ALL), gk AS (SELECT arm, kind, fp FROM sk JOIN tk USING (kind) WHERE merchants >= 2 AND txns BETWEEN 2 AND 40 AND 10 * s10 >= slot * txns),"
+    " uk AS (SELECT kind, fp FROM ek WHERE split = 'test' AND frauds >= 2 AND merchants >= 2 AND txns BETWEEN 2 AND 40), "
+    + _cells("ck", "SELECT unnest(['honest', 'hot_flood_no_defense', 'hot_flood_defended', 'commit_mismatch_defended']) AS arm, kind FROM tk", "gk", "uk")
+    + ", jk AS (SELECT arm, coalesce(kind, 'combined') AS kind, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(flagged - tp) AS BIGINT) AS fp, CAST(sum(a - tp) AS BIGINT) AS fn FROM ck GROUP BY GROUPING SETS ((arm, kind), (arm)))"
+)
+
+
+@query("SELECT arm, kind, flagged, tp, fp, fn, " + ", ".join(f"round({x}, 9) AS {c}" for c, x in RATES.items()) + " FROM jk", ATTACK)
+def attack_arms(spark, d):
+    """Rings of whole splits when merchant 0 floods the top bucket or reveals other than it committed to, with and without defence."""
+    out = M.rates(P.attack_arms(R.ring_rows(split(spark, d)))[0])
+    return out.select("arm", "kind", "flagged", "tp", "fp", "fn", *[R4(c).alias(c) for c in RATES])
+
+
+@query(
+    "SELECT 'honest' AS arm, kind, merchant, reason, round(ratio, 6) AS ratio FROM a0 WHERE reason IS NOT NULL UNION ALL SELECT 'hot_flood_defended', kind, merchant, reason, round(ratio, 6) FROM a1 WHERE reason IS NOT NULL"
+    " UNION ALL SELECT 'commit_mismatch_defended', kind, merchant, reason, round(ratio, 6) FROM a2 WHERE reason IS NOT NULL UNION ALL SELECT DISTINCT 'commit_mismatch_defended', kind, 0, 'commit', NULL FROM hk WHERE merchant = 0",
+    ATTACK,
+)
+def attack_audit(spark, d):
+    """Who is left out in each arm, and why."""
+    return P.attack_arms(R.ring_rows(split(spark, d)))[1].withColumn("ratio", F.round("ratio", 6))
 
 
 CENTRAL = SWEEP + f""", cf AS (SELECT kind, fp FROM es JOIN th USING (kind) WHERE th.eps = 0 AND split = 'test' AND merchants >= 2 AND txns BETWEEN 2 AND 40 AND 10 * ({S10}) >= slot * txns),
@@ -190,11 +268,11 @@ def central_vs_fed(spark, d):
     return M.rates(both).select("arm", "kind", "flagged", "tp", "fp", "fn", *[R4(c).alias(c) for c in RATES])
 
 
-@query(f"SELECT h.merchant, left(digest, 12) AS commitment, left(fp, 8) AS fp8, kind, {TOT} AS n FROM hist h JOIN cm USING (merchant)", COMMIT)
+@query(f"SELECT h.merchant, left(digest, 12) AS commitment, left(fp, 8) AS fp8, kind, {TOT} AS n FROM hist h JOIN cm USING (kind, merchant)", COMMIT)
 def merchant_sketch(spark, d):
     h = staged(hist(spark, d), "hist")
-    c = P.commitments(h).select("merchant", F.substr("digest", F.lit(1), F.lit(12)).alias("commitment"))
-    return h.join(sized(staged(c, "commitments")), "merchant").select("merchant", "commitment", F.substr("fp", F.lit(1), F.lit(8)).alias("fp8"), "kind", P.total().alias("n"))
+    c = P.commitments(h).select("kind", "merchant", F.substr("digest", F.lit(1), F.lit(12)).alias("commitment"))
+    return h.join(sized(staged(c, "commitments")), ["kind", "merchant"]).select("merchant", "commitment", F.substr("fp", F.lit(1), F.lit(8)).alias("fp8"), "kind", P.total().alias("n"))
 
 
 @query("SELECT nullif(eps, 0) AS eps, kind, slot * 0.01::DOUBLE AS thr FROM th", SWEEP)
@@ -298,24 +376,37 @@ def reach(edges: str, by: str, rounds: int) -> str:
     return two + f", reach AS (SELECT * FROM l{rounds})"
 
 
-DAYS = f"de_ AS (SELECT DISTINCT t // 86400 AS d, 'c' || card1 AS a, 'v' || {DEV} AS b FROM txn WHERE device_info IS NOT NULL), ed AS (SELECT DISTINCT unnest(range(d, d + 7)) AS day, a, b FROM de_)"
-COMPS = (
-    DAYS + ", " + reach("ed", "day", 12)
-    + f", wk AS (SELECT unnest(range(t // 86400, t // 86400 + 7)) AS day, t, account, 'c' || card1 AS a, 'v' || {DEV} AS b FROM txn WHERE device_info IS NOT NULL)"
-    + ", st AS (SELECT day, m, count(DISTINCT a) AS comp_cards, count(DISTINCT b) AS comp_devices, count(DISTINCT account) AS comp_accounts, count(*) / greatest((max(t) - min(t)) / 3600, 1.0::DOUBLE / 60) AS comp_rate FROM wk JOIN reach USING (day) WHERE n = a GROUP BY ALL)"
-)
+def comps(first: str, last: str) -> str:
+    """SQL tables wk (rows of every day's window: later than ``first``, earlier than ``last``), reach and st (figures of components)."""
+    return (
+        f"dy AS (SELECT unnest(range((SELECT min(t) // 86400 FROM txn), (SELECT max(t) // 86400 FROM txn) + 1)) AS day),"
+        f" wk AS MATERIALIZED (SELECT day, t, account, 'c' || coalesce(CAST(card1 AS VARCHAR), 'n') AS a, 'v' || {DEV} AS v FROM dy JOIN txn ON t > {first} AND t < {last}),"
+        " ed AS (SELECT DISTINCT day, a, coalesce(v, a) AS b FROM wk), " + reach("ed", "day", 12)
+        + ", st AS (SELECT day, m, count(*) AS comp_size, count(DISTINCT a) AS comp_cards, count(DISTINCT v) AS comp_devices, count(DISTINCT account) AS comp_accounts, count(*) / greatest((max(t) - min(t)) / 3600, 1.0::DOUBLE / 60) AS comp_rate FROM wk JOIN reach USING (day) WHERE n = a GROUP BY ALL)"
+    )
+
 
+COMPS = comps("(day - 7) * 86400", "(day + 1) * 86400")
+COMP_COLUMNS = "comp_size, comp_cards, comp_devices, comp_accounts, round(comp_rate, 6) AS comp_rate"
+OWN_COMP = f"SELECT txn_id, {COMP_COLUMNS} FROM txn LEFT JOIN (SELECT day, n, st.* EXCLUDE (day, m) FROM reach JOIN st USING (day, m)) x ON x.day = t // 86400 AND n = 'c' || coalesce(CAST(card1 AS VARCHAR), 'n')"
 
-@query("SELECT day, comp_cards + comp_devices AS comp_size, comp_cards, comp_devices, comp_accounts, round(comp_rate, 6) AS comp_rate FROM st", COMPS)
+
+@query(f"SELECT day, {COMP_COLUMNS} FROM st", COMPS)
 def ring_components(spark, d):
-    """Every day's components of cards and devices over the seven days up to it."""
-    return L.component_table(txn(spark, d)).select("day", "comp_size", "comp_cards", "comp_devices", "comp_accounts", F.round("comp_rate", 6).alias("comp_rate"))
+    """Every day's components of cards and devices over the week before it and the day itself."""
+    return C.component_stats(C.sliding_components(txn(spark, d))).drop("component").withColumn("comp_rate", F.round("comp_rate", 6))
 
 
-@query("SELECT txn_id, comp_cards + comp_devices AS comp_size, comp_cards, comp_devices, comp_accounts, round(comp_rate, 6) AS comp_rate FROM txn JOIN reach ON reach.day = t // 86400 AND n = 'c' || card1 JOIN st ON st.day = reach.day AND st.m = reach.m", COMPS)
+@query(OWN_COMP, COMPS)
 def component_features(spark, d):
     """For each row its card's component."""
-    return L.component_features(txn(spark, d)).withColumn("comp_rate", F.round("comp_rate", 6))
+    return C.component_features(txn(spark, d)).withColumn("comp_rate", F.round("comp_rate", 6))
+
+
+@query(OWN_COMP, comps("(day - 7) * 86400", "day * 86400"))
+def component_features_causal(spark, d):
+    """For each row its card's component in the week that ended at the midnight before."""
+    return C.component_features(txn(spark, d), causal=True).withColumn("comp_rate", F.round("comp_rate", 6))
 
 
 EDGE = "ed AS (SELECT DISTINCT 2 * account AS a, 2 * (addr1 * 4 + addr2) + 1 AS b FROM txn WHERE addr1 IS NOT NULL), " + reach("ed", "", 8)

@@ -9,7 +9,7 @@ from ringsight.operators import features as X
 from ringsight.operators import models as L
 from ringsight.plans.aggregates import FOLD, PEERS
 from ringsight.plans.base import query
-from ringsight.plans.federated import COMPS, FLAGGED
+from ringsight.plans.federated import COMPS, FLAGGED, OWN_COMP
 from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, split, txn
 from ringsight.session import staged, workspace
 from ringsight.sources import files
@@ -151,7 +151,7 @@ _RATES = ", ".join(
 _COMP = ", ".join(f"comp_{c}" for c in ("size", "cards", "devices", "accounts")) + ", round(comp_rate, 6) AS comp_rate"
 ENTITY = (
     COMPS + ", " + FOLD + _COUNTS
-    + ", pc AS (SELECT txn_id, comp_cards + comp_devices AS comp_size, comp_cards, comp_devices, comp_accounts, comp_rate FROM txn JOIN reach ON reach.day = t // 86400 AND n = 'c' || card1 JOIN st ON st.day = reach.day AND st.m = reach.m)"
+    + ", pc AS (" + OWN_COMP.replace("round(comp_rate, 6) AS comp_rate", "comp_rate") + ")"
     + f", ve AS (SELECT *, {_velocity('account')}, {_velocity('card1')}, {_FANS} FROM (SELECT *, {_FIRSTS} FROM sp))"
     + ", ef AS (SELECT ve.*, coalesce(x.fold, -1) AS fold FROM ve LEFT JOIN (SELECT txn_id, fold FROM fo) x USING (txn_id))"
 )

@@ -332,12 +332,14 @@ def lead_time(spark, d):
     return j.select("dispute_id", F.when((F.col("score") >= 0.5) | F.coalesce("r", F.lit(False)), R4(F.greatest((F.col("dt") - F.col("t")) / 3600, F.lit(0.0)))).alias("lead_h"))
 
 
-@query("SELECT d, count(*) AS n, count(DISTINCT card1) AS cards FROM txn, (SELECT DISTINCT t // 86400 AS d FROM txn) WHERE t >= d * 86400 - 604800 + 86400 AND t < (d + 1) * 86400 GROUP BY 1")
+@query("SELECT d, count(*) AS n, count(DISTINCT card1) AS cards FROM txn, (SELECT DISTINCT t // 86400 AS d FROM txn) WHERE t > d * 86400 - 604800 AND t < (d + 1) * 86400 GROUP BY 1")
 def day_window_join(spark, d):
-    """Each row serves its own and the next six days: an equi-join on days, no theta join."""
-    x = txn(spark, d).withColumn("day", F.floor(F.col("t") / 86400).cast("long"))
-    serves = x.select("card1", F.explode(F.sequence("day", F.col("day") + 6)).alias("d")).groupBy("d", "card1").agg(F.count(F.lit(1)).alias("n"))
-    return serves.join(x.select(F.col("day").alias("d")).distinct().hint("merge"), "d", "left_semi").groupBy("d").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cards"))
+    """Each row serves its own and the next seven days, one of a day's first second the next six: an equi-join on days, no theta join."""
+    x = txn(spark, d).withColumn("day", K.day())
+    last = F.col("day") + F.when(F.pmod("t", F.lit(86400)) > 0, 7).otherwise(6)
+    per = x.groupBy("day", last.alias("last"), "card1").agg(F.count(F.lit(1)).alias("n"))
+    serves = per.select("card1", "n", F.explode(F.sequence("day", "last")).alias("d")).groupBy("d", "card1").agg(F.sum("n").alias("n"))
+    return serves.join(x.select(F.col("day").alias("d")).distinct().hint("merge"), "d", "left_semi").groupBy("d").agg(F.sum("n").alias("n"), F.count("card1").alias("cards"))
 
 
 @query("SELECT txn_id, t FROM txn ORDER BY t, txn_id")

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event; t is seconds since 2024-01-01."""
+    """One row per event; t is seconds since 2024-01-01, shop the merchant that was paid, whichever the card."""
     k = F.get_json_object("props", "$.k").cast("long")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", k.alias("k"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("t"))
     k, user = F.col("k"), F.col("user_id")
@@ -40,6 +40,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, None).when(k % 5 == 1, F.try_element_at(device, (F.floor(k / 5) % 6 + 1).cast("int"))).otherwise(F.concat(F.lit("D"), k, F.lit(" "), F.col("event_type"))).alias("device_info"),
         F.concat(F.lit("browser "), k % 3).alias("browser"), F.least(F.col("value") / 200, F.lit(0.999)).alias("score"),
         F.when(((F.col("value") > 100) & (F.col("event_id") % 3 != 0)) | (F.col("event_id") % 29 == 0), 1).otherwise(0).alias("is_fraud"),
+        (F.col("event_id") % 6).cast("long").alias("shop"),
     )
 
 

@@ -33,7 +33,7 @@ def test_entity_features(spark):
         want = (rates["sum"].get(r.card1, 0) + 20 * 0.035) / (rates["count"].get(r.card1, 0) + 20)
         assert abs(r.card1_rate - want) < 1e-9
     one = got.dropna(subset=["comp_size"]).iloc[0]
-    assert one["comp_size"] == one["comp_cards"] + one["comp_devices"] and one["comp_rate"] > 0
+    assert got["comp_size"].notna().all() and one["comp_size"] >= one["comp_cards"] and one["comp_rate"] > 0
 
 
 def test_fed_rounds(spark):
