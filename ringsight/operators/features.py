@@ -79,11 +79,11 @@ def smoothed() -> list[Column]:
 
 
 def hour_peers(txn: DataFrame) -> DataFrame:
-    """Peers in the hour before each row: accounts and cards with this row's own, merchants (shop) without."""
+    """Peers in the hour before each row: accounts and cards with this row's own, merchants (shop) without. Nulls are no peers; a row without a card or account has none by it."""
     w = lambda k: Window.partitionBy(k, "_bucket").orderBy("t").rangeBetween(-3600, -1)
     seen = lambda c, k: F.collect_set(c).over(w(k))
-    m = in_buckets(txn, 3600)
-    out = m.select("*", F.size(F.array_union(seen("account", "card1"), F.array("account"))).alias("accounts"), F.size(seen("shop", "card1")).alias("merchants"), F.size(F.array_union(seen("card1", "account"), F.array("card1"))).alias("cards"))
+    both = lambda c, k: F.when(F.col(k).isNull(), 0).otherwise(F.size(F.array_compact(F.array_union(seen(c, k), F.array(c)))))
+    out = in_buckets(txn, 3600).select("*", both("account", "card1").alias("accounts"), F.when(F.col("card1").isNull(), 0).otherwise(F.size(seen("shop", "card1"))).alias("merchants"), both("card1", "account").alias("cards"))
     return out.filter(~F.col("_guest")).drop("_guest", "_bucket")
 
 

@@ -17,7 +17,7 @@ from ringsight.operators.rings import DAILY, bucket_counts
 from ringsight.session import sized, staged
 
 B = [f"b{i}" for i in range(5)]
-SECRET = b"ring-salt"
+SECRET, LIVE_SECRET = b"ring-salt", b"live-salt"
 #: Transactions of a ring that may be flagged.
 LOW, CAP = 2, 40
 
@@ -37,15 +37,15 @@ def merchant_hist(rows: DataFrame, secret: bytes = SECRET, by: tuple[str, ...] =
     return bucket_counts(rows, [*by, "merchant", *keys]).select(*by, "merchant", "kind", fingerprint(secret, of).alias("fp"), *B)
 
 
-def dp_release(hist: DataFrame, seed: Column, epsilon: Column) -> DataFrame:
-    """Rounded, non-negative noisy buckets; rows that sum to less than one are dropped. A secret in the seed keeps draws unpredictable.
+def dp_release(hist: DataFrame, seed: Column, epsilon: Column, drop: bool = True) -> DataFrame:
+    """Rounded, non-negative noisy buckets; rows that sum to less than one are dropped, unless ``drop`` is off. A secret in the seed keeps draws unpredictable.
 
     The hashes come out of a generator, below which the filter is not pushed: each is made once.
     """
     sigma = K.gaussian_sigma(epsilon)
     hashes = F.struct(*[F.sha2(F.concat_ws("|", seed, F.col("merchant").cast("string"), F.col("fp"), F.lit(b)), 256).alias(f"_{b}") for b in B])
     noisy = {b: F.greatest(F.lit(0.0), F.round(F.col(b) + sigma * K.unit_normal(F.col(f"_{b}")))) for b in B}
-    return hist.select("*", F.inline(F.array(hashes))).withColumns(noisy).drop(*[f"_{b}" for b in B]).filter(total() >= 1)
+    return hist.select("*", F.inline(F.array(hashes))).withColumns(noisy).drop(*[f"_{b}" for b in B]).filter((total() >= 1) | F.lit(not drop))
 
 
 #: Rows of a merchant that make one leaf of its tree, about; children of an inner node: one for each hexadecimal digit.

@@ -11,12 +11,14 @@ from ringsight.session import sized, staged
 LOW, CAP, HOUR = 2, 25, 3600
 
 
-def ring_rows(txn: DataFrame) -> DataFrame:
-    """A row per transaction and ring key it has: kind, key, day, member and the columns of txn."""
-    dev = F.when(K.specific_device(F.col("device_info")), K.device_key())
-    each = F.array(F.struct(F.lit("device").alias("kind"), dev.alias("key"), F.col("account").alias("member")), F.struct(F.lit("address").alias("kind"), K.address_key().alias("key"), F.col("card1").alias("member")))
-    rows = txn.withColumn("day", F.floor(F.col("t") / 86400).cast("long")).withColumn("_r", F.explode(each))
-    return rows.select("*", "_r.*").drop("_r").filter("key is not null").withColumn("merchant", K.merchant())
+def ring_rows(txn: DataFrame, live: bool = False) -> DataFrame:
+    """A row per transaction and ring key it has: kind, key, day, member and the columns of txn; merchant is dealt by card. ``live``: as ``live_rows``."""
+    key = lambda kind, key, member: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.col(member).alias("member"))
+    each = [key("device", F.when(K.specific_device(F.col("device_info")), K.device_key()), "account"), key("address", K.address_key(), "card1")]
+    if live:
+        each.append(key("card", F.when(F.col("source") == "live", F.col("card1").cast("string")), "account"))
+    rows = txn.withColumn("day", K.day()).withColumn("_r", F.explode(F.array(*each)))
+    return rows.select("*", "_r.*").drop("_r").filter("key is not null").withColumn("merchant", F.col("shop") if live else K.merchant())
 
 
 def with_source(txn: DataFrame) -> DataFrame:
@@ -26,8 +28,7 @@ def with_source(txn: DataFrame) -> DataFrame:
 
 def live_rows(txn: DataFrame) -> DataFrame:
     """Ring rows of ``txn`` (with source) without days, and for live rows a ring of each card: replayed card codes stand for thousands of cards. merchant is the shop that was paid."""
-    cards = txn.filter("source = 'live' and card1 is not null").select("*", F.lit("card").alias("kind"), F.col("card1").cast("string").alias("key"), F.col("account").alias("member"), F.col("shop").alias("merchant"))
-    return ring_rows(txn).drop("day").withColumn("merchant", F.col("shop")).unionByName(cards)
+    return ring_rows(txn, live=True).drop("day")
 
 
 #: Different (card, account, merchant) of one ring up to which its sets are made in one row.

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ringsight.functions import keys as K
 from ringsight.operators import features as X
 from ringsight.operators import models as L
+from ringsight.operators import privacy as P
 from ringsight.plans.aggregates import FOLD, PEERS
-from ringsight.plans.base import query
-from ringsight.plans.federated import COMPS, FLAGGED, OWN_COMP
+from ringsight.plans.base import ADDR, DEV, SPEC, hmac_sql, query
+from ringsight.plans.federated import BUCKETS, COMPS, OWN_COMP, S10, TOT, _noise
 from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, split, txn
 from ringsight.session import staged, workspace
 from ringsight.sources import files
@@ -195,28 +196,51 @@ def fed_rounds(spark, d):
     return L.fed_rounds(dense(spark, d), len(DENSE) + 1)[0]
 
 
-def delivered(spark, d, run, twice=None):
-    """Deliver the splits one after another, rows of the condition ``twice`` doubly; after each, ``run`` reads what is new. Gives the output path."""
+def delivered(spark, d, run, twice=None, late=feeds.LATE, close=False):
+    """Deliver the splits one after another, rows of the condition ``twice`` doubly; after each, ``run`` reads what is new. Gives the output path.
+
+    With ``close`` a last row without keys comes two hours later, so that all rows before are complete.
+    """
     rows, source, out, mark = split(spark, d), workspace(spark, "feed"), workspace(spark, "out"), workspace(spark, "mark")
     rows = staged(rows, "splits")
-    for part in ("train", "val", "test"):
-        some = rows.filter(F.col("split") == part)
+    parts = [rows.filter(F.col("split") == part) for part in ("train", "val", "test")]
+    if close:
+        end = rows.agg(F.max("t").alias("m")).select(*[(F.col("m") + 7200 if c == "t" else F.lit(None)).cast(k).alias(c) for c, k in rows.dtypes])
+        parts.append(end)
+    for some in parts:
         (some.unionByName(some.filter(twice)) if twice else some).write.mode("append").parquet(source)
-        run(feeds.transaction_feed(spark, source, rows.schema, 10_000), out, mark)
+        run(feeds.transaction_feed(spark, source, rows.schema, 10_000, late), out, mark)
     return out
 
 
 @query("SELECT txn_id, CAST(accounts AS INT) AS accounts, CAST(merchants AS INT) AS merchants, CAST(cards AS INT) AS cards FROM peers", PEERS)
 def stream_velocity(spark, d):
-    return spark.read.parquet(delivered(spark, d, feeds.run_velocity)).drop("batch")
+    """Every tenth row is delivered twice and counts once."""
+    return feeds.peers(spark, delivered(spark, d, feeds.run_velocity, "txn_id % 10 = 0", close=True))
+
+
+DETECTED = (
+    f"lv AS (SELECT shop AS merchant, 'card' AS kind, {hmac_sql(P.LIVE_SECRET, 'CAST(card1 AS VARCHAR)')}[1:16] AS fp, {BUCKETS} FROM txn WHERE txn_id % 5 = 0 GROUP BY ALL)"
+    f", ln AS (SELECT * FROM (SELECT merchant, kind, fp, " + ", ".join(_noise("'live'", b, "8::DOUBLE") for b in range(5)) + f" FROM lv) WHERE {TOT} >= 1)"
+)
+DETECT = f"SELECT kind, fp, merchants, txns, round(s10 / (10 * greatest(txns, 1)), 9) AS risk_est, txns BETWEEN 2 AND 25 AND 100 * s10 >= 35 * 10 * txns AS flagged FROM (SELECT kind, fp, count(*) AS merchants, sum({TOT}) AS txns, sum({S10}) AS s10 FROM %s GROUP BY ALL) WHERE merchants >= 2"
+
 
+def detected(spark, d, epsilon=None):
+    out = delivered(spark, d, lambda feed, path, mark: feeds.run_fed_detect(feed, path, mark, epsilon))
+    return feeds.fed_detected(spark, out).select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
 
-@query(f"SELECT kind, fp, merchants, round(txns, 4) AS txns, round(risk_est, 9) AS risk_est, {FLAGGED} AS flagged FROM fsum")
+
+@query(DETECT % "lv", DETECTED)
 def stream_fed_detect(spark, d):
-    """The result after the last batch."""
-    rows = spark.read.parquet(delivered(spark, d, feeds.run_fed_detect))
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch").select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
+    """Cards that several merchants saw, from what they released of live payments."""
+    return detected(spark, d)
+
+
+@query(DETECT % "ln", DETECTED)
+def stream_fed_detect_noisy(spark, d):
+    """The same under noise for epsilon 8."""
+    return detected(spark, d, 8.0)
 
 
 @query("SELECT dispute_id, txn_id, round(coalesce(amount_minor / 100.0, amount), 2) AS amount, score >= 0.5::DOUBLE OR inr.txn_id IS NOT NULL AS was_flagged, CASE WHEN txn_id % 2 = 0 THEN 'won' ELSE 'open' END AS status FROM disp JOIN txn USING (txn_id) LEFT JOIN inr USING (txn_id)", DISP + ", " + INR)
@@ -251,19 +275,22 @@ def stream_score(spark, d):
     return spark.read.parquet(delivered(spark, d, run))
 
 
-@query("SELECT dd AS day, kind, key, count(*) AS txns, round(avg(score), 12) AS score_mean FROM (SELECT *, unnest(range(day - 6, day + 1)) AS dd FROM rr) GROUP BY ALL")
+@query(
+    "SELECT *, members BETWEEN 2 AND 25 AS in_window, members BETWEEN 2 AND 25 AND score_mean >= 0.35::DOUBLE AS flagged FROM (SELECT dd AS day, kind, key, count(*) AS txns, CAST(least(count(DISTINCT member), 26) AS INT) AS members, round(avg(score), 12) AS score_mean FROM (SELECT *, unnest(range(day - 6, day + 1)) AS dd FROM rr) GROUP BY ALL)"
+)
 def stream_rings_sliding(spark, d):
-    """Rows and mean score of every sliding week as its last batch left it; member counts are approximate and not told."""
-    return feeds.last_sliding(spark, delivered(spark, d, feeds.run_sliding)).select("day", "kind", "key", "txns", F.round("score_mean", 12).alias("score_mean"))
+    """Every sliding week as its last batch left it; members are counted up to one more than the cap."""
+    return feeds.last_sliding(spark, delivered(spark, d, feeds.run_sliding)).withColumn("score_mean", F.round("score_mean", 12))
 
 
 FIRST = (
-    "bt AS (SELECT split, max(t) AS clock, row_number() OVER (ORDER BY max(t)) AS b FROM sp GROUP BY 1), wk AS (SELECT bt.b, rr.* FROM bt JOIN rr ON rr.t BETWEEN bt.clock - 604800 AND bt.clock),"
-    " rb AS (SELECT b, kind, key, day, count(DISTINCT member) AS members, avg(score) AS score_mean FROM wk GROUP BY ALL), fi AS (SELECT *, row_number() OVER (PARTITION BY kind, key, day ORDER BY b) AS o FROM rb WHERE members BETWEEN 2 AND 25 AND score_mean >= 0.35::DOUBLE)"
+    "bt AS (SELECT max(t) AS clock, row_number() OVER (ORDER BY max(t)) AS b FROM sp GROUP BY split), xs AS (SELECT *, CASE WHEN txn_id % 5 = 0 THEN 'live' ELSE 'replay' END AS source FROM txn),"
+    f" lr AS (SELECT 'device' AS kind, {DEV} AS key, account AS member, t, score FROM xs WHERE {SPEC} UNION ALL SELECT 'address', {ADDR}, card1, t, score FROM xs WHERE {ADDR} IS NOT NULL UNION ALL SELECT 'card', CAST(card1 AS VARCHAR), account, t, score FROM xs WHERE source = 'live'),"
+    " rb AS (SELECT b, clock, kind, key, count(DISTINCT member) AS members, avg(score) AS score_mean FROM bt JOIN lr ON t BETWEEN clock - 604800 AND clock GROUP BY ALL), fi AS (SELECT * FROM rb WHERE members BETWEEN 2 AND 25 AND score_mean >= 0.35::DOUBLE)"
 )
 
 
-@query("SELECT kind, key, day, members, round(score_mean, 9) AS score_mean FROM fi WHERE o = 1", FIRST)
+@query("SELECT kind, key, clock AS t, CAST(members AS INT) AS members, round(score_mean, 9) AS score_mean FROM fi WHERE NOT EXISTS (SELECT 1 FROM fi p WHERE p.b = fi.b - 1 AND p.kind = fi.kind AND p.key = fi.key)", FIRST)
 def stream_new_alerts(spark, d):
-    """A ring's first alert: as the batch in which it was first flagged saw it."""
-    return spark.read.parquet(delivered(spark, d, feeds.run_rings)).select("kind", "key", "day", "members", R4("score_mean").alias("score_mean"))
+    """Live rings when they become flagged, at the end of each of three deliveries."""
+    return spark.read.parquet(delivered(spark, d, feeds.run_rings, late="0 seconds")).withColumn("score_mean", R4("score_mean"))

@@ -1,29 +1,30 @@
 """Streams over the transaction feed: deduplication, scoring, rings and first alerts.
 
-The ring step calls the batch operators on what is stored of the trailing week, so
-that stream and batch agree. Rows later than the watermark are left to the batch path.
+Steps that need more than sums keep keyed state (``state``). Rows later than the
+watermark are left to the batch path.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from ringsight.functions import keys as K
-from ringsight.operators import features as X
 from ringsight.operators import privacy as P
 from ringsight.operators import rings as R
 from ringsight.session import staged
-from ringsight.sources.files import latest, stored, written
+from ringsight.sources.files import latest
+from ringsight.streaming import state
 
-LATE, WEEK, DAY, HOUR = "1 hour", 604800, 86400, 3600
+LATE = "1 hour"
+#: Unix seconds of t = 0.
+EPOCH = 1_704_067_200
 
 
-def transaction_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1) -> DataFrame:
-    """Rows of the feed with event time ``ts`` and a watermark."""
+def transaction_feed(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 1, late: str = LATE, epoch: int = EPOCH) -> DataFrame:
+    """Rows of the feed with event time ``ts`` and a watermark that waits for rows as ``late`` as told."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    return rows.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", LATE)
+    return rows.withColumn("ts", F.timestamp_seconds(F.col("t") + epoch)).withWatermark("ts", late)
 
 
 def deduplicated(feed: DataFrame) -> DataFrame:
@@ -37,13 +38,6 @@ def scored(feed: DataFrame, threshold: float = 0.5) -> DataFrame:
     return feed.withColumn("flagged", hit).withColumn("alert", F.when(hit, F.concat(F.lit("payment "), "txn_id", F.lit(" scored "), F.floor(F.col("score") * 1000), F.lit(" of 1000"))))
 
 
-def sliding_rings(feed: DataFrame) -> DataFrame:
-    """Rings over sliding weeks, with approximate member counts (streams allow no exact distinct)."""
-    rows = R.ring_rows(feed)
-    g = rows.groupBy(F.window("ts", "7 days", "1 day"), "kind", "key")
-    return g.agg(F.count(F.lit(1)).alias("txns"), F.approx_count_distinct("member").alias("members"), F.avg("score").alias("score_mean"))
-
-
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Write what is there as Parquet and stop."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -77,66 +71,33 @@ def tick(spark: SparkSession, batch: DataFrame, checkpoint: str, number: int) ->
     return spark.read.schema("t long, batch long").parquet(clocks).filter(F.col("batch") <= number).agg(F.max("t")).first()[0]
 
 
-def run_sliding(feed: DataFrame, path: str, checkpoint: str) -> None:
-    """The windows that a batch changes, under its number; ``last_sliding`` reads what stands."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        rows = batch.select(F.floor(F.unix_timestamp("window.start") / DAY).cast("long").alias("day"), "kind", "key", "txns", "members", "score_mean")
-        rows.write.mode("overwrite").parquet(numbered(path, number))
-
-    each_batch(sliding_rings(feed), step, checkpoint, "update")
+def run_sliding(feed: DataFrame, path: str, checkpoint: str, epoch: int = EPOCH) -> None:
+    """The weeks that a batch changes, under its number; ``last_sliding`` reads what stands."""
+    each_batch(state.sliding_weeks(feed, epoch), lambda batch, number: batch.write.mode("overwrite").parquet(numbered(path, number)), checkpoint, "update")
 
 
-def last_sliding(spark: SparkSession, path: str) -> DataFrame:
-    """day (the window's first), kind, key, txns, members, score_mean of every window as last seen."""
+def last_sliding(spark: SparkSession, path: str, threshold: float = 0.35) -> DataFrame:
+    """day (the week's first), kind, key, txns, members (up to one more than the cap), score_mean, in_window, flagged of every week as last seen."""
     rows = spark.read.parquet(path)
-    last = rows.groupBy("day", "kind", "key").agg(F.max_by(F.struct("txns", "members", "score_mean"), "batch").alias("x"))
-    return last.select("day", "kind", "key", "x.*")
-
-
-def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.35) -> None:
-    """Rings of the week up to each batch's clock; a ring is written to ``path`` the first time that it is flagged.
-
-    Rows are stored by day, so that a batch reads the days of its week only.
-    """
-    store, spark = f"{checkpoint}-rows", feed.sparkSession
-
-    def step(batch: DataFrame, number: int) -> None:
-        held = batch.withColumns({"stored_day": F.floor(F.col("t") / DAY).cast("long"), "batch": F.lit(number).cast("long")})
-        held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stored_day", "batch").parquet(store)
-        clock = tick(spark, batch, checkpoint, number)
-        if clock is None:
-            return
-        rows = spark.read.schema(held.schema).parquet(store)
-        recent = rows.filter((F.col("stored_day") >= (clock - WEEK) // DAY) & (F.col("t") >= clock - WEEK) & (F.col("batch") <= number)).dropDuplicates(["txn_id"])
-        new = R.flagged(R.in_window(R.ring_agg(R.ring_rows(recent.drop("batch", "stored_day")))), threshold).select("kind", "key", "day", "members", "score_mean")
-        old = stored(spark, path, StructType([*new.schema.fields, StructField("batch", LongType())])).filter(F.col("batch") < number).select("kind", "key", "day")
-        new.join(old.hint("merge"), ["kind", "key", "day"], "left_anti").write.mode("overwrite").parquet(numbered(path, number))
+    last = rows.groupBy("day", "kind", "key").agg(F.max_by(F.struct("txns", "members", "score_mean"), "batch").alias("x")).select("day", "kind", "key", "x.*")
+    held = F.col("members").between(R.LOW, R.CAP)
+    return last.withColumns({"in_window": held, "flagged": held & (F.col("score_mean") >= threshold)})
 
-    each_batch(feed, step, checkpoint)
 
+def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.35, epoch: int = EPOCH) -> None:
+    """Live rings of the week up to the watermark; a ring is written to ``path`` when it becomes flagged."""
+    run_available(state.ring_alerts(R.with_source(feed), epoch, threshold), path, checkpoint)
 
-def run_velocity(feed: DataFrame, path: str, checkpoint: str) -> None:
-    """Peers of the hour before each row; a batch reads no more of the store than its own hours and the one before.
 
-    Rows are stored by hour. A row that comes after its hour's later rows were
-    answered changes none of those answers.
-    """
-    store, spark = f"{checkpoint}-rows", feed.sparkSession
+def run_velocity(feed: DataFrame, path: str, checkpoint: str, epoch: int = EPOCH) -> None:
+    """Peers of the hour before each row, written once all rows before it are complete; ``peers`` reads them."""
+    run_available(state.hour_peers(feed, epoch), path, checkpoint)
 
-    def step(batch: DataFrame, number: int) -> None:
-        held = batch.dropDuplicates(["txn_id"]).withColumns({"hour": F.floor(F.col("t") / HOUR).cast("long"), "batch": F.lit(number).cast("long")})
-        held.write.mode("overwrite").partitionBy("batch", "hour").option("partitionOverwriteMode", "dynamic").parquet(store)
-        rows = spark.read.schema(held.schema).parquet(store)
-        span = rows.filter(F.col("batch") == number).agg(F.min("hour"), F.max("hour")).first()
-        if span[0] is None:
-            return
-        near = rows.filter((F.col("hour") >= span[0] - 1) & (F.col("hour") <= span[1]) & (F.col("batch") <= number))
-        seen = near.groupBy("txn_id").agg(F.min("batch").alias("batch"))
-        own = X.hour_peers(near.join(seen.hint("merge"), ["txn_id", "batch"], "left_semi")).filter(F.col("batch") == number)
-        own.select("txn_id", "accounts", "merchants", "cards").write.mode("overwrite").parquet(numbered(path, number))
 
-    each_batch(feed, step, checkpoint)
+def peers(spark: SparkSession, path: str) -> DataFrame:
+    """txn_id, accounts, merchants, cards of the rows told so far."""
+    rows, of = spark.read.parquet(path), lambda kind, c: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col(c))), F.lit(0))
+    return rows.groupBy("txn_id").agg(of("card", "others").alias("accounts"), of("card", "shops").alias("merchants"), of("account", "others").alias("cards"))
 
 
 def run_disputes(feed: DataFrame, transactions: DataFrame, path: str, checkpoint: str) -> None:
@@ -157,19 +118,32 @@ def latest_disputes(spark: SparkSession, path: str) -> DataFrame:
     return latest(rows, "dispute_id", ["dt", "status"]).select("dispute_id", "txn_id", "amount", "was_flagged", "status")
 
 
-def run_fed_detect(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.3) -> None:
-    """Rings over merchants' committed histograms of all rows so far; ``path`` holds the result after each batch.
+def run_fed_detect(feed: DataFrame, path: str, checkpoint: str, epsilon: float | None = None, seed: str = "live") -> None:
+    """What merchants release of the live cards that a batch touches, under its number; ``fed_detected`` judges what stands.
 
-    Only sums are kept between batches: a batch adds its own to the last.
+    A merchant's counts of a card's fingerprint are the state; a batch changes and
+    writes those of its own cards and reads nothing that is stored. With ``epsilon`` the
+    noise is a merchant's own, and the same whenever it releases a fingerprint again.
     """
-    sums, spark = f"{checkpoint}-sums", feed.sparkSession
+    rows = R.with_source(feed).filter("source = 'live' and card1 is not null and shop is not null")
+    rows = rows.select(F.col("shop").alias("merchant"), F.lit("card").alias("kind"), F.col("card1").cast("string").alias("key"), "score")
+    counts = R.bucket_counts(rows, ["merchant", "kind", "key"])
 
     def step(batch: DataFrame, number: int) -> None:
-        new = P.merchant_hist(R.ring_rows(batch).withColumn("merchant", K.merchant()))
-        last = next((n for n in range(number - 1, -1, -1) if written(spark, numbered(sums, n))), None)
-        held = new if last is None else new.unionByName(spark.read.schema(new.schema).parquet(numbered(sums, last)))
-        held.groupBy("merchant", "kind", "fp").agg(*[F.sum(b).alias(b) for b in P.B]).write.mode("overwrite").parquet(numbered(sums, number))
-        hist = spark.read.schema(new.schema).parquet(numbered(sums, number))
-        P.fed_rings(hist, P.commitments(hist), threshold).write.mode("overwrite").parquet(numbered(path, number))
+        hist = batch.select("merchant", "kind", P.fingerprint(P.LIVE_SECRET, ("key",)).alias("fp"), *P.B)
+        (P.dp_release(hist, F.lit(seed), F.lit(epsilon), drop=False) if epsilon else hist).write.mode("overwrite").parquet(numbered(path, number))
 
-    each_batch(feed, step, checkpoint)
+    each_batch(counts, step, checkpoint, "update")
+
+
+def released(spark: SparkSession, path: str) -> DataFrame:
+    """merchant, kind, fp, b0..b4 as last released; what sums to less than one is nothing."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("merchant", "kind", "fp").agg(F.max_by(F.struct(*P.B), "batch").alias("x"))
+    return last.select("merchant", "kind", "fp", "x.*").filter(P.total() >= 1)
+
+
+def fed_detected(spark: SparkSession, path: str, threshold: float = 0.35, cap: int = R.CAP) -> DataFrame:
+    """kind, fp, merchants, txns, risk_est, flagged of the cards that two merchants or more have seen."""
+    hist = staged(released(spark, path), "released")
+    return P.fed_rings(hist, staged(P.commitments(hist), "commitments"), threshold, defend=False, cap=cap).filter("merchants >= 2")
