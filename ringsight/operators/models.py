@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -18,7 +18,7 @@ from ringsight.operators import features as X
 from ringsight.operators import metrics as M
 from ringsight.operators import privacy as P
 from ringsight.operators.sliding import component_features
-from ringsight.session import staged
+from ringsight.session import sized, staged
 
 NOT_FEATURES = ("txn_id", "t", "is_fraud", "split")
 
@@ -155,25 +155,31 @@ def probability(x, w):
 
 
 def local_fit(rows: DataFrame, weights: list[float], steps: int = 3, rate: float = 1.0) -> DataFrame:
-    """merchant, idx, value: each merchant's weights after gradient steps of the logistic loss on its own rows.
+    """merchant, idx, value: each merchant's weights after gradient steps of the logistic loss on its own rows."""
+    return local_fits(rows, rows.sparkSession.createDataFrame([("", weights)], "arm string, w array<double>"), steps, rate).drop("arm")
+
+
+def local_fits(rows: DataFrame, starts: DataFrame, steps: int = 3, rate: float = 1.0) -> DataFrame:
+    """arm, merchant, idx, value: as ``local_fit`` from the weights of each of some dozens of runs (arm, w), all in the same passes.
 
     A step is one aggregate with a partial sum per task, so a merchant of any size
-    is never brought together. Weights are one short row per merchant.
+    is never brought together. Weights are one short row per merchant and run.
     """
-    n = len(weights)
-    own = staged(rows.groupBy("merchant").agg(F.count(F.lit(1)).alias("rows")).select("merchant", F.array(*map(F.lit, weights)).alias("w")), "weights")
+    n = len(starts.first()["w"])
+    own = staged(rows.select("merchant").distinct().crossJoin(F.broadcast(starts)), "weights")
     for _ in range(steps):
-        e = rows.join(own.hint("shuffle_hash") if own.count() > 100_000 else F.broadcast(own), "merchant").withColumn("e", probability(F.col("x"), F.col("w")) - F.col("y"))
-        g = e.groupBy("merchant").agg(F.array(*[F.avg(F.col("e") * F.col("x")[i]) for i in range(n)]).alias("g"), F.first("w").alias("w"))
-        own = staged(g.select("merchant", F.zip_with("w", "g", lambda w, d: w - rate * d).alias("w")), "weights")
-    return own.select("merchant", F.posexplode("w").alias("idx", "value"))
+        dot = sum((F.col("x")[i] * F.col("w")[i] for i in range(1, n)), F.col("x")[0] * F.col("w")[0])
+        e = rows.join(sized(own, 100_000), "merchant").withColumn("e", 1 / (1 + F.exp(-dot)) - F.col("y"))
+        g = e.groupBy("arm", "merchant").agg(F.array(*[F.avg(F.col("e") * F.col("x")[i]) for i in range(n)]).alias("g"), F.first("w").alias("w"))
+        own = staged(g.select("arm", "merchant", F.zip_with("w", "g", lambda w, d: w - rate * d).alias("w")), "weights")
+    return own.select("arm", "merchant", F.posexplode("w").alias("idx", "value"))
 
 
-def update_digests(updates: DataFrame) -> DataFrame:
-    """merchant, digest: SHA-256 of an update's rounded values in order of idx."""
+def update_digests(updates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, merchant, digest: SHA-256 of an update's rounded values in order of idx."""
     text = F.concat_ws(":", F.col("idx").cast("string"), F.format_string("%.9f", F.col("value")))
     ordered = F.sort_array(F.collect_list(F.struct("idx", text.alias("s"))))
-    return updates.groupBy("merchant").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["s"]), ","), 256).alias("digest"))
+    return updates.groupBy(*by, "merchant").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["s"]), ","), 256).alias("digest"))
 
 
 def fed_rounds(rows: DataFrame, size: int, rounds: int = 3, steps: int = 3, reveal: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[list[float]]]:
@@ -214,15 +220,125 @@ def mean_or_best(rows: DataFrame, table: DataFrame, weights: list[list[float]],
     return rows.sparkSession.createDataFrame([(choice, value, i, x) for i, x in enumerate(w)], "choice string, pr_auc double, idx int, value double")
 
 
-def central_fit(rows: DataFrame, size: int, strengths: tuple[float, ...] = (0.0, 0.001, 0.01)) -> DataFrame:
-    """strength, pr_auc on val, best: logistic fits on the pooled rows, the ceiling for federated rounds."""
+@dataclass(frozen=True)
+class Arm:
+    """A federated run: who is checked, what merchant 0 does, and the budget of all rounds together.
+
+    Attacks: ``sign_flip`` sends ten times the update backwards, ``flip`` once,
+    ``last_mover`` commits to its honest update and reveals the first.
+    """
+
+    name: str
+    robust: bool = True
+    attack: str | None = None
+    epsilon: float | None = None
+
+
+ATTACKS = {"sign_flip": -10.0, "flip": -1.0, "last_mover": -10.0}
+ARMS = (
+    Arm("plain", robust=False), Arm("robust"), *[Arm(f"{a}_{'defended' if r else 'undefended'}", r, a) for a in ATTACKS for r in (False, True) if r or a != "last_mover"],
+    *[Arm(f"private_{e}", epsilon=float(e)) for e in (8, 4, 2, 1)],
+)
+
+
+def fed_arms(rows: DataFrame, size: int, arms: tuple[Arm, ...] = ARMS, rounds: int = 3, steps: int = 3, last: int = 3, seed: str = "fed") -> DataFrame:
+    """arm, attack, robust, epsilon, choice (round, 0 for the mean of the last ones), val and test (areas), rejected (updates left out over all rounds).
+
+    All runs go through the same passes. A round is a local fit, with a budget clipped
+    and noised by each merchant (epsilon over the rounds, as budgets add up), a
+    commitment, a reveal and a mean: robust runs check digests, filter and weigh by
+    frauds and keep the weights if fewer than two updates pass, plain ones trust all and
+    weigh by rows. Rounds are chosen by val alone. The driver holds one vector a run.
+    """
+    spark, train, by = rows.sparkSession, rows.filter("split = 'train'"), ("arm",)
+    per = staged(train.groupBy("merchant").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").cast("long").alias("fraud_rows")), "merchants")
+    table = spark.createDataFrame([(a.name, a.robust, a.attack, a.epsilon, ATTACKS.get(a.attack, 1.0)) for a in arms], "arm string, robust boolean, attack string, epsilon double, scale double")
+    weights, history, left_out = {a.name: [0.0] * size for a in arms}, [], {a.name: 0 for a in arms}
+    for r in range(1, rounds + 1):
+        starts = staged(spark.createDataFrame(list(weights.items()), "arm string, w array<double>"), "starts")
+        fitted = local_fits(train, starts, steps).join(F.broadcast(starts), "arm").join(F.broadcast(table), "arm")
+        honest = fitted.select("arm", "merchant", "idx", (F.col("value") - F.col("w")[F.col("idx")]).alias("value"), "epsilon")
+        noised = private_deltas(honest, rounds, F.concat_ws("|", F.lit(seed), "arm", F.lit(str(r))))
+        both = noised.join(F.broadcast(table.select("arm", "attack", "scale", "robust")), "arm")
+        bad = F.when(F.col("merchant") == 0, F.col("scale")).otherwise(1.0)
+        told = F.when(F.col("attack") == "last_mover", 1.0).otherwise(bad)
+        sent = staged(both.select("arm", "robust", "merchant", "idx", (F.col("value") * told).alias("committed"), (F.col("value") * bad).alias("value")), "updates")
+        a = update_digests(sent.withColumn("value", F.col("committed")), by)
+        b = update_digests(sent, by).withColumnRenamed("digest", "_d")
+        good = staged(a.join(b.hint("merge"), ["arm", "merchant"]).filter("digest = _d").select("arm", "merchant"), "good")
+        checked = staged(sent.filter("robust").join(good.hint("merge"), ["arm", "merchant"], "left_semi").select("arm", "merchant", "idx", "value"), "deltas")
+        kept = P.passing(checked, by)
+        n = kept.groupBy("arm").agg(F.count(F.lit(1)).alias("n"))
+        mean = P.weighted_mean(checked.join(kept.hint("merge"), ["arm", "merchant"], "left_semi").join(F.broadcast(n.filter("n >= 2")), "arm", "left_semi"), per, "fraud_rows", by)
+        mean = mean.unionByName(P.weighted_mean(sent.filter("not robust").select("arm", "merchant", "idx", "value"), per, "rows", by))
+        for x in mean.collect():  # one row for a weight of a run
+            weights[x["arm"]][x["idx"]] += x["value"]
+        passed = {x["arm"]: x["n"] for x in n.collect()}
+        for x in arms:
+            left_out[x.name] += per.count() - passed.get(x.name, 0) if x.robust else 0
+        history.append({k: list(w) for k, w in weights.items()})
+    tried = [(k, r, h[k]) for r, h in enumerate(history, 1) for k in h] + [(k, 0, [sum(h[k][i] for h in history[-last:]) / len(history[-last:]) for i in range(size)]) for k in weights]
+    areas = {(x["arm"], x["choice"]): x["pr_auc"] or 0.0 for x in areas_of(rows.filter("split = 'val'"), tried).collect()}
+    best = {a.name: max(range(rounds + 1), key=lambda r, a=a: (areas.get((a.name, r), 0.0), -r)) for a in arms}
+    chosen = [t for t in tried if best[t[0]] == t[1]]
+    test = {x["arm"]: x["pr_auc"] for x in areas_of(rows.filter("split = 'test'"), chosen).collect()}
+    out = [(a.name, a.attack, a.robust, a.epsilon, best[a.name], areas.get((a.name, best[a.name])), test.get(a.name), left_out[a.name]) for a in arms]
+    return spark.createDataFrame(out, "arm string, attack string, robust boolean, epsilon double, choice int, val double, test double, rejected long")
+
+
+def private_deltas(deltas: DataFrame, rounds: int, seed) -> DataFrame:
+    return P.private_update(deltas, F.col("epsilon") / rounds, seed, by=("arm",)).drop("epsilon")
+
+
+def areas_of(rows: DataFrame, tried: list[tuple[str, int, list[float]]]) -> DataFrame:
+    """arm, choice, pr_auc of logistic weights on ``rows``: some dozens of them, in one pass."""
+    w = rows.sparkSession.createDataFrame(tried, "arm string, choice int, w array<double>")
+    scored = rows.crossJoin(F.broadcast(w)).select("arm", "choice", probability(F.col("x"), F.col("w")).alias("score"), F.col("y").cast("int").alias("is_fraud"))
+    return M.pr_auc_by(scored, ["arm", "choice"])
+
+
+def central_fit(rows: DataFrame, size: int, strengths: tuple[float, ...] = (0.0, 0.001, 0.01), hidden: tuple[int, ...] = (16, 8), epochs: int = 12, patience: int = 4) -> DataFrame:
+    """model (logistic or network), step (its strength or epoch), pr_auc on val, best: fits on the pooled rows, the ceiling for federated rounds."""
+    table = [("logistic", s, a) for s, a in logistic_fits(rows, strengths)] + [("network", float(e), a) for e, a in network_fit(rows, size, hidden, epochs, patience)[0]]
+    top = max(range(len(table)), key=lambda i: (table[i][2] or 0.0, -i))
+    return rows.sparkSession.createDataFrame([(*t, i == top) for i, t in enumerate(table)], "model string, step double, pr_auc double, best boolean")
+
+
+def pooled(rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    data = staged(rows.select("split", F.col("y").alias("label"), "x"), "pooled").withColumn("features", array_to_vector("x"))
-    train, val, table = data.filter("split = 'train'"), data.filter("split = 'val'"), []
-    for s in strengths:
-        model = LogisticRegression(regParam=s, maxIter=50, standardization=False).fit(train)
-        scored = model.transform(val).select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("int").alias("is_fraud"))
-        table.append((s, M.pr_auc(staged(scored, "scored")).first()["pr_auc"]))
-    top = max(table, key=lambda x: (x[1] or 0.0, -x[0]))[0]
-    return rows.sparkSession.createDataFrame([(s, a, s == top) for s, a in table], "strength double, pr_auc double, best boolean")
+    return staged(rows.select("split", F.col("y").alias("label"), "x"), "pooled").withColumn("features", array_to_vector("x"))
+
+
+def _area(model, val: DataFrame) -> float | None:
+    scored = model.transform(val).select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("int").alias("is_fraud"))
+    return M.pr_auc(staged(scored, "scored")).first()["pr_auc"]
+
+
+def logistic_fits(rows: DataFrame, strengths: tuple[float, ...]) -> list[tuple[float, float | None]]:
+    data = pooled(rows)
+    fit = lambda s: LogisticRegression(regParam=s, maxIter=50, standardization=False).fit(data.filter("split = 'train'"))
+    return [(s, _area(fit(s), data.filter("split = 'val'"))) for s in strengths]
+
+
+def network_fit(rows: DataFrame, size: int, hidden: tuple[int, ...] = (16, 8), epochs: int = 12, patience: int = 4, iterations: int = 10, seed: int = 42):
+    """(epoch and area on val of each epoch, the best epoch's model): a network of ``hidden`` layers trained on the pooled train rows.
+
+    An epoch is ``iterations`` steps of L-BFGS on gradients summed over tasks, and goes
+    on from the weights of the one before. Training stops after ``patience`` epochs
+    without a better area on val; the best epoch stands.
+    """
+    data = pooled(rows)
+    train, val = data.filter("split = 'train'").select("features", "label").persist(), data.filter("split = 'val'")
+    told, best, model, weights = [], None, None, None
+    for epoch in range(1, epochs + 1):
+        net = MultilayerPerceptronClassifier(layers=[size, *hidden, 2], maxIter=iterations, seed=seed, tol=0.0)
+        now = (net.setInitialWeights(weights) if weights is not None else net).fit(train)
+        weights, area = now.weights, _area(now, val) or 0.0
+        told.append((epoch, area))
+        if best is None or area > best + 1e-4:
+            best, model = area, now
+        elif epoch - max(e for e, a in told if a == best) >= patience:
+            break
+    train.unpersist()
+    return told, model

@@ -281,31 +281,48 @@ def attack_arms(rows: DataFrame, of: tuple[str, ...] = ("key",)) -> tuple[DataFr
     return judged(flagged, exact, ["arm"], cells), audit
 
 
-# model updates: (merchant, idx, value), weights (merchant, rows, fraud_rows)
-def norm_filter(deltas: DataFrame, limit: float = 3.0) -> DataFrame:
-    n = staged(deltas.groupBy("merchant").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")), "norms")
-    med = n.agg(F.percentile("norm", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(F.broadcast(med)).select("merchant", "norm", ((F.col("n") < 3) | (F.col("norm") <= limit * F.col("m"))).alias("ok"))
+# model updates: (by, merchant, idx, value), weights (merchant, rows, fraud_rows); ``by`` tells runs apart, a few
+def _beside(df: DataFrame, few: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``df`` with the figures of its run."""
+    return df.join(F.broadcast(few), list(by)) if by else df.crossJoin(F.broadcast(few))
 
 
-def cosine_filter(deltas: DataFrame, k: float = 3.0, floor: float = 0.85) -> DataFrame:
-    mid = deltas.groupBy("idx").agg(F.percentile("value", F.lit(0.5)).alias("mid"))
-    s = deltas.join(mid.hint("merge"), "idx").groupBy("merchant").agg(F.sum(F.col("value") * F.col("mid")).alias("dot"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("a"), F.sqrt(F.sum(F.col("mid") * F.col("mid"))).alias("b"))
-    d = staged(s.select("merchant", F.when((F.col("a") == 0) | (F.col("b") == 0), 1.0).otherwise(1 - F.col("dot") / (F.col("a") * F.col("b"))).alias("distance")), "distances")
-    med = d.agg(F.percentile("distance", F.lit(0.5)).alias("m"))
-    dev = d.crossJoin(F.broadcast(med)).agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("distance") - F.col("m")), F.lit(0.5)).alias("mad"))
-    return d.crossJoin(F.broadcast(dev)).select("merchant", "distance", (F.col("distance") <= F.greatest(F.col("m") + k * F.col("mad"), F.lit(floor))).alias("ok"))
+def norm_filter(deltas: DataFrame, limit: float = 3.0, by: tuple[str, ...] = ()) -> DataFrame:
+    n = staged(deltas.groupBy(*by, "merchant").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")), "norms")
+    med = n.groupBy(*by).agg(F.percentile("norm", F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _beside(n, med, by).select(*by, "merchant", "norm", ((F.col("n") < 3) | (F.col("norm") <= limit * F.col("m"))).alias("ok"))
 
 
-def weighted_mean(deltas: DataFrame, weights: DataFrame, weight: str) -> DataFrame:
+def cosine_filter(deltas: DataFrame, k: float = 3.0, floor: float = 0.85, by: tuple[str, ...] = ()) -> DataFrame:
+    mid = deltas.groupBy(*by, "idx").agg(F.percentile("value", F.lit(0.5)).alias("mid"))
+    s = deltas.join(mid.hint("merge"), [*by, "idx"]).groupBy(*by, "merchant").agg(F.sum(F.col("value") * F.col("mid")).alias("dot"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("a"), F.sqrt(F.sum(F.col("mid") * F.col("mid"))).alias("b"))
+    d = staged(s.select(*by, "merchant", F.when((F.col("a") == 0) | (F.col("b") == 0), 1.0).otherwise(1 - F.col("dot") / (F.col("a") * F.col("b"))).alias("distance")), "distances")
+    med = d.groupBy(*by).agg(F.percentile("distance", F.lit(0.5)).alias("m"))
+    dev = _beside(d, med, by).groupBy(*by).agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("distance") - F.col("m")), F.lit(0.5)).alias("mad"))
+    return _beside(d, dev, by).select(*by, "merchant", "distance", (F.col("distance") <= F.greatest(F.col("m") + k * F.col("mad"), F.lit(floor))).alias("ok"))
+
+
+def weighted_mean(deltas: DataFrame, weights: DataFrame, weight: str, by: tuple[str, ...] = ()) -> DataFrame:
     w = weights.select("merchant", F.greatest(F.col(weight), F.lit(1)).alias("w"))
-    return deltas.join(sized(staged(w, "weights")), "merchant").groupBy("idx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    return deltas.join(sized(staged(w, "weights")), "merchant").groupBy(*by, "idx").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
 
+def passing(deltas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, merchant of the updates that pass the filter of norms and then that of directions."""
+    a = staged(norm_filter(deltas, by=by).filter("ok").select(*by, "merchant"), "kept")
+    return staged(cosine_filter(deltas.join(a.hint("merge"), [*by, "merchant"], "left_semi"), by=by).filter("ok").select(*by, "merchant"), "kept")
 
-def robust_aggregate(deltas: DataFrame, weights: DataFrame) -> DataFrame:
+
+def robust_aggregate(deltas: DataFrame, weights: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Fraud-weighted mean of the updates that pass both filters; no rows if fewer than two do."""
-    a = staged(norm_filter(deltas).filter("ok").select("merchant"), "kept")
-    d = deltas.join(a.hint("merge"), "merchant", "left_semi")
-    b = staged(cosine_filter(d).filter("ok").select("merchant"), "kept")
-    n = b.agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
-    return weighted_mean(d.join(b.hint("merge"), "merchant", "left_semi"), weights, "fraud_rows").crossJoin(F.broadcast(n)).select("idx", "value")
+    b = passing(deltas, by)
+    n = b.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
+    return _beside(weighted_mean(deltas.join(b.hint("merge"), [*by, "merchant"], "left_semi"), weights, "fraud_rows", by), n, by).select(*by, "idx", "value")
+
+
+def private_update(deltas: DataFrame, epsilon: Column, seed: Column, clip: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Updates clipped to norm ``clip`` plus Gaussian noise for ``epsilon``; null is no clipping and no noise. The draw comes from ``seed`` (a secret keeps it unpredictable), merchant and idx."""
+    norm = deltas.groupBy(*by, "merchant").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm"))
+    noise = clip * K.gaussian_sigma(epsilon) * K.unit_noise(seed, F.col("merchant").cast("string"), F.col("idx").cast("string"))
+    value = F.when(epsilon.isNull(), F.col("value")).otherwise(F.col("value") / F.greatest(F.col("_norm") / clip, F.lit(1.0)) + noise)
+    return deltas.join(norm.hint("merge"), [*by, "merchant"]).withColumn("value", value).drop("_norm")

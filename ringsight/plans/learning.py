@@ -181,19 +181,46 @@ def dense(spark, d):
     return staged(L.standardized(staged(rows, "dense"), DENSE), "dense")
 
 
-@query()
+#: SQL tables: dn (txn_id, split, merchant, y, x0.. the constant and the standardized columns), w1 to w3 the merchants' weights after each step.
+_RAW = {"amount": "amount", "hour": "(t // 3600) % 24", "n_24h": "account_n_24h", "n_7d": "account_n_7d", "sum_24h": "account_sum_24h_"}
+_N = len(DENSE) + 1
+
+
+def _step(i: int) -> str:
+    w = [f"w{k}" if i > 1 else "0::DOUBLE" for k in range(_N)]
+    e = "(1 / (1 + exp(-(" + " + ".join(f"{a} * x{k}" for k, a in enumerate(w)) + "))) - y)"
+    of = ", ".join(f"{'any_value(w' + str(k) + ')' if i > 1 else '0'} - avg({e} * x{k}) AS w{k}" for k in range(_N))
+    return f"g{i} AS (SELECT merchant, {of} FROM dn {f'JOIN g{i - 1} USING (merchant)' if i > 1 else ''} WHERE split = 'train' GROUP BY 1)"
+
+
+LOCAL = (
+    f"vl AS (SELECT *, {_velocity('account')}, coalesce(sum(amount) OVER (PARTITION BY account ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING), 0) AS account_sum_24h_ FROM sp),"
+    f" ra AS (SELECT txn_id, split, card1 % 8 AS merchant, is_fraud::DOUBLE AS y, {', '.join(f'({x})::DOUBLE AS r{i}' for i, x in enumerate(_RAW.values(), 1))} FROM vl),"
+    f" sc AS (SELECT {', '.join(f'avg(r{i}) AS m{i}, CASE WHEN stddev_pop(r{i}) > 1e-9 THEN stddev_pop(r{i}) ELSE 1 END AS s{i}' for i in range(1, _N))} FROM ra WHERE split = 'train'),"
+    f" dn AS (SELECT txn_id, split, merchant, y, 1::DOUBLE AS x0, {', '.join(f'(r{i} - m{i}) / s{i} AS x{i}' for i in range(1, _N))} FROM ra, sc), " + ", ".join(map(_step, (1, 2, 3)))
+)
+
+
+@query(" UNION ALL ".join(f"SELECT merchant, {k} AS idx, round(w{k}, 6) AS value FROM g3" for k in range(_N)), LOCAL)
 def local_fit(spark, d):
-    return L.local_fit(dense(spark, d).filter("split = 'train'"), [0.0] * (len(DENSE) + 1))
+    """Three gradient steps of each merchant from weights of nought."""
+    return L.local_fit(dense(spark, d).filter("split = 'train'"), [0.0] * _N).withColumn("value", F.round("value", 6))
 
 
 @query()
 def central_fit(spark, d):
-    return L.central_fit(dense(spark, d), len(DENSE) + 1)
+    return L.central_fit(dense(spark, d), _N)
 
 
 @query()
 def fed_rounds(spark, d):
-    return L.fed_rounds(dense(spark, d), len(DENSE) + 1)[0]
+    return L.fed_rounds(dense(spark, d), _N)[0]
+
+
+@query()
+def fed_arms(spark, d):
+    """Plain and robust rounds, with a merchant that attacks and with privacy budgets."""
+    return L.fed_arms(dense(spark, d), _N)
 
 
 def delivered(spark, d, run, twice=None, late=feeds.LATE, close=False):
