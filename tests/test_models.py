@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ringsight.operators import metrics as M
 from ringsight.operators import models as L
+from ringsight.operators import privacy as P
 from ringsight.plans import learning
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +76,60 @@ def test_shares_of_nulls_and_unseen(spark):
     assert spec.categorical == ("c",) and {r["txn_id"]: r["c"] for r in out.collect()} == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
     gone = L.encoded(rows.drop("c"), spec, L.category_shares(rows, spec))
     assert gone.filter(F.col("c").isNotNull()).count() == 0
+
+
+def test_attacks_and_budgets(spark):
+    """Attacks ruin plain runs and not robust ones; updates that differ from their commitment are left out; noise grows as budgets fall."""
+    rows = spark.createDataFrame(synthetic(900), "split string, merchant long, y double, x array<double>")
+    arms = (L.Arm("plain", robust=False), L.Arm("robust"), L.Arm("bad", False, "sign_flip"), L.Arm("good", True, "sign_flip"), L.Arm("late", True, "last_mover"), L.Arm("wide", epsilon=1e6), L.Arm("narrow", epsilon=0.01))
+    got = {r["arm"]: r for r in L.fed_arms(rows, 3, arms, rounds=2, steps=2).collect()}
+    assert got["plain"]["test"] > 0.8 and got["robust"]["test"] > 0.8 and got["good"]["test"] > 0.8 and got["late"]["test"] > 0.8
+    assert got["bad"]["test"] < 0.5 < got["good"]["test"] and got["good"]["rejected"] >= 2 and got["late"]["rejected"] >= 2 and got["plain"]["rejected"] == 0
+    assert abs(got["wide"]["test"] - got["robust"]["test"]) < 0.05 and got["narrow"]["val"] <= got["wide"]["val"] + 1e-9
+
+
+def synthetic(n):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 2))
+    y = (2 * x[:, 0] - x[:, 1] + 0.3 * rng.normal(size=n) > 1).astype(float)
+    split = np.array(["train", "train", "val", "test"])[np.arange(n) % 4]
+    return [(str(split[i]), int(i % 5), float(y[i]), [1.0, *map(float, x[i])]) for i in range(n)]
+
+
+def test_private_updates(spark):
+    rows = [(m, i, float(v)) for m, vs in ((1, (3, 4)), (2, (0.3, 0.4)), (3, (0, 0))) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "merchant long, idx int, value double")
+    plain = {(r["merchant"], r["idx"]): r["value"] for r in P.private_update(df, F.lit(None).cast("double"), F.lit("s")).collect()}
+    assert plain == {r[:2]: r[2] for r in rows}
+    wide = {(r["merchant"], r["idx"]): r["value"] for r in P.private_update(df, F.lit(1e9), F.lit("s")).collect()}
+    assert np.allclose([wide[k] for k in sorted(wide)], [0.6, 0.8, 0.3, 0.4, 0, 0], atol=1e-6)
+    noise = [r["value"] for r in P.private_update(spark.range(4_000).select(F.col("id").alias("merchant"), F.lit(0).alias("idx"), F.lit(0.0).alias("value")), F.lit(4.0), F.lit("s")).collect()]
+    sigma = np.sqrt(2 * np.log(1.25 / 1e-5)) / 4
+    assert abs(np.mean(noise)) < 0.1 and abs(np.std(noise) / sigma - 1) < 0.05
+
+
+def test_network_is_the_plain_network_of_its_weights(spark):
+    rows = spark.createDataFrame(synthetic(400), "split string, merchant long, y double, x array<double>")
+    told, model = L.network_fit(rows, 3, (4, 3), epochs=6, patience=2, iterations=5)
+    assert [e for e, _ in told] == list(range(1, len(told) + 1)) and max(a for _, a in told) > 0.8
+    best = max(range(len(told)), key=lambda i: (told[i][1], -i))
+    assert len(told) == 6 or len(told) - 1 - best >= 2  # stopped after two epochs without a better one
+    got = model.transform(L.pooled(rows)).select("x", "probability").collect()
+    w, at, x = np.array(model.weights.toArray()), 0, np.array([r["x"] for r in got])
+    layers = [3, 4, 3, 2]
+    for i, (a, b) in enumerate(zip(layers, layers[1:])):
+        m, c = w[at : at + a * b].reshape(a, b).T, w[at + a * b : at + a * b + b]
+        x = x @ m.T + c
+        x = 1 / (1 + np.exp(-x)) if i < 2 else np.exp(x) / np.exp(x).sum(1, keepdims=True)
+        at += a * b + b
+    assert at == len(w) and np.allclose(x, [r["probability"].toArray() for r in got])
+
+
+def test_areas_by_group_are_those_of_each(spark):
+    rng = np.random.default_rng(1)
+    rows = [(a, int(c), float(np.round(s, 1)), int(f)) for a, c, s, f in zip(rng.choice(["a", "b"], 300), rng.integers(0, 3, 300), rng.random(300), rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "arm string, c int, score double, is_fraud int")
+    got = {(r["arm"], r["c"]): r["pr_auc"] for r in M.pr_auc_by(df, ["arm", "c"]).collect()}
+    assert len(got) == 6
+    for (a, c), v in list(got.items())[:3]:
+        assert abs(v - M.pr_auc(df.filter((F.col("arm") == a) & (F.col("c") == c))).first()[0]) < 1e-12

@@ -56,8 +56,12 @@ def two_arms(rows, duck):
     assert sorted(r["arm"] for r in rows) == ["base", "entity"] and all(0 < r["pr_auc"] <= 1 and 0 <= r["roc_auc"] <= 1 for r in rows)
 
 
-def per_merchant(rows, duck):
-    assert len(rows) == 8 * 6 and {(r["merchant"], r["idx"]) for r in rows} == {(m, i) for m in range(8) for i in range(6)} and any(r["value"] for r in rows)
+def arms(rows, duck):
+    by = {r["arm"]: r for r in rows}
+    assert len(by) == 11 and all(0 <= r["val"] <= 1 for r in rows) and by["plain"]["rejected"] == 0
+    for attack in ("sign_flip", "flip"):  # robust above plain under attack, but for ties
+        assert by[f"{attack}_defended"]["val"] >= by[f"{attack}_undefended"]["val"] - 0.01
+    assert by["sign_flip_defended"]["val"] > by["sign_flip_undefended"]["val"] and by["sign_flip_defended"]["rejected"] >= 3 <= by["last_mover_defended"]["rejected"]
 
 
 def one_best(rows, duck):
@@ -65,7 +69,7 @@ def one_best(rows, duck):
 
 
 #: What holds for the queries without SQL; tests/test_models.py compares their parts with plain versions.
-PLAIN = {"train_scorer": areas, "score_batch": scores, "top_features": ranked, "model_save_load": same, "feature_lift": two_arms, "local_fit": per_merchant, "central_fit": one_best, "fed_rounds": one_best}
+PLAIN = {"train_scorer": areas, "score_batch": scores, "top_features": ranked, "model_save_load": same, "feature_lift": two_arms, "central_fit": one_best, "fed_rounds": one_best, "fed_arms": arms}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
