@@ -48,6 +48,20 @@ def dp_release(hist: DataFrame, seed: Column, epsilon: Column, drop: bool = True
     return hist.select("*", F.inline(F.array(hashes))).withColumns(noisy).drop(*[f"_{b}" for b in B]).filter((total() >= 1) | F.lit(not drop))
 
 
+def padded(hist: DataFrame, domain: DataFrame | None = None) -> DataFrame:
+    """``hist`` with a row of noughts for every merchant and every fingerprint of its shared ``domain`` (kind, fp) that it has not.
+
+    Released with noise, what a merchant has and what it has not look alike. The domain
+    must be known to all: by default what any merchant has. The output is merchants
+    times the domain; merchants are broadcast if counted few, else they are dealt out.
+    """
+    have = domain if domain is not None else hist.select("kind", "fp").distinct()
+    merchants = staged(hist.select("merchant").distinct(), "merchants")
+    every = have.crossJoin(F.broadcast(merchants)) if merchants.count() <= 200_000 else have.crossJoin(merchants)
+    full = every.join(hist.hint("merge"), ["merchant", "kind", "fp"], "left")
+    return full.select("merchant", "kind", "fp", *[F.coalesce(b, F.lit(0.0)).alias(b) for b in B])
+
+
 #: Rows of a merchant that make one leaf of its tree, about; children of an inner node: one for each hexadecimal digit.
 LEAF = 512
 

@@ -72,6 +72,18 @@ def live_agg(rows: DataFrame, threshold: float = 0.35) -> DataFrame:
     return g.withColumn("source", F.when(F.col("s0") == F.col("s1"), F.col("s0")).otherwise("mixed")).withColumn("flagged", F.col("score_mean") >= threshold).drop("s0", "s1", "score")
 
 
+def live_rings(txn: DataFrame, before: int = 0, threshold: float = 0.35) -> DataFrame:
+    """Rings of the window over ``txn`` (with source): the week up to its latest row, or up to ``before`` seconds earlier."""
+    clock = txn.agg((F.max("t") - before).alias("_m"))
+    week = txn.crossJoin(F.broadcast(clock)).filter("t <= _m and t >= _m - 604800").drop("_m")
+    return in_window(live_agg(live_rows(week), threshold))
+
+
+def newly_flagged(now: DataFrame, before: DataFrame) -> DataFrame:
+    """Rings flagged in one snapshot and not in the one before."""
+    return now.filter("flagged").join(before.filter("flagged").select("kind", "key").hint("merge"), ["kind", "key"], "left_anti")
+
+
 #: A ring is all rows of a key within a day, or all of a key.
 DAILY, WHOLE = ("kind", "key", "day"), ("kind", "key")
 

@@ -8,6 +8,7 @@ from ringsight.functions import keys as K
 from ringsight.operators import features as X
 from ringsight.operators import metrics as M
 from ringsight.operators import rings as R
+from ringsight.operators import views as V
 from ringsight.plans.base import ADDR, DEV, SPEC, query
 from ringsight.plans.federated import RATES
 from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, rings, rows, split, txn
@@ -57,12 +58,103 @@ LIVE = (
 )
 def rings_live(spark, d):
     """Device, address and live card rings over the trailing week, whatever the day."""
-    x = R.with_source(txn(spark, d))
-    m = x.agg(F.max("t").alias("m"))
-    g = R.in_window(R.live_agg(R.live_rows(x.crossJoin(F.broadcast(m)).filter("t >= m - 604800").drop("m"))))
+    g = R.live_rings(R.with_source(txn(spark, d)))
     return g.select("kind", "key", "size", "members", "cards", "merchants", R4("score_mean").alias("score_mean"), R4("score_max").alias("score_max"), F.round("amount", 4).alias("amount"), "t0", "t1", "frauds", "disputed", "source", "flagged")
 
 
+def live(before: int = 0) -> str:
+    """SQL tables lr, lg and lw: rows and rings of the live window, by default up to the latest row."""
+    return LIVE.replace("(SELECT max(t) FROM txn) - 604800", f"(SELECT max(t) FROM txn) - {before} - 604800 AND t <= (SELECT max(t) FROM txn) - {before}")
+
+
+_LG = "SELECT kind, key, count(*) AS size, count(DISTINCT member) AS members, avg(score) AS score_mean, min(t) AS t0, max(t) AS t1, CASE WHEN min(source) = max(source) THEN min(source) ELSE 'mixed' END AS source, avg(score) >= 0.35::DOUBLE AS flagged FROM lr GROUP BY ALL HAVING count(DISTINCT member) BETWEEN 2 AND 25"
+LW = LIVE + f", lw AS ({_LG})"
+_WORST = "ORDER BY round(score_mean, 9) DESC, kind, key"
+
+
+def live_window(spark, d):
+    return staged(R.live_rings(R.with_source(txn(spark, d))), "live")
+
+
+@query(f"SELECT kind, key, size, source FROM (SELECT * FROM lw WHERE flagged AND source = 'mixed' AND kind = 'address' {_WORST} LIMIT 500)", LW)
+def list_rings_live(spark, d):
+    """Flagged address rings of both sources."""
+    return V.rings(live_window(spark, d), flagged=True, kind="address", source="mixed", limit=600).select("kind", "key", "size", "source")
+
+
+@query(f"SELECT row_number() OVER ({_WORST}) AS rank, kind, key, size, members, round(score_mean, 9) AS score_mean FROM (SELECT * FROM lw WHERE flagged {_WORST} LIMIT 12)", LW)
+def list_rings_ranked(spark, d):
+    return V.ranked_rings(live_window(spark, d)).select("rank", "kind", "key", "size", "members", R4("score_mean").alias("score_mean"))
+
+
+def worst_ring(spark, d):
+    held = live_window(spark, d)
+    first = V.ranked_rings(held, 1).first()
+    return held, (first["kind"], first["key"]) if first else ("", "")
+
+
+@query(
+    f"SELECT kind, key, row_number() OVER (ORDER BY t, txn_id) AS n, t, txn_id, round(score, 9) AS score, round(greatest((t1 - t0) / 3600, 1.0::DOUBLE / 60), 9) AS window_hours FROM lr JOIN (SELECT kind, key, t0, t1 FROM lw WHERE flagged {_WORST} LIMIT 1) w USING (kind, key) ORDER BY t, txn_id LIMIT 40", LW,
+)
+def ring_detail_worst(spark, d):
+    """The payments of the ring of rank 1."""
+    held, ring = worst_ring(spark, d)
+    x = R.with_source(txn(spark, d))
+    clock = x.agg((F.max("t") - 604800).alias("_m"))
+    rows = R.live_rows(x.crossJoin(F.broadcast(clock)).filter("t >= _m"))
+    return V.ring_detail(held, rows, ring).withColumns({"score": R4("score"), "window_hours": R4("window_hours")})
+
+
+_ANY = f"SELECT *, 'device' AS kind, {DEV} AS key FROM lx WHERE {SPEC} UNION ALL SELECT *, 'address', {ADDR} FROM lx WHERE {ADDR} IS NOT NULL UNION ALL SELECT *, 'card', CAST(card1 AS VARCHAR) FROM lx WHERE source = 'live'"
+
+
+@query(f"SELECT txn_id, t, source, flagged FROM (SELECT x.* FROM ({_ANY}) x JOIN (SELECT kind, key FROM lw WHERE flagged {_WORST} LIMIT 1) w USING (kind, key)) ORDER BY t DESC, txn_id DESC LIMIT 100", LW + ", lx AS (SELECT *, CASE WHEN txn_id % 5 = 0 THEN 'live' ELSE 'replay' END AS source, score >= 0.5::DOUBLE AS flagged FROM txn)")
+def list_transactions_of_ring(spark, d):
+    """The newest payments of the ring of rank 1, whenever they were."""
+    return V.transactions(R.with_source(txn(spark, d)), ring=worst_ring(spark, d)[1]).select("txn_id", "t", "source", "flagged")
+
+
+@query("SELECT txn_id, t FROM txn WHERE txn_id % 5 = 0 AND NOT coalesce(score >= 0.5::DOUBLE, false) ORDER BY t DESC, txn_id DESC LIMIT 1000")
+def list_transactions_live(spark, d):
+    """Live payments that are not flagged; what is wanted over the most is not shown."""
+    return V.transactions(R.with_source(txn(spark, d)), flagged=False, source="live", limit=5_000).select("txn_id", "t")
+
+
+def _snapshot(name: str, before: int) -> str:
+    return live(before).replace("xs AS", f"xs{name} AS").replace("lr AS", f"lr{name} AS").replace("FROM xs", f"FROM xs{name}") + f", lw{name} AS ({_LG.replace('FROM lr', f'FROM lr{name}')})"
+
+
+NEWLY = _snapshot("0", 0) + ", " + _snapshot("1", 86400) + ", nf AS (SELECT * FROM lw0 WHERE flagged AND (kind, key) NOT IN (SELECT (kind, key) FROM lw1 WHERE flagged))"
+
+
+def newly_flagged(spark, d):
+    x = R.with_source(txn(spark, d))
+    return R.newly_flagged(R.live_rings(x), R.live_rings(x, 86400))
+
+
+@query("SELECT kind, key, t1 AS t, members, round(score_mean, 9) AS score_mean FROM nf", NEWLY)
+def new_ring_alerts(spark, d):
+    """Rings flagged in the week up to now and not in the week up to a day ago."""
+    return newly_flagged(spark, d).select("kind", "key", F.col("t1").alias("t"), "members", R4("score_mean").alias("score_mean"))
+
+
+ALERTS = NEWLY + ", al AS (SELECT t, 'txn' AS kind, CAST(txn_id AS VARCHAR) AS subject, score FROM txn WHERE score >= 0.5::DOUBLE UNION ALL SELECT t1, 'ring', kind || '|' || key, score_mean FROM nf)"
+
+
+def all_alerts(spark, d):
+    return V.alert_table(txn(spark, d), newly_flagged(spark, d).withColumnRenamed("t1", "t"))
+
+
+@query("SELECT t, kind, subject, round(score, 9) AS score FROM (SELECT * FROM al ORDER BY t DESC, kind DESC, subject LIMIT 50)", ALERTS)
+def list_alerts(spark, d):
+    return V.alerts(all_alerts(spark, d)).withColumn("score", R4("score"))
+
+
+@query("SELECT t, kind, subject, round(score, 9) AS score FROM (SELECT * FROM al WHERE kind = 'ring' ORDER BY t DESC, subject LIMIT 500)", ALERTS)
+def list_alerts_of_rings(spark, d):
+    return V.alerts(all_alerts(spark, d), kind="ring", limit=10_000).withColumn("score", R4("score"))
+
+
 @query("SELECT kind, key, day, txns, merchants, frauds, round(risk_est, 9) AS risk_est FROM exact")
 def exact_ring_stats(spark, d):
     b = K.risk_bucket(F.col("score"))

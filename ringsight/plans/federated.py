@@ -61,6 +61,18 @@ def dp_release(spark, d):
     return P.dp_release(hist(spark, d), F.lit("7"), F.lit(8.0)).select("merchant", "kind", "fp", *P.B)
 
 
+PADDED = (
+    "pd AS (SELECT merchant, kind, fp, " + ", ".join(f"coalesce(b{i}, 0) AS b{i}" for i in range(5)) + " FROM (SELECT * FROM (SELECT DISTINCT merchant FROM hist), (SELECT DISTINCT kind, fp FROM hist)) LEFT JOIN hist USING (merchant, kind, fp)),"
+    + " pr AS (SELECT * FROM (SELECT merchant, kind, fp, " + ", ".join(_noise("'7'", b, "2::DOUBLE") for b in range(5)) + f" FROM pd) WHERE {TOT} >= 1)"
+)
+
+
+@query(f"SELECT merchant, kind, fp, {BS} FROM pr", PADDED)
+def dp_release_padded(spark, d):
+    """Every merchant releases all fingerprints that any has, so that noise also covers which it has."""
+    return P.dp_release(P.padded(staged(hist(spark, d), "hist")), F.lit("7"), F.lit(2.0)).select("merchant", "kind", "fp", *P.B)
+
+
 FP = hmac_sql(P.SECRET, "kind || '|' || key || '|' || day") + "[1:16]"
 BUCKETS = ", ".join(f"CAST(count(*) FILTER (WHERE {BUCKET} = {i}) AS DOUBLE) AS b{i}" for i in range(5))
 SWEEP = (

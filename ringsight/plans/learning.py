@@ -11,7 +11,7 @@ from ringsight.operators import privacy as P
 from ringsight.plans.aggregates import FOLD, PEERS
 from ringsight.plans.base import ADDR, DEV, SPEC, hmac_sql, query
 from ringsight.plans.federated import BUCKETS, COMPS, OWN_COMP, S10, TOT, _noise
-from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, split, txn
+from ringsight.plans.rowwise import DISP, INR, R4, disputes, in_ring, rings, split, txn
 from ringsight.session import staged, workspace
 from ringsight.sources import files
 from ringsight.streaming import feeds
@@ -72,6 +72,30 @@ def scan_report_json(spark, d):
     return back.select("meta.total", F.inline("parts")).select("split", "n", "frauds", "total", R4("figures.rate").alias("rate"))
 
 
+CENSUS = ("rings", "fraud_rings", "cross_merchant", "single_merchant")
+LEVELS = (0.3, 0.35, 0.5)
+_CEN = "SELECT kind, count(*) AS rings, count(*) FILTER (WHERE frauds >= 2) AS fraud_rings, count(*) FILTER (WHERE frauds >= 2 AND merchants >= 2) AS cross_merchant, count(*) FILTER (WHERE frauds >= 2 AND merchants = 1) AS single_merchant FROM win GROUP BY 1"
+_LEV = "SELECT e, kind, count(*) FILTER (WHERE score_mean >= e AND frauds >= 2) AS tp, count(*) FILTER (WHERE score_mean >= e AND frauds < 2) AS fp FROM win, (SELECT unnest([0.3, 0.35, 0.5]::DOUBLE[]) AS e) GROUP BY ALL"
+
+
+@query(
+    " UNION ALL ".join(f"SELECT 'ground_truth' AS section, NULL::DOUBLE AS setting, kind AS name, '{m}' AS metric, {m}::DOUBLE AS value FROM ce" for m in CENSUS)
+    + "".join(f" UNION ALL SELECT 'levels', e, kind, '{m}', {m}::DOUBLE FROM le" for m in ("tp", "fp")),
+    f"ce AS ({_CEN}), le AS ({_LEV})",
+)
+def scan_report_sections(spark, d):
+    """A report whose maps are keyed by kind and metric, and a list with a setting each, written and read back."""
+    held = staged(rings(spark, d).select("kind", "frauds", "merchants", "score_mean"), "rings")
+    bad = F.col("frauds") >= 2
+    census = held.groupBy("kind").agg(F.count(F.lit(1)).alias("rings"), F.count_if(bad).alias("fraud_rings"), F.count_if(bad & (F.col("merchants") >= 2)).alias("cross_merchant"), F.count_if(bad & (F.col("merchants") == 1)).alias("single_merchant"))
+    hit = F.col("score_mean") >= F.col("e")
+    levels = held.withColumn("e", F.explode(F.array(*map(F.lit, LEVELS)))).groupBy("e", "kind").agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"))
+    lines = lambda df, section, setting, names: df.select(F.lit(section).alias("section"), setting.cast("double").alias("setting"), F.col("kind").alias("name"), F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])))
+    path = workspace(spark, "report")
+    files.sink_sectioned(lines(census, "ground_truth", F.lit(None), CENSUS).unionByName(lines(levels, "levels", F.col("e"), ("tp", "fp"))), path, ["levels"])
+    return files.sectioned(spark, path, ["ground_truth"], ["levels"])
+
+
 @query("SELECT txn_id, amount FROM txn")
 def sink_event_store(spark, d):
     """Three deliveries that overlap leave each transaction once."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
 from ringsight.operators import rings as R
+from ringsight.operators import views as V
 from ringsight.operators.metrics import quantiles
 from ringsight.plans.base import ADDR, BUCKET, DEV, SPEC, hmac_sql, query
 from ringsight.session import staged
@@ -183,10 +184,17 @@ def finite_guard(spark, d):
     return txn(spark, d).select("txn_id", R4(K.finite(odd)).alias("amount"))
 
 
-@query("SELECT split, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS frauds, round(100 * avg(is_fraud), 9) AS fraud_pct, min(t) // 86400 AS first_day, max(t) // 86400 AS last_day FROM sp GROUP BY 1")
+@query(
+    "SELECT *, coalesce(t0 >= lag(t1) OVER (ORDER BY t0), true) AS after_last, sum(n) OVER () = (SELECT count(*) FROM txn) AS complete FROM (SELECT split, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS frauds, round(100 * avg(is_fraud), 9) AS fraud_pct, min(t) // 86400 AS first_day, max(t) // 86400 AS last_day, min(t) AS t0, max(t) AS t1 FROM sp GROUP BY 1)"
+)
 def split_report(spark, d):
+    """Figures of the splits; after_last: none of its rows is before a row of the split before; complete: the splits hold every row once."""
     day = lambda c: F.floor(c / 86400).cast("long")
-    return split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").cast("long").alias("frauds"), R4(100 * F.avg("is_fraud")).alias("fraud_pct"), day(F.min("t")).alias("first_day"), day(F.max("t")).alias("last_day"))
+    per = split(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("is_fraud").cast("long").alias("frauds"), R4(100 * F.avg("is_fraud")).alias("fraud_pct"), day(F.min("t")).alias("first_day"), day(F.max("t")).alias("last_day"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    whole = txn(spark, d).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(F.lit(1))  # three rows
+    out = staged(per, "report").crossJoin(F.broadcast(whole))
+    return out.select(*per.columns, F.coalesce(F.col("t0") >= F.lag("t1").over(w.orderBy("t0")), F.lit(True)).alias("after_last"), (F.sum("n").over(w) == F.col("_n")).alias("complete"))
 
 
 @query("SELECT kind, day, kind || ' ring ' || key[1:48] || ': ' || members || ' members, ' || txns || ' payments' AS summary FROM win")
@@ -201,17 +209,13 @@ def temporal_split(spark, d):
 
 @query("SELECT txn_id, t, amount FROM txn WHERE score >= 0.5::DOUBLE ORDER BY t DESC, txn_id DESC LIMIT 200")
 def list_transactions(spark, d):
-    return txn(spark, d).filter("score >= 0.5D").select("txn_id", "t", "amount").orderBy(F.desc("t"), F.desc("txn_id")).limit(200)
+    return V.transactions(R.with_source(txn(spark, d)), flagged=True, limit=200).select("txn_id", "t", "amount")
 
 
 @query("SELECT kind, key, day, txns, round(score_mean, 9) AS score_mean FROM win WHERE score_mean >= 0.35::DOUBLE AND kind = 'device' ORDER BY ring_order.o LIMIT 100".replace("ORDER BY ring_order.o", "ORDER BY round(win.score_mean, 9) DESC, kind, key, day"))
 def list_rings(spark, d):
-    return rings(spark, d).filter("score_mean >= 0.35D and kind = 'device'").orderBy(F.desc(F.round("score_mean", 9)), "kind", "key", "day").limit(100).select("kind", "key", "day", "txns", R4("score_mean").alias("score_mean"))
-
-
-@query("SELECT kind, key, t1 AS t FROM win WHERE score_mean >= 0.35::DOUBLE AND merchants >= 2 ORDER BY t1 DESC, kind, key LIMIT 500")
-def list_alerts(spark, d):
-    return R.flagged(rings(spark, d), 0.35, 2).select("kind", "key", F.col("t1").alias("t")).orderBy(F.desc("t"), "kind", "key").limit(500)
+    table = rings(spark, d).withColumn("flagged", F.col("score_mean") >= 0.35)
+    return V.rings(table, flagged=True, kind="device").select("kind", "key", "day", "txns", R4("score_mean").alias("score_mean"))
 
 
 @query("SELECT txn_id, t FROM txn WHERE t >= (SELECT max(t) FROM txn) - 604800")
@@ -280,13 +284,6 @@ def dedup_ingest(spark, d):
     return x.union(x).distinct().join(x.filter("txn_id % 2 = 0"), "txn_id", "left_anti")
 
 
-@query("SELECT kind, key, min(day) AS day FROM win WHERE score_mean >= 0.35::DOUBLE GROUP BY 1, 2 HAVING min(day) >= 7")
-def new_ring_alerts(spark, d):
-    f = rings(spark, d).filter("score_mean >= 0.35D").select("kind", "key", "day")
-    old = f.filter("day < 7").select("kind", "key").distinct()
-    return f.filter("day >= 7").join(old.hint("merge"), ["kind", "key"], "left_anti").groupBy("kind", "key").agg(F.min("day").alias("day"))
-
-
 @query("SELECT kind, key, day, txn_id, n, round(span_h, 9) AS window_hours FROM (SELECT *, row_number() OVER (PARTITION BY kind, key, day ORDER BY t, txn_id) AS n FROM rr JOIN win USING (kind, key, day)) WHERE n <= 40")
 def ring_detail(spark, d):
     w = Window.partitionBy("kind", "key", "day").orderBy("t", "txn_id")
@@ -301,7 +298,12 @@ def disputes(spark, d):
 
 @query("SELECT dispute_id, txn_id, dt FROM disp ORDER BY dt DESC, txn_id LIMIT 100", DISP)
 def list_disputes(spark, d):
-    return disputes(spark, d).select("dispute_id", "txn_id", "dt").orderBy(F.desc("dt"), "txn_id").limit(100)
+    return V.disputes(disputes(spark, d), 100).select("dispute_id", "txn_id", "dt")
+
+
+@query("SELECT dispute_id, txn_id, dt FROM disp", DISP)
+def list_disputes_all(spark, d):
+    return V.disputes(disputes(spark, d)).select("dispute_id", "txn_id", "dt")
 
 
 INR = "inr AS (SELECT DISTINCT txn_id FROM rr SEMI JOIN (SELECT kind, key, day FROM win WHERE score_mean >= 0.35::DOUBLE) f USING (kind, key, day))"

@@ -37,6 +37,40 @@ def scan_report_json(spark: SparkSession, path: str, schema: StructType, pretty:
     return spark.read.schema(schema).option("multiLine", pretty).json(path)
 
 
+def sectioned(spark: SparkSession, path: str, sections: list[str], sweeps: list[str]) -> DataFrame:
+    """section, setting, name, metric, value of a report that is one object over many lines, as experiments write it.
+
+    ``sections`` are objects of objects of numbers ({kind: {metric: number}}), ``sweeps``
+    arrays of such with the setting as a number beside them ({epsilon: 8, kind: {...}}).
+    Names are whatever the file has; what is no number is left out. A setting of null is null.
+    """
+    fields = [f"`{s}` map<string,string>" for s in sections] + [f"`{s}` array<map<string,string>>" for s in sweeps]
+    raw = spark.read.schema(", ".join(fields)).option("multiLine", True).json(path)
+    rows = None
+    for s in [*sections, *sweeps]:
+        each = raw.select(F.explode(s).alias("m")) if s in sweeps else raw.select(F.col(s).alias("m"))
+        setting = F.col("m")["epsilon"].cast("double") if s in sweeps else F.lit(None).cast("double")
+        parts = each.select(F.lit(s).alias("section"), setting.alias("setting"), F.explode("m").alias("name", "text")).filter("text like '{%'")
+        numbers = F.from_json("text", "map<string,string>")
+        one = parts.select("section", "setting", "name", F.explode(numbers).alias("metric", "v")).withColumn("value", F.expr("try_cast(v AS double)")).drop("v").filter("value is not null")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def sink_sectioned(lines: DataFrame, path: str, sweeps: list[str]) -> None:
+    """Write ``lines`` (section, setting, name, metric, value) as such a report, one object in one file. Reports have a bounded number of lines."""
+    metrics = F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value"))))
+    per = lines.groupBy("section", "setting", "name").agg(metrics.alias("m"))
+    per = per.groupBy("section", "setting").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", F.to_json("m").alias("m"))))).alias("m"))
+    body = lambda c: F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"])), ", "), F.lit("}"))
+    own = F.when(F.col("section").isin(*sweeps), F.concat(F.lit('{"epsilon": '), F.coalesce(F.col("setting").cast("string"), F.lit("null")), F.lit(", "), F.expr("substr(b, 2)"))).otherwise(F.col("b"))
+    texts = per.withColumn("b", body(F.col("m"))).select("section", "setting", own.alias("b"))
+    joined = texts.groupBy("section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("setting", "b"))), lambda x: x["b"]), ", ").alias("b"))
+    line = F.concat(F.lit('"'), F.col("section"), F.lit('": '), F.when(F.col("section").isin(*sweeps), F.concat(F.lit("["), F.col("b"), F.lit("]"))).otherwise(F.col("b")))
+    whole = joined.agg(F.array_join(F.sort_array(F.collect_list(line)), ",\n ").alias("t")).select(F.concat(F.lit("{"), F.col("t"), F.lit("}")).alias("value"))
+    whole.coalesce(1).write.text(path)
+
+
 def written(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` has ended: its _SUCCESS file is there."""
     jvm = spark._jvm
