@@ -6,13 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringsight.operators.metrics import prefix_sums
-from ringsight.session import staged
+from ringsight.session import sized, staged
 
 PRIOR, WEIGHT = 0.035, 20.0
 #: Fraud rate of each risky email domain.
 DOMAIN_RISK = {"protonmail.com": 0.41, "mail.com": 0.19, "outlook.es": 0.13, "aim.com": 0.13, "outlook.com": 0.09, "hotmail.es": 0.07, "live.com.mx": 0.05}
 
 
+#: Rows of one key that a task takes in one window; keys with more are split over time.
+HOT_ROWS = 1_000_000
+WEEK, DAY, HOUR = 604800, 86400, 3600
+
+
+def hot_keys(txn: DataFrame, key: str, hot: int) -> DataFrame | None:
+    """The values of ``key`` (as _hot) with over ``hot`` rows, a null among them; None if there are none. One for ``hot`` rows at most."""
+    many = staged(txn.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("_hot"), "hot")
+    return None if many.isEmpty() else many
+
+
+def apart(txn: DataFrame, key: str, hot: int, plain, split) -> DataFrame:
+    """``plain`` of the rows of ordinary keys and ``split`` of those of hot ones."""
+    many = hot_keys(txn, key, hot)
+    if many is None:
+        return plain(txn)
+    side, on = sized(many), F.col(key).eqNullSafe(F.col("_hot"))
+    return plain(txn.join(side, on, "left_anti")).unionByName(split(txn.join(side, on, "left_semi")))
+
+
 def in_buckets(txn: DataFrame, length: int) -> DataFrame:
     """Each row in the time bucket of its own (``_guest`` false) and, to be looked back at, in the next one (true).
 
@@ -24,38 +44,55 @@ def in_buckets(txn: DataFrame, length: int) -> DataFrame:
     return txn.select("*", F.inline(at))
 
 
-def velocity(txn: DataFrame, key: str) -> DataFrame:
-    """Counts and amounts over [t - W, t): rows of the same second are not before each other. ``gap`` is the time since the row before, however long."""
-    week = 604800
-    w = lambda s: Window.partitionBy(key, "_bucket").orderBy("t").rangeBetween(-s, -1)
-    prev = Window.partitionBy(key, "_bucket").orderBy("t", "txn_id")
-    seen = in_buckets(txn, week).select(
-        "*", F.lag("t").over(prev).alias("_prev"), F.count(F.lit(1)).over(w(86400)).alias("n_24h"), F.count(F.lit(1)).over(w(week)).alias("n_7d"),
-        F.coalesce(F.sum("amount").over(w(86400)), F.lit(0.0)).alias("sum_24h"), F.avg("amount").over(w(86400)).alias("mean_24h"),
-    ).filter(~F.col("_guest"))
-    # the last row of the buckets before, for rows with nothing in the bucket before theirs: a row per key and bucket
-    lasts = txn.groupBy(key, F.floor(F.col("t") / week).cast("long").alias("_bucket")).agg(F.max("t").alias("_t"))
-    lasts = lasts.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.lag("_t").over(Window.partitionBy(key).orderBy("_bucket")).alias("_last")).filter("_last is not null")
-    out = seen.join(lasts.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
-    return out.select(*txn.columns, (F.col("t") - F.coalesce("_prev", "_last")).alias("gap"), "n_24h", "n_7d", "sum_24h", "mean_24h")
+def _velocities(by: list[str]) -> list[Column]:
+    w = lambda s: Window.partitionBy(*by).orderBy("t").rangeBetween(-s, -1)
+    return [F.count(F.lit(1)).over(w(DAY)).alias("n_24h"), F.count(F.lit(1)).over(w(WEEK)).alias("n_7d"), F.coalesce(F.sum("amount").over(w(DAY)), F.lit(0.0)).alias("sum_24h"), F.avg("amount").over(w(DAY)).alias("mean_24h")]
+
+
+def velocity(txn: DataFrame, key: str, hot: int = HOT_ROWS) -> DataFrame:
+    """Counts and amounts over [t - W, t): rows of the same second are not before each other. ``gap`` is the time since the row before, however long. The rows of a key with over ``hot`` of them are split over weeks."""
 
+    def plain(rows: DataFrame) -> DataFrame:
+        prev = Window.partitionBy(key).orderBy("t", "txn_id")
+        return rows.select(*txn.columns, (F.col("t") - F.lag("t").over(prev)).alias("gap"), *_velocities([key]))
 
-def fanout(txn: DataFrame, key: str, value: str, name: str, length: int = 604800) -> DataFrame:
+    def split(rows: DataFrame) -> DataFrame:
+        prev = Window.partitionBy(key, "_bucket").orderBy("t", "txn_id")
+        seen = in_buckets(rows, WEEK).select("*", F.lag("t").over(prev).alias("_prev"), *_velocities([key, "_bucket"])).filter(~F.col("_guest"))
+        # the last row of the buckets before, for rows with nothing in the bucket before theirs: a row per key and bucket
+        lasts = rows.groupBy(key, F.floor(F.col("t") / WEEK).cast("long").alias("_bucket")).agg(F.max("t").alias("_t"))
+        lasts = lasts.select(F.col(key).alias("_k"), F.col("_bucket").alias("_b"), F.lag("_t").over(Window.partitionBy(key).orderBy("_bucket")).alias("_last")).filter("_last is not null")
+        out = seen.join(lasts.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+        return out.select(*txn.columns, (F.col("t") - F.coalesce("_prev", "_last")).alias("gap"), "n_24h", "n_7d", "sum_24h", "mean_24h")
+
+    return apart(txn, key, hot, plain, split)
+
+
+def fanout(txn: DataFrame, key: str, value: str, name: str, length: int = WEEK, hot: int = HOT_ROWS) -> DataFrame:
     """Distinct values of ``value`` seen under ``key`` before each row; null is a value.
 
-    The first row of every pair is found by an aggregate. First rows are counted within
-    (key, time bucket), and those of the buckets before are added: no task needs all
-    rows of a key.
+    Of a key with over ``hot`` rows the first row of every pair is found by an aggregate,
+    first rows are counted within (key, time bucket), and those of the buckets before are
+    added: no task needs all its rows. Other keys take two windows over one shuffle.
     """
-    firsts = txn.groupBy(key, value).agg(F.min(F.struct("t", "txn_id")).alias("_f")).select("_f.txn_id", F.lit(1).alias("_first"))
-    marked = txn.join(firsts.hint("merge"), "txn_id", "left").withColumns({"_first": F.coalesce("_first", F.lit(0)), "_bucket": F.floor(F.col("t") / length).cast("long")})
-    marked = staged(marked.select(*txn.columns, "_first", "_bucket"), "firsts")
     upto = Window.rowsBetween(Window.unboundedPreceding, -1)
-    per = marked.groupBy(F.col(key).alias("_k"), F.col("_bucket").alias("_b")).agg(F.sum("_first").alias("_n"))
-    before = per.select("_k", "_b", F.coalesce(F.sum("_n").over(upto.partitionBy("_k").orderBy("_b")), F.lit(0)).alias("_before"))
-    own = marked.withColumn("_own", F.coalesce(F.sum("_first").over(upto.partitionBy(key, "_bucket").orderBy("t", "txn_id")), F.lit(0)))
-    out = own.join(before.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
-    return out.select(*txn.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        first = F.row_number().over(Window.partitionBy(key, value).orderBy("t", "txn_id")) == 1
+        marked = rows.repartition(key).withColumn("_first", first.cast("long"))
+        return marked.select(*txn.columns, F.coalesce(F.sum("_first").over(upto.partitionBy(key).orderBy("t", "txn_id")), F.lit(0)).alias(name))
+
+    def split(rows: DataFrame) -> DataFrame:
+        firsts = rows.groupBy(key, value).agg(F.min(F.struct("t", "txn_id")).alias("_f")).select("_f.txn_id", F.lit(1).alias("_first"))
+        marked = rows.join(firsts.hint("merge"), "txn_id", "left").withColumns({"_first": F.coalesce("_first", F.lit(0)), "_bucket": F.floor(F.col("t") / length).cast("long")})
+        marked = staged(marked.select(*txn.columns, "_first", "_bucket"), "firsts")
+        per = marked.groupBy(F.col(key).alias("_k"), F.col("_bucket").alias("_b")).agg(F.sum("_first").alias("_n"))
+        before = per.select("_k", "_b", F.coalesce(F.sum("_n").over(upto.partitionBy("_k").orderBy("_b")), F.lit(0)).alias("_before"))
+        own = marked.withColumn("_own", F.coalesce(F.sum("_first").over(upto.partitionBy(key, "_bucket").orderBy("t", "txn_id")), F.lit(0)))
+        out = own.join(before.hint("merge"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+        return out.select(*txn.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+    return apart(txn, key, hot, plain, split)
 
 
 def folds(train: DataFrame, k: int = 5) -> DataFrame:
@@ -78,13 +115,18 @@ def smoothed() -> list[Column]:
     return [((F.col("fr") + WEIGHT * PRIOR) / (F.col("cnt") + WEIGHT)).alias("rate"), F.log1p(F.col("cnt").cast("double")).alias("log_n"), (F.col("cnt") > 0).cast("int").alias("seen")]
 
 
-def hour_peers(txn: DataFrame) -> DataFrame:
-    """Peers in the hour before each row: accounts and cards with this row's own, merchants (shop) without. Nulls are no peers; a row without a card or account has none by it."""
-    w = lambda k: Window.partitionBy(k, "_bucket").orderBy("t").rangeBetween(-3600, -1)
-    seen = lambda c, k: F.collect_set(c).over(w(k))
-    both = lambda c, k: F.when(F.col(k).isNull(), 0).otherwise(F.size(F.array_compact(F.array_union(seen(c, k), F.array(c)))))
-    out = in_buckets(txn, 3600).select("*", both("account", "card1").alias("accounts"), F.when(F.col("card1").isNull(), 0).otherwise(F.size(seen("shop", "card1"))).alias("merchants"), both("card1", "account").alias("cards"))
-    return out.filter(~F.col("_guest")).drop("_guest", "_bucket")
+def hour_peers(txn: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
+    """Peers in the hour before each row: accounts and cards with this row's own, merchants (shop) without. Nulls are no peers; a row without a card or account has none by it. If a card or account has over ``hot`` rows, all are split over hours."""
+
+    def told(rows: DataFrame, more: list[str]) -> DataFrame:
+        w = lambda k: Window.partitionBy(k, *more).orderBy("t").rangeBetween(-HOUR, -1)
+        seen = lambda c, k: F.collect_set(c).over(w(k))
+        both = lambda c, k: F.when(F.col(k).isNull(), 0).otherwise(F.size(F.array_compact(F.array_union(seen(c, k), F.array(c)))))
+        return rows.select("*", both("account", "card1").alias("accounts"), F.when(F.col("card1").isNull(), 0).otherwise(F.size(seen("shop", "card1"))).alias("merchants"), both("card1", "account").alias("cards"))
+
+    if all(hot_keys(txn, c, hot) is None for c in ("card1", "account")):
+        return told(txn, [])
+    return told(in_buckets(txn, HOUR), ["_bucket"]).filter(~F.col("_guest")).drop("_guest", "_bucket")
 
 
 def rules_score(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import hmac
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ringsight.functions import keys as K
@@ -78,13 +79,14 @@ def test_hot_nodes_have_copies(spark, monkeypatch):
     assert all(got[i] == 0 for i in range(40)) and all(got[100 + i] == 100 for i in range(10))
 
 
-def test_velocity_over_buckets(spark):
-    """Rows in weeks far apart and on their borders, against plain Python."""
+@pytest.mark.parametrize("hot", [0, 60, 10_000])
+def test_velocity_over_buckets(spark, hot):
+    """All keys hot, some or none; rows in weeks far apart and on their borders, against plain Python."""
     rng = np.random.default_rng(2)
     times = sorted({*rng.integers(0, 40 * 86400, 150).tolist(), 604799, 604800, 604801, 1209600, 0, 86400})
     rows = [(i, int(t), int(rng.integers(0, 3)), float(i % 7)) for i, t in enumerate(times)] + [(500, times[5], 1, 2.0), (501, times[5], 1, 3.0)]
     df = spark.createDataFrame(rows, "txn_id long, t long, card1 long, amount double")
-    got = {r["txn_id"]: r for r in features.velocity(df, "card1").collect()}
+    got = {r["txn_id"]: r for r in features.velocity(df, "card1", hot).collect()}
     assert len(got) == len(rows)
     for i, t, c, _ in rows:
         mine = [(x[1], x[3]) for x in rows if x[2] == c]
@@ -102,3 +104,17 @@ def test_unfinished_caches_are_built_again(spark, tmp_path):
     got = files.cache_features(spark, str(tmp_path), 1, df.schema, lambda: df)
     assert got.count() == 3 and files.cache_features(spark, str(tmp_path), 1, df.schema, lambda: df.limit(0)).count() == 3
     assert files.stored(spark, str(tmp_path / "absent"), df.schema).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 40, 10_000])
+def test_fanout_and_peers_of_hot_keys(spark, hot):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(rng.integers(0, 3_000_000)) if i % 3 else 1_000_000 + i, int(c) if (c := rng.choice([1, 1, 1, 2, 3, 0])) else None, int(a) if (a := rng.integers(0, 6)) else None, int(rng.integers(0, 3))) for i in range(160)]
+    df = spark.createDataFrame(rows, "txn_id long, t long, card1 long, account long, shop long")
+    got = {r["txn_id"]: r["n"] for r in features.fanout(df, "card1", "account", "n", hot=hot).collect()}
+    assert got == {i: len({x[3] for x in rows if x[2] == c and (x[1], x[0]) < (t, i)}) for i, t, c, a, s in rows}
+    peers = {r["txn_id"]: (r["accounts"], r["merchants"], r["cards"]) for r in features.hour_peers(df, hot).collect()}
+    for i, t, c, a, s in rows:
+        own = [x for x in rows if x[2] == c and t - 3600 <= x[1] < t] if c is not None else []
+        far = [x for x in rows if x[3] == a and t - 3600 <= x[1] < t] if a is not None else []
+        assert peers[i] == (0 if c is None else len(({x[3] for x in own} | {a}) - {None}), len({x[4] for x in own}), len(({x[2] for x in far} | {c}) - {None}) if a is not None else 0)
