@@ -105,4 +105,4 @@ def grid_counts(df: DataFrame, grid: DataFrame, score: str = "score") -> DataFra
     full = every.join(F.broadcast(per), "slot", "left").select("slot", "thr", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p", "n", "a")])
     total = full.agg(F.sum("p").alias("tp_all"), F.sum("a").alias("a_all"))
     cum = full.select("slot", "thr", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("hits"), F.sum("a").over(w).alias("caught"))
-    return rates(cum.crossJoin(total).filter("slot > 0").select("thr", "tp", (F.col("hits") - F.col("tp")).alias("fp"), (F.col("tp_all") - F.col("tp")).alias("fn"), (F.col("a_all") - F.col("caught")).alias("lost")))
+    return rates(cum.crossJoin(F.broadcast(total)).filter("slot > 0").select("thr", "tp", (F.col("hits") - F.col("tp")).alias("fp"), (F.col("tp_all") - F.col("tp")).alias("fn"), (F.col("a_all") - F.col("caught")).alias("lost")))

@@ -257,7 +257,7 @@ def sweep(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     slots = staged(tuned(sums, exact), "thresholds")
     tests = sums.filter(f"split = 'test' and merchants >= 2 and txns between {LOW} and {CAP}").join(F.broadcast(slots), ["eps", "kind"])  # budgets times kinds
     flagged = tests.filter(10 * K.risk_tenths([F.col(b) for b in B]) >= F.col("slot") * F.col("txns")).select("eps", "rep", "kind", "fp")
-    cells = settings(rows.sparkSession).filter("split = 'test'").select("eps", "rep").crossJoin(slots.select("kind").distinct())
+    cells = settings(rows.sparkSession).filter("split = 'test'").select("eps", "rep").crossJoin(F.broadcast(slots.select("kind").distinct()))
     return judged(flagged, exact, ["eps", "rep"], cells), slots
 
 

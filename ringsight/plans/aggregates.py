@@ -399,7 +399,7 @@ def alert_reduction(spark, d):
     a = x.agg(F.count_if(F.col("score") >= 0.5).alias("txn_alerts"), F.count_if(F.col("is_fraud") == 1).alias("frauds"))
     r = rings(spark, d).agg(F.count_if(F.col("score_mean") >= 0.35).alias("ring_alerts"))
     c = x.filter("is_fraud = 1").join(in_ring(spark, d).hint("merge"), "txn_id", "left_semi").agg(F.count(F.lit(1)).alias("covered"))
-    return a.crossJoin(r).crossJoin(c).select("txn_alerts", "ring_alerts", "frauds", "covered", R4(F.col("txn_alerts") / F.col("ring_alerts")).alias("reduction"))
+    return a.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(c)).select("txn_alerts", "ring_alerts", "frauds", "covered", R4(F.col("txn_alerts") / F.col("ring_alerts")).alias("reduction"))
 
 
 CLOCK = "(SELECT (max(t) // 86400) * 86400 FROM txn)"
@@ -422,7 +422,7 @@ def kpi_summary(spark, d):
     j = before(disputes(spark, d), "dt").join(x.select("txn_id", "t", "score"), "txn_id").join(in_ring(spark, d).withColumn("r", F.lit(True)).hint("merge"), "txn_id", "left")
     lead = F.sum(F.when(warned, F.greatest((F.col("dt") - F.col("t")) / 3600, F.lit(0.0))))
     q = j.agg(F.count(F.lit(1)).alias("disputes"), F.count_if(warned).alias("disputes_flagged"), F.round(F.coalesce(lead, F.lit(0.0)) / F.greatest(F.count_if(warned), F.lit(1)), 6).alias("lead_h"))
-    return a.crossJoin(r).crossJoin(q).crossJoin(F.broadcast(clock)).select(*a.columns, *r.columns, *q.columns, R4(F.col("txns") / F.col("all")).alias("progress"))
+    return a.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(q)).crossJoin(F.broadcast(clock)).select(*a.columns, *r.columns, *q.columns, R4(F.col("txns") / F.col("all")).alias("progress"))
 
 
 @query("SELECT round(median(v), 6) AS med, round(mad(v), 6) AS mad FROM (SELECT card1 % 8 AS m, CAST(sum(amount) AS DOUBLE) AS v FROM txn GROUP BY 1)")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +30,24 @@ def workspace(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that this process put into the shared folder. Results that were not written elsewhere can no longer be read."""
+def release(spark: SparkSession, kept: int = 0) -> None:
+    """Delete what this process has put into the shared folder, but for the first ``kept`` paths. Results that were not written elsewhere can no longer be read."""
     conf = spark._jsc.hadoopConfiguration()
-    while _made:
+    while len(_made) > kept:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write within are deleted at the end: write results elsewhere before."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

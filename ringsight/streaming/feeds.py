@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ringsight.operators import privacy as P
 from ringsight.operators import rings as R
-from ringsight.session import staged
+from ringsight.session import sized, staged
 from ringsight.sources.files import latest
 from ringsight.streaming import state
 
@@ -108,9 +108,13 @@ def run_disputes(feed: DataFrame, transactions: DataFrame, path: str, checkpoint
     ``latest_disputes`` gives the last status of each.
     """
     known = transactions.select("txn_id", F.col("amount").alias("_amount"), F.col("warned").alias("was_flagged"))
-    j = feed.join(known.hint("shuffle_hash"), "txn_id")
-    out = j.select("dispute_id", "txn_id", "dt", F.round(F.coalesce(F.col("amount_minor") / 100, "_amount"), 2).alias("amount"), "was_flagged", "status")
-    run_available(out, path, checkpoint)
+
+    def step(batch: DataFrame, number: int) -> None:
+        j = known.join(sized(staged(batch, "disputes")), "txn_id")  # the batch goes to the store, not the store to the batch
+        out = j.select("dispute_id", "txn_id", "dt", F.round(F.coalesce(F.col("amount_minor") / 100, "_amount"), 2).alias("amount"), "was_flagged", "status")
+        out.write.mode("overwrite").parquet(numbered(path, number))
+
+    each_batch(feed, step, checkpoint)
 
 
 def latest_disputes(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import hmac
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +120,14 @@ def test_fanout_and_peers_of_hot_keys(spark, hot):
         own = [x for x in rows if x[2] == c and t - 3600 <= x[1] < t] if c is not None else []
         far = [x for x in rows if x[3] == a and t - 3600 <= x[1] < t] if a is not None else []
         assert peers[i] == (0 if c is None else len(({x[3] for x in own} | {a}) - {None}), len({x[4] for x in own}), len(({x[2] for x in far} | {c}) - {None}) if a is not None else 0)
+
+
+def test_scratch_deletes_what_was_written_within(spark):
+    from ringsight import session
+
+    before = session.staged(spark.range(3), "before")
+    with session.scratch(spark):
+        within = session.staged(spark.range(4), "within")
+        path = within.inputFiles()[0]
+        assert within.count() == 4
+    assert before.count() == 3 and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
