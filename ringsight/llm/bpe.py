@@ -267,7 +267,8 @@ class WordBpe:
 
     @staticmethod
     def _cut(texts: pa.Array) -> pa.ListArray:
-        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), pattern=APART, replacement=r" \1 "))
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=APART, replacement=r" \1 ")
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(apart))  # at the end of its buffer a last blank may come back as a word
         flat = lists.flatten()
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
         ends = np.append(0, np.cumsum(full))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
