@@ -402,6 +402,15 @@ def test_bpe(docs, odd, none):
     assert bpe.encode_table(none, path).count() == 0
 
 
+def test_cut_gives_no_blank_words():
+    """Texts that end in blanks where their buffer ends."""
+    import pyarrow as pa
+
+    for n in range(600):
+        texts = ["x" * (n % 70) + " " * (n % 5), "three   spaces \n\n  and tabs\t\tend  " + "\u2003" * (n % 3)]
+        assert bpe.WordBpe._cut(pa.array(texts)).to_pylist() == [t.split() for t in texts]
+
+
 # 8 licences
 def test_licenses(spark, none):
     rows = [
