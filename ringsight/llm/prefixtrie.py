@@ -207,7 +207,12 @@ def common(a: Column, b: Column) -> Column:
 
 
 def digested(turns: DataFrame) -> DataFrame:
-    """conv_id, path and sizes of ``turns`` (conv_id, turn, role, text): a 16-byte digest of each turn's role and text, and its text's bytes, in order of turn."""
+    """conv_id, path and sizes of ``turns`` (conv_id, turn, role, text): a 16-byte digest of each turn's role and text, and its text's bytes, in order of turn.
+
+    Null turns come first, equal ones in order of digest; repeated rows stay. Null roles and
+    texts count as empty. Rows without conv_id belong to no conversation and are left out;
+    other columns are ignored.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     digest = F.substring(F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text).cast("binary"), 256)), 1, 16)
     rows = turns.filter("conv_id is not null").select("conv_id", F.struct("turn", digest.alias("d"), F.octet_length(text).cast("long").alias("n")).alias("t"))
