@@ -106,7 +106,7 @@ def commitments(hist: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
 
 def chunk_proof(nodes: DataFrame, merchant: int, prefix: str, by: dict[str, str]) -> DataFrame:
     """prefix, digest of the nodes that a leaf's owner needs to come from the leaf ``prefix`` to the root: the children of every node above it. ``by``: the group's values."""
-    own = nodes.filter((F.col("merchant") == merchant) & F.lit(True))
+    own = nodes.filter(F.col("merchant") == merchant)
     for c, v in by.items():
         own = own.filter(F.col(c) == v)
     on_path = F.lit(prefix).startswith(F.expr("substr(prefix, 1, length(prefix) - 1)")) & (F.col("depth") > 0)

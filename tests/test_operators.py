@@ -1,6 +1,5 @@
 import hashlib
 import hmac
-
 import os
 
 import numpy as np
