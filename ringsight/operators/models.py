@@ -21,6 +21,8 @@ from ringsight.operators.sliding import component_features
 from ringsight.session import sized, staged
 
 NOT_FEATURES = ("txn_id", "t", "is_fraud", "split")
+#: Levels of a category that trees tell apart; rarer ones share the index of unseen levels, and are told by their share.
+LEVELS = 255
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,35 @@ def encoded(df: DataFrame, spec: Spec, shares: DataFrame) -> DataFrame:
     return out.select(*kept, *[value(c).alias(c) for c in spec.order])
 
 
+def category_levels(train: DataFrame, spec: Spec, most: int = LEVELS) -> DataFrame:
+    """feature, level, idx: the ``most`` most frequent levels of each category, numbered from 0 by falling count; ties by name."""
+    long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in spec.categorical])).alias("x")).select("x.*")
+    n = long.filter("level is not null").groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
+    # the rank is cut in each task before the shuffle, so no task sorts all levels of a feature
+    ranked = n.withColumn("r", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "level"))).filter(F.col("r") <= most)
+    return ranked.select("feature", "level", (F.col("r") - 1).alias("idx"))
+
+
+def indexed(df: DataFrame, spec: Spec, levels: DataFrame) -> DataFrame:
+    """``df`` plus {c}_level for each category c: the idx of its level; one beyond the last for levels without one, nulls and columns that are absent.
+
+    The columns carry nominal attributes, so that trees split them by sets of levels.
+    ``levels`` (of category_levels) has LEVELS rows a category at most.
+    """
+    known, out = {r["feature"]: r["n"] for r in levels.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}, df
+    for c in spec.categorical:
+        n, name = known.get(c, 0), f"{c}_level"
+        if c in df.columns:
+            own = levels.filter(F.col("feature") == c).select(F.col("level").alias("_own"), F.col("idx").cast("double").alias("_idx"))
+            out = out.join(F.broadcast(own), F.col(c).cast("string") == F.col("_own"), "left").withColumn("_idx", F.coalesce("_idx", F.lit(float(n)))).drop("_own")
+        else:
+            out = out.withColumn("_idx", F.lit(float(n)))
+        nominal = {"ml_attr": {"type": "nominal", "name": name, "num_vals": max(2, n + 1)}}
+        kept = [k for k in out.columns if k not in ("_idx", name)]
+        out = out.select(*kept, F.col("_idx").alias(name, metadata=nominal))
+    return out
+
+
 def prepare_features(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> tuple[DataFrame, Spec]:
     """Fit on the train rows of ``rows`` (split), applied to all."""
     train = rows.filter("split = 'train'")
@@ -97,13 +128,41 @@ def entity_features(rows: DataFrame) -> DataFrame:
     return out.drop("fold")
 
 
-def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 20, depth: int = 4) -> PipelineModel:
-    """Boosted trees on the train rows; rounds stop early by the val rows. Nulls take the train median."""
+def scorer_table(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> tuple[DataFrame, tuple[str, ...]]:
+    """A written table of ``rows`` with what the scorer reads, and the names of that: numbers, and the share and level of each category, as train has them."""
+    train = rows.filter("split = 'train'")
+    spec = feature_spec(train, drop)
+    levels = indexed(rows, spec, staged(category_levels(train, spec), "levels")) if spec.categorical else rows
+    made = tuple(f"{c}_level" for c in spec.categorical)
+    shared = encoded(levels, spec, staged(category_shares(train, spec), "shares")) if spec.categorical else encoded(rows, spec, rows.limit(0))
+    return staged(shared, "prepared"), (*spec.order, *made)
+
+
+def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60, depth: int = 4, rate: float = 0.2) -> PipelineModel:
+    """Boosted trees on the train rows. They end with the round after which the loss on the val rows rises, after ``rounds`` at the latest. Nulls take the train median.
+
+    Columns with nominal attributes (of ``indexed``) are split by sets of levels. Without
+    val rows all rounds are made.
+    """
+    nominal = [c for c in names if prepared.schema[c].metadata.get("ml_attr", {}).get("type") == "nominal"]
+    bins = max([32, *[prepared.schema[c].metadata["ml_attr"]["num_vals"] for c in nominal]])
     rows = prepared.filter("split in ('train', 'val')").withColumn("_val", F.col("split") == "val").withColumn("label", F.col("is_fraud").cast("double"))
-    filled = [f"{c}_filled" for c in names]
-    fill = Imputer(inputCols=list(names), outputCols=filled, strategy="median").fit(rows.filter("not _val").select(*names))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, seed=42)
-    return Pipeline(stages=[fill, VectorAssembler(inputCols=filled, outputCol="features"), trees]).fit(rows)
+    numeric = [c for c in names if c not in nominal]
+    filled = {c: f"{c}_filled" for c in numeric}
+    fill = Imputer(inputCols=numeric, outputCols=list(filled.values()), strategy="median").fit(rows.filter("not _val").select(*numeric))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=bins, minInstancesPerNode=20, stepSize=rate, validationTol=0.0, seed=42)
+    if not rows.filter("_val").isEmpty():
+        trees = trees.setValidationIndicatorCol("_val")
+    return Pipeline(stages=[fill, VectorAssembler(inputCols=[filled.get(c, c) for c in names], outputCol="features"), trees]).fit(rows)
+
+
+def scorer_rounds(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+    """round, train_loss, val_loss, of: the logistic losses after each of the rounds that the scorer kept, and how many these are."""
+    *before, trees = model.stages
+    rows = PipelineModel(before).transform(prepared.withColumn("label", F.col("is_fraud").cast("double")))
+    one = lambda part: trees.evaluateEachIteration(rows.filter(F.col("split") == part))
+    train, val, n = one("train"), one("val"), trees.getNumTrees
+    return prepared.sparkSession.createDataFrame([(i + 1, a, b, n) for i, (a, b) in enumerate(zip(train, val, strict=True))], "round int, train_loss double, val_loss double, of int")
 
 
 def score_batch(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -129,9 +188,8 @@ def feature_lift(rows: DataFrame) -> DataFrame:
     """arm, pr_auc, roc_auc of the test rows, with and without entity features. ``score`` is no feature."""
     out = None
     for arm, table in (("base", rows), ("entity", entity_features(rows))):
-        prepared, spec = prepare_features(table, (*NOT_FEATURES, "score"))
-        prepared = staged(prepared, "prepared")
-        model = train_scorer(prepared, spec.order)
+        prepared, names = scorer_table(table, (*NOT_FEATURES, "score"))
+        model = train_scorer(prepared, names)
         one = quality(score_batch(model, prepared.filter("split = 'test'"))).select(F.lit(arm).alias("arm"), "pr_auc", "roc_auc")
         out = one if out is None else out.unionByName(one)
     return out

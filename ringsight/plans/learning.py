@@ -117,6 +117,27 @@ def prepare_features(spark, d):
     return out.select("txn_id", "split", "is_fraud", "amount", "addr1", "addr2", *[R4(c).alias(c) for c in CATEGORIES])
 
 
+_RANKED = "lv AS (SELECT feature, level, row_number() OVER (PARTITION BY feature ORDER BY n DESC, level) - 1 AS idx FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS level, count(*) AS n FROM sp WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c}" for c in CATEGORIES) + "))"
+
+
+@query(f"SELECT feature, level, CAST(idx AS INT) AS idx FROM lv WHERE idx < {L.LEVELS}", _RANKED)
+def category_levels(spark, d):
+    train = labelled(spark, d).filter("split = 'train'")
+    return L.category_levels(train, L.feature_spec(train))
+
+
+FEW = 4
+
+
+@query("SELECT txn_id, " + ", ".join(f"coalesce((SELECT idx FROM lv WHERE feature = '{c}' AND level = sp.{c} AND idx < {FEW}), (SELECT count(*) FROM lv WHERE feature = '{c}' AND idx < {FEW}))::DOUBLE AS {c}_level" for c in CATEGORIES) + " FROM sp", _RANKED)
+def category_index(spark, d):
+    """Four levels of a category have an index of their own; rarer, unseen and absent ones share the next."""
+    rows = labelled(spark, d)
+    train = rows.filter("split = 'train'")
+    spec = L.feature_spec(train)
+    return L.indexed(rows, spec, staged(L.category_levels(train, spec, FEW), "levels")).select("txn_id", *[f"{c}_level" for c in CATEGORIES])
+
+
 @query(PREPARED, SHARES)
 def cache_features(spark, d):
     """The second call finds version 1 and builds nothing."""
@@ -126,9 +147,8 @@ def cache_features(spark, d):
 
 
 def scorer(spark, d):
-    table, spec = L.prepare_features(labelled(spark, d))
-    table = staged(table, "prepared")
-    return L.train_scorer(table, spec.order), table
+    table, names = L.scorer_table(labelled(spark, d))
+    return L.train_scorer(table, names), table
 
 
 @query()
@@ -138,6 +158,12 @@ def train_scorer(spark, d):
     return L.quality(L.score_batch(model, table.filter("split = 'test'")))
 
 
+@query()
+def scorer_rounds(spark, d):
+    """Losses after each round that the scorer kept."""
+    return L.scorer_rounds(*scorer(spark, d))
+
+
 @query()
 def score_batch(spark, d):
     model, table = scorer(spark, d)

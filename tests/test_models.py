@@ -78,6 +78,39 @@ def test_shares_of_nulls_and_unseen(spark):
     assert gone.filter(F.col("c").isNotNull()).count() == 0
 
 
+def test_levels_of_categories(spark):
+    """Frequent levels first, ties by name; rare, unseen and null ones share an index, as do absent columns."""
+    levels = ["b", "b", "b", "a", "c", None, "d", "d"]
+    rows = spark.createDataFrame([(i, "train", 0, c, 1.0) for i, c in enumerate(levels)] + [(9, "test", 0, "new", 1.0)], "txn_id long, split string, is_fraud int, c string, x double")
+    train = rows.filter("split = 'train'")
+    spec = L.feature_spec(train)
+    few = L.category_levels(train, spec, 3)
+    assert {r["level"]: r["idx"] for r in few.collect()} == {"b": 0, "d": 1, "a": 2}
+    out = L.indexed(rows, spec, few)
+    assert [r["c_level"] for r in out.orderBy("txn_id").collect()] == [0, 0, 0, 2, 3, 3, 1, 1, 3]
+    assert {r["c_level"] for r in L.indexed(rows.drop("c"), spec, few).collect()} == {3}
+    table, names = L.scorer_table(rows)
+    assert names == ("c", "x", "c_level") and table.schema["c_level"].metadata["ml_attr"]["num_vals"] == 5  # kept over the write
+    assert L.category_levels(train.limit(0), spec).count() == 0
+
+
+def test_val_stops_the_scorer(spark):
+    """Frauds by a set of levels and by an amount are learned; labels by chance end after few rounds; without val rows all rounds are made."""
+    rng = np.random.default_rng(5)
+    level, x, luck = rng.choice(list("abcdefgh"), 1200), rng.normal(size=1200), rng.integers(0, 2, 1200)
+    split = np.array(["train", "train", "val", "test"])[np.arange(1200) % 4]
+    fraud = np.where(np.isin(level, ["a", "d", "f"]), x > 0, x > 1.5).astype(int)
+    make = lambda y: L.scorer_table(spark.createDataFrame([(i, str(split[i]), int(y[i]), str(level[i]), float(x[i])) for i in range(1200)], "txn_id long, split string, is_fraud int, c string, x double"))
+    table, names = make(fraud)
+    model = L.train_scorer(table, names, rounds=12)
+    told = L.scorer_rounds(model, table).orderBy("round").collect()
+    assert [r["round"] for r in told] == list(range(1, told[0]["of"] + 1)) and all(a["val_loss"] > b["val_loss"] for a, b in zip(told, told[1:]))
+    assert " in {" in model.stages[-1].toDebugString and L.quality(L.score_batch(model, table.filter("split = 'test'"))).first()["pr_auc"] > 0.95
+    noise, names = make(luck)
+    assert L.train_scorer(noise, names, rounds=12).stages[-1].getNumTrees < 12
+    assert L.train_scorer(noise.filter("split = 'train'"), names, rounds=3).stages[-1].getNumTrees == 3
+
+
 def test_attacks_and_budgets(spark):
     """Attacks ruin plain runs and not robust ones; updates that differ from their commitment are left out; noise grows as budgets fall."""
     rows = spark.createDataFrame(synthetic(900), "split string, merchant long, y double, x array<double>")

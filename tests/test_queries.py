@@ -48,6 +48,11 @@ def ranked(rows, duck):
     assert rows[0]["feature"] == "amount" and sum(r["importance"] for r in rows) == pytest.approx(1)
 
 
+def falling(rows, duck):
+    rows = sorted(rows, key=lambda r: r["round"])
+    assert [r["round"] for r in rows] == list(range(1, rows[0]["of"] + 1)) and rows[-1]["val_loss"] == min(r["val_loss"] for r in rows)
+
+
 def same(rows, duck):
     assert rows == [{"n": count(duck), "gap": 0.0}]
 
@@ -69,7 +74,7 @@ def one_best(rows, duck):
 
 
 #: What holds for the queries without SQL; tests/test_models.py compares their parts with plain versions.
-PLAIN = {"train_scorer": areas, "score_batch": scores, "top_features": ranked, "model_save_load": same, "feature_lift": two_arms, "central_fit": one_best, "fed_rounds": one_best, "fed_arms": arms}
+PLAIN = {"train_scorer": areas, "score_batch": scores, "top_features": ranked, "scorer_rounds": falling, "model_save_load": same, "feature_lift": two_arms, "central_fit": one_best, "fed_rounds": one_best, "fed_arms": arms}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
