@@ -10,7 +10,9 @@ matrix gives the kernels, those times the coefficients give the scores.
 Bounded sample: the model is fitted on the PER_LANGUAGE labelled rows of each
 language that have the least hash of doc_id, on fewer of each where all languages
 together would have over ROWS; no language is left out. Landmarks, MARKS in all or
-one a language, are drawn from these. All other work covers all rows.
+one a language, are drawn from these. All other work covers all rows. Executors read
+the sampled texts; the driver gets their sets as bits, BUCKETS / 8 bytes a row, 100 MB
+in all at most, and landmarks are sent to the workers as bits too.
 """
 
 from __future__ import annotations
@@ -65,6 +67,12 @@ class Presence:
                 seen[((gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(8)) % np.uint32(self.buckets)] = True
         return np.flatnonzero(seen)
 
+    def packed(self, text: str) -> bytes:
+        """The set as bits."""
+        row = np.zeros(self.buckets, np.uint8)
+        row[self(text)] = 1
+        return np.packbits(row).tobytes()
+
     def matrix(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """0/1 matrix of the texts, and the sizes of their sets."""
         x = np.zeros((len(texts), self.buckets), np.float32)
@@ -73,31 +81,50 @@ class Presence:
         return x, np.maximum(x.sum(1), 1)
 
 
+def unpacked(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 matrix of packed sets, and their sizes."""
+    x = np.unpackbits(np.frombuffer(b"".join(sets), np.uint8).reshape(len(sets), -1), axis=1).astype(np.float32)
+    return x, np.maximum(x.sum(1), 1)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() or unicodedata.category(c)[0] == "L" for c in text)
 
 
 class Model:
-    """Landmark matrix and coefficients of the one-versus-rest ridge regressions."""
+    """Landmark matrix and coefficients of the one-versus-rest ridge regressions.
+
+    ``sets`` are the packed sets of the training texts. A pickled model holds its landmarks as bits.
+    """
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, sets: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
         landmarks = max(1, min(landmarks, MARKS // max(1, len(self.langs))))
-        make = Presence()
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None, :], 1.0, -1.0) if langs else np.zeros((0, 0))
-        pick = [i for lang in self.langs for i in [k for k, x in enumerate(langs) if x == lang][:landmarks]]
-        self.marks, size = make.matrix([texts[i] for i in pick])
-        self.marks = (self.marks / np.sqrt(size)[:, None]).T.copy()
-        own = self.kernels(*make.matrix([texts[i] for i in pick]))
-        val, vec = np.linalg.eigh(own.astype(np.float64)) if pick else (np.zeros(0), np.zeros((0, 0)))
+        self.bits = [sets[i] for lang in self.langs for i in [k for k, x in enumerate(langs) if x == lang][:landmarks]]
+        self.expand()
+        own = self.kernels(*unpacked(self.bits)) if self.bits else np.zeros((0, 0))
+        val, vec = np.linalg.eigh(own.astype(np.float64)) if self.bits else (np.zeros(0), np.zeros((0, 0)))
         val, vec = val[val > 1e-6], vec[:, val > 1e-6]
-        root = vec / np.sqrt(val) if pick else vec
-        phi = np.concatenate([np.hstack([self.kernels(*make.matrix(texts[i : i + 256])) @ root, np.ones((len(texts[i : i + 256]), 1))]) for i in range(0, len(texts), 256)]) if texts else np.zeros((0, 1))
+        root = vec / np.sqrt(val) if self.bits else vec
+        phi = np.concatenate([np.hstack([self.kernels(*unpacked(sets[i : i + 256])) @ root, np.ones((len(sets[i : i + 256]), 1))]) for i in range(0, len(sets), 256)]) if sets else np.zeros((0, 1))
         weight = 1.0 / np.array([langs.count(x) for x in langs]) if langs else np.zeros(0)
         gram = phi.T @ (phi * weight[:, None]) + ridge * np.eye(phi.shape[1])
         beta = np.linalg.solve(gram, phi.T @ (y * weight[:, None])) if langs else np.zeros((1, 0))
         self.alpha, self.bias = (root @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32)
 
+    def expand(self) -> None:
+        if self.bits:
+            x, size = unpacked(self.bits)
+            self.marks = (x / np.sqrt(size)[:, None]).T.copy()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "marks"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.expand()
+
     def kernels(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         return x @ self.marks / np.sqrt(size)[:, None]
 
@@ -119,12 +146,24 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int
     return few.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_language).select("text", "lang")
 
 
+def packed_sets(sample: DataFrame) -> DataFrame:
+    """lang and bits, the packed set, of the rows of ``sample`` (text, lang) that have a letter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Presence()
+        for batch in batches:
+            for block in blocks(batch):
+                rows = [(lang, make.packed(t)) for t, lang in zip(block.column("text").to_pylist(), block.column("lang").to_pylist(), strict=True) if has_letter(t)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "bits"])
+
+    return sample.select("text", "lang").mapInArrow(run, "lang string, bits binary")
+
+
 def fit(docs: DataFrame) -> Model:
     """Fit on the bounded sample of docs (doc_id, text, lang); rows without text, letters or language teach nothing."""
-    rows = [(r["text"], r["lang"]) for r in training_sample(docs).collect() if has_letter(r["text"])]
-    rows.sort(key=lambda r: (r[1], r[0]))
+    rows = sorted((r["lang"], bytes(r["bits"])) for r in packed_sets(training_sample(docs)).collect())
     order = np.random.default_rng(7).permutation(len(rows))
-    return Model([rows[i][0] for i in order], [rows[i][1] for i in order])
+    return Model([rows[i][1] for i in order], [rows[i][0] for i in order])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import zlib
 from collections import Counter, defaultdict
 
@@ -342,9 +343,9 @@ def test_scores_are_kernel_ridge():
     """With all training texts as landmarks the model is the exact weighted kernel ridge regression, here solved in its dual form."""
     texts_, langs = ["der hund und die katze", "das haus und der baum", "the dog and the cat", "the house and a tree", "le chien et le chat", "la maison et un arbre", "ein mann", "a man", "un homme"], ["de", "de", "en", "en", "fr", "fr", "de", "en", "fr"]
     ridge = 1e-2
-    model = langid.Model(texts_, langs, landmarks=100, ridge=ridge)
-
     make = langid.Presence()
+    model = pickle.loads(pickle.dumps(langid.Model([make.packed(t) for t in texts_], langs, landmarks=100, ridge=ridge)))
+    assert "marks" not in model.__getstate__()
     grams = lambda t: set(make(t).tolist())
     plain = {f" {t} "[i : i + n] for t in texts_[:1] for n in (1, 2, 3) for i in range(len(t) + 3 - n)}
     assert len(plain) - 2 <= len(grams(texts_[0])) <= len(plain)  # but for grams that share a bucket
@@ -358,6 +359,17 @@ def test_scores_are_kernel_ridge():
     assert np.allclose(model.scores(*langid.Presence().matrix(new)), want, atol=2e-3)
 
 
+def test_sets_of_the_sample(spark):
+    """The driver gets bits, not texts; they are the sets of the texts."""
+    df = spark.createDataFrame([("das haus", "de"), ("the house " * 90_000, "en"), ("12 %", "en"), ("", "en")], "text string, lang string")
+    make, got = langid.Presence(), {r["lang"]: bytes(r["bits"]) for r in langid.packed_sets(df).collect()}
+    assert got == {"de": make.packed("das haus"), "en": make.packed("the house " * 90_000)}
+    assert all(len(b) == langid.BUCKETS // 8 for b in got.values())
+    x, size = langid.unpacked(list(got.values()))
+    y, other = make.matrix(["das haus", "the house the house "])
+    assert sorted(size) == sorted(other) and {tuple(r) for r in x} == {tuple(r) for r in y}
+
+
 def test_language_replaces_clashing_columns(spark, none):
     df = spark.createDataFrame([(1, "the house", "en", 7, "x"), (2, "das haus", "de", 8, "y")], "doc_id long, text string, lang string, score int, lang_pred string")
     got = langid.predict(df, langid.fit(df))
