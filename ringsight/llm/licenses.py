@@ -154,7 +154,10 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, by: Column, how: st
 
 
 def scan_licenses(files: DataFrame, near: float = NEAR) -> DataFrame:
-    """doc_id, license, via ('header', 'inherited' or 'none'), from_dir and cosine of each row of files (doc_id, path, text).
+    """doc_id, license, via ('header', 'inherited' or 'none'), from_dir, cosine and licenses of each row of files (doc_id, path, text).
+
+    A directory may give several licences: ``license`` is that of its least doc_id,
+    ``licenses`` all of them by name (a file's own match alone, none where there is none).
 
     ``header`` is a match of the file's own, by a piece or as a whole; the latter goes
     first. A null path lies in the root. Rows with the same doc_id share a match.
@@ -168,18 +171,19 @@ def scan_licenses(files: DataFrame, near: float = NEAR) -> DataFrame:
     match = staged(both.select("doc_id", F.coalesce("whole.license", "license").alias("license"), F.coalesce("whole.cosine", "cosine").alias("cosine"), F.col("whole").isNotNull().alias("is_whole")), "match")
     own = docs.select("doc_id", "dir", "named").join(sized(match), "doc_id", "left")
     giving = own.filter(F.col("license").isNotNull() & (F.col("is_whole") | F.col("named")))
-    given = staged(giving.groupBy("dir").agg(F.min(F.struct("doc_id", "license")).alias("g")).select(F.col("dir").alias("up"), F.col("g.license").alias("dir_license")), "given")
+    given = staged(giving.groupBy("dir").agg(F.min(F.struct("doc_id", "license")).alias("g"), F.sort_array(F.collect_set("license")).alias("dir_licenses")).select(F.col("dir").alias("up"), F.col("g.license").alias("dir_license"), "dir_licenses"), "given")
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("up")))
     ups = exploded(own.select("dir").distinct().select("dir", above.alias("all")), "all", "x").select("dir", "x.depth", "x.up")
     met = spread_join(ups, given, "up", F.xxhash64("dir"), "inner")
-    found = staged(met.groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_license")).alias("f")).select("dir", F.col("f.up").alias("from_dir"), F.col("f.dir_license").alias("dir_license")), "found")
+    found = staged(met.groupBy("dir").agg(F.max(F.struct("depth", "up", "dir_license", "dir_licenses")).alias("f")).select("dir", F.col("f.up").alias("from_dir"), F.col("f.dir_license").alias("dir_license"), F.col("f.dir_licenses").alias("dir_licenses")), "found")
     out = spread_join(own, found, "dir", F.xxhash64("doc_id"), "left")
     mine = F.col("license").isNotNull()
     return out.select(
         "doc_id", F.coalesce("license", "dir_license").alias("license"),
         F.when(mine, "header").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none").alias("via"),
         F.when(~mine, F.col("from_dir")).alias("from_dir"), F.round("cosine", 4).alias("cosine"),
+        F.when(mine, F.array("license")).otherwise(F.coalesce("dir_licenses", F.array().cast("array<string>"))).alias("licenses"),
     )
 
 

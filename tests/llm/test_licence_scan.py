@@ -44,7 +44,7 @@ def best(pieces, templates, least):
 
 
 def plain(files):
-    """doc_id -> (license, via, from_dir, cosine) of files {doc_id: (path, text)}."""
+    """doc_id -> (license, via, from_dir, cosine, licenses) of files {doc_id: (path, text)}."""
     cued = {d: t for d, (_, t) in files.items() if t is not None and CUES.search(t)}
     parts = {(d, tuple(p)): Counter(p) for d, t in cued.items() for p in pieces_of(t)}
     head = {d: b for d, b in best(parts, S.TEMPLATES, lambda name: 0).items() if b[0] >= S.NEAR}
@@ -54,28 +54,28 @@ def plain(files):
     for d in sorted(files):
         path = files[d][0]
         if d in whole or d in head and regex.search(S.FILE_NAME, path):
-            given.setdefault(path.rpartition("/")[0], (whole.get(d) or head[d])[1])
+            given.setdefault(path.rpartition("/")[0], []).append((whole.get(d) or head[d])[1])
     out = {}
     for d, (path, _) in files.items():
         if d in whole or d in head:
             cos, name = whole.get(d) or head[d]
-            out[d] = (name, "header", None, round(cos, 4))
+            out[d] = (name, "header", None, round(cos, 4), [name])
             continue
         up = path.rpartition("/")[0]
         while up not in given and up:
             up = up.rpartition("/")[0]
-        out[d] = (given[up], "inherited", up, None) if up in given else (None, "none", None, None)
+        out[d] = (given[up][0], "inherited", up, None, sorted(set(given[up]))) if up in given else (None, "none", None, None, [])
     return out
 
 
 def told(df):
-    return {r["doc_id"]: (r["license"], r["via"], r["from_dir"], r["cosine"]) for r in df.collect()}
+    return {r["doc_id"]: (r["license"], r["via"], r["from_dir"], r["cosine"], r["licenses"]) for r in df.collect()}
 
 
 def agree(got, want):
     assert got.keys() == want.keys()
     for d, w in want.items():
-        assert got[d][:3] == w[:3] and (got[d][3] is None) == (w[3] is None) and (w[3] is None or abs(got[d][3] - w[3]) < 2e-4), d
+        assert got[d][:3] == w[:3] and got[d][4] == w[4] and (got[d][3] is None) == (w[3] is None) and (w[3] is None or abs(got[d][3] - w[3]) < 2e-4), d
 
 
 @pytest.fixture(scope="module")
@@ -90,12 +90,14 @@ def test_op8_matches_plain_python(spark, rows):
 
 
 def test_named_files_give_to_what_lies_below(spark, rows):
-    """Every third cued document is a licence file, at several depths; full texts and a wrapped header stand among the documents."""
+    """Every third cued document is a licence file, at several depths; a directory has two licences; full texts and a wrapped header stand among the documents."""
     texts = [r["text"] for r in rows] + [next(iter(S.TEXTS.values())), "# permission\n", S.TEMPLATES["ISC"].replace(" ", "\n", 9), None, ""]
     place = lambda i: "/".join(["a", f"b{i % 2}", f"c{i % 5}"][: i % 4])
     files = {i: (f"{place(i)}/".lstrip("/") + ("LICENSE" if i % 3 == 0 and t and CUES.search(t) else f"{i}.txt"), t) for i, t in enumerate(texts)}
+    files |= {9000 + i: (f"a/dual/{name}", text) for i, (name, text) in enumerate([("LICENSE-MIT", S.TEMPLATES["MIT"]), ("LICENSE-APACHE", S.TEMPLATES["Apache-2.0"]), ("LICENSE", S.TEMPLATES["MIT"]), ("code/main.txt", "no word of it")])}
     want = plain(files)
-    assert {w[1] for w in want.values()} >= {"header", "inherited"}
+    assert want[9003] == ("MIT", "inherited", "a/dual", None, ["Apache-2.0", "MIT"])
+    assert {w[1] for w in want.values()} >= {"header", "inherited"} and max(len(w[4]) for w in want.values()) > 1
     df = spark.createDataFrame([(i, p, t) for i, (p, t) in files.items()], "doc_id long, path string, text string").repartition(3)
     agree(told(S.scan_licenses(df)), want)
     assert S.scan_licenses(df.filter(F.lit(False))).count() == 0
