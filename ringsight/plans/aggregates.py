@@ -17,6 +17,11 @@ from ringsight.session import staged
 FLAG = "score_mean >= 0.35::DOUBLE"
 
 
+def divided(a, b):
+    """a / b of counts as doubles: infinite, or not a number, where b is 0."""
+    return F.when(b != 0, a / b).when(b == 0, F.when(a > 0, float("inf")).otherwise(float("nan")))
+
+
 def ring_sql(by: str, table: str) -> str:
     return f"SELECT {by}, txns, members, cards, accounts, merchants, round(score_mean, 9) AS score_mean, round(score_max, 9) AS score_max, round(hot_share, 9) AS hot_share, round(amount, 4) AS amount, frauds, frauds >= 2 AS is_fraud_ring, round(span_h, 9) AS span_h FROM {table}"
 
@@ -395,11 +400,12 @@ def ring_report(spark, d):
 
 @query(f"SELECT a.n AS txn_alerts, r.n AS ring_alerts, f.n AS frauds, c.n AS covered, round(a.n / r.n, 9) AS reduction FROM (SELECT count(*) AS n FROM txn WHERE score >= 0.5::DOUBLE) a, (SELECT count(*) AS n FROM win WHERE {FLAG}) r, (SELECT count(*) AS n FROM txn WHERE is_fraud = 1) f, (SELECT count(*) AS n FROM txn JOIN inr USING (txn_id) WHERE is_fraud = 1) c", INR)
 def alert_reduction(spark, d):
+    """Transaction alerts for each ring alert; infinite where no ring is flagged, not a number where there is no alert at all."""
     x = txn(spark, d)
     a = x.agg(F.count_if(F.col("score") >= 0.5).alias("txn_alerts"), F.count_if(F.col("is_fraud") == 1).alias("frauds"))
     r = rings(spark, d).agg(F.count_if(F.col("score_mean") >= 0.35).alias("ring_alerts"))
     c = x.filter("is_fraud = 1").join(in_ring(spark, d).hint("merge"), "txn_id", "left_semi").agg(F.count(F.lit(1)).alias("covered"))
-    return a.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(c)).select("txn_alerts", "ring_alerts", "frauds", "covered", R4(F.col("txn_alerts") / F.col("ring_alerts")).alias("reduction"))
+    return a.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(c)).select("txn_alerts", "ring_alerts", "frauds", "covered", R4(divided(F.col("txn_alerts"), F.col("ring_alerts"))).alias("reduction"))
 
 
 CLOCK = "(SELECT (max(t) // 86400) * 86400 FROM txn)"
