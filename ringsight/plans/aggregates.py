@@ -303,11 +303,17 @@ def ring_eval(spark, d):
     return rounded_rates(ring_confusion(rings(spark, d), "kind"))
 
 
-@query(f"SELECT coalesce(kind, 'combined') AS kind, tp, fp, fn, {PRF} FROM (SELECT kind, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM re GROUP BY ROLLUP (kind))", RE)
+@query(f"SELECT coalesce(kind, 'combined') AS kind, tp, fp, fn, {PRF} FROM (SELECT kind, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn FROM re GROUP BY ROLLUP (kind))", RE)
 def kind_rollup(spark, d):
-    hit, bad = F.col("score_mean") >= 0.35, F.col("frauds") >= 2
-    r = rings(spark, d).rollup("kind").agg(F.count_if(hit & bad).alias("tp"), F.count_if(hit & ~bad).alias("fp"), F.count_if(~hit & bad).alias("fn"))
-    return rounded_rates(r.withColumn("kind", F.coalesce("kind", F.lit("combined"))))
+    """By kind and together; without rings all figures together are 0."""
+    return rounded_rates(and_combined(ring_confusion(rings(spark, d), "kind")))
+
+
+def and_combined(counts):
+    """``counts`` by kind, a row each, with their sums as kind 'combined': noughts where there is no kind."""
+    per = staged(counts, "kinds")
+    names = [c for c in per.columns if c != "kind"]
+    return per.unionByName(per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).withColumn("kind", F.lit("combined")))
 
 
 @query(f"SELECT tp, fp, fn, {PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM re)", RE)

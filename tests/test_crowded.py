@@ -38,3 +38,8 @@ def told(spark, path, name):
 def test_alert_reduction_without_rings(spark, odd):
     got, want = told(spark, odd, "alert_reduction")
     assert got == want and got[0][-1] == math.inf and got[0][1] == 0
+
+
+def test_kind_rollup_without_rings(spark, odd):
+    got, want = told(spark, odd, "kind_rollup")
+    assert got == want == [("combined", 0, 0, 0, 0, 0, 0)]
