@@ -316,8 +316,9 @@ def and_combined(counts):
     return per.unionByName(per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).withColumn("kind", F.lit("combined")))
 
 
-@query(f"SELECT tp, fp, fn, {PRF} FROM (SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM re)", RE)
+@query(f"SELECT tp, fp, fn, {PRF} FROM (SELECT CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn FROM re)", RE)
 def set_precision_recall(spark, d):
+    """Counts of all rings and their rates; without rings all are 0."""
     return rounded_rates(ring_confusion(rings(spark, d), None))
 
 

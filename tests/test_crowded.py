@@ -43,3 +43,8 @@ def test_alert_reduction_without_rings(spark, odd):
 def test_kind_rollup_without_rings(spark, odd):
     got, want = told(spark, odd, "kind_rollup")
     assert got == want == [("combined", 0, 0, 0, 0, 0, 0)]
+
+
+def test_set_precision_recall_without_rings(spark, odd):
+    got, want = told(spark, odd, "set_precision_recall")
+    assert got == want == [(0, 0, 0, 0, 0, 0)]
