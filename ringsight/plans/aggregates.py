@@ -396,13 +396,14 @@ def ring_report(spark, d):
     flagged = staged(rings.filter("split = 'test'").join(F.broadcast(thr), "kind").select("kind", "key", bad.alias("bad"), (F.col("score") >= F.col("thr")).alias("hit")), "flagged")
     n = lambda c, name: F.count_if(c).alias(name)
     hit, of = F.col("hit"), F.col("bad")
-    counts = flagged.rollup("kind").agg(F.count(F.lit(1)).alias("groups"), n(of, "fraud_rings"), n(hit, "flagged"), n(hit & of, "tp"), n(hit & ~of, "fp"), n(of & ~hit, "fn")).withColumn("kind", F.coalesce("kind", F.lit("combined")))
+    counts = and_combined(flagged.groupBy("kind").agg(F.count(F.lit(1)).alias("groups"), n(of, "fraud_rings"), n(hit, "flagged"), n(hit & of, "tp"), n(hit & ~of, "fp"), n(of & ~hit, "fn")))
     held = staged(rows.filter("split = 'test'").select("kind", "key", "txn_id", "score", bad.alias("f")).filter("f").join(flagged.select("kind", "key", "hit").hint("merge"), ["kind", "key"]), "held")
     told = [F.count(F.lit(1)).alias("frauds"), n(hit, "covered"), n(hit & (F.col("score") < 0.5), "bonus")]
     covered = held.groupBy("kind").agg(*told).unionByName(held.groupBy("txn_id").agg(F.max("hit").alias("hit"), F.max("score").alias("score")).agg(*told).withColumn("kind", F.lit("combined")))
     whole = s.filter("split = 'test'").agg(F.sum("is_fraud").alias("_f"), n(F.col("score") >= 0.5, "_a"))
-    out = rounded_rates(counts).join(F.broadcast(covered), "kind").join(F.broadcast(thr), "kind", "left").crossJoin(F.broadcast(whole))  # three rows
-    return out.select(*counts.columns, "precision", "recall", "f1", R4("thr").alias("thr"), "frauds", "covered", "bonus", R4(F.col("covered") / F.col("_f")).alias("share_of_frauds"), R4(F.col("_a") / F.greatest("flagged", F.lit(1))).alias("reduction"))
+    out = rounded_rates(counts).join(F.broadcast(covered), "kind", "left").join(F.broadcast(thr), "kind", "left").crossJoin(F.broadcast(whole))  # three rows
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("frauds", "covered", "bonus")})  # a kind's rings may hold no fraud
+    return out.select(*counts.columns, "precision", "recall", "f1", R4("thr").alias("thr"), "frauds", "covered", "bonus", R4(divided(F.col("covered"), F.col("_f"))).alias("share_of_frauds"), R4(F.col("_a") / F.greatest("flagged", F.lit(1))).alias("reduction"))
 
 
 @query(f"SELECT a.n AS txn_alerts, r.n AS ring_alerts, f.n AS frauds, c.n AS covered, round(a.n / r.n, 9) AS reduction FROM (SELECT count(*) AS n FROM txn WHERE score >= 0.5::DOUBLE) a, (SELECT count(*) AS n FROM win WHERE {FLAG}) r, (SELECT count(*) AS n FROM txn WHERE is_fraud = 1) f, (SELECT count(*) AS n FROM txn JOIN inr USING (txn_id) WHERE is_fraud = 1) c", INR)

@@ -48,3 +48,17 @@ def test_kind_rollup_without_rings(spark, odd):
 def test_set_precision_recall_without_rings(spark, odd):
     got, want = told(spark, odd, "set_precision_recall")
     assert got == want == [(0, 0, 0, 0, 0, 0)]
+
+
+def test_ring_report_without_rings(spark, odd):
+    got, want = told(spark, odd, "ring_report")
+    assert got == want and [r[0] for r in got] == ["combined"] and got[0][1] == 0
+
+
+def test_ring_report_of_a_kind_without_frauds(spark, tmp_path):
+    """Address rings without any fraud are told, with no frauds in them."""
+    x = spark.read.parquet(f"{SF}/events.parquet")
+    quiet = F.col("event_id") % 29 == 0
+    x.filter(~quiet).withColumns({"user_id": 7 * F.col("event_id"), "value": F.lit(50.0), "event_type": F.lit("click"), "props": F.lit('{"k": 10}')}).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = told(spark, str(tmp_path), "ring_report")
+    assert got == want and {r[0] for r in got} == {"address", "combined"}
