@@ -263,19 +263,19 @@ def attack_audit(spark, d):
 
 CENTRAL = SWEEP + f""", cf AS (SELECT kind, fp FROM es JOIN th USING (kind) WHERE th.eps = 0 AND split = 'test' AND merchants >= 2 AND txns BETWEEN 2 AND 40 AND 10 * ({S10}) >= slot * txns),
 cc AS (SELECT kind, (SELECT count(*) FROM cf WHERE cf.kind = c.kind) AS flagged, (SELECT count(*) FROM cf SEMI JOIN tr USING (kind, fp) WHERE cf.kind = c.kind) AS tp, (SELECT count(*) FROM tr WHERE tr.kind = c.kind) AS a FROM (SELECT DISTINCT kind FROM th) c),
-bo AS (SELECT 'central' AS arm, coalesce(kind, 'combined') AS kind, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(flagged - tp) AS BIGINT) AS fp, CAST(sum(a - tp) AS BIGINT) AS fn FROM cc GROUP BY ROLLUP (kind)
+bo AS (SELECT arm, coalesce(kind, 'combined') AS kind, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(flagged - tp) AS BIGINT) AS fp, CAST(sum(a - tp) AS BIGINT) AS fn FROM (SELECT 'central' AS arm, * FROM cc) GROUP BY GROUPING SETS ((arm, kind), (arm))
        UNION ALL SELECT 'federated', kind, flagged, tp, fp, fn FROM ju WHERE eps = 0)"""
 
 
 @query("SELECT arm, kind, flagged, tp, fp, fn, " + ", ".join(f"round({x}, 9) AS {c}" for c, x in RATES.items()) + " FROM bo", CENTRAL)
 def central_vs_fed(spark, d):
-    """Rings counted in one place and from merchants' histograms without noise, both at the thresholds of val."""
+    """Rings counted in one place and from merchants' histograms without noise, both at the thresholds of val. Told are the kinds that have a threshold under any budget; no rows if none has."""
     rows = staged(R.ring_rows(split(spark, d)), "rows")
     table, slots = P.sweep(rows)
     exact = staged(P.exact_rings(rows.filter("split = 'test'")), "exact")
-    at = slots.filter("eps = 0").select("kind", "slot")
+    at, kinds = slots.filter("eps = 0").select("kind", "slot"), slots.select("kind").distinct()
     hit = exact.join(F.broadcast(at), "kind").filter((F.col("merchants") >= 2) & F.col("txns").between(P.LOW, P.CAP) & (10 * K.risk_tenths([F.col(b) for b in P.B]) >= F.col("slot") * F.col("txns")))  # one row per kind
-    central = P.judged(hit.select(F.lit("central").alias("arm"), "kind", "fp"), exact, ["arm"], at.select(F.lit("central").alias("arm"), "kind"))
+    central = P.judged(hit.select(F.lit("central").alias("arm"), "kind", "fp"), exact, ["arm"], kinds.select(F.lit("central").alias("arm"), "kind"))
     both = central.unionByName(table.filter("eps = 0").drop("eps", "rep").withColumn("arm", F.lit("federated")))
     return M.rates(both).select("arm", "kind", "flagged", "tp", "fp", "fn", *[R4(c).alias(c) for c in RATES])
 

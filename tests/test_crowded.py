@@ -62,3 +62,17 @@ def test_ring_report_of_a_kind_without_frauds(spark, tmp_path):
     x.filter(~quiet).withColumns({"user_id": 7 * F.col("event_id"), "value": F.lit(50.0), "event_type": F.lit("click"), "props": F.lit('{"k": 10}')}).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got, want = told(spark, str(tmp_path), "ring_report")
     assert got == want and {r[0] for r in got} == {"address", "combined"}
+
+
+def test_central_vs_fed_without_thresholds(spark, odd):
+    """Without any threshold neither arm tells anything."""
+    got, want = told(spark, odd, "central_vs_fed")
+    assert got == want and {r[0] for r in got} in (set(), {"central", "federated"})
+
+
+def test_central_vs_fed_with_thresholds_under_noise_only(spark, tmp_path):
+    """Rings of one payment each count only once noise is added: central rings of their kind are told too."""
+    x = spark.read.parquet(f"{SF}/events.parquet")
+    x.withColumns({"event_type": F.lit("signup"), "props": F.format_string('{"k": %d}', "event_id")}).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got, want = told(spark, str(tmp_path), "central_vs_fed")
+    assert got == want and [r[:2] for r in got] == [("central", "combined"), ("central", "device"), ("federated", "combined"), ("federated", "device")]
