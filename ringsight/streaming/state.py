@@ -7,6 +7,7 @@ are complete: later ones with such times are dropped by Spark and left to the ba
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -89,7 +90,7 @@ class HourPeers(Keyed):
 
 
 class RingAlerts(Keyed):
-    """A ring of the week up to the watermark is told when it becomes flagged; again if it was not meanwhile.
+    """A ring of the week up to the watermark is told when it becomes flagged; again if it was not meanwhile. Its mean score is rounded to nine digits and then judged.
 
     Once more than ``cap`` members are seen, rows up to the last one of the member next
     to the ``cap`` latest can no longer lie in a window that counts, and are dropped: what
@@ -128,7 +129,7 @@ class RingAlerts(Keyed):
         for t, _, member, _ in seen:
             if member is not None:
                 last[member] = max(t, last.get(member, t))
-        mean = sum(sorted(r[3] for r in seen)) / len(seen) if seen else 0.0
+        mean = round(math.fsum(r[3] for r in seen) / len(seen), 9) if seen else 0.0  # no order of sums decides a tie
         hit = crowded is None and R.LOW <= len(last) <= self.cap and mean >= self.threshold
         if hit and not flagged:
             yield Row(kind=key[0], key=key[1], t=now, members=len(last), score_mean=mean)

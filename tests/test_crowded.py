@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ringsight.plans import catalog
+from ringsight.streaming import feeds
 
 SF = "/root/testdata/sf0.001"
 #: Rows with neither device nor address; or all rows of a device and address, with members beyond any cap.
@@ -76,3 +77,12 @@ def test_central_vs_fed_with_thresholds_under_noise_only(spark, tmp_path):
     x.withColumns({"event_type": F.lit("signup"), "props": F.format_string('{"k": %d}', "event_id")}).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got, want = told(spark, str(tmp_path), "central_vs_fed")
     assert got == want and [r[:2] for r in got] == [("central", "combined"), ("central", "device"), ("federated", "combined"), ("federated", "device")]
+
+
+def test_ring_at_the_threshold_is_alerted(spark, tmp_path):
+    """The mean of .005, .345 and .7 is .35, though their sum in order comes out lower."""
+    rows = [(i, 100 + i, 1.0, i, i, None, 0, None, "D 1", "b", s, 0, 0) for i, s in enumerate((0.005, 0.345, 0.7), 1)]
+    schema = "txn_id long, t long, amount double, card1 long, account long, addr1 long, addr2 long, email_domain string, device_info string, browser string, score double, is_fraud int, shop long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    feeds.run_rings(feeds.transaction_feed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 10, "0 seconds"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [(r["kind"], r["members"], r["score_mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("device", 3, 0.35)]
