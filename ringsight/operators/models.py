@@ -49,13 +49,35 @@ def category_shares(train: DataFrame, spec: Spec) -> DataFrame:
     return n.select("feature", "level", (F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).alias("share"))
 
 
+#: Levels up to which a category's shares are broadcast; beyond it only those that so large a share of train has.
+MOST_LEVELS, FREQUENT = 200_000, 1e-4
+
+
+def with_share(df: DataFrame, c: str, own: DataFrame, most: int = MOST_LEVELS, frequent: float = FREQUENT) -> DataFrame:
+    """``df`` plus _{c}, the share of its level of c, by ``own`` (level, share): null for nulls and levels without one.
+
+    Few levels are shared by very many rows, so rows are not brought together by level.
+    Of a category with over ``most`` levels the frequent ones are broadcast, ten thousand at
+    most; rows of others go to those, and rows that need none are dealt out.
+    """
+    name, level = f"_{c}", F.col(c).cast("string")
+    of = lambda t: t.select(F.col("level").alias("_level"), F.col("share").alias("_share"))
+    if own.count() <= most:
+        return df.join(F.broadcast(of(own)), level == F.col("_level"), "left").withColumn(name, F.col("_share")).drop("_level", "_share")
+    out = df.join(F.broadcast(of(own.filter(F.col("share") >= frequent))), level == F.col("_level"), "left").withColumnRenamed("_share", "_hot").drop("_level")
+    out = out.withColumn("_rare", F.when(F.col("_hot").isNull(), level))
+    out = out.withColumn("_salt", F.when(F.col("_rare").isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(1000))).otherwise(F.lit(0)).cast("int"))
+    rest = of(own.filter(F.col("share") < frequent)).withColumn("_none", F.lit(0)).hint("merge")
+    out = out.join(rest, (F.col("_rare") == F.col("_level")) & (F.col("_salt") == F.col("_none")), "left")
+    return out.withColumn(name, F.coalesce("_hot", "_share")).drop("_hot", "_rare", "_salt", "_level", "_share", "_none")
+
+
 def encoded(df: DataFrame, spec: Spec, shares: DataFrame) -> DataFrame:
-    """``df`` with its features as doubles in order: numbers as they are (null where absent), categories by their share in train (unseen and null: 0)."""
+    """``df`` with its features as doubles in order: numbers as they are (null where absent), categories by their share in train (unseen and null: 0). ``shares`` should be cheap to count."""
     out = df
     for c in spec.categorical:
         if c in df.columns:
-            own = shares.filter(F.col("feature") == c).select(F.col("level").alias(c), F.col("share").alias(f"_{c}"))
-            out = out.join(own.hint("shuffle_hash"), c, "left")
+            out = with_share(out, c, shares.filter(F.col("feature") == c))
     value = lambda c: F.lit(None).cast("double") if c not in df.columns else (F.coalesce(f"_{c}", F.lit(0.0)) if c in spec.categorical else F.col(c).cast("double"))
     kept = [c for c in df.columns if c not in spec.order]
     return out.select(*kept, *[value(c).alias(c) for c in spec.order])

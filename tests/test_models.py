@@ -166,3 +166,15 @@ def test_areas_by_group_are_those_of_each(spark):
     assert len(got) == 6
     for (a, c), v in list(got.items())[:3]:
         assert abs(v - M.pr_auc(df.filter((F.col("arm") == a) & (F.col("c") == c))).first()[0]) < 1e-12
+
+
+def test_shares_are_not_joined_by_level(spark):
+    """Rows do not go to one task for each level; of many levels the frequent ones are broadcast, and all give the same."""
+    rows = spark.createDataFrame([(i, "train" if i % 3 else "test", 0, None if i % 5 == 0 else "ab"[i % 2] if i % 4 else f"r{i % 7}") for i in range(200)], "txn_id long, split string, is_fraud int, c string")
+    own = L.staged(L.category_shares(rows.filter("split = 'train'"), L.feature_spec(rows)), "shares")
+    few, many = L.with_share(rows, "c", own), L.with_share(rows, "c", own, most=3, frequent=0.2)
+    want = {r["level"]: r["share"] for r in own.collect()}
+    for out in (few, many):
+        assert out.count() == 200 and all(r["_c"] == want.get(r["c"]) for r in out.collect()) and out.columns == [*rows.columns, "_c"]
+    plan = L.encoded(rows, L.feature_spec(rows), own)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(c" not in plan
