@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +23,8 @@ from ringsight.session import sized, staged
 NOT_FEATURES = ("txn_id", "t", "is_fraud", "split")
 #: Levels of a category that trees tell apart; rarer ones share the index of unseen levels, and are told by their share.
 LEVELS = 255
+#: Rows of a leaf of the scorer's trees.
+LEAST = 20
 
 
 @dataclass(frozen=True)
@@ -152,6 +154,7 @@ def entity_features(rows: DataFrame) -> DataFrame:
 
 def scorer_table(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> tuple[DataFrame, tuple[str, ...]]:
     """A written table of ``rows`` with what the scorer reads, and the names of that: numbers, and the share and level of each category, as train has them."""
+    rows = staged(rows.select(*[c for c in rows.columns if c in (*NOT_FEATURES, *feature_spec(rows, drop).order)]), "rows")
     train = rows.filter("split = 'train'")
     spec = feature_spec(train, drop)
     levels = indexed(rows, spec, staged(category_levels(train, spec), "levels")) if spec.categorical else rows
@@ -164,7 +167,9 @@ def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60,
     """Boosted trees on the train rows. They end with the round after which the loss on the val rows rises, after ``rounds`` at the latest. Nulls take the train median.
 
     Columns with nominal attributes (of ``indexed``) are split by sets of levels. Without
-    val rows all rounds are made.
+    val rows all rounds are made. Rows that are alike in all that is read are one row with
+    their number as weight, and LEAST rows make a leaf by weight: each pass costs the
+    different rows.
     """
     nominal = [c for c in names if prepared.schema[c].metadata.get("ml_attr", {}).get("type") == "nominal"]
     bins = max([32, *[prepared.schema[c].metadata["ml_attr"]["num_vals"] for c in nominal]])
@@ -172,16 +177,27 @@ def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60,
     numeric = [c for c in names if c not in nominal]
     filled = {c: f"{c}_filled" for c in numeric}
     fill = Imputer(inputCols=numeric, outputCols=list(filled.values()), strategy="median").fit(rows.filter("not _val").select(*numeric))
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, maxBins=bins, minInstancesPerNode=20, stepSize=rate, validationTol=0.0, seed=42)
-    if not rows.filter("_val").isEmpty():
+    gather = VectorAssembler(inputCols=[filled.get(c, c) for c in names], outputCol="features")
+    few = alike(fill.transform(rows), ["_val", "label", *gather.getInputCols()])
+    n = few.groupBy("_val").agg(F.sum("_n").alias("n")).collect()  # two rows
+    train = int(sum(r["n"] for r in n if not r["_val"]))
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_n", maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=rate, validationTol=0.0, seed=42)
+    # a fraction of the weight may not reach a half; with so few rows no split leaves LEAST on both sides
+    trees = trees.setMinInstancesPerNode(1).setMinWeightFractionPerNode((LEAST - 0.5) / train) if train >= 2 * LEAST else trees.setMinInstancesPerNode(train + 1)
+    if any(r["_val"] for r in n):
         trees = trees.setValidationIndicatorCol("_val")
-    return Pipeline(stages=[fill, VectorAssembler(inputCols=[filled.get(c, c) for c in names], outputCol="features"), trees]).fit(rows)
+    return PipelineModel([fill, gather, trees.fit(gather.transform(few))])
+
+
+def alike(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A written table of the different rows of ``columns``, with _n, how often each is there."""
+    return staged(rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_n")), "alike")
 
 
 def scorer_rounds(model: PipelineModel, prepared: DataFrame) -> DataFrame:
     """round, train_loss, val_loss, of: the logistic losses after each of the rounds that the scorer kept, and how many these are."""
-    *before, trees = model.stages
-    rows = PipelineModel(before).transform(prepared.withColumn("label", F.col("is_fraud").cast("double")))
+    fill, gather, trees = model.stages
+    rows = gather.transform(alike(fill.transform(prepared.withColumn("label", F.col("is_fraud").cast("double"))), ["split", "label", *gather.getInputCols()]))
     one = lambda part: trees.evaluateEachIteration(rows.filter(F.col("split") == part))
     train, val, n = one("train"), one("val"), trees.getNumTrees
     return prepared.sparkSession.createDataFrame([(i + 1, a, b, n) for i, (a, b) in enumerate(zip(train, val, strict=True))], "round int, train_loss double, val_loss double, of int")
