@@ -127,7 +127,7 @@ def entity_features(rows: DataFrame) -> DataFrame:
     A train row's reputation comes from the other folds, any other row's from all
     of train; keys that train lacks have the prior.
     """
-    out = rows
+    out = rows = staged(rows, "rows")
     for key in ("account", "card1"):
         out = X.velocity(out, key)
         for c in ("gap", "n_24h", "n_7d", "sum_24h", "mean_24h"):
@@ -148,7 +148,8 @@ def entity_features(rows: DataFrame) -> DataFrame:
         gaps = whole.drop("fold").select(key, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"), "rate", "log_n", "seen").withColumn("fold", F.col("fold").cast("long"))
         rates = rates.unionByName(gaps.join(per.select(key, "fold").hint("merge"), [key, "fold"], "left_anti"))
         rates = rates.select(key, "fold", *[F.col(c).alias(f"{key}_{c}") for c in ("rate", "log_n", "seen")])
-        out = out.join(rates.hint("merge"), [key, "fold"], "left").fillna({f"{key}_rate": X.PRIOR, f"{key}_log_n": 0.0, f"{key}_seen": 0})
+        # few keys have very many rows each: their rates are broadcast, so that rows do not go to a task by key
+        out = out.join(sized(staged(rates, "rates")), [key, "fold"], "left").fillna({f"{key}_rate": X.PRIOR, f"{key}_log_n": 0.0, f"{key}_seen": 0})
     return out.drop("fold")
 
 

@@ -178,3 +178,9 @@ def test_shares_are_not_joined_by_level(spark):
         assert out.count() == 200 and all(r["_c"] == want.get(r["c"]) for r in out.collect()) and out.columns == [*rows.columns, "_c"]
     plan = L.encoded(rows, L.feature_spec(rows), own)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning(c" not in plan
+
+
+def test_rates_are_not_joined_by_few_keys(spark):
+    """Rows do not go to one task for each domain."""
+    plan = L.entity_features(learning.split(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(email_domain" not in plan and "hashpartitioning(addr1" not in plan
