@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -264,14 +266,49 @@ def local_fits(rows: DataFrame, starts: DataFrame, steps: int = 3, rate: float =
     """
     n = len(starts.first()["w"])
     own = staged(rows.select("merchant").distinct().crossJoin(F.broadcast(starts)), "weights")
+    few = own.count() <= FEW_WEIGHTS
     for _ in range(steps):
-        dot = sum((F.col("x")[i] * F.col("w")[i] for i in range(1, n)), F.col("x")[0] * F.col("w")[0])
-        e = rows.join(sized(own, 100_000), "merchant").withColumn("e", 1 / (1 + F.exp(-dot)) - F.col("y"))
-        g = e.groupBy("arm", "merchant").agg(F.array(*[F.avg(F.col("e") * F.col("x")[i]) for i in range(n)]).alias("g"), F.first("w").alias("w"))
+        if few:
+            g = gradients(rows, own, n).join(F.broadcast(own), ["arm", "merchant"])
+        else:
+            dot = sum((F.col("x")[i] * F.col("w")[i] for i in range(1, n)), F.col("x")[0] * F.col("w")[0])
+            e = rows.join(own.hint("merge"), "merchant").withColumn("e", 1 / (1 + F.exp(-dot)) - F.col("y"))
+            g = e.groupBy("arm", "merchant").agg(F.array(*[F.avg(F.col("e") * F.col("x")[i]) for i in range(n)]).alias("g"), F.first("w").alias("w"))
         own = staged(g.select("arm", "merchant", F.zip_with("w", "g", lambda w, d: w - rate * d).alias("w")), "weights")
     return own.select("arm", "merchant", F.posexplode("w").alias("idx", "value"))
 
 
+#: Weights of merchants and runs, counted, up to which every task has all of them.
+FEW_WEIGHTS = 100_000
+
+
+def gradients(rows: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """arm, merchant, g: the mean gradient of the logistic loss at each of the few weights ``own`` (arm, merchant, w). A row is read once for all runs; a task tells one sum for a merchant and run."""
+    held: dict = {}
+    for r in own.collect():  # FEW_WEIGHTS at most
+        held.setdefault(r["merchant"], []).append((r["arm"], r["w"]))
+    table = rows.sparkSession.sparkContext.broadcast({m: ([a for a, _ in x], np.array([w for _, w in x])) for m, x in held.items()})
+    kind = rows.schema["merchant"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            who, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("merchant", "y"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            for m in np.unique(who):
+                at = who == m
+                with np.errstate(over="ignore"):
+                    e = 1 / (1 + np.exp(-(x[at] @ table.value[m][1].T))) - y[at][:, None]
+                g, k = sums.get(m, (0.0, 0))
+                sums[m] = (g + e.T @ x[at], k + int(at.sum()))
+        told = [{"arm": a, "merchant": m.item(), "s": g[i].tolist(), "k": k} for m, (g, k) in sums.items() for i, a in enumerate(table.value[m][0])]
+        if told:
+            yield pa.RecordBatch.from_pylist(told, schema=pa.schema([("arm", pa.string()), ("merchant", batch.schema.field("merchant").type), ("s", pa.list_(pa.float64())), ("k", pa.int64())]))
+
+    parts = rows.filter("merchant is not null").select("merchant", "y", "x").mapInArrow(run, f"arm string, merchant {kind}, s array<double>, k long")
+    return parts.groupBy("arm", "merchant").agg(F.array(*[F.sum(F.col("s")[i]) / F.sum("k") for i in range(n)]).alias("g"))
+
+
 def update_digests(updates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, merchant, digest: SHA-256 of an update's rounded values in order of idx."""
     text = F.concat_ws(":", F.col("idx").cast("string"), F.format_string("%.9f", F.col("value")))

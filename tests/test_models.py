@@ -180,6 +180,19 @@ def test_shares_are_not_joined_by_level(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning(c" not in plan
 
 
+def test_gradients_in_tasks_are_those_of_joined_weights(spark, monkeypatch):
+    """Few weights go to every task, which reads a row once for all runs; many are joined: the same fits."""
+    rows = spark.createDataFrame([r[1:] for r in synthetic(300)], "merchant long, y double, x array<double>")
+    starts = spark.createDataFrame([("a", [0.0, 0.0, 0.0]), ("b", [0.3, -900.0, 0.1])], "arm string, w array<double>")
+    fits = lambda: {(r["arm"], r["merchant"], r["idx"]): r["value"] for r in L.local_fits(rows, starts, 2).collect()}
+    few = fits()
+    monkeypatch.setattr(L, "FEW_WEIGHTS", 0)
+    many = fits()
+    assert len(few) == 30 and few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-9 for k in few)
+    own = starts.withColumn("merchant", F.lit(1).cast("long"))
+    assert "Generate" not in (plan := L.gradients(rows, own, 3)._jdf.queryExecution().executedPlan().toString()) and "Join" not in plan
+
+
 def test_rates_are_not_joined_by_few_keys(spark):
     """Rows do not go to one task for each domain."""
     plan = L.entity_features(learning.split(spark, SF))._jdf.queryExecution().executedPlan().toString()
