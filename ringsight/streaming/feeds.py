@@ -90,7 +90,7 @@ def run_rings(feed: DataFrame, path: str, checkpoint: str, threshold: float = 0.
 
 
 def run_velocity(feed: DataFrame, path: str, checkpoint: str, epoch: int = EPOCH) -> None:
-    """Peers of the hour before each row, written once all rows before it are complete; ``peers`` reads them."""
+    """Peers of the hour before each row, written once the row's clock hour is complete; ``peers`` reads them."""
     run_available(state.hour_peers(feed, epoch), path, checkpoint)
 
 

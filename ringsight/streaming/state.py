@@ -1,16 +1,18 @@
-"""Keyed state over the feed: peers of the last hour, first alerts of rings, rings over sliding weeks.
+"""State over the feed: peers of the last hour, first alerts of rings, rings over sliding weeks.
 
-Each processor works on one key's rows in event time; what it keeps is bounded by the
-hour, the week or the cap, and nothing stored is read back. Rows up to the watermark
-are complete: later ones with such times are dropped by Spark and left to the batch path.
+Peers come from windows that an aggregate holds until they are complete. Each processor
+works on one key's rows in event time; what it keeps is bounded by the week or the cap,
+and nothing stored is read back. Rows up to the watermark are complete: later ones with
+such times are dropped by Spark and left to the batch path.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -48,47 +50,6 @@ class Keyed(StatefulProcessor):
         pass
 
 
-class HourPeers(Keyed):
-    """Peers of each row of a card or an account in the hour before it. A row is told once all rows before it are complete; told rows are kept for an hour."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.rows = handle.getListState("rows", "t long, txn_id long, other long, shop long, told boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = [tuple(r) for r in self.rows.get()]
-        known = {r[1] for r in held}
-        for r in rows:
-            if r["txn_id"] not in known:
-                known.add(r["txn_id"])
-                held.append((r["t"], r["txn_id"], r["other"], r["shop"], False))
-        yield from self.tell(key, held, self.now(timerValues))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self.tell(key, [tuple(r) for r in self.rows.get()], self.now(timerValues))
-
-    def tell(self, key, held: list[tuple], now: int) -> Iterator[Row]:
-        held.sort(key=lambda r: r[:2])
-        others, shops, first, last = Counter(), Counter(), 0, 0  # of rows first to last, those in the hour
-        for t, txn, other, _, told in held:
-            while held[last][0] < t:
-                others[held[last][2]] += 1
-                shops[held[last][3]] += 1
-                last += 1
-            while held[first][0] < t - HOUR:
-                for seen, x in ((others, held[first][2]), (shops, held[first][3])):
-                    seen[x] -= 1
-                    if not seen[x]:
-                        del seen[x]
-                first += 1
-            if not told and t <= now:
-                yield Row(txn_id=txn, kind=key[0], others=len((others.keys() | {other}) - {None}), shops=len(shops.keys() - {None}))
-        kept = [(*r[:4], r[4] or r[0] <= now) for r in held if r[0] > now - HOUR]
-        waiting = [r[0] for r in kept if not r[4]]
-        self.wake([max(waiting)] if waiting else [max(r[0] for r in kept) + HOUR] if kept else [])
-        self.keep(self.rows, kept)
-
-
 class RingAlerts(Keyed):
     """A ring of the week up to the watermark is told when it becomes flagged; again if it was not meanwhile. Its mean score is rounded to nine digits and then judged.
 
@@ -182,15 +143,65 @@ class SlidingWeeks(Keyed):
 
 
 def keyed(rows: DataFrame, by: list[str], processor: Keyed, schema: str, mode: str = "Append") -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    on_disk(rows)
     return rows.groupBy(*by).transformWithState(processor, schema, mode, "EventTime")
 
 
-def hour_peers(feed: DataFrame, epoch: int) -> DataFrame:
-    """txn_id, kind (card or account), others (accounts of the card or cards of the account, with the row's own) and shops of the card, of the hour before each row. Two lines a row. Rows without a card or account have no such line."""
+def on_disk(rows: DataFrame) -> None:
+    """State goes to RocksDB, not to the heap."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+#: Pieces into which cards and accounts are dealt; the rows of a piece and an hour are one value of the state.
+PIECES = 64
+
+
+def hour_peers(feed: DataFrame, epoch: int, pieces: int = PIECES) -> DataFrame:
+    """txn_id, kind (card or account), others (accounts of the card or cards of the account, with the row's own) and shops of the card, of the hour before each row. Two lines a row. Rows without a card or account have no such line.
+
+    A row lies in the window that ends with its clock hour and, to be looked back at, in
+    the next. A window is told once it is complete, so that a row waits for its hour's
+    end; of a card with very many rows two hours are in one place.
+    """
+    on_disk(feed)
     each = F.array(F.struct(F.lit("card").alias("kind"), F.col("card1").alias("key"), F.col("account").alias("other")), F.struct(F.lit("account").alias("kind"), F.col("account").alias("key"), F.col("card1").alias("other")))
-    rows = feed.select("ts", "t", "txn_id", "shop", F.inline(each)).filter("key is not null")
-    return keyed(rows, ["kind", "key"], HourPeers(epoch), "txn_id long, kind string, others int, shops int")
+    rows = feed.select("ts", F.inline(each), "t", "txn_id", "shop").filter("key is not null")
+    held = rows.groupBy(F.window("ts", "2 hours", "1 hour"), F.pmod(F.xxhash64("kind", "key"), F.lit(pieces)).alias("piece")).agg(F.collect_set(F.struct("kind", "key", "t", "txn_id", "other", "shop")).alias("rows"))
+    own = F.unix_timestamp("window.start") + HOUR - epoch
+    return held.select(own.alias("own"), F.inline(F.sort_array("rows"))).mapInArrow(peers_told, "txn_id long, kind string, others int, shops int")
+
+
+def peers_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of the rows of t >= ``own``. Rows come in order of t, those of one window and key together; what is held is an hour of them."""
+    at, last = None, None
+    for batch in batches:
+        out: tuple[list, ...] = ([], [], [], [])
+        for own, kind, key, t, txn, other, shop in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if at != (own, kind, key):
+                at, last, known = (own, kind, key), t, set()
+                before, same, others, shops = deque(), [], Counter(), Counter()
+            if txn in known:
+                continue
+            known.add(txn)
+            if t != last:  # rows of one second are not before each other
+                for r in same:
+                    others[r[1]] += 1
+                    shops[r[2]] += 1
+                before.extend(same)
+                last, same = t, []
+                while before and before[0][0] < t - HOUR:
+                    r = before.popleft()
+                    for seen, x in ((others, r[1]), (shops, r[2])):
+                        seen[x] -= 1
+                        if not seen[x]:
+                            del seen[x]
+            if t >= own:
+                of = len(others) - (None in others) + (other is not None and other not in others)
+                for column, x in zip(out, (txn, kind, of, len(shops) - (None in shops)), strict=True):
+                    column.append(x)
+            same.append((t, other, shop))
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["txn_id", "kind", "others", "shops"])
 
 
 def ring_alerts(feed: DataFrame, epoch: int, threshold: float = 0.35, cap: int = R.CAP) -> DataFrame:
