@@ -59,7 +59,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def pr_auc(df: DataFrame) -> DataFrame:
-    c = prefix_sums(by_score(df), "score", ["pos", "neg"])
+    return pr_auc_of(by_score(df))
+
+
+def pr_auc_of(counts: DataFrame) -> DataFrame:
+    """The area of rows that are counted already: score (each once), pos, neg."""
+    c = prefix_sums(counts, "score", ["pos", "neg"])
     return c.agg((F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))) / F.sum("pos")).alias("pr_auc"))
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -433,37 +433,49 @@ def areas_of(rows: DataFrame, tried: list[tuple[str, int, list[float]]]) -> Data
 
 def central_fit(rows: DataFrame, size: int, strengths: tuple[float, ...] = (0.0, 0.001, 0.01), hidden: tuple[int, ...] = (16, 8), epochs: int = 12, patience: int = 4) -> DataFrame:
     """model (logistic or network), step (its strength or epoch), pr_auc on val, best: fits on the pooled rows, the ceiling for federated rounds."""
-    table = [("logistic", s, a) for s, a in logistic_fits(rows, strengths)] + [("network", float(e), a) for e, a in network_fit(rows, size, hidden, epochs, patience)[0]]
+    train, val = parts(rows)
+    table = [("logistic", s, a) for s, a in logistic_fits(train, val, strengths)] + [("network", float(e), a) for e, a in network_epochs(train, val, size, hidden, epochs, patience)[0]]
+    train.unpersist()
     top = max(range(len(table)), key=lambda i: (table[i][2] or 0.0, -i))
     return rows.sparkSession.createDataFrame([(*t, i == top) for i, t in enumerate(table)], "model string, step double, pr_auc double, best boolean")
 
 
 def pooled(rows: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
     return staged(rows.select("split", F.col("y").alias("label"), "x"), "pooled").withColumn("features", array_to_vector("x"))
 
 
+def parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pooled train rows (features, label), kept in memory or on disk for all passes, and the different val points (features, pos, neg) with their numbers of frauds and others."""
+    data = pooled(rows)
+    points = data.filter("split = 'val'").groupBy("x").agg(F.sum("label").cast("long").alias("pos"), F.sum(1 - F.col("label")).cast("long").alias("neg"))
+    return data.filter("split = 'train'").select("features", "label").persist(), staged(points, "points").withColumn("features", array_to_vector("x"))
+
+
 def _area(model, val: DataFrame) -> float | None:
-    scored = model.transform(val).select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("int").alias("is_fraud"))
-    return M.pr_auc(staged(scored, "scored")).first()["pr_auc"]
+    scored = model.transform(val).select(vector_to_array("probability")[1].alias("score"), "pos", "neg")
+    return M.pr_auc_of(scored.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))).first()["pr_auc"]
 
 
-def logistic_fits(rows: DataFrame, strengths: tuple[float, ...]) -> list[tuple[float, float | None]]:
-    data = pooled(rows)
-    fit = lambda s: LogisticRegression(regParam=s, maxIter=50, standardization=False).fit(data.filter("split = 'train'"))
-    return [(s, _area(fit(s), data.filter("split = 'val'"))) for s in strengths]
+def logistic_fits(train: DataFrame, val: DataFrame, strengths: tuple[float, ...]) -> list[tuple[float, float | None]]:
+    fit = lambda s: LogisticRegression(regParam=s, maxIter=50, standardization=False).fit(train)
+    return [(s, _area(fit(s), val)) for s in strengths]
 
 
 def network_fit(rows: DataFrame, size: int, hidden: tuple[int, ...] = (16, 8), epochs: int = 12, patience: int = 4, iterations: int = 10, seed: int = 42):
-    """(epoch and area on val of each epoch, the best epoch's model): a network of ``hidden`` layers trained on the pooled train rows.
+    """(epoch and area on val of each epoch, the best epoch's model) of ``network_epochs`` on the pooled rows."""
+    train, val = parts(rows)
+    out = network_epochs(train, val, size, hidden, epochs, patience, iterations, seed)
+    train.unpersist()
+    return out
+
+
+def network_epochs(train: DataFrame, val: DataFrame, size: int, hidden: tuple[int, ...], epochs: int, patience: int, iterations: int = 10, seed: int = 42):
+    """A network of ``hidden`` layers trained on the train rows of ``parts``.
 
     An epoch is ``iterations`` steps of L-BFGS on gradients summed over tasks, and goes
     on from the weights of the one before. Training stops after ``patience`` epochs
     without a better area on val; the best epoch stands.
     """
-    data = pooled(rows)
-    train, val = data.filter("split = 'train'").select("features", "label").persist(), data.filter("split = 'val'")
     told, best, model, weights = [], None, None, None
     for epoch in range(1, epochs + 1):
         net = MultilayerPerceptronClassifier(layers=[size, *hidden, 2], maxIter=iterations, seed=seed, tol=0.0)
@@ -474,5 +486,4 @@ def network_fit(rows: DataFrame, size: int, hidden: tuple[int, ...] = (16, 8), e
             best, model = area, now
         elif epoch - max(e for e, a in told if a == best) >= patience:
             break
-    train.unpersist()
     return told, model
