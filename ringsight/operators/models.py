@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,9 +170,10 @@ def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60,
     """Boosted trees on the train rows. They end with the round after which the loss on the val rows rises, after ``rounds`` at the latest. Nulls take the train median.
 
     Columns with nominal attributes (of ``indexed``) are split by sets of levels. Without
-    val rows all rounds are made. Rows that are alike in all that is read are one row with
+    val rows all rounds are made. Numbers go into ranges (``ranges``) before the fit, so trees
+    find no cut less. Rows that are alike in all that is read then are one row with
     their number as weight, and LEAST rows make a leaf by weight: each pass costs the
-    different rows.
+    different rows, of which there are no more than combinations of ranges and levels.
     """
     nominal = [c for c in names if prepared.schema[c].metadata.get("ml_attr", {}).get("type") == "nominal"]
     bins = max([32, *[prepared.schema[c].metadata["ml_attr"]["num_vals"] for c in nominal]])
@@ -180,8 +181,11 @@ def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60,
     numeric = [c for c in names if c not in nominal]
     filled = {c: f"{c}_filled" for c in numeric}
     fill = Imputer(inputCols=numeric, outputCols=list(filled.values()), strategy="median").fit(rows.filter("not _val").select(*numeric))
-    gather = VectorAssembler(inputCols=[filled.get(c, c) for c in names], outputCol="features")
-    few = alike(fill.transform(rows), ["_val", "label", *gather.getInputCols()])
+    cut = ranges(fill.transform(rows.filter("not _val")), list(filled.values()), bins)
+    held = dict(zip(cut.getInputCols(), cut.getOutputCols(), strict=True)) if cut else {}
+    before = PipelineModel([fill, cut] if cut else [fill])
+    gather = VectorAssembler(inputCols=[held.get(filled.get(c), filled.get(c, c)) for c in names], outputCol="features")
+    few = alike(before.transform(rows), ["_val", "label", *gather.getInputCols()])
     n = few.groupBy("_val").agg(F.sum("_n").alias("n")).collect()  # two rows
     train = int(sum(r["n"] for r in n if not r["_val"]))
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_n", maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=rate, validationTol=0.0, seed=42)
@@ -189,7 +193,21 @@ def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60,
     trees = trees.setMinInstancesPerNode(1).setMinWeightFractionPerNode((LEAST - 0.5) / train) if train >= 2 * LEAST else trees.setMinInstancesPerNode(train + 1)
     if any(r["_val"] for r in n):
         trees = trees.setValidationIndicatorCol("_val")
-    return PipelineModel([fill, gather, trees.fit(gather.transform(few))])
+    return PipelineModel([*before.stages, gather, trees.fit(gather.transform(few))])
+
+
+def ranges(train: DataFrame, columns: list[str], bins: int) -> Bucketizer | None:
+    """A stage that gives {c}_range, the number of one of ``bins`` ranges of about equal counts, for each of ``columns`` with more different values; None without any.
+
+    Trees that tell ``bins`` values of a feature apart look for cuts between such ranges only.
+    """
+    seen = train.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first() if columns else {}
+    many = [c for c in columns if seen[c] > bins]
+    if not many:
+        return None
+    cuts = train.approxQuantile(many, [i / bins for i in range(1, bins)], 0.1 / bins)
+    edges = [[-float("inf"), *sorted(set(x)), float("inf")] for x in cuts]
+    return Bucketizer(inputCols=many, outputCols=[f"{c}_range" for c in many], splitsArray=edges)
 
 
 def alike(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -199,8 +217,8 @@ def alike(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def scorer_rounds(model: PipelineModel, prepared: DataFrame) -> DataFrame:
     """round, train_loss, val_loss, of: the logistic losses after each of the rounds that the scorer kept, and how many these are."""
-    fill, gather, trees = model.stages
-    rows = gather.transform(alike(fill.transform(prepared.withColumn("label", F.col("is_fraud").cast("double"))), ["split", "label", *gather.getInputCols()]))
+    *before, gather, trees = model.stages
+    rows = gather.transform(alike(PipelineModel(before).transform(prepared.withColumn("label", F.col("is_fraud").cast("double"))), ["split", "label", *gather.getInputCols()]))
     one = lambda part: trees.evaluateEachIteration(rows.filter(F.col("split") == part))
     train, val, n = one("train"), one("val"), trees.getNumTrees
     return prepared.sparkSession.createDataFrame([(i + 1, a, b, n) for i, (a, b) in enumerate(zip(train, val, strict=True))], "round int, train_loss double, val_loss double, of int")
@@ -215,7 +233,7 @@ def score_batch(model: PipelineModel, rows: DataFrame) -> DataFrame:
 def top_features(model: PipelineModel, spark, k: int = 30) -> DataFrame:
     """rank, feature, importance of the k most important features."""
     weights = model.stages[-1].featureImportances.toArray()
-    names = [c.removesuffix("_filled") for c in model.stages[-2].getInputCols()]
+    names = [c.removesuffix("_range").removesuffix("_filled") for c in model.stages[-2].getInputCols()]
     best = sorted(zip(names, map(float, weights), strict=True), key=lambda x: (-x[1], x[0]))[:k]
     return spark.createDataFrame([(i + 1, n, w) for i, (n, w) in enumerate(best)], "rank long, feature string, importance double")
 
