@@ -274,13 +274,15 @@ def fed_arms(spark, d):
     return L.fed_arms(dense(spark, d), _N)
 
 
-def delivered(spark, d, run, twice=None, late=feeds.LATE, close=False):
+def delivered(spark, d, run, twice=None, late=feeds.LATE, close=False, columns=("*",)):
     """Deliver the splits one after another, rows of the condition ``twice`` doubly; after each, ``run`` reads what is new. Gives the output path.
 
+    ``columns``: those that ``run`` reads, split among them; others are not delivered.
+
     With ``close`` a last row without keys comes two hours later, so that all rows before are complete.
     """
     rows, source, out, mark = split(spark, d), workspace(spark, "feed"), workspace(spark, "out"), workspace(spark, "mark")
-    rows = staged(rows, "splits")
+    rows = staged(rows.select(*columns), "splits")
     parts = [rows.filter(F.col("split") == part) for part in ("train", "val", "test")]
     if close:
         end = rows.agg(F.max("t").alias("m")).select(*[(F.col("m") + 7200 if c == "t" else F.lit(None)).cast(k).alias(c) for c, k in rows.dtypes])
@@ -305,7 +307,7 @@ DETECT = f"SELECT kind, fp, merchants, txns, round(s10 / (10 * greatest(txns, 1)
 
 
 def detected(spark, d, epsilon=None):
-    out = delivered(spark, d, lambda feed, path, mark: feeds.run_fed_detect(feed, path, mark, epsilon))
+    out = delivered(spark, d, lambda feed, path, mark: feeds.run_fed_detect(feed, path, mark, epsilon), columns=("split", *feeds.DETECTS))
     return feeds.fed_detected(spark, out).select("kind", "fp", "merchants", "txns", R4("risk_est").alias("risk_est"), "flagged")
 
 

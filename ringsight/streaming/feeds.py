@@ -122,6 +122,10 @@ def latest_disputes(spark: SparkSession, path: str) -> DataFrame:
     return latest(rows, "dispute_id", ["dt", "status"]).select("dispute_id", "txn_id", "amount", "was_flagged", "status")
 
 
+#: Columns that ``run_fed_detect`` reads.
+DETECTS = ("txn_id", "t", "is_fraud", "card1", "shop", "score")
+
+
 def run_fed_detect(feed: DataFrame, path: str, checkpoint: str, epsilon: float | None = None, seed: str = "live") -> None:
     """What merchants release of the live cards that a batch touches, under its number; ``fed_detected`` judges what stands.
 
