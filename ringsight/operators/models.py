@@ -47,10 +47,11 @@ def feature_spec(train: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> Spec
 
 
 def category_shares(train: DataFrame, spec: Spec) -> DataFrame:
-    """feature, level, share of the non-null train rows: one pass and one shuffle for all features."""
+    """feature, level, share of the non-null train rows: one pass and one shuffle for all features. Totals are summed apart, so no task reads all levels of a feature."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in spec.categorical])).alias("x")).select("x.*")
-    n = long.filter("level is not null").groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("feature", "level", (F.col("n") / F.sum("n").over(Window.partitionBy("feature"))).alias("share"))
+    n = staged(long.filter("level is not null").groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = n.groupBy("feature").agg(F.sum("n").alias("total"))  # a row for each category
+    return n.join(F.broadcast(total), "feature").select("feature", "level", (F.col("n") / F.col("total")).alias("share"))
 
 
 #: Levels up to which a category's shares are broadcast; beyond it only those that so large a share of train has.
