@@ -95,6 +95,28 @@ def fanout(txn: DataFrame, key: str, value: str, name: str, length: int = WEEK,
     return apart(txn, key, hot, plain, split)
 
 
+def histories(txn: DataFrame, key: str, spread: tuple[str, ...], hot: int = HOT_ROWS) -> DataFrame:
+    """``velocity`` of ``key`` as {key}_{figure}, and its ``fanout`` for each value of ``spread`` as {key}_{value}s. Rows go to their key once for all of these."""
+    figures = ("n_24h", "n_7d", "sum_24h", "mean_24h")
+
+    def plain(rows: DataFrame) -> DataFrame:
+        first = lambda v: F.row_number().over(Window.partitionBy(key, v).orderBy("t", "txn_id")) == 1
+        marked = rows.repartition(key).withColumns({f"_first_{v}": first(v).cast("long") for v in spread})
+        own = Window.partitionBy(key).orderBy("t", "txn_id")
+        before = own.rowsBetween(Window.unboundedPreceding, -1)
+        fans = [F.coalesce(F.sum(f"_first_{v}").over(before), F.lit(0)).alias(f"{key}_{v}s") for v in spread]
+        out = marked.select(*txn.columns, (F.col("t") - F.lag("t").over(own)).alias(f"{key}_gap"), *fans)
+        return out.select("*", *_velocities([key])).withColumnsRenamed({c: f"{key}_{c}" for c in figures})  # these find the rows sorted
+
+    def split(rows: DataFrame) -> DataFrame:
+        out = velocity(staged(rows, "hot"), key, hot).withColumnsRenamed({c: f"{key}_{c}" for c in ("gap", *figures)})
+        for v in spread:
+            out = fanout(out, key, v, f"{key}_{v}s", hot=hot)
+        return out
+
+    return apart(txn, key, hot, plain, split)
+
+
 def folds(train: DataFrame, k: int = 5) -> DataFrame:
     """``fold``: equal sequential blocks by (t, txn_id), from positions that are counted in parallel."""
     keyed = train.withColumn("_o", F.struct("t", "txn_id")).withColumn("_one", F.lit(1))
@@ -103,6 +125,21 @@ def folds(train: DataFrame, k: int = 5) -> DataFrame:
     return pos.crossJoin(F.broadcast(n)).withColumn("fold", F.floor((F.col("cum__one") - 1) * k / F.col("_n")).cast("long")).drop("_o", "_one", "cum__one", "_n")
 
 
+def fold_cuts(train: DataFrame, k: int = 5) -> list[tuple[int, int]]:
+    """(t, txn_id) of the rows at which the ``folds`` but the first begin, so that a row tells its fold by itself: see ``fold_of``."""
+    n = train.count()
+    at = [-(-f * n // k) for f in range(1, k)]
+    pos = prefix_sums(train.select(F.struct("t", "txn_id").alias("_o"), F.lit(1).alias("_one")), "_o", ["_one"], descending=False).withColumn("_at", F.col("cum__one") - 1)
+    found = {r["_at"]: (r["t"], r["txn_id"]) for r in pos.filter(F.col("_at").isin(at)).select("_at", "_o.t", "_o.txn_id").collect()}
+    return [found[p] for p in at if p in found]
+
+
+def fold_of(cuts: list[tuple[int, int]]) -> Column:
+    """The fold of a row by its t and txn_id."""
+    reached = [(F.col("t") > t) | ((F.col("t") == t) & (F.col("txn_id") >= i)) for t, i in cuts]
+    return sum((r.cast("long") for r in reached), F.lit(0).cast("long"))
+
+
 def reputation(train: DataFrame, key: str) -> DataFrame:
     """Per (key, fold): counts of the other folds, in one pass: total less own."""
     own = train.groupBy(key, "fold").agg(F.sum("is_fraud").cast("long").alias("fr"), F.count(F.lit(1)).alias("cnt"))

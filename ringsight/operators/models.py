@@ -19,7 +19,7 @@ from ringsight.functions import keys as K
 from ringsight.operators import features as X
 from ringsight.operators import metrics as M
 from ringsight.operators import privacy as P
-from ringsight.operators.sliding import component_features
+from ringsight.operators.sliding import card_node, component_days
 from ringsight.session import sized, staged
 
 NOT_FEATURES = ("txn_id", "t", "is_fraud", "split")
@@ -124,36 +124,40 @@ def prepare_features(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> t
     return encoded(rows, spec, staged(category_shares(train, spec), "shares")), spec
 
 
+#: Keys up to which their counts by fold are broadcast.
+FEW_KEYS = 50_000
+FOLDS = 5
+
+
 def entity_features(rows: DataFrame) -> DataFrame:
     """``rows`` (splits) with gaps, velocities, fan-outs, components and reputations.
 
     A train row's reputation comes from the other folds, any other row's from all
     of train; keys that train lacks have the prior.
     """
-    out = rows = staged(rows, "rows")
-    for key in ("account", "card1"):
-        out = X.velocity(out, key)
-        for c in ("gap", "n_24h", "n_7d", "sum_24h", "mean_24h"):
-            out = out.withColumnRenamed(c, f"{key}_{c}")
-    for key, value in (("card1", "account"), ("card1", "addr1"), ("account", "device_info")):
-        out = X.fanout(out, key, value, f"{key}_{value}s")
-    out = staged(out, "velocity")
-    out = staged(out.join(component_features(rows).hint("merge"), "txn_id", "left"), "components")
-    train = X.folds(out.filter("split = 'train'").select("txn_id", "t", "is_fraud", "card1", "addr1", "email_domain"))
-    train = staged(train.select("txn_id", "is_fraud", "card1", "addr1", "email_domain", "fold"), "folds")
-    out = out.join(train.select("txn_id", "fold").hint("merge"), "txn_id", "left").withColumn("fold", F.coalesce("fold", F.lit(-1)))
-    for key in ("card1", "addr1", "email_domain"):
-        known = train.filter(F.col(key).isNotNull())
-        per = known.groupBy(key, "fold").agg(F.sum("is_fraud").alias("fr"), F.count(F.lit(1)).alias("cnt"))
-        whole = per.groupBy(key).agg(F.sum("fr").alias("fr"), F.sum("cnt").alias("cnt")).select(key, F.lit(-1).cast("long").alias("fold"), *X.smoothed())
-        rates = X.reputation(known, key).unionByName(whole)
-        # a fold without rows of a key sees all of the key's train rows
-        gaps = whole.drop("fold").select(key, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"), "rate", "log_n", "seen").withColumn("fold", F.col("fold").cast("long"))
-        rates = rates.unionByName(gaps.join(per.select(key, "fold").hint("merge"), [key, "fold"], "left_anti"))
-        rates = rates.select(key, "fold", *[F.col(c).alias(f"{key}_{c}") for c in ("rate", "log_n", "seen")])
-        # few keys have very many rows each: their rates are broadcast, so that rows do not go to a task by key
-        out = out.join(sized(staged(rates, "rates")), [key, "fold"], "left").fillna({f"{key}_rate": X.PRIOR, f"{key}_log_n": 0.0, f"{key}_seen": 0})
-    return out.drop("fold")
+    rows = staged(rows, "rows")
+    train = rows.filter("split = 'train'")
+    fold = X.fold_of(X.fold_cuts(train, FOLDS))
+    out = rows.withColumn("_fold", F.when(F.col("split") == "train", fold).otherwise(F.lit(-1)).cast("int"))
+    made, keys = [], ("card1", "addr1", "email_domain")
+    for key, spread in (("account", ("device_info",)), ("card1", ("account", "addr1"))):
+        out = X.histories(out, key, spread)
+        made += [f"{key}_{c}" for c in ("gap", "n_24h", "n_7d", "sum_24h", "mean_24h")]
+    for key in keys:  # rows lie by card1 already
+        per = train.filter(F.col(key).isNotNull()).groupBy(key, fold.alias("fold")).agg(F.sum("is_fraud").cast("long").alias("fr"), F.count(F.lit(1)).alias("cnt"))
+        own = F.array(*[F.struct(*[F.coalesce(F.sum(F.when(F.col("fold") == i, F.col(c))), F.lit(0)).alias(c) for c in ("fr", "cnt")]) for i in range(FOLDS)])
+        known = per.groupBy(key).agg(F.sum("fr").alias("_fr"), F.sum("cnt").alias("_cnt"), own.alias("_folds"))
+        # few keys have very many rows each: their counts are broadcast, so that rows do not go to a task by key
+        out = out.join(sized(staged(known, "counts"), FEW_KEYS), key, "left")
+        own = F.get("_folds", F.col("_fold"))  # null for none
+        out = out.withColumns({c: F.col(f"_{c}") - F.coalesce(own[c], F.lit(0)) for c in ("fr", "cnt")}).select("*", *X.smoothed())
+        none = {"rate": F.lit(X.PRIOR), "log_n": F.lit(0.0), "seen": F.lit(0)}
+        out = out.withColumns({f"{key}_{c}": F.coalesce(c, n) for c, n in none.items()}).drop("fr", "cnt", "_fr", "_cnt", "_folds", *none)
+    out = out.withColumns({"_day": K.day(), "_src": card_node()})
+    days = component_days(rows).withColumnsRenamed({"day": "_day", "src": "_src"})
+    out = out.join(days.hint("merge"), ["_day", "_src"], "left")
+    figures = [c for c in days.columns if c not in ("_day", "_src")]
+    return out.select(*rows.columns, *made, "card1_accounts", "card1_addr1s", "account_device_infos", *figures, *[f"{k}_{c}" for k in keys for c in ("rate", "log_n", "seen")])
 
 
 def scorer_table(rows: DataFrame, drop: tuple[str, ...] = NOT_FEATURES) -> tuple[DataFrame, tuple[str, ...]]:
@@ -176,25 +180,49 @@ def train_scorer(prepared: DataFrame, names: tuple[str, ...], rounds: int = 60,
     their number as weight, and LEAST rows make a leaf by weight: each pass costs the
     different rows, of which there are no more than combinations of ranges and levels.
     """
+    before, held, bins = read_by_trees(prepared, names)
+    trees = boosted(before.transform(prepared), [held[c] for c in names], bins, rounds, depth, rate)
+    return PipelineModel([*before.stages, *trees.stages])
+
+
+def read_by_trees(prepared: DataFrame, names: tuple[str, ...]) -> tuple[PipelineModel, dict[str, str], int]:
+    """Stages fitted on the train rows that fill numbers and put those of many values into ranges, the column that trees read for each of ``names``, and how many values of a column they tell apart."""
     nominal = [c for c in names if prepared.schema[c].metadata.get("ml_attr", {}).get("type") == "nominal"]
     bins = max([32, *[prepared.schema[c].metadata["ml_attr"]["num_vals"] for c in nominal]])
-    rows = prepared.filter("split in ('train', 'val')").withColumn("_val", F.col("split") == "val").withColumn("label", F.col("is_fraud").cast("double"))
-    numeric = [c for c in names if c not in nominal]
+    train, numeric = prepared.filter("split = 'train'"), [c for c in names if c not in nominal]
     filled = {c: f"{c}_filled" for c in numeric}
-    fill = Imputer(inputCols=numeric, outputCols=list(filled.values()), strategy="median").fit(rows.filter("not _val").select(*numeric))
-    cut = ranges(fill.transform(rows.filter("not _val")), list(filled.values()), bins)
+    fill = Imputer(inputCols=numeric, outputCols=list(filled.values()), strategy="median").fit(train.select(*numeric))
+    cut = ranges(fill.transform(train), list(filled.values()), bins)
     held = dict(zip(cut.getInputCols(), cut.getOutputCols(), strict=True)) if cut else {}
-    before = PipelineModel([fill, cut] if cut else [fill])
-    gather = VectorAssembler(inputCols=[held.get(filled.get(c), filled.get(c, c)) for c in names], outputCol="features")
-    few = alike(before.transform(rows), ["_val", "label", *gather.getInputCols()])
-    n = few.groupBy("_val").agg(F.sum("_n").alias("n")).collect()  # two rows
+    return PipelineModel([fill, cut] if cut else [fill]), {c: held.get(filled.get(c), filled.get(c, c)) for c in names}, bins
+
+
+def boosted(rows: DataFrame, columns: list[str], bins: int, rounds: int = 60, depth: int = 4, rate: float = 0.2) -> PipelineModel:
+    """The last two stages of ``train_scorer``, over ``rows`` with split, is_fraud and ``columns`` as ``read_by_trees`` has them."""
+    gather = VectorAssembler(inputCols=columns, outputCol="features")
+    # the number of a range is a number: as the level that its attributes make it, trees would take any set of ranges for a cut
+    rows = rows.withColumns({c: F.col(c).cast("int") for c in columns if c.endswith("_range")})
+    rows = rows.filter("split in ('train', 'val')").withColumn("_val", F.col("split") == "val").withColumn("label", F.col("is_fraud").cast("double"))
+    few = alike(rows, ["_val", "label", *columns])
+    n = few.groupBy("_val").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("different")).collect()  # two rows
     train = int(sum(r["n"] for r in n if not r["_val"]))
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="_n", maxIter=rounds, maxDepth=depth, maxBins=bins, stepSize=rate, validationTol=0.0, seed=42)
     # a fraction of the weight may not reach a half; with so few rows no split leaves LEAST on both sides
     trees = trees.setMinInstancesPerNode(1).setMinWeightFractionPerNode((LEAST - 0.5) / train) if train >= 2 * LEAST else trees.setMinInstancesPerNode(train + 1)
     if any(r["_val"] for r in n):
         trees = trees.setValidationIndicatorCol("_val")
-    return PipelineModel([*before.stages, gather, trees.fit(gather.transform(few))])
+    ready = gather.transform(few).select("_val", "label", "_n", "features")
+    return PipelineModel([gather, trees.fit(dealt(ready, sum(r["different"] for r in n)))])
+
+
+#: Rows of a fit that a task reads at a time.
+FIT_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows in equal parts, as many as cores or a multiple: each of a fit's hundreds of passes waits for its largest. FEW_ROWS at most stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if n <= FEW_ROWS else rows.repartition(cores * -(-n // (cores * FIT_ROWS)))
 
 
 #: Train rows up to which numbers are fitted as they are: so few cost little.
@@ -249,12 +277,16 @@ def quality(scored: DataFrame) -> DataFrame:
 
 
 def feature_lift(rows: DataFrame) -> DataFrame:
-    """arm, pr_auc, roc_auc of the test rows, with and without entity features. ``score`` is no feature."""
-    out = None
-    for arm, table in (("base", rows), ("entity", entity_features(rows))):
-        prepared, names = scorer_table(table, (*NOT_FEATURES, "score"))
-        model = train_scorer(prepared, names)
-        one = quality(score_batch(model, prepared.filter("split = 'test'"))).select(F.lit(arm).alias("arm"), "pr_auc", "roc_auc")
+    """arm, pr_auc, roc_auc of the test rows, with and without entity features. ``score`` is no feature. Both arms read one table, prepared once: what one knows of a column does not depend on the others."""
+    drop = (*NOT_FEATURES, "score")
+    spec = feature_spec(rows, drop)
+    table, names = scorer_table(entity_features(rows), drop)
+    before, held, bins = read_by_trees(table, names)
+    table = before.transform(table)
+    base, out = {*spec.order, *[f"{c}_level" for c in spec.categorical]}, None
+    for arm, own in (("base", [c for c in names if c in base]), ("entity", names)):
+        model = boosted(table, [held[c] for c in own], bins)
+        one = quality(score_batch(model, table.filter("split = 'test'"))).select(F.lit(arm).alias("arm"), "pr_auc", "roc_auc")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -60,6 +60,10 @@ class Sliding:
         return out.withColumn("component", F.coalesce("component", "id")).drop("id")
 
 
+def card_node() -> Column:
+    return F.xxhash64(F.lit("c"), K.composite_key("card1"))
+
+
 def sliding_components(txn: DataFrame, causal: bool = False) -> Sliding:
     """Components over ``txn`` (t, card1, account, device_info, browser) for every day from the first to the last of its rows.
 
@@ -68,7 +72,7 @@ def sliding_components(txn: DataFrame, causal: bool = False) -> Sliding:
     a device is an edge; a card without one is a component of its own. A null card is a
     card like others.
     """
-    card, dev = F.xxhash64(F.lit("c"), K.composite_key("card1")), F.xxhash64(F.lit("v"), K.device_key())
+    card, dev = card_node(), F.xxhash64(F.lit("v"), K.device_key())
     slice_ = 2 * K.day() + (F.pmod("t", F.lit(DAY)) > 0).cast("long")
     rows = txn.select(slice_.alias("slice"), card.alias("src"), F.when(F.col("device_info").isNotNull(), dev).alias("dev"), "t", "account")
     # one row for each card, device and account of a slice: all that is asked of rows is a sum, a least or a greatest
@@ -104,15 +108,19 @@ def component_stats(s: Sliding) -> DataFrame:
     return both.select("day", "component", F.col("n").alias("comp_size"), F.col("cards").alias("comp_cards"), F.col("devices").alias("comp_devices"), "comp_accounts", (F.col("n") / span).alias("comp_rate"))
 
 
-def component_features(txn: DataFrame, causal: bool = False) -> DataFrame:
-    """Per txn_id its card's component: size in rows, cards, devices, accounts and rows an hour. Null if a causal window does not have the card."""
+def component_days(txn: DataFrame, causal: bool = False) -> DataFrame:
+    """day, src (``card_node``) and the component's figures, for each day and card of ``txn``, once; with ``causal`` without cards that the window does not have."""
     s = sliding_components(txn, causal)
     cards = s.active.filter("is_card")
     if causal:  # where a card was last active
         at = cards.select(s.days_of("slice", F.coalesce(first_day(F.col("next"), True) - 1, F.lit(s.end))), F.col("node").alias("src"), "id")
+        at = at.join(txn.select(K.day().alias("day"), card_node().alias("src")).distinct().hint("merge"), ["day", "src"], "left_semi")
     else:  # a day's last slice of its own
         at = cards.groupBy(F.floor(F.col("slice") / 2).cast("long").alias("day"), F.col("node").alias("src")).agg(F.max_by("id", "slice").alias("id"))
-    rows = txn.select("txn_id", K.day().alias("day"), F.xxhash64(F.lit("c"), K.composite_key("card1")).alias("src"))
-    at = at.join(rows.select("day", "src").distinct().hint("merge"), ["day", "src"], "left_semi")
-    named = s.labelled(at).join(component_stats(s).hint("merge"), ["day", "component"]).drop("component")
-    return rows.join(named.hint("merge"), ["day", "src"], "left").drop("day", "src")
+    return s.labelled(at).join(component_stats(s).hint("merge"), ["day", "component"]).drop("component")
+
+
+def component_features(txn: DataFrame, causal: bool = False) -> DataFrame:
+    """Per txn_id its card's component: size in rows, cards, devices, accounts and rows an hour. Null if a causal window does not have the card."""
+    rows = txn.select("txn_id", K.day().alias("day"), card_node().alias("src"))
+    return rows.join(component_days(txn, causal).hint("merge"), ["day", "src"], "left").drop("day", "src")
